@@ -46,10 +46,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     rest = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (share * F.sum("__source_size").over(everything) - F.coalesce(F.sum("__bound").over(before), F.lit(0.0))) / F.sum("__weight").over(rest)
-    leveled = weighed.withColumn("__level", level)
-    free = F.col("__level") * F.col("__weight") <= F.col("__bound")
-    common = F.min(F.when(free, F.col("__level"))).over(everything)
-    return leveled.withColumn("__target", F.least("__bound", F.coalesce(common * F.col("__weight"), F.col("__bound")))).select("__source", "__source_size", "__target")
+    # The level rises while the sources before are bound and falls after: the common one is the largest.
+    common = F.max("__level").over(everything)
+    leveled = weighed.withColumn("__level", level).withColumn("__common", common)
+    return leveled.select("__source", "__source_size", F.least("__bound", F.col("__common") * F.col("__weight")).alias("__target"))
 
 
 def offset(source: Column, seed: int) -> Column:

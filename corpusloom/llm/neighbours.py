@@ -28,7 +28,8 @@ REACH = 0.125
 SAMPLE = 20_000
 #: Rows of a block and queries of a visit at most, roughly.
 BLOCK, VISIT = 8_192, 20_000
-LEAST_BLOCKS = 32
+#: Blocks of a curve at least, where they get that many rows each.
+LEAST_BLOCKS, LEAST_ROWS = 32, 64
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -132,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float =
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = blocks or max(LEAST_BLOCKS, -(-n // BLOCK))
+    blocks = blocks or max(1, min(LEAST_BLOCKS, n // LEAST_ROWS), -(-n // BLOCK))
     side = int(np.ceil(blocks * reach))
     model = Curves(np.stack(sample["embedding"].to_numpy()), blocks, curves)
     slices = max(1, -(-q.count() // VISIT))

@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                    / sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
         t AS (
-            SELECT source, source_size, least(bound, coalesce((SELECT min(level) FROM l WHERE level * weight <= bound) * weight, bound)) AS target,
+            SELECT source, source_size, least(bound, (SELECT max(level) FROM l) * weight) AS target,
                    CAST(('0x' || substr(md5('7:' || coalesce('s' || source, 'null')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS off
             FROM l),
         n AS (

@@ -113,7 +113,7 @@ class UnitEncoder:
         A run in which the bytes don't add up is encoded unit by unit.
         """
         each: list = [None] * len(keys)
-        joined = [i for i, k in enumerate(keys) if k[:1] not in self.alone]
+        joined = [i for i, k in enumerate(keys) if k[:1] not in self.alone and (self.alone or k.split() == [k])]
         runs = [joined[at : at + 64] for at in range(0, len(joined), 64)]
         texts = [self.between.join(self.text_of(keys[i]) for i in run) for run in runs]
         for run, text, e in zip(runs, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
