@@ -144,3 +144,39 @@ def prj_route_compact(spark, sf):
 def prj_chapter_clues(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id", "lang", F.substring_index("text", "\n", 1).alias("line")).join(B.table(spark, sf, "labels"), "doc_id", "left")
     return d.select("doc_id", F.coalesce(F.when(F.col("quality") == 1, F.col("line")), F.when(F.col("toxic") == 1, "held"), "lang").alias("clue"))
+
+
+def _route_values(spark, sf):
+    """Parts as route entities: a third as bare strings, a third as objects, a third without a name."""
+    obj = F.to_json(F.struct(F.concat(F.lit("  "), "p_name").alias("name"), F.col("p_type").alias("type"), F.split("p_name", " ").alias("aliases")))
+    item = F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.array("p_name"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("["), obj, F.lit("]"))).otherwise('[{"type":"x"}]')
+    return B.table(spark, sf, "part").select("p_partkey", F.expr("1").alias("one"), item.alias("body")).withColumn("values", F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>"))
+
+
+@query("prj_l1_entities", "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 = 1 THEN p_type ELSE '' END AS type, CASE WHEN p_partkey % 3 = 1 THEN replace(p_name, ' ', '|') ELSE '' END AS aliases FROM part WHERE p_partkey % 3 <> 2")
+def prj_l1_entities(spark, sf):
+    from corpusloom.operators import routes
+
+    e = _route_values(spark, sf).select("p_partkey", F.explode(routes.entities(F.col("values"))).alias("e"))
+    return e.select("p_partkey", "e.name", "e.type", F.array_join("e.aliases", "|").alias("aliases"))
+
+
+def _signals(spark, sf):
+    from corpusloom.operators import routes
+
+    raw = F.array(F.struct(
+        F.when(F.col("event_id") % 4 == 0, " Item ").otherwise(F.col("event_type")).alias("category"), (F.col("value") / 100).alias("strength"),
+        F.array().cast("array<string>").alias("entities"), F.when(F.col("event_id") % 5 == 0, F.array(F.lit(" "))).otherwise(F.array("event_type")).alias("keywords"), F.lit("").alias("reason")))
+    return B.table(spark, sf, "events").select("event_id", routes.signals(raw, B.CATEGORIES).alias("signals"))
+
+
+@query("prj_l1_signals", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'item' ELSE 'other' END AS category, round(greatest(0, least(1, value / 100)), 9) AS strength FROM events WHERE event_id % 5 <> 0")
+def prj_l1_signals(spark, sf):
+    s = _signals(spark, sf).select("event_id", F.explode("signals").alias("s"))
+    return s.select("event_id", "s.category", F.round("s.strength", 9).alias("strength"))
+
+
+@query("prj_l1_norm", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END AS signals, event_id % 5 <> 0 AND value / 100 >= 0.72 AS major FROM events")
+def prj_l1_norm(spark, sf):
+    s = _signals(spark, sf)
+    return s.select("event_id", F.size("signals").alias("signals"), F.exists("signals", lambda x: x["strength"] >= 0.72).alias("major"))

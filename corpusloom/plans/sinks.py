@@ -136,3 +136,13 @@ def jn_reuse(spark, sf):
     r = B.runs(spark, sf)
     cache = r.where("status = 'completed' and run_id % 2 = 0").select("content_hash", "stage", F.lit(True).alias("hit")).distinct()
     return r.join(cache, ["content_hash", "stage"], "left").select("run_id", "part", F.when(F.col("hit"), "hit").otherwise("miss").alias("outcome"))
+
+
+@query("sink_run_delete", f"WITH {B.WITH_RUNS} SELECT 'runs' AS name, count(DISTINCT run_id) AS n FROM runs WHERE run_id % 7 <> 0 UNION ALL SELECT 'parts', count(*) FROM runs WHERE run_id % 7 <> 0")
+def sink_run_delete(spark, sf):
+    """A run goes with its parts."""
+    parts = B.runs(spark, sf).select("run_id", "part")
+    every = parts.select("run_id").distinct()
+    gone = every.where("run_id % 7 = 0")
+    out = [U.without(t, gone, ["run_id"]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, t in (("runs", every), ("parts", parts))]
+    return out[0].union(out[1])
