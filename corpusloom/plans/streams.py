@@ -20,7 +20,7 @@ _STATE = f"""WITH {B.WITH_TASKS}, x AS (SELECT task_id, min(seq) FILTER (WHERE e
 
 def _folder(spark) -> str:
     """A new folder below the shared one of the session; in a test without one, a temporary folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
     return f"{shared}/streams-{uuid.uuid4().hex}"
 
 
