@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
+from corpusloom.functions import questions as Q
 from corpusloom.plans import bind as B
 from corpusloom.plans.registry import query
 
@@ -78,19 +79,22 @@ def fn_search_text(spark, sf):
     return B.facts(spark, sf).select("id", C.search_text(*map(F.col, ("category", "entity", "fact_type", "fact", "aliases", "tags"))).alias("haystack"))
 
 
+#: A small Latin vocabulary: the driver's texts have no other.
+LATIN = Q.Vocabulary(
+    leading="the|that|and", trailing="tion|ing", stop="on|in|of|to", dictionary=("the", "ing", "tion", "zzz", "on the"),
+    asks=(("the", "list"), ("and", "rank")), many="all|und|et|y ", subjects="the|die|les|los", extra=(("th.n", "thing"), ("er[a-z]", "era"), ("Q", "queue")))
+
+
 @query("fn_term_clean", """SELECT item_id, term FROM (SELECT item_id, trim(regexp_replace(regexp_replace(lower(w), '^(the|that|and)+', ''), '(tion|ing)$', ''), ' ') AS term
-    FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark)) WHERE length(term) BETWEEN 2 AND 18 AND NOT regexp_matches(term, '^(on|in|of|to|[0-9]+)$')""")
+    FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[ \n]')) AS w FROM benchmark)) WHERE length(term) BETWEEN 2 AND 18 AND NOT regexp_matches(term, '^(on|in|of|to|[0-9]+)$')""")
 def fn_term_clean(spark, sf):
-    w = B.table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("w"))
-    term = F.trim(F.regexp_replace(F.regexp_replace(F.lower("w"), "^(the|that|and)+", ""), "(tion|ing)$", ""))
-    w = w.select("item_id", term.alias("term"))
-    return w.where(F.length("term").between(2, 18) & ~F.col("term").rlike("^(on|in|of|to|[0-9]+)$"))
+    w = B.table(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[ \n]")).alias("w"))
+    return w.select("item_id", Q.term_clean(F.col("w"), LATIN).alias("term")).where("term is not null")
 
 
 @query("fn_sub_terms", "SELECT item_id, array_to_string(list_filter(['the', 'ing', 'tion', 'zzz', 'on the'], lambda x: contains(lower(text), x)), ',') AS sub_terms FROM benchmark")
 def fn_sub_terms(spark, sf):
-    words = F.array(*map(F.lit, ("the", "ing", "tion", "zzz", "on the")))
-    return B.table(spark, sf, "benchmark").select("item_id", F.array_join(F.filter(words, lambda x: F.contains(F.lower("text"), x)), ",").alias("sub_terms"))
+    return B.table(spark, sf, "benchmark").select("item_id", F.array_join(Q.sub_terms(F.col("text"), LATIN), ",").alias("sub_terms"))
 
 
 @query("fn_terms", f"WITH {B.WITH_QUESTIONS} SELECT query_id, array_to_string(terms, ' ') AS terms, CAST(len(terms) AS INT) AS n FROM questions")
@@ -104,53 +108,51 @@ def fn_entities(spark, sf):
     return B.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("entities"))
 
 
-@query("fn_collection", """SELECT conv_id, turn, CASE WHEN asks AND many THEN label ELSE '' END AS reason FROM (
-    SELECT conv_id, turn, regexp_matches(lower(text), 'the|die|les|los') AS asks, regexp_matches(lower(text), 'all|und|et|y ') AS many,
+_REASON = """CASE WHEN label <> '' AND many AND subjects THEN label ELSE '' END"""
+_REASONED = """(SELECT *, regexp_matches(lower(text), 'the|die|les|los') AS subjects, regexp_matches(lower(text), 'all|und|et|y ') AS many,
            array_to_string(list_filter([CASE WHEN contains(lower(text), 'the') THEN 'list' END, CASE WHEN contains(lower(text), 'and') THEN 'rank' END], lambda x: x IS NOT NULL), ' / ') AS label
-    FROM conversations)""")
+    FROM conversations)"""
+
+
+@query("fn_collection", f"SELECT conv_id, turn, {_REASON} AS reason FROM {_REASONED}")
 def fn_collection(spark, sf):
-    t = F.lower("text")
-    label = F.array_join(F.array_compact(F.array(F.when(t.contains("the"), "list"), F.when(t.contains("and"), "rank"))), " / ")
-    return B.table(spark, sf, "conversations").select("conv_id", "turn", F.when(t.rlike("the|die|les|los") & t.rlike("all|und|et|y "), label).otherwise("").alias("reason"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", Q.collection_reason(F.col("text"), LATIN).alias("reason"))
 
 
-@query("fn_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'thand|list') THEN 'collection' WHEN regexp_matches(text, '[\"«„]') THEN 'target' ELSE 'query' END AS intent FROM conversations")
+@query("fn_intent", f"SELECT conv_id, turn, CASE WHEN {_REASON} <> '' THEN 'collection' WHEN regexp_extract(text, 'Q([a-z]+)', 1) <> '' THEN 'target' ELSE 'query' END AS intent FROM {_REASONED}")
 def fn_intent(spark, sf):
-    intent = F.when(F.lower("text").rlike("thand|list"), "collection").when(F.col("text").rlike('["«„]'), "target").otherwise("query")
-    return B.table(spark, sf, "conversations").select("conv_id", "turn", intent.alias("intent"))
+    text = F.col("text")
+    found = Q.intent(Q.collection_reason(text, LATIN), Q.target(text, None, ("Q([a-z]+)",)))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", found.alias("intent"))
 
 
 @query("fn_intent_terms", """SELECT item_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, 'th.n') THEN 'thing' END, CASE WHEN regexp_matches(text, 'er[a-z]') THEN 'era' END, CASE WHEN regexp_matches(text, 'Q') THEN 'queue' END], lambda x: x IS NOT NULL), ',') AS terms FROM benchmark""")
 def fn_intent_terms(spark, sf):
-    rules = (("th.n", "thing"), ("er[a-z]", "era"), ("Q", "queue"))
-    terms = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), t) for p, t in rules)))
-    return B.table(spark, sf, "benchmark").select("item_id", F.array_join(terms, ",").alias("terms"))
+    return B.table(spark, sf, "benchmark").select("item_id", F.array_join(Q.intent_terms(F.col("text"), LATIN), ",").alias("terms"))
 
 
 @query("fn_aliases", r"""SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(p_type, ' ', '/', 'g') || '、' || p_brand, '[/、,]'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS aliases FROM part""")
 def fn_aliases(spark, sf):
     text = F.concat(F.regexp_replace("p_type", " ", "/"), F.lit("、"), "p_brand")
-    return B.table(spark, sf, "part").select("p_partkey", F.array_join(F.filter(F.transform(F.split(text, "[/、,]"), lambda x: F.trim(x)), lambda x: x != ""), "|").alias("aliases"))
+    return B.table(spark, sf, "part").select("p_partkey", F.array_join(Q.aliases(text), "|").alias("aliases"))
 
 
 @query("fn_possessive", "SELECT n_nationkey, regexp_extract(s, '^(.+)的(.+)$', 1) AS owner, regexp_extract(s, '^(.+)的(.+)$', 2) AS object FROM (SELECT n_nationkey, n_name || '的' || n_regionkey || '的' || n_name AS s FROM nation)")
 def fn_possessive(spark, sf):
-    s = F.concat("n_name", F.lit("的"), "n_regionkey", F.lit("的"), "n_name")
-    return B.table(spark, sf, "nation").select("n_nationkey", F.regexp_extract(s, "^(.+)的(.+)$", 1).alias("owner"), F.regexp_extract(s, "^(.+)的(.+)$", 2).alias("object"))
+    owner, thing = Q.possessive(F.concat("n_name", F.lit("的"), "n_regionkey", F.lit("的"), "n_name"))
+    return B.table(spark, sf, "nation").select("n_nationkey", owner.alias("owner"), thing.alias("object"))
 
 
-@query("fn_target", """SELECT item_id, coalesce(nullif(regexp_extract(text, '/([^/]{1,24})/', 1), ''), nullif(regexp_extract(text, '(?i)about ([a-z]+)', 1), ''), nullif(regexp_extract(text, '\\b([A-Z][a-z]+)', 1), ''), '') AS target FROM benchmark""")
+@query("fn_target", """SELECT item_id, coalesce(CASE WHEN item_id % 4 = 0 THEN 'given ' || item_id END, nullif(regexp_extract(text, '/([^/]{1,24})/', 1), ''), nullif(regexp_extract(text, '(?i)about ([a-z]+)', 1), ''), nullif(regexp_extract(text, '\\b([A-Z][a-z]+)', 1), ''), '') AS target FROM benchmark""")
 def fn_target(spark, sf):
-    tries = [F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"/([^/]{1,24})/", r"(?i)about ([a-z]+)", r"\b([A-Z][a-z]+)")]
-    return B.table(spark, sf, "benchmark").select("item_id", F.coalesce(*tries, F.lit("")).alias("target"))
+    given = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit(" given "), "item_id"))
+    found = Q.target(F.col("text"), given, (r"/([^/]{1,24})/", r"(?i)about ([a-z]+)", r"\b([A-Z][a-z]+)"))
+    return B.table(spark, sf, "benchmark").select("item_id", found.alias("target"))
 
 
 @query("fn_target_clean", "SELECT p_partkey, substr(regexp_replace(regexp_replace(regexp_replace(lower(p_name), ' [a-z]+$', ''), ' [a-z]+$', ''), ' [a-z]+$', ''), 1, 24) AS target FROM part")
 def fn_target_clean(spark, sf):
-    s = F.lower("p_name")
-    for _ in range(3):
-        s = F.regexp_replace(s, " [a-z]+$", "")
-    return B.table(spark, sf, "part").select("p_partkey", F.substring(s, 1, 24).alias("target"))
+    return B.table(spark, sf, "part").select("p_partkey", Q.target_clean(F.lower("p_name"), " [a-z]+$").alias("target"))
 
 
 @query("fn_target_likely", "SELECT p_partkey, length(p_name) BETWEEN 2 AND 12 AND NOT regexp_matches(p_name, 'red|blue') AS likely FROM part")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
+from corpusloom.functions import questions as Q
 from corpusloom.operators import coverage as V
 from corpusloom.operators import packing as P
 from corpusloom.operators import recall as R
@@ -112,3 +113,15 @@ def test_mentions(spark):
     texts = spark.createDataFrame([(1, "once the golden hall of winds opened"), (2, "a golden hall")], "doc_id int, text string")
     names = spark.createDataFrame([(7, "golden hall of winds"), (8, "golden hall elsewhere")], "subject_id int, name string")
     assert [tuple(r) for r in S.mentions(texts, names).collect()] == [(1, 7)]
+
+
+def test_question_rules_on_cjk_text(spark):
+    v = Q.Vocabulary(leading="请|帮我|整理", trailing="清单|内容", stop="章节", dictionary=("古镜", "长桥"), asks=(("清单", "list"),), many="所有|清单", subjects="古镜", extra=(("镜", "mirror"), ("桥", "bridge")))
+    q = F.lit("请整理所有古镜清单：《长桥夜雨》，章节")
+    assert one(spark, Q.terms(q, v)) == ["长桥夜雨", "所有古镜", "古镜", "长桥"]
+    assert one(spark, Q.collection_reason(q, v)) == "list" and one(spark, Q.collection_reason(F.lit("古镜在哪"), v)) == ""
+    assert one(spark, Q.intent(F.lit(""), F.lit("x"))) == "target" and one(spark, Q.intent(F.lit(""), F.lit(None).cast("string"))) == "query"
+    assert one(spark, Q.intent_terms(q, v)) == ["mirror", "bridge"]
+    assert [one(spark, c) for c in Q.possessive(F.lit("阿木的师父的灯"))] == ["阿木的师父", "灯"]
+    assert one(spark, Q.aliases(F.lit("阿木（又名木头）、老木"))) == ["阿木", "木头", "老木"]
+    assert one(spark, Q.target(F.lit("说说「长桥」"), None, ("「([^」]+)」",))) == "长桥"
