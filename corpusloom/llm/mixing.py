@@ -58,44 +58,53 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """All rows and columns of ``docs`` with __size (words), __source_size, __target and __copies.
+def _on(frame: DataFrame, other: DataFrame, *names: str) -> DataFrame:
+    """Inner join on names, null equal to null."""
+    other = other.withColumnsRenamed({n: f"{n}__r" for n in names})
+    same = [frame[n].eqNullSafe(other[f"{n}__r"]) for n in names]
+    return frame.join(other, same).drop(*(f"{n}__r" for n in names))
 
-    Copies are at most ``most`` rounded up.  Null source is a source of its
-    own; null doc_id and repeated rows are numbered like others (ties by text).
-    Documents without words are taken like others and add nothing.  An empty
-    table gives none.  Columns named as these four are replaced.
-    """
-    sized = docs.withColumns({"__size": word_count(), "__source": F.col("source").cast("string")})
-    cells = store.staged(sized.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("__n")), "mix-cells")
+
+def copies(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """__row, __size, __source_size, __target and __copies of narrow rows (__row, __id, __hash, __source, __size)."""
+    cells = store.staged(rows.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("__n")), "mix-cells")
     wanted = targets(cells.groupBy("__source").agg(F.sum(F.col("__n") * F.col("__size")).cast("long").alias("__source_size")), weights, share, most)
     wanted = wanted.withColumn("__rate", F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0))
     wanted = wanted.withColumn("__offset", offset(F.col("__source"), seed))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("__n") / BLOCK)).cast("int")
-
-    def on(frame: DataFrame, other: DataFrame, *names: str) -> DataFrame:
-        other = other.withColumnsRenamed({n: f"{n}__r" for n in names})
-        same = [frame[n].eqNullSafe(other[f"{n}__r"]) for n in names]
-        return frame.join(other, same).drop(*(f"{n}__r" for n in names))
-
-    placed = on(sized, cells.withColumn("__blocks", blocks).drop("__n"), "__source", "__size")
-    block = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("__blocks").cast("long")).cast("int")
+    placed = _on(rows, cells.withColumn("__blocks", blocks).drop("__n"), "__source", "__size")
+    block = F.pmod(F.coalesce(F.col("__id"), F.lit(0)), F.col("__blocks").cast("long")).cast("int")
     placed = placed.withColumn("__block", F.when(F.col("__blocks") > 1, block).otherwise(0))
     # Cells of one block are known; those of many blocks are counted.
     split = placed.where("__blocks > 1").groupBy("__source", "__size", "__block").agg(F.count(F.lit(1)).alias("__n"))
     every = cells.where(F.col("__n") <= BLOCK).select("__source", "__size", F.lit(0).alias("__block"), "__n").unionByName(split)
     run = Window.partitionBy("__source").orderBy("__size", "__block").rowsBetween(Window.unboundedPreceding, -1)
     begun = every.withColumn("__begin", F.coalesce(F.sum("__n").over(run), F.lit(0))).drop("__n")
-    begun = on(begun, wanted, "__source")
-    number = F.row_number().over(Window.partitionBy("__source", "__size", "__block").orderBy("doc_id", F.xxhash64("text")))
-    numbered = on(placed.withColumn("__number", number).drop("__blocks"), begun, "__source", "__size", "__block")
+    begun = _on(begun, wanted, "__source")
+    number = F.row_number().over(Window.partitionBy("__source", "__size", "__block").orderBy("__id", "__hash", "__row"))
+    numbered = _on(placed.withColumn("__number", number), begun, "__source", "__size", "__block")
     place = F.col("__begin") + F.col("__number")
 
     def crossed(n: Column) -> Column:
         return F.floor(n * F.col("__rate") + F.col("__offset"))
 
-    copies = F.least(crossed(place) - crossed(place - 1), F.lit(int(-(-most // 1))))
-    return numbered.withColumn("__copies", copies.cast("long")).drop("__source", "__block", "__begin", "__number", "__rate", "__offset")
+    taken = F.least(crossed(place) - crossed(place - 1), F.lit(int(-(-most // 1))))
+    return numbered.select("__row", "__size", "__source_size", "__target", taken.cast("long").alias("__copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """All rows and columns of ``docs`` with __size (words), __source_size, __target and __copies.
+
+    Copies are at most ``most`` rounded up.  Null source is a source of its
+    own; null doc_id and repeated rows are numbered like others (ties by text).
+    Documents without words are taken like others and add nothing.  An empty
+    table gives none.  ``docs`` must be read from files: rows are told apart by
+    their place in them.  Sizes are counted once, into a narrow table; texts go
+    through one shuffle, and through none if the caller doesn't ask for them.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    narrow = numbered.select("__row", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("source").cast("string").alias("__source"), word_count().alias("__size"))
+    return numbered.join(copies(store.staged(narrow, "mix-sizes"), weights, share, most, seed), "__row").drop("__row")
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
