@@ -142,7 +142,7 @@ def test_substrings(spark, vocabulary, hot):
             words[r.randrange(len(words))] = f"edit{r.randrange(5)}"
         texts.append(" ".join(words + (r.choice(base)[: r.randrange(60)] if r.random() < 0.5 else [])))
     texts += ["a " * 400, "p q r " * 13, "line of ten words that comes again and again here\n" * 5, *[texts[-1]] * 6]
-    rows = substrings.without_repeats(make(spark, texts).repartition(3, "doc_id"), hot=hot).collect()
+    rows = substrings.without_repeats(store.staged(make(spark, texts).repartition(3), "t"), hot=hot).collect()
     want = brute_repeats(texts, 35)
     assert len(rows) == len(texts)
     for row in rows:
@@ -154,7 +154,7 @@ def test_substrings(spark, vocabulary, hot):
 def test_shards_split_between_anchors(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD", 300)
     texts = prose(9, 40, (60, 120)) * 2
-    rows = substrings.without_repeats(make(spark, texts)).collect()
+    rows = substrings.without_repeats(store.staged(make(spark, texts), "t")).collect()
     want = brute_repeats(texts, 35)
     assert all((r["__n_removed"], r["__kept"]) == want[r["doc_id"]][1:] for r in rows)
 
@@ -261,7 +261,7 @@ def test_mixing(spark, monkeypatch, block):
     names = ["b", "a", None, "é", "Z", "hot", ""]
     r = random.Random(10)
     texts = [None if r.random() < 0.05 else " ".join(["w"] * r.choice([0, 1, 5, 5, 5, 30, 70])) for _ in range(400)]
-    docs = make(spark, texts, lambda i: "hot" if i % 3 == 0 else names[i % 7])
+    docs = store.staged(make(spark, texts, lambda i: "hot" if i % 3 == 0 else names[i % 7]), "t")
     rows = mixing.mix(docs).collect()
     assert len(rows) == 400 and {r["size"] for r in rows} == {1}
     size = Counter()
@@ -277,7 +277,7 @@ def test_mixing(spark, monkeypatch, block):
         taken[row["source"]] += row["__copies"] * row["__size"]
     for s in order:
         assert abs(taken[s] - wanted[s]) <= 3 * 70
-    again = {r["doc_id"]: r["__copies"] for r in mixing.mix(docs.repartition(5)).collect()}
+    again = {r["doc_id"]: r["__copies"] for r in mixing.mix(store.staged(docs.repartition(5), "t")).collect()}
     assert again == {r["doc_id"]: r["__copies"] for r in rows}
     mixed = Counter(r["doc_id"] for r in mixing.sample(docs).collect())
     assert mixed == Counter({k: v for k, v in again.items() if v})
