@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     of its own.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(found)
