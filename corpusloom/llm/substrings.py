@@ -6,7 +6,8 @@ A window is ``window`` consecutive words of one document.  The jobs:
    runs.  Equal windows have equal anchors.  Consecutive windows with one
    anchor form a run; runs are listed as (anchor, doc_id, first window, windows).
 2. Anchors that only one run has, once, are dropped with their windows: nothing
-   equal exists.  (Counting is a partial aggregate before the shuffle.)
+   equal exists.  (Counting is a partial aggregate before the shuffle; a run whose
+   document has the anchor again counts twice.)
 3. Segments.  The words under each run that is left are cut out of the text,
    and equal segments are counted, so copies cost one segment.  Anchors with
    more than ``HOT`` runs are cut into single windows, dealt by the window's
@@ -36,11 +37,13 @@ from corpusloom.llm import store
 
 WINDOW = 35
 #: Words of the runs that are hashed to anchors.
-GRAM = 12
+GRAM = 8
 #: Runs of one anchor beyond which it is dealt by whole windows.
-HOT = 5_000
+HOT = 1_000
 #: Words in one index.
 SHARD = 1_500_000
+#: Symbols by which an index is ordered at least; longer than a window.
+ORDER = 36
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -114,17 +117,20 @@ class WaveletMatrix:
             self.ones.append(ones)
             self.zeros.append(self.n - int(ones[-1]))
             current = np.concatenate([current[plane == 0], current[plane == 1]])
+        every = np.arange(1 << bits)
+        self.begin = self._descend(every, np.zeros(len(every), np.int64))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place."""
-        low, high = np.zeros_like(at), at
+        return self._descend(symbol, at) - self.begin[symbol]
+
+    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a place before which ``symbol`` is counted ends up in the last plane's order."""
         for plane in range(self.bits):
             bit = (symbol >> (self.bits - 1 - plane)) & 1 == 1
-            low1, high1 = self._ones(plane, low), self._ones(plane, high)
-            zeros = self.zeros[plane]
-            low = np.where(bit, zeros + low1, low - low1)
-            high = np.where(bit, zeros + high1, high - high1)
-        return high - low
+            ones = self._ones(plane, at)
+            at = np.where(bit, self.zeros[plane] + ones, at - ones)
+        return at
 
     def _ones(self, plane: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
@@ -133,36 +139,43 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """FM-index of integer symbols, ordered by their first 64 successors.
+    """FM-index of integer symbols, ordered by ``ORDER`` or more symbols.
 
-    That order is enough for backward search of patterns up to 64 symbols, the
-    only kind asked here.  ``deep[d]`` gives for every row of the index the
+    That order is enough for backward search of patterns up to ``ORDER``
+    symbols, the only kind asked here.  ``deep[d]`` gives for every row of the index the
     begin and end of the rows that share their first d symbols.
     """
 
     def __init__(self, text: np.ndarray, depths: tuple[int, ...]):
         n = len(text)
-        rank, ranks, span = np.unique(text, return_inverse=True)[1].astype(np.int64), {}, 1
-        ranks[1] = rank
-        while span < 64:
-            ahead = np.full(n, -1, np.int64)
-            ahead[: n - span] = rank[span:] if span < n else []
-            key = (rank << 32) | (ahead + 1)
-            order = np.argsort(key)
-            step = np.empty(n, np.int64)
-            step[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            rank, span = step, 2 * span
-            ranks[span] = rank
-        self.order = np.argsort(rank, kind="stable")
         sigma = int(text.max()) + 1
+        # The first sort takes as many symbols as fit one key; every later one doubles the span.
+        wide = (sigma + 1).bit_length()
+        span = max(1, min(depths[0], 62 // wide))
+        key = np.zeros(n + span, np.int64)
+        key[:n] = text + 1
+        key = sum(key[i : n + i] << (wide * (span - 1 - i)) for i in range(span))
+        ranks: dict[int, np.ndarray] = {}
+        while True:
+            self.order = np.argsort(key)
+            ordered = key[self.order]
+            rank = np.empty(n, np.int64)
+            rank[self.order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+            ranks[span] = rank
+            if span >= ORDER:
+                break
+            ahead = np.zeros(n, np.int64)
+            ahead[: max(0, n - span)] = rank[span:] + 1
+            key = (rank << 32) | ahead
+            span *= 2
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.tree = WaveletMatrix(text[self.order - 1], max(1, (sigma - 1).bit_length()))
         self.n, self.text = n, text
         self.deep = {d: self._classes(ranks, d) for d in depths}
 
     def _classes(self, ranks: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two spans that are powers of two and together cover ``depth`` symbols."""
-        span = 1 << (depth.bit_length() - 1)
+        """By two overlapping sorted spans that together cover ``depth`` symbols."""
+        span = max(s for s in ranks if s <= depth)
         there = self.order
         other = np.minimum(there + depth - span, self.n - 1)
         first, second = ranks[span][there], ranks[span][other]
@@ -173,8 +186,9 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that begin with symbol and then what rows low to high begin with."""
-        base = self.count[symbol]
-        return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
+        both = self.count[symbol] - self.tree.begin[symbol]
+        low, high = np.split(self.tree._descend(np.concatenate([symbol, symbol]), np.concatenate([low, high])), 2)
+        return both + low, both + high
 
 
 def repeated_windows(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, copies: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -240,8 +254,7 @@ def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 def _search_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     lists = [t.split(b" ") for t in frame["words"]]
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids: dict[bytes, int] = {}
-    flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for words in lists for w in words), np.int64, int(lengths.sum()))
+    flat = pd.factorize(np.array([w for words in lists for w in words], object))[0] + 1
     begins = np.cumsum(lengths + 1) - (lengths + 1)
     text = np.zeros(int((lengths + 1).sum()), np.int64)
     text[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))] = flat
@@ -267,12 +280,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
             n = [len(f[0]) for f in found]
             if sum(n):
                 anchor, first, windows, again = (np.concatenate([f[k] for f in found]) for k in range(4))
-                yield pd.DataFrame({"anchor": anchor.view(np.int64), "doc_id": frame["doc_id"].repeat(n), "first": first, "windows": windows, "again": again})
+                yield pd.DataFrame({"anchor": anchor.view(np.int64), "doc_id": frame["doc_id"].repeat(n), "place": first << 32 | windows, "weight": again + 1})
 
-    runs = store.staged(text.mapInPandas(anchors, "anchor long, doc_id long, first int, windows int, again boolean"), "anchor-runs")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again")
-    often = often.select("anchor", (F.col("n") > hot).alias("hot"))
-    held = runs.join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "hot")).alias("runs"))
+    runs = store.staged(text.mapInPandas(anchors, "anchor long, doc_id long, place long, weight byte"), "anchor-runs")
+    often = runs.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    held = runs.drop("weight").join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("runs"))
 
     def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -280,7 +292,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
             for doc_id, whole, own in zip(frame["doc_id"], frame["text"], frame["runs"], strict=True):
                 words = split_words(whole)
                 for run in own:
-                    first, n = run["first"], run["windows"]
+                    first, n = run["place"] >> 32, run["place"] & 0xFFFFFFFF
                     if run["hot"]:
                         for at in range(first, first + n):
                             piece = b" ".join(words[at : at + window])
@@ -299,7 +311,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
 
     cut = text.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(cut_out, "anchor long, doc_id long, first int, seg binary, words binary")
     segments = store.staged(cut, "segments")
-    distinct = segments.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Count equal segments of a sorted partition before they are shuffled."""
+        for frame in frames:
+            anchor, seg = frame["anchor"].to_numpy(), frame["seg"].to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])])) if len(frame) else []
+            yield frame.iloc[new].assign(copies=np.diff(np.append(new, len(frame))))
+
+    # Equal segments are counted on either side of one shuffle by anchor, which the shards need anyway.
+    combined = segments.select("anchor", "seg", "words").sortWithinPartitions("anchor", "seg").mapInPandas(combine, "anchor long, seg binary, words binary, copies long")
+    distinct = combined.repartition("anchor").groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by anchor; shards end where an anchor does, if they can."""
@@ -326,7 +348,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
         if held:
             yield _search_shard(pd.concat(held), window)
 
-    spans = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(search, "anchor long, seg binary, spans array<struct<lo:int,hi:int>>")
+    spans = distinct.sortWithinPartitions("anchor").mapInPandas(search, "anchor long, seg binary, spans array<struct<lo:int,hi:int>>")
     back = segments.select("anchor", "seg", "doc_id", "first").join(spans, ["anchor", "seg"])
     moved = F.expr("transform(spans, s -> struct(s.lo + first as lo, s.hi + first as hi))")
     return back.select("doc_id", moved.alias("spans")).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -349,9 +371,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     words that stay, joined by one space; null text gives an empty one).
 
     A word goes if a window covers it whose words also start anywhere else;
-    windows are judged on the input.  Rows are told apart by a row number of
-    their own, so null or repeated doc_ids are rows like others: repeated
-    rows are copies of one another, and their windows go from all.
+    windows are judged on the input.  Rows are told apart by their place in the
+    files that ``docs`` is read from, so null or repeated doc_ids are rows like
+    others: repeated rows are copies of one another, and their windows go from
+    all.  An empty table gives no rows.
     """
     spark_id, names = "__row", docs.columns
     numbered = docs.withColumn(spark_id, F.monotonically_increasing_id())
