@@ -41,7 +41,7 @@ GRAM = 8
 #: Runs of one anchor beyond which it is dealt by whole windows.
 HOT = 1_000
 #: Words in one index.
-SHARD = 1_500_000
+SHARD = 800_000
 #: Symbols by which an index is ordered at least; longer than a window.
 ORDER = 36
 
