@@ -36,21 +36,33 @@ CELL = 64
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of a text's word shingles as an unsigned 64-bit integer.
+def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words of a text, in order.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased.  Fewer
-    words than a shingle has: the whole sequence; none: zero.
+    words than a shingle has: the whole sequence; none: no hash.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     first = [0, *(ends[: n - 1] + 1).tolist()]
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash of a text's word shingles as an unsigned 64-bit integer.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased.  Fewer
+    words than a shingle has: the whole sequence; none: zero.
+    """
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     octets = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     counts = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)])
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
@@ -168,7 +180,11 @@ def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Rows with a null doc_id stay (nothing tells them apart).  All columns stay
     as they are.
     """
-    groups = near_groups(docs, shingle)
+    return smallest_of(docs, near_groups(docs, shingle))
+
+
+def smallest_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same for any groups (doc_id, component_id)."""
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
     stay = docs.join(dropped, docs["doc_id"] == dropped["__dropped_id"], "left_anti")
     return stay.where("doc_id is null").unionByName(stay.where("doc_id is not null").dropDuplicates(["doc_id"]))
