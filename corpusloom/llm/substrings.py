@@ -10,8 +10,9 @@ A window is ``window`` consecutive words of one document.  The jobs:
    document has the anchor again counts twice.)
 3. Segments.  The words under each run that is left are cut out of the text,
    and equal segments are counted, so copies cost one segment.  Anchors with
-   more than ``HOT`` runs are cut into single windows, dealt by the window's
-   own words.
+   more than ``HOT`` runs or ``HOT_WORDS`` words (in periodic text a run is as
+   long as the document) are cut into single windows, dealt by the window's
+   own words; a task writes the words of equal windows of a batch once.
 4. Shards.  Segments with one anchor meet in one task, which groups anchors
    into shards of bounded size, builds a compressed FM-index of each (wavelet
    matrix over the Burrows-Wheeler transform of the words) and streams the
@@ -40,6 +41,8 @@ WINDOW = 35
 GRAM = 8
 #: Runs of one anchor beyond which it is dealt by whole windows.
 HOT = 1_000
+#: Words under the runs of one anchor beyond which it is dealt so, too.
+HOT_WORDS = 64_000
 #: Words in one index.
 SHARD = 800_000
 #: Symbols by which an index is ordered at least; longer than a window.
@@ -265,7 +268,7 @@ def _search_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     return out[out["spans"].map(len) > 0]
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id and spans: per document the word intervals [lo, hi) that repeated windows cover.
 
     Documents without such a window aren't listed.  Intervals may touch or
@@ -283,31 +286,36 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                 yield pd.DataFrame({"anchor": anchor.view(np.int64), "doc_id": frame["doc_id"].repeat(n), "place": first << 32 | windows, "weight": again + 1})
 
     runs = store.staged(text.mapInPandas(anchors, "anchor long, doc_id long, place long, weight byte"), "anchor-runs")
-    often = runs.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    words_under = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) + (window - 1)
+    often = runs.groupBy("anchor").agg(F.sum("weight").alias("n"), F.sum(words_under).alias("words")).where("n > 1")
+    often = often.select("anchor", ((F.col("n") > hot) | (F.col("words") > hot_words)).alias("hot"))
     held = runs.drop("weight").join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("runs"))
 
     def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size, written = [], 0, set()
+
+        def batch() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words"])
+
         for frame in frames:
-            rows, size = [], 0
             for doc_id, whole, own in zip(frame["doc_id"], frame["text"], frame["runs"], strict=True):
                 words = split_words(whole)
                 for run in own:
                     first, n = run["place"] >> 32, run["place"] & 0xFFFFFFFF
-                    if run["hot"]:
-                        for at in range(first, first + n):
-                            piece = b" ".join(words[at : at + window])
-                            digest = hashlib.md5(piece).digest()
-                            rows.append((int.from_bytes(digest[:8], "little", signed=True), doc_id, at, digest, piece))
-                            size += len(piece)
-                    else:
-                        piece = b" ".join(words[first : first + n + window - 1])
-                        rows.append((run["anchor"], doc_id, first, hashlib.md5(piece).digest(), piece))
-                        size += len(piece)
-                    if size > 8_000_000:
-                        yield pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words"])
-                        rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words"])
+                    for at in range(first, first + n) if run["hot"] else (first,):
+                        piece = b" ".join(words[at : at + window] if run["hot"] else words[first : first + n + window - 1])
+                        digest = hashlib.md5(piece).digest()
+                        anchor = int.from_bytes(digest[:8], "little", signed=True) if run["hot"] else run["anchor"]
+                        again = run["hot"] and digest in written
+                        rows.append((anchor, doc_id, at, digest, None if again else piece))
+                        size += 64 if again else 64 + len(piece)
+                        if run["hot"]:
+                            written.add(digest)
+                        if size > 8_000_000:
+                            yield batch()
+                            rows, size, written = [], 0, set()
+        if rows:
+            yield batch()
 
     cut = text.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(cut_out, "anchor long, doc_id long, first int, seg binary, words binary")
     segments = store.staged(cut, "segments")
@@ -320,8 +328,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
             yield frame.iloc[new].assign(copies=np.diff(np.append(new, len(frame))))
 
     # Equal segments are counted on either side of one shuffle by anchor, which the shards need anyway.
-    combined = segments.select("anchor", "seg", "words").sortWithinPartitions("anchor", "seg").mapInPandas(combine, "anchor long, seg binary, words binary, copies long")
-    distinct = combined.repartition("anchor").groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
+    combined = segments.select("anchor", "seg", "words").sortWithinPartitions("anchor", "seg", F.desc_nulls_last("words")).mapInPandas(combine, "anchor long, seg binary, words binary, copies long")
+    distinct = combined.repartition("anchor").groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("words", ignorenulls=True).alias("words"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by anchor; shards end where an anchor does, if they can."""
