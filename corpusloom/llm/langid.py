@@ -174,3 +174,12 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     added = [F.col(f"__langid.{c}").alias(prefix + c) for c in ("lang_pred", "score", "accepted")]
     return with_out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {prefix + x for x in ("lang_pred", "score", "accepted")}], *added)
 
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and len(letters(t)) > 0 for t in texts], dtype=bool)
+
+    return docs.where(lettered(F.col("text").cast("string")))
