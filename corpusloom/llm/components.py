@@ -18,8 +18,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``links`` has long columns a and b; direction, order and repeats don't
     matter.  Returns node, root; nodes without a link aren't listed.  Large and
     small stars alternate until the links are stars around their smallest node;
-    each round is written to the shared folder, so lineage stays short, and a
-    node with very many links is only ever grouped by partial minimum.
+    each round is written to the shared folder, so lineage stays short, and the
+    round before is deleted; a node with very many links is only ever grouped by partial minimum.
     """
     edges = store.staged(links.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").select("a", "b").distinct(), "links")
     state = _state(edges)
@@ -32,7 +32,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = store.staged(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = store.staged(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "small-star")
+        last, edges = edges, store.staged(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "small-star")
+        store.drop_staged(last)
+        store.drop_staged(large)
         before, state = state, _state(edges)
         if state == before:
             break

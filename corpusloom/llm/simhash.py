@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import store
@@ -68,14 +68,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null text: no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *keys: str) -> DataFrame:
+    """doc_id (or the columns named by ``keys``) and fp (the fingerprint as a signed long) of every row; null text: no words."""
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select("doc_id", simhash(store.null_safe_text()).alias("fp"))
+    return docs.select(*(keys or ("doc_id",)), simhash(store.null_safe_text()).alias("fp"))
 
 
 def cells_of(points: np.ndarray) -> np.ndarray:
@@ -158,33 +158,64 @@ def links(points: DataFrame) -> DataFrame:
     return met.where("not hot").select("a", "b").union(fine.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
 
 
+def _found(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash and fp of every row, and every fp with its group (root) and the group's ``first`` row.
+
+    Groups are made of fingerprints, so rows that share a doc_id but not the
+    text stay apart.
+    """
+    fps = store.staged(fingerprints(docs.select("doc_id", "text", text_hash()), shingle, "doc_id", "text_hash"), "simhash")
+    points = store.staged(fps.groupBy("fp").agg(first_row().alias("first")), "simhash-points")
+    return fps, grouped(points, components(links(points.select("fp", F.col("fp").alias("node")))))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(store.null_safe_text()).alias("text_hash")
+
+
+def first_row() -> Column:
+    """Aggregate: the row with the smallest doc_id, null last; then by the text's hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash"))
+
+
+def grouped(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, root and first of points (fp, first); roots: node (an fp), root; first is the whole group's."""
+    named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    return named.drop("first").join(named.groupBy("root").agg(F.min("first").alias("first")), "root")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links of two or
     fewer bits, itself included) of every row.
 
-    Documents without words have fingerprint zero and link like any other.
-    Rows that repeat a doc_id with other text belong to the group of each of
-    their fingerprints; a null doc_id never names a group unless no other
-    does.  An empty table gives no rows.
+    Documents without words have fingerprint zero and link like any other.  Rows
+    that repeat a doc_id with other text belong to the group of their own
+    text; a null doc_id names a group only if no other does.  An empty table
+    gives no rows.
     """
-    fps = store.staged(fingerprints(docs, shingle), "simhash")
-    points = store.staged(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "simhash-points")
-    roots = components(links(points.where("node is not null")))
-    named = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps, groups = _found(docs, shingle)
+    return fps.join(groups.select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, one row each.
+    """Of every group of ``near_groups`` one row: that with the smallest doc_id (null last).
 
-    Rows with a null doc_id stay (nothing tells them apart).  All columns stay
-    as they are.
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id are
+    kept or dropped by their own text, and of rows that repeat both one stays.
+    All columns stay as they are.  An empty table gives no rows.
     """
-    return smallest_of(docs, near_groups(docs, shingle))
+    return only_first(docs, *_found(docs, shingle))
+
+
+def only_first(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first row of every group. ``rows``: doc_id and text_hash of every row; ``groups``: fp, root, first."""
+    wanted = groups.select("first").distinct().select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = wanted["__id"].eqNullSafe(repeated["doc_id"]) & (wanted["__hash"] == repeated["text_hash"])
+    hashed = docs.withColumn("__text_hash", F.xxhash64(store.null_safe_text()))
 
+    def those(keys: DataFrame) -> DataFrame:
+        return hashed.join(keys, hashed["doc_id"].eqNullSafe(keys["__id"]) & (hashed["__text_hash"] == keys["__hash"]), "left_semi")
 
-def smallest_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The same for any groups (doc_id, component_id)."""
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    stay = docs.join(dropped, docs["doc_id"] == dropped["__dropped_id"], "left_anti")
-    return stay.where("doc_id is null").unionByName(stay.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    once, again = those(wanted.join(repeated, same, "left_anti")), those(wanted.join(repeated, same, "left_semi"))
+    return once.unionByName(again.dropDuplicates(["doc_id", "__text_hash"])).drop("__text_hash")

@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir`` as a qualified URI.
 
-    Only a session without the setting (a test on one machine) gets a folder
-    of its own.
+    Only a local session without the setting (a test on one machine) gets a
+    folder of its own; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(found)
     path = sc._jvm.org.apache.hadoop.fs.Path(found)
@@ -47,6 +49,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI, usable inside tasks."""
     return pafs.FileSystem.from_uri(uri)

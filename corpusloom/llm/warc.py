@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import store
@@ -109,26 +109,36 @@ def member(data: bytes) -> bytes:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id and refers_to of the pages that revisit another's payload.
+    """page_id, digest and refers_to of the payloads that revisit another page's.
 
-    Only digests are grouped, after each task has taken its own minimum.
+    A page_id may come with several payloads; each is judged by itself.  Only
+    digests are grouped, after each task has taken its own minimum.
     """
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    seen = store.staged(pages.where(F.octet_length(payload) >= LEAST).select("page_id", F.unhex(F.sha2(payload, 256)).alias("digest")), "digests")
+    seen = store.staged(pages.select("page_id", _digest().alias("digest")).where("page_id is not null and digest is not null"), "digests")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return seen.join(first, "digest").where("page_id <> refers_to").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
+    return seen.join(first, "digest").where("page_id <> refers_to").distinct()
+
+
+def _payload() -> Column:
+    return F.coalesce(F.col("html").cast("string"), F.lit(""))
+
+
+def _digest() -> Column:
+    """SHA-256 of a payload that is long enough to be revisited, else null."""
+    return F.when(F.octet_length(_payload()) >= LEAST, F.unhex(F.sha2(_payload(), 256)))
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
     """Write one record a row into monolithic gzip archives below ``path``; returns their manifest (path, records).
 
     Null html is an empty payload, null url an empty one.  Rows with a null
-    page_id are responses.  Rows that repeat a page_id with one payload keep a record each.
+    page_id are responses.  Rows that repeat a page_id keep a record each, with
+    another payload or the same.  An empty table gives no archive.
     """
     spark = pages.sparkSession
-    found = roles(pages).withColumnRenamed("page_id", "__page")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    dealt = rows.join(found, rows["page_id"] == found["__page"], "left").drop("__page").withColumn("part", F.spark_partition_id())
+    found = roles(pages)
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _payload().alias("html"), _digest().alias("digest"))
+    dealt = rows.join(found, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to").withColumn("part", F.spark_partition_id())
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = next((f for f in frames if len(f)), None)
@@ -158,7 +168,7 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
     """Rewrite archives (column path) so that every record is its own gzip member.
 
     Each file's stream is inflated once.  Beside ``<name>`` goes ``<name>.idx``.
-    Returns the manifest: path, index, records.
+    Returns the manifest: path, index, records.  No archives give an empty one.
     """
     spark = archives.sparkSession
 
