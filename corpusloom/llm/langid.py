@@ -7,8 +7,10 @@ languages.  Table and layer are trained together by stochastic gradient descent
 in numpy.  For prediction the two are multiplied into one table of scores.
 
 The training rows are a bounded sample (``PER_LANGUAGE`` of each language, the
-smallest hashes of doc_id), so the model's size and training time don't depend
-on the input; every row is scored whole.
+smallest hashes of doc_id and text), so the model's size and training time
+don't depend on the input.  A training text of up to ``SPANS`` times
+``SPAN_CHARS`` characters is used whole, a longer one by that many spans spread
+evenly from its begin to its end.  Every row is scored whole.
 
 Calibration: on a fifth of the sample the softmax temperature is fitted, and
 the rejection threshold is the score that all but ``REJECTED`` of the rightly
@@ -19,12 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-#: Bound of the training sample, for each language, and characters used of a training text.
-PER_LANGUAGE, TRAIN_CHARS = 600, 1_500
+#: Bound of the training sample, for each language.
+PER_LANGUAGE = 600
+#: Spans used of a longer training text and characters of each.
+SPANS, SPAN_CHARS = 16, 500
 REJECTED = 0.001
 UNKNOWN = "und"
 
@@ -93,7 +97,7 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5, seed: int = 5) -> Model:
     """Train on texts with their languages. Texts without letters are left out."""
-    rows = [(f, lang) for t, lang in zip(texts, langs, strict=True) if len(f := features(t[:TRAIN_CHARS]))]
+    rows = [(f, lang) for t, lang in zip(texts, langs, strict=True) if len(f := features(t))]
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     if not rows:
@@ -105,10 +109,12 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5,
     embed = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     steps, step = epochs * len(train), 0
+    counted = {int(i): np.unique(rows[i][0], return_counts=True) for i in train}
     for _ in range(epochs):
         for i in rng.permutation(train):
-            buckets, lang = rows[i]
-            mean = embed[buckets].mean(0)
+            lang, (seen, times) = rows[i][1], counted[int(i)]
+            share = times / times.sum()
+            mean = share @ embed[seen]
             wrong = _softmax(mean @ layer + bias)
             wrong[number[lang]] -= 1
             now = rate * (1 - step / steps)
@@ -116,8 +122,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5,
             pull = layer @ wrong
             layer -= now * np.outer(mean, wrong)
             bias -= now * 0.1 * wrong
-            seen, times = np.unique(buckets, return_counts=True)
-            embed[seen] -= (now * 20 * times / len(buckets))[:, None] * pull
+            embed[seen] -= (now * 20 * share)[:, None] * pull
     model = Model(languages, embed @ layer, bias)
     return _calibrated(model, [rows[i] for i in held], number)
 
@@ -140,15 +145,27 @@ def _calibrated(model: Model, rows: list, number: dict[str, int]) -> Model:
     return model
 
 
+def spans(text: Column) -> Column:
+    """The text, or of a longer one ``SPANS`` spans from its begin to its end."""
+    n = F.length(text)
+    at = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(text, F.floor(i * (n - SPAN_CHARS) / (SPANS - 1)).cast("int") + 1, F.lit(SPAN_CHARS)))
+    return F.when(n <= SPANS * SPAN_CHARS, text).otherwise(F.array_join(at, "\n"))
+
+
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """A bounded sample: of every language the rows with the smallest hash of doc_id.
+    """A bounded sample (lang, text, h): of every language the rows with the smallest hashes.
 
-    Only their lang, text start and hash go through the shuffle, after each task
-    has kept its own smallest.
+    Counts by language and the hash's first 16 bits tell which rows can be
+    among them, so little more than the sample is shuffled.
     """
-    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.withColumn("cell", F.shiftright("h", 48))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    last = cells.where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
+    near = rows.join(last, "lang").where("cell <= last").select("lang", spans(F.col("text")).alias("text"), "h")
     first = Window.partitionBy("lang").orderBy("h")
-    return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
+    return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -162,7 +179,9 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
     lang_pred is ``und`` (score 0, not accepted) for null text and texts without
     a letter, and everywhere if nothing was learned.  accepted: the score
-    reaches the calibrated threshold.
+    reaches the calibrated threshold.  Columns of ``docs`` with these three names
+    (after ``prefix``) are replaced.  Rows with repeated or null doc_ids are rows
+    like others; an empty table gives none.
     """
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")

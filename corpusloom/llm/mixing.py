@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     Copies are at most ``most`` rounded up.  Null source is a source of its
     own; null doc_id and repeated rows are numbered like others (ties by text).
     Documents without words are taken like others and add nothing.  An empty
-    table gives none.  ``docs`` must be read from files: rows are told apart by
+    table gives none.  Columns of ``docs`` may not begin with two underscores.  ``docs`` must be read from files: rows are told apart by
     their place in them.  Sizes are counted once, into a narrow table; texts go
     through one shuffle, and through none if the caller doesn't ask for them.
     """

@@ -87,12 +87,18 @@ class Curves:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the vectors that take part: not null,
-    not zero, all components finite, and of the commonest length."""
+    not zero, all components finite.  Vectors of different lengths are an error."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.where(fine)
-    length = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.where(F.size("embedding") == (length["n"] if length else 0))
+    return v.where(fine)
+
+
+def _same_length(v: DataFrame) -> int:
+    """How many vectors there are; they must have one length."""
+    n, low, high = v.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != high:
+        raise ValueError(f"vectors of one table must have one length, not {low} to {high}")
+    return n
 
 
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
@@ -128,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float =
     An empty table gives no rows.
     """
     v, q = usable(vectors), usable(queries)
-    n = v.count()
+    n = _same_length(v)
     sample = v.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas() if n else pd.DataFrame()
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
@@ -136,7 +142,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float =
     blocks = blocks or max(1, min(LEAST_BLOCKS, n // LEAST_ROWS), -(-n // BLOCK))
     side = int(np.ceil(blocks * reach))
     model = Curves(np.stack(sample["embedding"].to_numpy()), blocks, curves)
-    slices = max(1, -(-q.count() // VISIT))
+    slices = max(1, -(-_same_length(q) // VISIT))
 
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = v.distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
@@ -158,10 +164,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float =
                     own = model.block(x, c)
                     for step in range(-side, side + 1):
                         inside = (own + step >= 0) & (own + step < blocks)
-                        yield frame[inside].assign(curve=c, block=(own + step)[inside], part=frame["query_id"][inside] // 20 % slices)
+                        yield frame[inside].assign(curve=c, block=(own + step)[inside], part=frame["part"][inside])
 
     placed = distinct.mapInPandas(place, "embedding array<double>, members array<long>, curve int, block int, part int")
-    asked = q.withColumnRenamed("vec_id", "query_id").mapInPandas(visit, "query_id long, embedding array<double>, curve int, block int, part int")
+    asked = q.select(F.col("vec_id").alias("query_id"), "embedding", F.expr(f"int(pmod(xxhash64(vec_id), {slices}))").alias("part")).mapInPandas(visit, "query_id long, embedding array<double>, curve int, block int, part int")
 
     def search(key, there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         found = list(_best(there, here, k)) if len(there) and len(here) else []
