@@ -5,7 +5,10 @@ A run of ``K`` bytes is a closed syncmer if the smallest hash among its
 on the run alone, so an edit moves no anchor but those that touch it, and equal
 passages carry equal anchors at equal distances.  A fingerprint is the ``KEEP``
 smallest distinct syncmer hashes, in hex; two fingerprints' likeness is the
-share of common hashes among the smallest of both.
+share of common hashes among the smallest of both.  Two texts are also matched
+by position: ``aligned`` is the share of one's anchors that the other has at one
+common displacement, which tells a passage that was kept whole from anchors
+that are met here and there.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ def _hashes(data: np.ndarray, n: int) -> np.ndarray:
             out = out * np.uint64(pow(_BASE, span, 1 << 64)) + level[at : at + len(out)]
             have += span
             at += span
+        if have >= n or 2 * span > len(data):
+            break
         level = level[: len(level) - span] * np.uint64(pow(_BASE, span, 1 << 64)) + level[span:]
         span *= 2
-        if span > len(data):
-            break
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x9FB21C651E98DF25)
     return out ^ (out >> np.uint64(28))
@@ -59,24 +62,28 @@ def syncmers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
     """Ascending smallest syncmer hashes of every text. A text that has no
     syncmer has the hash of its whole, an empty text none."""
-    out: list[np.ndarray] = []
+    return [s for s, _, _ in sketches_and_anchors(texts)]
+
+
+def sketches_and_anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every text its sketch, and the places (in bytes) and hashes of its distinct anchors by hash, each at its first place."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for some in _groups(texts, 2_000_000):
         data = np.frombuffer(b"".join(some), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
         at, value = syncmers(data)
         of = np.searchsorted(ends, at, "right")
         whole = at + K <= ends[np.minimum(of, len(ends) - 1)]
-        of, value = of[whole], value[whole]
+        of, value, at = of[whole], value[whole], at[whole]
         order = np.lexsort((value, of))
-        of, value = of[order], value[order]
+        of, value, at = of[order], value[order], at[order]
         new = np.concatenate([[True], (np.diff(of) != 0) | (value[1:] != value[:-1])]) if len(of) else np.zeros(0, bool)
-        of, value = of[new], value[new]
+        of, value, at = of[new], value[new], at[new]
+        at = at - np.concatenate([[0], ends])[of]
         cut = np.searchsorted(of, np.arange(len(some) + 1))
         for text, a, b in zip(some, cut[:-1], cut[1:], strict=True):
-            if a == b and text:
-                out.append(np.frombuffer(hashlib.sha256(text).digest()[:8], "<u8"))
-            else:
-                out.append(value[a : min(b, a + KEEP)])
+            sketch = np.frombuffer(hashlib.sha256(text).digest()[:8], "<u8") if a == b and text else value[a : min(b, a + KEEP)]
+            out.append((sketch, at[a:b], value[a:b]))
     return out
 
 
@@ -100,13 +107,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean())
 
 
+def aligned(at: np.ndarray, value: np.ndarray, other_at: np.ndarray, other_value: np.ndarray) -> float:
+    """Share of the anchors (places and ascending distinct hashes) that the
+    others have at the commonest displacement, 0 to 1; 1 for two empty ones."""
+    if not len(value) or not len(other_value):
+        return float(len(value) == len(other_value))
+    there = np.minimum(np.searchsorted(other_value, value), len(other_value) - 1)
+    same = other_value[there] == value
+    moved = np.sort(other_at[there[same]] - at[same])
+    if not len(moved):
+        return 0.0
+    begin = np.flatnonzero(np.concatenate([[True], moved[1:] != moved[:-1]]))
+    return float(np.diff(np.append(begin, len(moved))).max() / len(value))
+
+
 def to_text(sketch: np.ndarray) -> str:
     """Sixteen hex digits a hash."""
     return sketch.astype(">u8").tobytes().hex()
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every row; null text counts as empty (empty fingerprint)."""
+    """doc_id and fingerprint of every row; null text counts as empty (empty fingerprint). An empty table gives no rows."""
 
     @F.pandas_udf("string")
     def made(texts: pd.Series) -> pd.Series:
@@ -116,7 +137,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, place (in bytes) and anchor (hash) of every closed syncmer, for positional matching."""
+    """doc_id, place (in bytes) and anchor (hash) of every closed syncmer, for positional matching.
+
+    Null and short texts have none; an empty table gives no rows.
+    """
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -161,7 +185,8 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
     the next document's first half, and how alike they are.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.  The edit replaces the last n_chars // 2 code points
+    near_edited, near_next (likeness of fingerprints), aligned_edited,
+    aligned_next (positional, of all anchors).  The edit replaces the last n_chars // 2 code points
     by as many of the next document's first, or all it has.  A table of one row
     is its own next.  Null text counts as empty.
     """
@@ -177,7 +202,7 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
             held = frame.iloc[-1:]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited double, aligned_next double"
     ordered = spread.repartitionById(parts, "range").sortWithinPartitions("range", "last", F.col("doc_id").asc_nulls_first(), "text")
     return ordered.mapInPandas(compare, schema)
 
@@ -203,14 +228,16 @@ def _compared(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         half = len(texts[i]) // 2
         edited.append((texts[i][: len(texts[i]) - half] + texts[i + 1][:half]).encode("utf-8", "surrogatepass"))
     needed = np.union1d(ok, ok + 1)
-    own = dict(zip(needed.tolist(), sketches([texts[i].encode("utf-8", "surrogatepass") for i in needed.tolist()]), strict=True))
-    new = sketches(edited)
+    own = dict(zip(needed.tolist(), sketches_and_anchors([texts[i].encode("utf-8", "surrogatepass") for i in needed.tolist()]), strict=True))
+    new = sketches_and_anchors(edited)
     yield pd.DataFrame({
         "doc_id": frame["doc_id"].iloc[ok],
         "n_chars": [len(texts[i]) for i in ok],
         "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-        "fingerprint": [to_text(own[i]) for i in ok.tolist()],
-        "edited_fingerprint": [to_text(s) for s in new],
-        "near_edited": [likeness(own[i], s) for i, s in zip(ok.tolist(), new, strict=True)],
-        "near_next": [likeness(own[i], own[i + 1]) for i in ok.tolist()],
+        "fingerprint": [to_text(own[i][0]) for i in ok.tolist()],
+        "edited_fingerprint": [to_text(s[0]) for s in new],
+        "near_edited": [likeness(own[i][0], s[0]) for i, s in zip(ok.tolist(), new, strict=True)],
+        "near_next": [likeness(own[i][0], own[i + 1][0]) for i in ok.tolist()],
+        "aligned_edited": [aligned(*own[i][1:], *s[1:]) for i, s in zip(ok.tolist(), new, strict=True)],
+        "aligned_next": [aligned(*own[i][1:], *own[i + 1][1:]) for i in ok.tolist()],
     })
