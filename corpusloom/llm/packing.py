@@ -11,17 +11,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import store, subwords
 
 
-def cut(n: int, limit: int) -> list[int]:
-    """Piece lengths of a document of ``n`` tokens; ``limit`` is a power of two."""
-    rest = n % limit
-    return [limit] * (n // limit) + [1 << b for b in range(limit.bit_length() - 1, -1, -1) if rest >> b & 1]
+def cut(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of documents of so many tokens: which document each is of, and its length. ``limit`` is a power of two."""
+    full, rest = tokens // limit, tokens % limit
+    row, bit = np.nonzero((rest[:, None] >> np.arange(limit.bit_length() - 2, -1, -1)) & 1)
+    count = full + np.bincount(row, minlength=len(tokens))
+    owner = np.repeat(np.arange(len(tokens)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.full(len(owner), limit, np.int64)
+    length[place >= full[owner]] = limit >> (bit + 1)
+    return owner, length
 
 
 def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, limit: int = 1024) -> DataFrame:
@@ -31,36 +37,43 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, limit: int = 1
     doc_tokens, ids (little-endian unsigned 32-bit), bucket (log2 of length),
     sequence_id and offset (always 0).  One pass, no shuffle: pieces are cut
     where the text is encoded, and Spark's row ids number the sequences.
-    Repeated rows each give their own sequences; an empty table gives none.
+    Rows with a repeated or null doc_id each give their own sequences; an empty table gives none.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = subwords.encoder(tokenizer, kind)
-        for frame in frames:
-            for part in store.slices(frame, "text", 2_000_000):
-                ids, starts = enc.encode(part["text"].tolist())
+        for batch in batches:
+            for at, texts in subwords.slices(batch.column("text")):
+                ids, starts = enc.encode(texts)
                 ids = np.insert(ids, starts[1:], end_id).astype("<u4")
                 tokens = np.diff(starts) + 1
-                lengths = [cut(n, limit) for n in tokens.tolist()]
-                per = np.fromiter(map(len, lengths), np.int64, len(lengths))
-                length = np.fromiter((x for some in lengths for x in some), np.int64, int(per.sum()))
+                owner, length = cut(tokens, limit)
                 ends = np.cumsum(length)
-                data = ids.tobytes()
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].repeat(per),
-                    "start": ends - length - np.repeat(np.cumsum(tokens) - tokens, per),
-                    "length": length,
-                    "doc_tokens": np.repeat(tokens, per),
-                    "ids": [data[4 * (b - n) : 4 * b] for b, n in zip(ends.tolist(), length.tolist(), strict=True)],
-                })
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(at, len(texts)).take(pa.array(owner)),
+                        pa.array(ends - length - (np.cumsum(tokens) - tokens)[owner]),
+                        pa.array(length),
+                        pa.array(tokens[owner]),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]),
+                    ],
+                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
+                )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary"
-    found = docs.select("doc_id", store.null_safe_text().alias("text")).mapInPandas(pieces, schema)
+    found = docs.select("doc_id", store.null_safe_text().alias("text")).mapInArrow(pieces, schema)
     return found.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write sequences as Parquet, one folder for each length."""
-    packed.write.partitionBy("bucket").parquet(path)
+    """Write sequences as Parquet, one folder for each length, so that whoever trains reads batches of one length."""
+    packed.drop("sequence_id", "offset").write.partitionBy("bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
+    """The sequences of all buckets, numbered by their place in the files. ``kind``: the type of doc_id."""
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, bucket int"
+    return spark.read.schema(schema).parquet(path).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -3,7 +3,8 @@
 A text is cut at places where the tokenizer's own pre-tokenizer always cuts,
 each distinct unit is encoded once by the library, and texts are put together
 from the remembered ids with numpy.  The ids equal those of encoding the whole
-text.
+text.  Cutting and finding the distinct units of a batch is done by Arrow, so
+Python only sees each batch's distinct units.
 
 * ``lower`` files (white space dropped): cut at every space and line feed.
 * ``bytes`` files (byte-level, a space joins the word after it): cut before a
@@ -16,41 +17,58 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _BEFORE_WORD = re.compile(r"(?= \S)")
 #: A unit that ends in one of these after a letter has the ids of the rest, then those of the mark.
 _MARKS = frozenset(".,;:!?")
+#: Texts that ``lower`` files don't take in lower case: beyond Latin-1, or with the name of a special token.
+_NOT_LOWERED = r"[^\x00-\xff]|<\|"
+#: Texts of ``bytes`` files with other white space than single spaces and line feeds between words.
+_NOT_SINGLE = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\x00\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Units that are encoded in one call of the library; those of a run that can't be told apart are tried in shorter runs, then alone.
+_RUNS = (1024, 32)
 _ENCODERS: dict[tuple[str, str], UnitEncoder] = {}
 
 
-def _lower_units(text: str) -> list[str]:
-    """Lower case first where Python's and the library's agree on every letter
-    (Latin-1) and no special token's name can come of it."""
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-    return text.replace("\n", " ").split(" ")
+def _lower_units(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Units of all texts and how many each has.  Lower case first where Arrow's
+    and the library's agree on every letter and no special token's name can come of it."""
+    odd = pc.match_substring_regex(texts, _NOT_LOWERED)
+    cut = pc.split_pattern(pc.replace_substring(pc.if_else(odd, texts, pc.utf8_lower(texts)), "\n", " "), " ")
+    return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False)
 
 
-def _byte_units(text: str) -> list[str]:
+def _byte_units(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     """Keys: a bare word stands for the word with a space before it; \\x00 marks
     a text's first word, \\x01 a unit as it is."""
-    words = text.split()
-    gaps = len(words) - 1
-    single = text.count(" ") + text.count("\n") == gaps and sum(map(len, words)) + gaps == len(text)
-    if not single or "\x00" in text or "\x01" in text:
-        return ["\x01" + u for u in _BEFORE_WORD.split(text)]
-    units = text.replace("\n", " \n").split(" ")
-    units[0] = "\x00" + units[0]
-    return units
+    odd = pc.match_substring_regex(texts, _NOT_SINGLE)
+    marked = pc.if_else(odd, "", pc.binary_join_element_wise("\x00", texts, ""))
+    cut = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+    count = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not pc.any(odd).as_py():
+        return cut.flatten(), count
+    # Units of odd texts are put in place of the one empty unit that stands for them.
+    units = [["\x01" + u for u in _BEFORE_WORD.split(t)] for t in texts.filter(odd).to_pylist()]
+    which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    place = np.arange(int(count.sum()))
+    begin = np.cumsum(count) - count
+    per = np.fromiter(map(len, units), np.int64, len(units))
+    longer = np.ones(len(place), np.int64)
+    longer[begin[which]] = per
+    source = np.repeat(place, longer)
+    added = len(place) + np.arange(int(per.sum()))
+    source[np.repeat(np.isin(place, begin[which]), longer)] = added
+    count[which] = per
+    flat = pa.concat_arrays([cut.flatten(), pa.array([u for some in units for u in some], pa.string())])
+    return flat.take(pa.array(source)), count
 
 
 def _byte_unit_text(key: str) -> str:
@@ -110,30 +128,55 @@ class UnitEncoder:
 
         Units are encoded in runs, which costs the library half of what single
         units cost; the bytes that ids stand for tell the units of a run apart.
-        A run in which the bytes don't add up is encoded unit by unit.
         """
-        each: list = [None] * len(keys)
-        joined = [i for i, k in enumerate(keys) if k[:1] not in self.alone and (self.alone or k.split() == [k])]
-        runs = [joined[at : at + 64] for at in range(0, len(joined), 64)]
-        texts = [self.between.join(self.text_of(keys[i]) for i in run) for run in runs]
-        for run, text, e in zip(runs, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int32)
-            ends = np.cumsum(self.byte_length[ids])
-            if self.kind == "lower":
-                units = self.tokenizer.normalizer.normalize_str(text).split(" ")
-            else:
-                units = [self.text_of(keys[i]) for i in run]
-            due = np.cumsum([len(u.encode()) for u in units])
+        count = np.zeros(len(keys), np.int64)
+        left = np.array([i for i, k in enumerate(keys) if k[:1] not in self.alone and (self.alone or k.split() == [k])], np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in _RUNS:
+            left, where, ids = self._in_runs(keys, left, size, count)
+            done.append((where, ids))
+        single = np.setdiff1d(np.arange(len(keys)), np.concatenate([w for w, _ in done]))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([self.text_of(keys[i]) for i in single.tolist()], add_special_tokens=False)]
+        count[single] = np.fromiter(map(len, found), np.int64, len(found))
+        done.append((single, np.array([i for ids in found for i in ids], np.int32)))
+        # Back into the order of the keys.
+        where, flat = np.concatenate([w for w, _ in done]), np.concatenate([x for _, x in done])
+        before = np.zeros(len(keys), np.int64)
+        before[where] = np.cumsum(count[where]) - count[where]
+        return flat[np.repeat(before - (np.cumsum(count) - count), count) + np.arange(len(flat))], count
+
+    def _in_runs(self, keys: list[str], which: np.ndarray, size: int, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode ``keys[which]`` in runs, set their ``count``; gives those that failed, those that didn't, and the latter's ids."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if not len(which):
+            return which, *nothing
+        runs = [which[at : at + size] for at in range(0, len(which), size)]
+        texts = [self.between.join([self.text_of(keys[i]) for i in run.tolist()]) for run in runs]
+        units = [self.tokenizer.normalizer.normalize_str(t).split(" ") for t in texts] if self.kind == "lower" else [[self.text_of(keys[i]) for i in run.tolist()] for run in runs]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        dues = [pc.binary_length(pa.array(u, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64) for u in units]
+        fine = [len(d) == len(run) and len(ids) and d[0] > 0 and d.sum() == self.byte_length[ids].sum() for d, run, ids in zip(dues, runs, found, strict=True)]
+        failed = [run for run, ok in zip(runs, fine, strict=True) if not ok]
+        good, where, flat = [], [], []
+        for run, due, ids, ok in zip(runs, dues, found, fine, strict=True):
+            if not ok:
+                continue
+            ends, due = np.cumsum(self.byte_length[ids]), np.cumsum(due)
             cuts = np.searchsorted(ends, due, "left") + 1
-            if len(units) == len(run) and len(ids) and (due > 0).all() and ends[-1] == due[-1] and (ends[cuts - 1] == due).all():
-                before = np.where(np.diff(due, prepend=0) == 0, cuts, np.concatenate([[0], cuts[:-1]]))
-                for i, a, b in zip(run, before, cuts, strict=True):
-                    each[i] = ids[a:b]
-        single = [i for i, ids in enumerate(each) if ids is None]
-        for i, e in zip(single, self.tokenizer.encode_batch_fast([self.text_of(keys[i]) for i in single], add_special_tokens=False), strict=True):
-            each[i] = np.array(e.ids, np.int32)
-        count = np.fromiter(map(len, each), np.int64, len(each))
-        return np.concatenate(each) if each else np.zeros(0, np.int32), count
+            if not (ends[cuts - 1] == due).all():
+                failed.append(run)
+                continue
+            # The last unit takes what stands for no bytes at the end.
+            cuts[-1] = len(ids)
+            good.append(np.diff(cuts, prepend=0))
+            where.append(run)
+            flat.append(ids)
+        failing = np.concatenate(failed) if failed else nothing[0]
+        if not where:
+            return failing, *nothing
+        done = np.concatenate(where)
+        count[done] = np.concatenate(good)
+        return failing, done, np.concatenate(flat)
 
     def _add(self, keys: list[str], flat: np.ndarray, count: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
@@ -170,23 +213,36 @@ class UnitEncoder:
     def mark_key(self, mark: str) -> str:
         return "\x01" + mark if self.kind == "bytes" else mark
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Sequence[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one more entry than texts)."""
         if self.units > self.most or self.used > 8 * self.most:
             self._forget()
-        keys: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            keys += self.units_of(text)
-            ends[i + 1] = len(keys)
-        if new := [k for k in dict.fromkeys(keys) if k not in self.known]:
-            self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        self.uses[: self.units] += np.bincount(which, minlength=self.units)
-        ids, before = self._gather(which)
+        units, per = self.units_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        ends = np.concatenate([[0], np.cumsum(per)])
+        coded = units.dictionary_encode()
+        codes, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            fresh = [keys[i] for i in new.tolist()]
+            self._learn(fresh)
+            which[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        self.uses[which] += np.bincount(codes, minlength=len(keys))
+        ids, before = self._gather(which[codes])
         return ids, before[ends]
 
 
+def slices(texts: pa.StringArray, most: int = 2_500_000) -> Iterator[tuple[int, pa.StringArray]]:
+    """Cuts of about ``most`` bytes, or one text, with the place where each begins."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 def encoder(path: str, kind: str) -> UnitEncoder:
     """One encoder for each Python worker and file; workers are used again by later tasks."""
     if (path, kind) not in _ENCODERS:

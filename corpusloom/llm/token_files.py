@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +83,9 @@ class _Writer:
         self.at += len(data)
         self.stream.write(data)
 
-    def add(self, doc_ids, ids: np.ndarray, starts: np.ndarray) -> None:
-        self.docs.append(np.array([0 if x is None or x != x else x for x in doc_ids], np.int64))
-        self.nulls.append(np.array([x is None or x != x for x in doc_ids], np.uint8))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, starts: np.ndarray) -> None:
+        self.docs.append(doc_ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+        self.nulls.append(doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
         self.starts.append(self.n + starts)
         self.n += len(ids)
         held = np.concatenate([self.rest, ids.astype(np.uint32)])
@@ -120,7 +121,9 @@ class TokenFile:
         self.offsets = np.append(np.frombuffer(raw, np.int64, n_blocks, 17 * d), index)
 
     def ids(self, begin: int, end: int) -> np.ndarray:
-        """Ids at positions ``begin`` to ``end`` of the file; reads only their blocks."""
+        """Ids at positions ``begin`` to ``end`` of the file; reads only their blocks. A span beyond the file is an error."""
+        if begin < 0 or end > self.n:
+            raise IndexError(f"the file has {self.n} ids, not those from {begin} to {end}")
         if end <= begin:
             return np.zeros(0, np.uint32)
         first, last = begin // self.block, -(-end // self.block)
@@ -153,35 +156,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
     Returns the manifest, one row a file: shard, path, n_docs, n_ids.  It is
     written to ``path``/manifest too.  Files come from a range partitioning by
     doc_id, so the files together are one ascending sequence; texts go through
-    one shuffle.  Repeated doc_ids each keep a row.  An empty table gives no file.
+    one shuffle.  Rows that repeat a doc_id each keep a row, ordered by text; null
+    doc_ids come first.  An empty table gives no file.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", store.null_safe_text().alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("shard", F.spark_partition_id())
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = subwords.encoder(tokenizer, kind)
         width = bit_width(max(enc.vocab_size, end_id + 1))
-        first = next((f for f in frames if len(f)), None)
+        first = next((b for b in batches if len(b)), None)
         if first is None:
             return
-        shard = int(first["shard"].iloc[0])
+        shard = first.column("shard")[0].as_py()
         uri, told = f"{path}/shard-{shard:06d}.tokens", []
 
         def fill(stream) -> None:
             out = _Writer(stream, width, block)
-            for frame in (f for some in ([first], frames) for f in some):
-                for part in store.slices(frame, "text"):
-                    ids, starts = enc.encode(part["text"].tolist())
+            for batch in (b for some in ([first], batches) for b in some):
+                for at, texts in subwords.slices(batch.column("text")):
+                    ids, starts = enc.encode(texts)
                     whole = np.insert(ids, starts[1:], end_id)
-                    out.add(part["doc_id"].tolist(), whole, starts[:-1] + np.arange(len(part)))
+                    out.add(batch.column("doc_id").slice(at, len(texts)), whole, starts[:-1] + np.arange(len(texts)))
             out.close()
-            told.append((shard, uri, sum(map(len, out.docs)), out.n))
+            told.append({"shard": shard, "path": uri, "n_docs": sum(map(len, out.docs)), "n_ids": out.n})
 
         store.put_whole(uri, fill)
-        yield pd.DataFrame(told, columns=["shard", "path", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_pylist(told, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    manifest = ordered.mapInPandas(write, "shard int, path string, n_docs long, n_ids long")
+    manifest = ordered.mapInArrow(write, "shard int, path string, n_docs long, n_ids long")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 

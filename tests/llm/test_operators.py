@@ -59,8 +59,16 @@ def test_token_files(spark):
         want = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         assert (row["doc_id"], row["start"], row["n_tokens"], bytes(row["ids"])) == (doc_id, begin, len(want), want.tobytes())
         begin += len(want)
-    file = token_files.TokenFile(spark.read.parquet(f"{path}/manifest").where("n_ids > 0").first()["path"])
-    assert (file.ids(5, 140) == file.ids(0, 150)[5:140]).all()
+    files = sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: r["shard"])
+    every = np.concatenate([np.frombuffer(bytes(r["ids"]), "<u4") for r in got])
+    base = 0
+    for made in files:  # any span of any file, and none beyond it
+        file, n = token_files.TokenFile(made["path"]), made["n_ids"]
+        for a, b in ((0, n), (0, 0), (n // 3, n - n // 4), (n - 1, n), (min(5, n), min(140, n))):
+            assert (file.ids(a, b) == every[base + a : base + b]).all()
+        with pytest.raises(IndexError, match="ids"):
+            file.ids(0, n + 1)
+        base += n
     empty = store.new_dir(spark, "t")
     token_files.write_tokens(docs.limit(0), empty, WORD, "lower", end_id=1)
     assert token_files.read_tokens(spark, empty).count() == 0
@@ -87,6 +95,14 @@ def test_neighbours(spark):
     assert neighbours.nearest(vectors.limit(0), queries).count() == 0
     few = vectors.where("vec_id < 5")
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 4
+    with pytest.raises(ValueError, match="length"):
+        neighbours.nearest(few.union(spark.createDataFrame([(9, [1.0])], few.schema)), few)
+
+
+def test_neighbours_of_the_given_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = vectors.where("vec_id % 20 = 0")
+    assert neighbours.recall(neighbours.nearest(vectors, queries, k=20), vectors, queries) >= 0.9
 
 
 def test_fingerprints(spark):
@@ -99,6 +115,10 @@ def test_fingerprints(spark):
         edited = t[: len(t) - half] + after[:half]
         want = (len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.to_text(fingerprints.sketches([t.encode()])[0]), fingerprints.to_text(fingerprints.sketches([edited.encode()])[0]))
         assert tuple(rows[i][c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")) == want
+        for column, other in (("near_edited", edited), ("near_next", after)):
+            assert abs(rows[i][column] - brute_likeness(t.encode(), other.encode())) < 1e-12
+        for column, other in (("aligned_edited", edited), ("aligned_next", after)):
+            assert abs(rows[i][column] - brute_aligned(t.encode(), other.encode())) < 1e-12
     twins = [i for i, t in enumerate(texts) if t and t.startswith("same")]
     assert rows[twins[0]]["fingerprint"] == rows[twins[1]]["fingerprint"] and rows[twins[0]]["near_next"] == 1.0
     assert fingerprints.compare_with_next(make(spark, ["only one"])).count() == 1
@@ -107,6 +127,44 @@ def test_fingerprints(spark):
     assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long]) + 0.2
 
 
+def brute_anchors(data):
+    """Hash to first place of every closed syncmer, by the definition."""
+    small = fingerprints._hashes(np.frombuffer(data, np.uint8), fingerprints.S).tolist()
+    large = fingerprints._hashes(np.frombuffer(data, np.uint8), fingerprints.K).tolist()
+    width, found = fingerprints.K - fingerprints.S + 1, {}
+    for i, h in enumerate(large):
+        if min(small[i : i + width]) in (small[i], small[i + width - 1]):
+            found.setdefault(h, i)
+    return found
+
+
+def brute_likeness(a, b):
+    x, y = (sorted(brute_anchors(t))[: fingerprints.KEEP] or ([int.from_bytes(hashlib.sha256(t).digest()[:8], "little")] if t else []) for t in (a, b))
+    if not x or not y:
+        return float(len(x) == len(y))
+    both = sorted({*x, *y})[: min(fingerprints.KEEP, max(len(x), len(y)))]
+    return sum(h in x and h in y for h in both) / len(both)
+
+
+def brute_aligned(a, b):
+    x, y = brute_anchors(a), brute_anchors(b)
+    if not x or not y:
+        return float(len(x) == len(y))
+    moved = Counter(y[h] - x[h] for h in x if h in y)
+    return max(moved.values(), default=0) / len(x)
+
+
+def test_fingerprint_and_anchors(spark):
+    texts = [*ODD, *prose(31, 6, (40, 90))]
+    docs = make(spark, texts)
+    assert {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()} == {i: fingerprints.to_text(fingerprints.sketches([(t or "").encode()])[0]) for i, t in enumerate(texts)}
+    found = {}
+    for r in fingerprints.anchors(docs).collect():
+        found.setdefault(r["doc_id"], {}).setdefault(r["anchor"] & (2**64 - 1), []).append(r["place"])
+    assert {i: {h: min(p) for h, p in a.items()} for i, a in found.items()} == {i: a for i, t in enumerate(texts) if (a := brute_anchors((t or "").encode()))}
+    assert fingerprints.anchors(docs.limit(0)).count() == fingerprints.fingerprint(docs.limit(0)).count() == 0
+
+
 def test_syncmers_by_definition():
     data = np.frombuffer("".join(random.Random(5).choice("abcd ") for _ in range(400)).encode(), np.uint8)
     small = fingerprints._hashes(data, fingerprints.S)
@@ -180,6 +238,8 @@ def test_simhash(spark):
         for i, a in enumerate(fps):
             root[i] = min(root[j] for j, b in enumerate(fps) if (a ^ b).bit_count() <= 2)
     assert {(r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in rows} == {(i, f, root[i]) for i, f in enumerate(fps)}
+    twice = make(spark, ["A b c", "A b c", "other text of it", "X y z", "Y z x", "X y z"]).withColumn("doc_id", F.element_at(F.array(*map(F.lit, [1, 5, 5, 6, 6, 6])), (F.col("doc_id") + 1).cast("int")).cast("long"))
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(twice).collect()) == [(1, "A b c"), (5, "other text of it"), (6, "X y z"), (6, "Y z x")]
     kept = simhash.deduplicate(make(spark, texts)).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root)) and all(r["text"] == texts[r["doc_id"]] for r in kept)
     assert simhash.near_groups(make(spark, [])).count() == 0
@@ -308,7 +368,25 @@ def test_warc(spark):
         filesystem, place = store.open_fs(m["path"])
         with filesystem.open_input_stream(place, compression=None) as s:
             data = s.read()
-        assert sum(1 for _ in warc.records_of(iter([zlib.decompress(data, 31)]))) <= m["records"]
+        filesystem, place = store.open_fs(m["index"])
+        with filesystem.open_input_stream(place, compression=None) as s:
+            lines = [x.split("\t") for x in s.read().decode().splitlines()]
+        assert len(lines) == m["records"]
+        at = 0
+        for offset, length, name, kind in lines:  # members follow one another, each one whole record
+            assert int(offset) == at
+            engine = zlib.decompressobj(31)
+            whole = engine.decompress(data[at : at + int(length)])
+            assert engine.eof and not engine.unused_data
+            fields, begin = warc.headers_of(whole)
+            assert (fields["warc-record-id"], fields["warc-type"]) == (name, kind) and len(whole) == begin + int(fields["content-length"]) + 4
+            at += int(length)
+        assert at == len(data)
+    twice = spark.createDataFrame([(1, "u", "A" * 200), (5, "u", "A" * 200), (5, "u", "B" * 200), (5, "u", "B" * 200), (None, "u", "A" * 200)], "page_id long, url string, html string")
+    path = store.new_dir(spark, "w")
+    warc.normalise(warc.write_archives(twice, f"{path}/whole"), f"{path}/members")
+    found = [(r["page_id"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])[:1]) for r in warc.read_records(spark, f"{path}/members").collect()]
+    assert Counter(found) == Counter([(1, "response", None, b"A"), (5, "revisit", 1, None), (5, "response", None, b"B"), (5, "response", None, b"B"), (None, "response", None, b"A")])
     empty = store.new_dir(spark, "w")
     warc.normalise(warc.write_archives(pages.limit(0), f"{empty}/whole"), f"{empty}/members")
     assert warc.read_records(spark, f"{empty}/members").count() == 0
@@ -334,6 +412,13 @@ def test_packing(spark):
         short = [p["length"] for p in pieces if p["length"] < 1024]
         assert short == sorted(set(short), reverse=True)
     assert packing.pack(make(spark, []), BYTE, "bytes", end_id=0).count() == 0
+    path = store.new_dir(spark, "buckets")
+    packing.write_buckets(packing.pack(make(spark, texts), BYTE, "bytes", end_id=0), path)
+    back = packing.read_buckets(spark, path).collect()
+    assert Counter((r["doc_id"], r["start"], bytes(r["ids"])) for r in back) == Counter((r["doc_id"], r["start"], bytes(r["ids"])) for r in rows)
+    assert len({r["sequence_id"] for r in back}) == len(back)
+    for bucket in {r["bucket"] for r in back}:
+        assert {r["length"] for r in spark.read.parquet(f"{path}/bucket={bucket}").collect()} == {1 << bucket}
 
 
 def test_language_id(spark):
@@ -351,3 +436,44 @@ def test_language_id(spark):
     assert got[1003]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in got.values())
     nothing = langid.predict(odd, langid.train(docs.limit(0))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_language_id_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    scored = langid.predict(docs.where("held"), langid.train(docs.where("not held")))
+    right = scored.where("lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.avg(F.col("accepted").cast("double"))).first()
+    assert right[0] >= 0.95 and right[1] >= 0.99
+
+
+def test_training_sample_is_the_smallest_hashes(spark):
+    rows = [(i, f"word{i} " * (1 + i % 3), "ab"[i % 5 == 0]) for i in range(500)] + [(7, "same", "c")] * 40 + [(900, "x" * 9000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id", "text"))
+    want = Counter()
+    for lang in "abcd":
+        want.update((lang, h) for h in sorted(r["h"] for r in docs.where(F.col("lang") == lang).collect())[:30])
+    got = langid.training_rows(docs, 30).collect()
+    assert Counter((r["lang"], r["h"]) for r in got) == want
+    assert [len(r["text"]) for r in got if r["lang"] == "d"] == [langid.SPANS * (langid.SPAN_CHARS + 1) - 1]
+    assert langid.training_rows(docs.limit(0)).count() == 0
+
+
+def test_rows_with_repeated_and_null_ids(spark):
+    """Every operator takes repeated and null ids with other or the same text, each as a row of its own."""
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten", None, "", "seven eight nine ten"]
+    ids = [3, 3, 3, None, None, None]
+    docs = store.staged(spark.createDataFrame(list(zip(ids, texts, ["a", "b", None] * 2, strict=True)), "doc_id long, text string, source string"), "ids")
+    pairs = Counter((i, t or "") for i, t in zip(ids, texts, strict=True))
+    path = store.new_dir(spark, "t")
+    token_files.write_tokens(docs, path, WORD, "lower", end_id=1)
+    assert Counter(r["doc_id"] for r in token_files.read_tokens(spark, path).collect()) == Counter(ids)
+    assert Counter((r["doc_id"], r["n_chars"]) for r in fingerprints.compare_with_next(docs).collect()) == Counter((i, len(t)) for i, t in pairs.elements())
+    assert Counter((r["doc_id"], r["text"] or "") for r in substrings.without_repeats(docs).collect()) == pairs
+    groups = Counter((r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_groups(docs).collect())
+    assert sum(groups.values()) == 6 and {c for _, f, c in groups if f == 0} == {None} and {c for _, f, c in groups if f != 0} == {3}
+    assert Counter(r["doc_id"] for r in token_counts.count_tokens(docs, PIECE).collect()) == Counter(ids)
+    assert Counter((r["doc_id"], r["text"] or "") for r in mixing.mix(docs).collect()) == pairs
+    assert Counter(r["doc_id"] for r in packing.pack(docs, BYTE, "bytes", end_id=0).where("start = 0").collect()) == Counter(ids)
+    assert Counter(r["doc_id"] for r in langid.predict(docs, langid.fit(["one", "sept"], ["en", "fr"])).collect()) == Counter(ids)
+    vectors = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0, 1.0]), (21, [1.0, 1.0]), (None, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    found = [(r["query_id"], r["vec_id"]) for r in neighbours.nearest(vectors, vectors.where("vec_id = 20"), k=3).collect()]
+    assert set(found) == {(20, 21)}
