@@ -155,15 +155,16 @@ def spans(text: Column) -> Column:
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """A bounded sample (lang, text, h): of every language the rows with the smallest hashes.
 
-    Counts by language and the hash's first 16 bits tell which rows can be
-    among them, so little more than the sample is shuffled.
+    Counts by language and the hash's first 12 bits tell which rows can be
+    among them, so little more than the sample is shuffled.  What is broadcast
+    is one row a language, less than the model that goes to every task.
     """
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    rows = rows.withColumn("cell", F.shiftright("h", 48))
+    rows = rows.withColumn("cell", F.shiftright("h", 52))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = rows.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
     last = cells.where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
-    near = rows.join(last, "lang").where("cell <= last").select("lang", spans(F.col("text")).alias("text"), "h")
+    near = rows.join(F.broadcast(last), "lang").where("cell <= last").select("lang", spans(F.col("text")).alias("text"), "h")
     first = Window.partitionBy("lang").orderBy("h")
     return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
 

@@ -40,11 +40,11 @@ WINDOW = 35
 #: Words of the runs that are hashed to anchors.
 GRAM = 8
 #: Runs of one anchor beyond which it is dealt by whole windows.
-HOT = 1_000
+HOT = 8_000
 #: Words under the runs of one anchor beyond which it is dealt so, too.
-HOT_WORDS = 64_000
+HOT_WORDS = 200_000
 #: Words in one index.
-SHARD = 800_000
+SHARD = 600_000
 #: Symbols by which an index is ordered at least; longer than a window.
 ORDER = 36
 

@@ -15,5 +15,5 @@ def test_no_anchor_holds_more_than_a_bounded_number_of_words(spark, monkeypatch)
     for i, want in enumerate(brute_repeats(texts, 35)):
         assert (rows[i]["__n_words"], rows[i]["__n_removed"], rows[i]["__kept"]) == want
     words = seen["segments"].where("words is not null").dropDuplicates(["anchor", "seg"]).groupBy("anchor").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("n"))
-    assert words.agg(F.max("n")).first()[0] <= 64_000
+    assert words.agg(F.max("n")).first()[0] <= substrings.HOT_WORDS
     assert seen["segments"].agg(F.sum(F.length("words"))).first()[0] < 3 * sum(map(len, texts))
