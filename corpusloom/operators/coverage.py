@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str, stretch: int = 65_536) -> DataFrame:
+    """Rows with their number (from 1, column ``name``) within ``by``, ascending by the integer column ``order``.
+
+    Rows are numbered within stretches of ``order`` values, and stretches, of
+    which a narrow table holds the counts, are summed up; so no group is one
+    task.  Null is a group, and a value before all others; ties get any order.
+    """
+    cut = F.coalesce(F.floor(F.col(order) / stretch), F.lit(-(1 << 62)))
+    rows = rows.withColumn("__cut", cut)
+    counts = rows.groupBy(by, "__cut").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1))
+    begun = counts.select(F.col(by).alias("__by"), F.col("__cut").alias("__there"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = rows.withColumn("__inside", F.row_number().over(Window.partitionBy(by, "__cut").orderBy(order)))
+    joined = inside.join(begun, inside[by].eqNullSafe(begun["__by"]) & (inside["__cut"] == begun["__there"]))
+    return joined.withColumn(name, (F.col("__before") + F.col("__inside")).cast("int")).drop("__cut", "__by", "__there", "__before", "__inside")
+
+
 def with_status(chapters: DataFrame, status: DataFrame) -> DataFrame:
     """Chapters with their stored status, and whether it is fresh (completed on the text as it is now)."""
     s = status.select("book_id", "chapter_index", "status", "source_hash", "facts_count")

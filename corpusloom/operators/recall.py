@@ -1,9 +1,13 @@
 """Recall of facts for many questions at once.
 
-A term matches a fact if the fact's text contains it.  Terms without white
-space can only be contained in one word of the text, so terms are matched to
-the distinct words by a trigram join (checked with ``contains``), and words to
-facts by equality: no question meets every fact.
+A term matches a fact if the fact's text contains it; the texts are read once
+for all terms of all questions.  A fact is a row with
+
+    fact_id, text (what is searched, in lower case), fact, entity, importance,
+    confidence, chapter_index, fields (its structured values: entity, type,
+    aliases, tags, related entities), evidence
+
+and a question one with query_id, terms (array, in order) and target (or null).
 """
 
 from __future__ import annotations
@@ -11,80 +15,177 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom import tables
+from corpusloom.functions import columns as C
+from corpusloom.functions import questions as Q
+from corpusloom.operators import containment
+
+#: Characters of a name in quotes that is taken as a term.
+QUOTED = "[“「『‘]([^”」』’]{1,12})[”」』’]"
+MOST_TERMS, MOST_SEEDS, MOST_EXPANDED, MOST_FACTS = 80, 80, 32, 160
+
 
-def words_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+def token(c: Column) -> Column:
+    return F.lower(C.trimmed(F.coalesce(c, F.lit(""))))
 
 
-def _grams(c: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3)))
+def terms_of(questions: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """query_id, pos, term: the questions' terms of two characters or more, in lower case, each at its first place."""
+    listed = questions.select("query_id", F.slice(F.array_distinct(F.transform("terms", token)), 1, most).alias("terms"))
+    return listed.select("query_id", F.posexplode("terms").alias("pos", "term")).where(F.length("term") >= 2)
 
 
 def matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    """fact_id, query_id, term for every term (three characters or more) contained in a fact's text.
+    """query_id, fact_id, term for every term of two or more characters that a fact's text contains.
 
     ``facts``: fact_id, text; ``terms``: query_id, term.
     """
-    posting = facts.select("fact_id", F.explode(words_of(F.col("text"))).alias("word"))
-    words = posting.select("word").distinct().select("word", F.explode(F.array_distinct(_grams(F.col("word")))).alias("gram"))
-    wanted = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
-    found = words.join(wanted, "gram").where(F.contains("word", "term")).select("word", "term").distinct()
-    hit = posting.join(found, "word").select("fact_id", "term").distinct()
-    return hit.join(terms, "term").select("query_id", "fact_id", "term").distinct()
+    wanted = terms.select("query_id", token(F.col("term")).alias("term")).where(F.length("term") >= 2).distinct()
+    found = containment.contained(facts.select(F.col("fact_id").alias("text_id"), F.lower("text").alias("text")), wanted.select(F.col("term").alias("pattern")))
+    return found.select(F.col("text_id").alias("fact_id"), F.col("pattern").alias("term")).join(wanted, "term").select("query_id", "fact_id", "term")
 
 
-def score(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, fact_id, score, matched, importance, chapter_index of every fact that a term matches.
-
-    2 importance + confidence, and for each term 2, 2.5 more if the fact itself
-    has it, 4 if the entity equals it, 0.8 if it has three characters or more.
-    ``facts``: fact_id, text, fact, entity, importance, confidence, chapter_index.
-    """
-    hit = matches(facts, terms).join(facts.drop("text"), "fact_id")
+def gains(facts: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits with what each adds to the score: 2, 2.5 more if the fact itself has
+    the term, 4 if the entity equals it, 0.8 if it has three characters or more."""
     t = F.col("term")
-    gain = 2.0 + F.when(F.contains(F.lower("fact"), t), 2.5).otherwise(0.0) + F.when(F.lower("entity") == t, 4.0).otherwise(0.0) + F.when(F.length(t) >= 3, 0.8).otherwise(0.0)
-    return hit.groupBy("query_id", "fact_id").agg(
-        F.round(F.first(F.col("importance") * 2 + F.col("confidence")) + F.sum(gain), 6).alias("score"), F.count(F.lit(1)).alias("matched"),
+    gain = 2.0 + F.when(F.contains(token(F.col("fact")), t), 2.5).otherwise(0.0) + F.when(token(F.col("entity")) == t, 4.0).otherwise(0.0) + F.when(F.length(t) >= 3, 0.8).otherwise(0.0)
+    return hits.join(facts.select("fact_id", "fact", "entity", "importance", "confidence", "chapter_index"), "fact_id").select("query_id", "fact_id", "term", gain.alias("gain"), "importance", "confidence", "chapter_index")
+
+
+def scored(gained: DataFrame) -> DataFrame:
+    """query_id, fact_id, score, matched, importance, chapter_index out of ``gains``: 2 importance + confidence + all gains."""
+    return gained.groupBy("query_id", "fact_id").agg(
+        F.round(F.first(F.col("importance") * 2 + F.col("confidence")) + F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("matched"),
         F.first("importance").alias("importance"), F.first("chapter_index").alias("chapter_index"))
 
 
-def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
+def score(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Score of every fact that a term matches."""
+    return scored(gains(facts, matches(facts, terms)))
+
+
+def ranked(entries: DataFrame, most: int | None = None) -> DataFrame:
     """place (from 1) by score, matched, importance, chapter and id within each query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("matched"), F.desc("importance"), "chapter_index", "fact_id")
-    out = scored.withColumn("place", F.row_number().over(order))
+    out = entries.withColumn("place", F.row_number().over(order))
     return out if most is None else out.where(F.col("place") <= most)
 
 
-def coverage_pick(entries: DataFrame, limit: int) -> DataFrame:
+def first_of_equal(entries: DataFrame, by: str = "place") -> DataFrame:
+    """Of entries with one id, or without ids with equal book, group, chapter,
+    category, entity, type and fact, the first within each query."""
+    fields = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("book_id", "index_group_key", "chapter_index", "category", "entity", "fact_type", "fact")])
+    key = F.coalesce(F.concat(F.lit("#"), F.col("id").cast("string")), fields)
+    first = Window.partitionBy("query_id", key).orderBy(by)
+    return entries.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def coverage_pick(entries: DataFrame, limit: int | Column) -> DataFrame:
     """``limit`` entries of each query that also cover its chapters.
 
     ``entries`` come with place.  Six tenths go by place; the rest evenly over
     the best entries of all chapters; what is still open goes by place again.
+    ``limit`` may be a column that is the same in all rows of a query.
     """
     by = Window.partitionBy("query_id")
-    top = max(1, int(limit * 0.6))
-    rows = entries.withColumn("n", F.count(F.lit(1)).over(by))
-    best = rows.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "chapter_index").orderBy("place"))).where("first = 1")
-    best = best.withColumns({"at": F.row_number().over(by.orderBy("chapter_index")) - 1, "chapters": F.count(F.lit(1)).over(by)})
-    want = limit - top
-    picks = best.select("query_id", "fact_id", "at", "chapters", F.explode(F.sequence(F.lit(0), F.lit(max(want - 1, 0)))).alias("i"))
-    even = F.round(F.col("i") * (F.col("chapters") - 1) / F.lit(max(want - 1, 1)))
-    taken = picks.where((F.col("chapters") <= want) | (F.lit(want) == 1) & (F.col("at") == F.col("chapters") - 1) | (F.lit(want) > 1) & (F.col("at") == even))
-    taken = taken.select("query_id", "fact_id", F.lit(1).alias("sampled")).distinct()
+    rows = entries.withColumn("__limit", (F.lit(limit) if isinstance(limit, int) else limit).cast("int"))
+    rows = rows.withColumn("__top", F.greatest(F.lit(1), F.floor(F.col("__limit") * 0.6)).cast("int")).withColumn("__want", F.col("__limit") - F.col("__top"))
+    best = rows.withColumn("__first", F.row_number().over(Window.partitionBy("query_id", "chapter_index").orderBy("place"))).where("__first = 1")
+    best = best.withColumns({"at": F.row_number().over(by.orderBy("chapter_index")) - 1, "chapters": F.count(F.lit(1)).over(by)}).where("__want > 0")
+    picks = best.select("query_id", "fact_id", "at", "chapters", "__want", F.explode(F.sequence(F.lit(0), F.col("__want") - 1)).alias("i"))
+    # Halves go up, as in the rule this restates; Spark's round does the same for what isn't negative.
+    even = F.round(F.col("i") * (F.col("chapters") - 1) / F.greatest(F.col("__want") - 1, F.lit(1)))
+    taken = picks.where((F.col("chapters") <= F.col("__want")) | (F.col("__want") == 1) & (F.col("at") == F.col("chapters") - 1) | (F.col("__want") > 1) & (F.col("at") == even))
+    taken = taken.select("query_id", "fact_id", F.lit(1).alias("__sampled")).distinct()
     marked = rows.join(taken, ["query_id", "fact_id"], "left")
-    turn = F.when(F.col("place") <= top, 0).when(F.col("sampled") == 1, 1).otherwise(2)
-    chosen = marked.withColumn("pick", F.row_number().over(by.orderBy(turn, "place")))
-    return chosen.where(F.col("pick") <= limit).drop("n", "sampled", "pick")
+    turn = F.when(F.col("place") <= F.col("__top"), 0).when(F.col("__sampled") == 1, 1).otherwise(2)
+    chosen = marked.withColumn("__pick", F.row_number().over(by.orderBy(turn, "place")))
+    return chosen.where("__pick <= __limit").drop("__limit", "__top", "__want", "__sampled", "__pick")
 
 
-def expand(seeds: DataFrame, base: DataFrame, most: int = 32) -> DataFrame:
+def expand(seeds: DataFrame, base: DataFrame, clean=lambda c: c, most: int = MOST_EXPANDED) -> DataFrame:
     """New terms of each query out of its first facts, in first-seen order.
 
     ``seeds``: query_id, place, fields (array of strings in order); ``base``:
-    query_id, term.
+    query_id, term; ``clean`` gives a term's clean form or null.
     """
-    seen = seeds.select("query_id", "place", F.posexplode("fields").alias("pos", "term")).withColumn("term", F.lower(F.trim("term")))
+    seen = seeds.select("query_id", "place", F.posexplode("fields").alias("pos", "term")).withColumn("term", token(clean(F.col("term"))))
     seen = seen.where(F.length("term").between(2, 18)).join(base, ["query_id", "term"], "left_anti")
     first = seen.groupBy("query_id", "term").agg(F.min(F.struct("place", "pos")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at")
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("query_id", "term", "n")
+
+
+def seed_fields() -> Column:
+    """What a fact gives to the expansion: its fields, then names in quotes in the fact and its evidence."""
+    text = F.concat_ws(" ", "fact", "evidence")
+    return F.concat("fields", F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)))
+
+
+def target_terms(questions: DataFrame, most: int = 12) -> DataFrame:
+    """query_id, term: the target and the question's terms of 2 to 12 characters, of questions with a target."""
+    likely = F.filter(F.transform("terms", token), lambda t: F.length(t).between(2, 12))
+    listed = F.slice(F.array_distinct(F.concat(F.array(token(F.col("target"))), likely)), 1, most)
+    return questions.where("target is not null and target <> ''").select("query_id", F.explode(listed).alias("term"))
+
+
+def target_facts(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, fact_id where a structured field equals a term, or contains one of three or more characters."""
+    values = facts.select("fact_id", F.explode(F.array_distinct(F.transform("fields", token))).alias("field")).where("field <> ''")
+    distinct = values.select("field").distinct()
+    found = containment.contained(distinct.select(F.col("field").alias("text_id"), F.col("field").alias("text")), terms.select(F.col("term").alias("pattern")))
+    found = found.where((F.col("text_id") == F.col("pattern")) | (F.length("pattern") >= 3)).select(F.col("text_id").alias("field"), F.col("pattern").alias("term"))
+    return values.join(found.join(terms, "term"), "field").select("query_id", "fact_id").distinct()
+
+
+def possessive_facts(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """query_id, fact_id where the text has all owner terms and any descriptor. ``targets``: query_id, owners, descriptors."""
+    owners = targets.select("query_id", F.explode(F.array_distinct(F.transform("owners", token))).alias("term"))
+    all_of = owners.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    with_all = matches(facts, owners).groupBy("query_id", "fact_id").agg(F.count(F.lit(1)).alias("k")).join(all_of, "query_id").where("k = n").select("query_id", "fact_id")
+    any_of = matches(facts, targets.select("query_id", F.explode("descriptors").alias("term"))).select("query_id", "fact_id").distinct()
+    return with_all.join(any_of, ["query_id", "fact_id"])
+
+
+def select(entries: DataFrame, limit: int = MOST_FACTS) -> DataFrame:
+    """Entries with turn (from 1): targets first, of too many those that cover
+    the chapters; then by place, up to ``limit``. ``entries`` come with place and target (boolean)."""
+    own = entries.where("target")
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    first = coverage_pick(own, limit).select("query_id", "fact_id", F.lit(0).alias("__group"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("__group", F.lit(1)), "place")
+    joined = entries.join(first, ["query_id", "fact_id"], "left").withColumn("turn", F.row_number().over(order))
+    return joined.where(F.col("turn") <= limit).drop("__group")
+
+
+def with_support(entries: DataFrame, support: DataFrame, limit: int = MOST_FACTS) -> DataFrame:
+    """All targets, and of the other entries that ``support`` (query_id, fact_id)
+    lists twice as many as there are targets, 8 to 48, within ``limit``, covering the chapters."""
+    n = entries.where("target").groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
+    others = entries.where("not target").join(support, ["query_id", "fact_id"], "left_semi").join(n, "query_id")
+    most = F.least(F.greatest(F.lit(0), F.greatest(F.lit(limit), F.col("__n")) - F.col("__n")), F.greatest(F.lit(8), F.least(F.lit(48), F.col("__n") * 2)))
+    others = others.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    return entries.where("target").unionByName(coverage_pick(others, most).drop("__n"), allowMissingColumns=True)
+
+
+def recall(facts: DataFrame, questions: DataFrame, vocabulary: Q.Vocabulary, most: int = MOST_FACTS) -> DataFrame:
+    """query_id, fact_id, chapter_index, importance, score, target of what each question recalls.
+
+    Questions whose target is in a structured field of some fact get all those
+    facts.  The others are scored with their own terms, their best facts (as
+    many as ``MOST_SEEDS``) give up to ``MOST_EXPANDED`` new terms, the facts are
+    scored with both, and the best ``most`` are taken.  Facts are read twice:
+    once for the questions' terms, once for the new ones.
+    """
+    base = terms_of(questions)
+    direct = target_facts(facts, target_terms(questions))
+    first = tables.staged(gains(facts, matches(facts, base)), "recall-gains")
+    open_ = questions.select("query_id").join(direct, "query_id", "left_anti")
+    seeds = ranked(scored(first.join(open_, "query_id", "left_semi")), MOST_SEEDS).join(facts.select("fact_id", seed_fields().alias("fields")), "fact_id")
+    count = base.groupBy("query_id").agg(F.count(F.lit(1)).alias("__base"))
+    more = expand(seeds, base, lambda c: Q.term_clean(c, vocabulary)).join(count, "query_id").where(F.col("n") + F.col("__base") <= MOST_TERMS)
+    second = gains(facts, matches(facts, tables.staged(more.select("query_id", "term"), "recall-terms")))
+    best = ranked(scored(first.join(open_, "query_id", "left_semi").unionByName(second)), most)
+    own = direct.join(facts.select("fact_id", "chapter_index", "importance"), "fact_id").select("query_id", "fact_id", "chapter_index", "importance", F.round(F.col("importance") + 1000, 6).alias("score"), F.lit(True).alias("target"))
+    return own.unionByName(best.select("query_id", "fact_id", "chapter_index", "importance", "score", F.lit(False).alias("target")))

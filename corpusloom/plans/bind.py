@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import questions as Q
+from corpusloom.operators import coverage as V
+
 #: The closed list of fact categories.
 CATEGORIES = ("character", "relationship", "cultivation", "force", "item", "magical_creature", "location", "event", "foreshadowing", "other")
 
@@ -20,12 +23,13 @@ def chapters(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chapters: a book is a source, chapters are numbered by doc_id.
 
     Title, hash and length are computed before the numbering, so a query that
-    doesn't ask for the content doesn't shuffle it.
+    doesn't ask for the content doesn't shuffle it.  Numbering is by stretches
+    of doc_ids, so a book with most of the documents isn't one task.
     """
     d = table(spark, sf, "documents").select(
         F.col("source").alias("book_id"), "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"),
         F.col("n_chars").alias("content_length"), F.sha2("text", 256).alias("content_hash"))
-    return d.withColumn("chapter_index", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")))
+    return V.numbered(d, "book_id", "doc_id", "chapter_index")
 
 
 WITH_CHAPTERS = """chapters AS (
@@ -92,15 +96,41 @@ WITH_SENTENCES = """sentences AS (
     WHERE length(trim(p, ' ')) >= 2)"""
 
 
-def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as questions; their terms are the first six distinct words of seven or more letters."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-zàâçéèêëîïôûùüÿñæœäöß]+"), lambda w: F.length(w) >= 7))
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(words, 1, 6).alias("terms"))
+#: The given texts are in Latin letters: words of up to four letters tell nothing apart, marks at the end don't belong to a term.
+VOCABULARY = Q.Vocabulary(leading=r"[(\"']", trailing="[.,!?]+", stop="[a-zà-öø-ÿœ]{1,4}")
 
 
-WITH_QUESTIONS = """questions AS (
-    SELECT item_id AS query_id, text AS query, list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 6) AS terms
-    FROM (SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-zàâçéèêëîïôûùüÿñæœäöß]+'), lambda x: length(x) >= 7) AS w FROM benchmark))"""
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as questions: their terms, and as target the longest term, if it has nine characters or more."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), Q.terms(F.col("text"), VOCABULARY).alias("terms"))
+    longest = F.array_max(F.transform(F.filter("terms", lambda t: F.length(t) >= 9), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
+    return q.withColumn("target", longest["t"])
+
+
+#: How a term is cleaned, in SQL; {0} is the term.
+SQL_CLEAN = """trim(regexp_replace(regexp_replace(trim({0}), '^([("''])+', ''), '([.,!?]+)$', ''))"""
+SQL_FINE = """length({0}) BETWEEN 2 AND 18 AND NOT regexp_matches(lower({0}), '^([a-zà-öø-ÿœ]{{1,4}}|[0-9]+)$')"""
+_SPLIT = """list_concat(regexp_extract_all(text, '[《“「『‘（("]([^》”」』’）)"]{1,24})[》”」』’）)"]', 1), regexp_split_to_array(text, '[，。；;、：:/｜|《》“”「」『』‘’（）()\\s]+'))"""
+WITH_QUESTIONS = f"""questions AS (
+    SELECT *, list_max(list_transform(list_filter(terms, lambda x: length(x) >= 9), lambda x: {{'n': length(x), 't': x}})).t AS target
+    FROM (SELECT item_id AS query_id, text AS query, list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 48) AS terms
+          FROM (SELECT item_id, text, list_filter(list_transform({_SPLIT}, lambda x: {SQL_CLEAN.format('x')}), lambda x: {SQL_FINE.format('x')}) AS w FROM benchmark)))"""
+
+
+def recall_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences as facts for recall: the first word is the entity; the second, third and last are alias, tag and related entity."""
+    s = sentences(spark, sf)
+    w = F.split("fact", " ")
+    entity, last = F.get(w, F.lit(0)), F.element_at(w, -1)
+    fields = F.array(entity, F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.coalesce(F.get(w, F.lit(2)), F.lit("")), last)
+    return s.select(F.concat_ws("-", "doc_id", "pos").alias("fact_id"), F.lower(F.concat_ws(" ", "fact", F.array_join(fields, " "))).alias("text"), "fact", entity.alias("entity"),
+                    "importance", "confidence", (F.floor(F.col("doc_id") / 20) + 1).cast("int").alias("chapter_index"), fields.alias("fields"), F.lit("").alias("evidence"))
+
+
+WITH_RECALL = """f AS (
+    SELECT *, lower(fact || ' ' || array_to_string(fields, ' ')) AS low, lower(fact) AS content, lower(fields[1]) AS entity
+    FROM (SELECT doc_id || '-' || pos AS fact_id, fact, importance, confidence, CAST(doc_id // 20 + 1 AS INT) AS chapter_index, [w[1], coalesce(w[2], ''), coalesce(w[3], ''), w[-1]] AS fields
+          FROM (SELECT *, string_split(fact, ' ') AS w FROM sentences)))"""
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
