@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import columns as C
+from corpusloom import tables
+from corpusloom.operators import export as X
 from corpusloom.plans import bind as B
 from corpusloom.plans.registry import query
 from corpusloom.sources import enrich as E
@@ -12,31 +13,51 @@ from corpusloom.sources import envelopes as N
 
 
 def _envelopes(spark, sf):
-    """Conversation turns wrapped in turn as result, text, output, data, or in a fence without a wrapper."""
+    """Conversation turns as answers: a text under result, text, output or data, JSON in a fence amid text, an object under a wrapper, a bare text."""
     c = B.table(spark, sf, "conversations")
-    wrapped = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("```\n"), "text", F.lit("\n```")))
+    inner = F.to_json(F.struct("role", "turn"))
+    wrapped = F.when(F.col("turn") % 7 == 4, F.concat(F.lit("Here it is:\n```json\n"), inner, F.lit("\n```\ndone")))
     for i, k in enumerate(N.WRAPPERS):
-        wrapped = wrapped.when(F.col("turn") % 5 == i, F.to_json(F.struct(F.col("text").alias(k))))
-    return c.select("conv_id", "turn", "text", wrapped.alias("payload"))
+        wrapped = wrapped.when(F.col("turn") % 7 == i, F.to_json(F.struct(F.lit(1).alias("id"), F.col("text").alias(k))))
+    wrapped = wrapped.when(F.col("turn") % 7 == 5, F.concat(F.lit('{"text":null,"output":'), inner, F.lit("}"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", "role", "text", wrapped.alias("payload"))
 
 
-@query("src_envelope", "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN trim(text, ' ' || chr(10)) ELSE text END AS answer FROM conversations")
+_INNER = """'{"role":"' || role || '","turn":' || turn || '}'"""
+
+
+@query("src_envelope", f"SELECT conv_id, turn, CASE WHEN turn % 7 IN (4, 5) THEN {_INNER} ELSE trim(text, ' ' || chr(10)) END AS answer FROM conversations")
 def src_envelope(spark, sf):
-    return _envelopes(spark, sf).select("conv_id", "turn", N.unwrap(F.col("payload")).alias("answer"))
+    return N.opened(_envelopes(spark, sf), F.col("payload"), "v").select("conv_id", "turn", N.plain(F.col("v")).alias("answer"))
 
 
-@query("src_strip_fence", "SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS body, conv_id AS trusted_id FROM conversations WHERE turn % 5 = 4")
+@query("src_strip_fence", "SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS body, conv_id AS trusted_id FROM conversations")
 def src_strip_fence(spark, sf):
-    return _envelopes(spark, sf).where("turn % 5 = 4").select("conv_id", "turn", N.strip_fence(F.col("payload")).alias("body"), F.col("conv_id").alias("trusted_id"))
+    fenced = F.concat(F.lit("```\n"), "text", F.lit("\n```"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", N.strip_fence(fenced).alias("body"), F.col("conv_id").alias("trusted_id"))
+
+
+_BATCH = "SELECT *, doc_id // 50 AS batch, row_number() OVER (PARTITION BY source, doc_id // 50 ORDER BY doc_id) - 1 AS n FROM documents"
 
 
-@query("src_chapters_norm", "SELECT source AS book_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 1000 + n END AS INT) AS chapter_index, lang AS content FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
+def _payloads(spark, sf):
+    """Documents of a source and 50 doc_ids as one payload, under each of the keys that a chapter may have."""
+    i, t = F.col("doc_id"), F.col("text")
+    shapes = [
+        F.struct(i.alias("chapterIndex"), t.alias("chapterContent"), F.lit("one").alias("title")), F.struct(F.concat(i, F.lit("th")).alias("sort_id"), t.alias("text")), F.struct(t.alias("content")),
+        F.struct(i.alias("index"), t.alias("chapter_content"), F.lit("partial").alias("status")), F.struct(F.lit("none").alias("chapter_index"), t.alias("content"))]
+    item = F.coalesce(*[F.when(i % 5 == k, F.to_json(s)) for k, s in enumerate(shapes)])
+    d = B.table(spark, sf, "documents").groupBy(F.col("source").alias("book_id"), F.floor(i / 50).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items"))
+    key = F.element_at(F.array(*map(F.lit, N.CONTAINERS)), (F.col("batch") % 5 + 1).cast("int"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]"))
+    return d.select(F.struct("book_id", "batch").alias("key"), F.concat(F.lit('{"'), key, F.lit('":'), listed, F.lit("}")).alias("payload"), F.lit(1000).alias("start"))
+
+
+@query("src_chapters_norm", f"SELECT source AS book_id, batch, CAST(CASE WHEN doc_id % 5 IN (2, 4) THEN 1000 + n ELSE doc_id END AS INT) AS chapter_index, CASE WHEN doc_id % 5 = 0 THEN 'one' ELSE '' END AS title, sha256(text) AS content_hash, CASE WHEN doc_id % 5 = 3 THEN 'partial' ELSE 'ok' END AS fetch_status FROM ({_BATCH})")
 def src_chapters_norm(spark, sf):
-    """Each book's documents as one payload; a third of the chapters carry their own index."""
-    item = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("doc_id").alias("sortid"), F.col("lang").alias("text")))).otherwise(F.to_json(F.struct(F.col("lang").alias("content"))))
-    d = B.table(spark, sf, "documents").groupBy(F.col("source").alias("book_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items"))
-    body = F.concat(F.lit('{"chapters":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
-    return N.chapters(d.select("book_id", body.alias("payload"), F.lit(1000).alias("start")), "book_id", "payload", "start")
+    """Whole chapter texts out of payloads of bounded size."""
+    c = N.chapters(_payloads(spark, sf), "key", "payload", "start")
+    return c.select("key.book_id", "key.batch", "chapter_index", "title", F.sha2("content", 256).alias("content_hash"), "fetch_status")
 
 
 @query("src_chapter_wrap", "SELECT doc_id, length(text) AS content_length, CASE WHEN length(text) = 0 THEN 'empty' ELSE 'ok' END AS fetch_status FROM documents")
@@ -44,52 +65,76 @@ def src_chapter_wrap(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("content_length"), F.when(F.length("text") == 0, "empty").otherwise("ok").alias("fetch_status"))
 
 
-@query("src_chapters_collect", "SELECT source AS book_id, count(*) AS chapters, CAST(sum(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM documents GROUP BY 1")
+@query("src_chapters_collect", """SELECT source AS book_id, doc_id // 50 AS batch, count(*) FILTER (WHERE lang = 'en') AS skipped, '{"chapters":[' || coalesce(string_agg('{"chapter_index":' || doc_id || ',"content_length":' || length(text) || '}', ',' ORDER BY doc_id) FILTER (WHERE lang <> 'en'), '') || ']}' AS payload FROM documents GROUP BY 1, 2""")
 def src_chapters_collect(spark, sf):
-    item = F.when(F.col("doc_id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct("doc_id")))
-    d = B.table(spark, sf, "documents").select(F.col("source").alias("book_id"), F.try_parse_json(item).alias("v"))
-    return d.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.count_if(F.col("v").isNull()).alias("skipped"))
+    """Item texts of a batch as one payload; those that don't parse (of one language here) are counted and left out."""
+    item = F.to_json(F.struct(F.col("doc_id").alias("chapter_index"), F.length("text").alias("content_length")))
+    d = B.table(spark, sf, "documents").select(F.col("source").alias("book_id"), F.floor(F.col("doc_id") / 50).alias("batch"), "doc_id", F.when(F.col("lang") == "en", F.concat(F.lit("<"), item)).otherwise(item).alias("item"))
+    fine = F.try_parse_json("item").isNotNull()
+    listed = F.array_sort(F.collect_list(F.when(fine, F.struct("doc_id", "item"))))
+    return d.groupBy("book_id", "batch").agg(F.count_if(~fine).alias("skipped"), F.concat(F.lit('{"chapters":['), F.array_join(F.transform(listed, lambda x: x["item"]), ","), F.lit("]}")).alias("payload"))
 
 
-@query("src_l1_norm", "SELECT p_partkey, p_name AS name, CAST(least(1, p_size / 40.0::DOUBLE) AS DOUBLE) AS strength FROM part")
+@query("src_l1_norm", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'v2' ELSE 'l1-route-v1' END AS schema, p_name || ':' || p_type || ':' || replace(p_name, ' ', '|') AS entity, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS keyword,
+    CASE WHEN p_size % 2 = 0 THEN 'item' ELSE 'other' END AS signal, CAST(least(1, p_size / 40.0::DOUBLE) AS DOUBLE) AS strength, CAST(p_size / 100.0::DOUBLE AS DOUBLE) AS item_score, 0.0::DOUBLE AS force_score, CAST(1 AS BIGINT) AS event_score, CAST(10 AS INT) AS scores FROM part""")
 def src_l1_norm(spark, sf):
-    payload = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("name"), (F.col("p_size") / 40.0).alias("strength"))).alias("route_entities"))))
-    payload = payload.otherwise(F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("name"), (F.col("p_size") / 40.0).alias("strength"))).alias("entities"))))
-    shape = "struct<route_entities:array<struct<name:string,strength:double>>,entities:array<struct<name:string,strength:double>>>"
-    p = B.table(spark, sf, "part").select("p_partkey", F.from_json(payload, shape).alias("v"))
-    first = F.get(F.coalesce("v.route_entities", "v.entities"), F.lit(0))
-    return p.select("p_partkey", first["name"].alias("name"), C.clamp01(first["strength"]).alias("strength"))
-
-
-@query("src_l2_norm", f"WITH {B.WITH_FACTS} SELECT id, entity, category, id % 2 = 0 AS scope_eligible FROM facts")
+    """Snake and camel keys, numbers as text, entities without a name, categories in any case."""
+    size = F.col("p_size")
+    entity = F.array(F.struct(F.concat(F.lit(" "), "p_name").alias("name"), F.col("p_type").alias("type"), F.split("p_name", " ").alias("aliases")), F.struct(F.lit(" ").alias("name"), F.lit("x").alias("type"), F.array(F.lit("y")).alias("aliases")))
+    signal = F.array(F.struct(F.when(size % 2 == 0, " ITEM ").otherwise("things").alias("category"), (size / 40.0).alias("strength"), F.lit("why").alias("reason")))
+    scores = F.struct((size / 100.0).cast("string").alias("item"), F.lit(7).alias("event"), F.lit("much").alias("force"))
+    snake = F.to_json(F.struct(entity.alias("route_entities"), F.array("p_brand", F.lit(" ")).alias("route_keywords"), signal.alias("signals"), scores.alias("category_scores"), F.when(size % 3 == 0, "v2").alias("route_schema_version")))
+    camel = F.to_json(F.struct(entity.alias("routeEntities"), F.array("p_type").alias("keywords"), signal.alias("signals"), scores.alias("categoryScores"), F.when(size % 3 == 0, "v2").alias("routeSchemaVersion")))
+    body = F.when(size % 2 == 0, F.to_json(F.struct(snake.alias("result")))).otherwise(camel)
+    r = N.routes(B.table(spark, sf, "part").select("p_partkey", body.alias("body")), "body", B.CATEGORIES)
+    one = lambda a: F.get(a, F.lit(0))
+    e, g = one(F.col("entities")), one(F.col("signals"))
+    return r.where("size(entities) = 1").select(
+        "p_partkey", "schema", F.concat_ws(":", e["name"], e["type"], F.array_join(e["aliases"], "|")).alias("entity"), one(F.col("keywords")).alias("keyword"), g["category"].alias("signal"), g["strength"].alias("strength"),
+        F.col("scores")["item"].alias("item_score"), F.col("scores")["force"].alias("force_score"), F.col("scores")["event"].cast("long").alias("event_score"), F.size("scores").alias("scores"))
+
+
+@query("src_l2_norm", f"""WITH {B.WITH_FACTS} SELECT id, chapter_index AS answer_chapter, CASE WHEN event_type = 'click' THEN 'other' ELSE category END AS category, entity, array_to_string(aliases, ',') AS aliases, array_to_string(tags, ',') AS tags, array_to_string(related_entities, ',') AS related_entities, fact_type, fact, array_to_string(evidence, ',') AS evidence,
+    importance, CASE WHEN event_type = 'view' THEN 0 ELSE confidence END AS confidence, event_type = 'purchase' AS scope_eligible, event_type AS scope_basis, event_type = 'purchase' AS transformation_eligible, event_type <> 'view' AS scope_fields_complete,
+    entity AS creature_type, fact_type AS original_form, fact AS qualification_evidence, CASE WHEN event_type = 'view' THEN '' ELSE entity END AS subject_key, CASE WHEN event_type = 'view' THEN '' ELSE 'current_chapter' END AS identity_basis FROM (SELECT *, fact_type AS event_type FROM facts)""")
 def src_l2_norm(spark, sf):
-    f = B.facts(spark, sf)
-    one = F.array(F.struct("entity", "category", F.when(F.col("id") % 2 == 0, F.lit("true")).otherwise(F.lit("yes")).alias("scope_eligible")))
-    payload = F.when(F.col("id") % 3 == 0, F.to_json(F.struct(one.alias("facts")))).otherwise(F.to_json(F.struct(one.alias("items"))))
-    cell = "array<struct<entity:string,category:string,scope_eligible:string>>"
-    v = f.select("id", F.from_json(payload, f"struct<facts:{cell},items:{cell}>").alias("v"))
-    v = v.select("id", F.explode(F.coalesce("v.facts", "v.items")).alias("x"))
-    return v.select("id", "x.entity", "x.category", (F.col("x.scope_eligible") == "true").alias("scope_eligible"))
-
-
-@query("src_summary_text", "SELECT conv_id, turn, coalesce(nullif(trim(CASE WHEN turn % 2 = 0 THEN '' ELSE text END, ' '), ''), role) AS summary FROM conversations")
+    """All nineteen fields, in snake and camel case; only the boolean true is a flag, a text isn't."""
+    t = F.col("fact_type")
+    base = ["entity", "aliases", "tags", "evidence", "importance", "fact"]
+    shared = [*base, F.when(t == "click", "CLICKED").otherwise(F.upper("category")).alias("category"), t.alias("scope_basis")]
+    snake = F.to_json(F.struct(*shared, "related_entities", "fact_type", F.col("confidence").cast("string").alias("confidence"), F.lit(True).alias("scope_eligible"), F.lit(True).alias("transformation_eligible"), F.col("entity").alias("creature_type"), F.col("fact_type").alias("original_form"), F.array("fact").alias("qualification_evidence"), F.col("entity").alias("subject_key"), F.lit("current_chapter").alias("identity_basis")))
+    camel = F.to_json(F.struct(*shared, F.col("related_entities").alias("relatedEntities"), t.alias("factType"), F.lit("sure").alias("confidence"), F.lit("true").alias("scope_eligible"), F.lit(1).alias("transformation_eligible"), F.col("entity").alias("creatureType"), t.alias("originalForm"), F.array("fact").alias("qualificationEvidence")))
+    texts = F.regexp_replace(F.regexp_replace(snake, '"scope_eligible":true', '"scope_eligible":"true"'), '"transformation_eligible":true', '"transformation_eligible":"true"')
+    one = F.when(t == "view", camel).when(t == "purchase", snake).otherwise(texts)
+    payload = F.when(t == "view", F.concat(F.lit('{"items":['), one, F.lit(',"no fact"],"chapterIndex":"'), "chapter_index", F.lit('th"}'))).otherwise(F.concat(F.lit('{"output":{"facts":['), one, F.lit('],"chapter_index":'), "chapter_index", F.lit("}}")))
+    n = N.facts(B.facts(spark, sf).select("id", payload.alias("payload")), "id", "payload", B.CATEGORIES)
+    lists = {c: F.array_join(c, ",") for c in ("aliases", "tags", "related_entities", "evidence", "qualification_evidence")}
+    return n.withColumns(lists).drop("pos", "answer_title")
+
+
+@query("src_summary_text", "SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL ELSE trim(text, ' ' || chr(10)) END AS summary, turn % 4 = 3 AS failed FROM conversations")
 def src_summary_text(spark, sf):
-    c = B.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.coalesce(F.nullif(F.trim(F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text"))), F.lit("")), "role").alias("summary"))
+    """The first text among the keys that isn't empty; an empty answer is an error row."""
+    t, blank = F.col("text"), F.lit("  ")
+    shapes = [F.concat(F.lit('{"result":'), F.to_json(F.struct(blank.alias("text"), blank.alias("result"), t.alias("output"), F.lit("later").alias("content"))), F.lit("}")), F.to_json(F.struct(F.lit(3).alias("content"), t.alias("data"))), t, F.concat(F.lit('{"output":'), F.to_json(F.struct(blank.alias("text"))), F.lit("}"))]
+    answer = F.coalesce(*[F.when(F.col("turn") % 4 == k, s) for k, s in enumerate(shapes)])
+    c = N.opened(B.table(spark, sf, "conversations"), answer, "v").select("conv_id", "turn", N.summary_text(F.col("v")).alias("summary"))
+    return c.withColumn("failed", F.col("summary").isNull())
 
 
-@query("src_summary_json", "SELECT conv_id, turn, '{\"summary\":\"' || role || '\"}' AS body FROM conversations")
+@query("src_summary_json", """SELECT conv_id, turn, '{"summary":"' || role || '"}' AS one, CASE WHEN turn % 2 = 0 THEN '{"summary":"' || role || '"}' ELSE '{"title":"' || role || '"}' END AS needed, CASE WHEN turn % 2 = 0 THEN '{"summary":"' || role || '"}' END AS none FROM conversations""")
 def src_summary_json(spark, sf):
-    """A bare value goes under the only property; an object stays."""
-    role = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("role").alias("summary")))).otherwise(F.concat(F.lit('"'), "role", F.lit('"')))
-    c = B.table(spark, sf, "conversations").select("conv_id", "turn", F.try_parse_json(role).alias("v"))
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    return c.select("conv_id", "turn", F.when(is_object, F.to_json("v")).otherwise(F.to_json(F.struct(F.try_variant_get("v", "$", "string").alias("summary")))).alias("body"))
+    """A bare value goes under the only property, or the only required one; an object stays; without a schema a bare value is an error."""
+    answer = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.to_json(F.struct(F.col("role").alias("summary"))).alias("output")))).otherwise(F.concat(F.lit('"'), "role", F.lit('"')))
+    c, v = N.opened(B.table(spark, sf, "conversations"), answer, "v"), F.col("v")
+    return c.select("conv_id", "turn", N.summary_object(v, ("summary",)).alias("one"), N.summary_object(v, ("title", "items", "x"), ("title", "other")).alias("needed"), N.summary_object(v, ("title", "items")).alias("none"))
 
 
-@query("src_enrich", "SELECT doc_id, true AS ok FROM documents")
+@query("src_enrich", "SELECT doc_id, true AS ok, CAST(0 AS INT) AS extra FROM documents")
 def src_enrich(spark, sf):
-    return E.enrich(B.table(spark, sf, "documents"), "names", "doc_id", "text").select("doc_id", "ok")
+    """Every row has an answer, of at most five items, each once."""
+    e = E.enrich(B.table(spark, sf, "documents"), "names", "doc_id", "text")
+    return e.select("doc_id", "ok", (F.size("items") - F.least(F.size(F.array_distinct("items")), F.lit(5))).alias("extra"))
 
 
 @query("src_migrate", "SELECT c_custkey, c_name AS value, sha256(c_name) AS value_hash, false AS damaged FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, NULL, NULL, true FROM customer WHERE c_custkey % 10 = 0")
@@ -105,6 +150,14 @@ def src_migrate(spark, sf):
     return opened.select("c_custkey", "value", F.sha2("value", 256).alias("value_hash"), F.col("value").isNull().alias("damaged"))
 
 
-@query("sink_export", f"WITH {B.WITH_RUNS} SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'md' ELSE 'json' END AS kind, count(*) AS parts FROM runs GROUP BY 1")
+_EXPORTED = f"WITH {B.WITH_RUNS} SELECT run_id, part, CASE WHEN stage = 'user' THEN 'md' ELSE 'json' END AS kind, CASE WHEN stage = 'user' THEN sha256(result) ELSE sha256('{{\"name\":\"run-' || run_id || '\",\"parts\":' || part || '}}') END AS body_hash FROM runs"
+
+
+@query("sink_export", _EXPORTED)
 def sink_export(spark, sf):
-    return B.runs(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("parts")).withColumn("kind", F.when(F.col("run_id") % 2 == 0, "md").otherwise("json"))
+    """Results written as Markdown or JSON files, read back: texts go to .md, objects to .json."""
+    r = B.runs(spark, sf)
+    result = F.when(F.col("stage") == "user", F.col("result")).otherwise(F.to_json(F.struct(F.concat(F.lit("run-"), "run_id").alias("name"), F.col("part").alias("parts"))))
+    folder = tables.new_folder(spark, "export")
+    X.write(r.select(F.struct("run_id", "part").alias("key"), result.alias("result")), folder)
+    return X.read(spark, folder, "struct<run_id:bigint,part:bigint>").select("key.run_id", "key.part", "kind", F.sha2("body", 256).alias("body_hash"))
