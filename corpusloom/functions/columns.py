@@ -42,10 +42,15 @@ def key(c: Column) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", "base").otherwise(s)
 
 
-def rule_hash(rule: Column, default: str, prefix: str) -> Column:
-    """A constant for the default rule, else the hash of prefix and rule."""
+def rule_hash(rule: Column, default: str, prefix: str, group: Column | None = None) -> Column:
+    """A constant for the default rule, else the hash of prefix (with the group's key, if one is given) and rule."""
     text = F.coalesce(F.nullif(F.trim(rule), F.lit("")), F.lit(default))
-    return F.when(text == default, f"{prefix}-default").otherwise(F.sha2(F.concat(F.lit(prefix + "\n"), text), 256))
+    return F.when(text == default, f"{prefix}-default").otherwise(F.sha2(F.concat(F.lit(prefix), *([F.lit(":"), group] if group is not None else []), F.lit("\n"), text), 256))
+
+
+def stable_hash(body: Column) -> Column:
+    """Hash of a JSON text that doesn't depend on the order of keys (a variant keeps them sorted)."""
+    return F.sha2(F.to_json(F.parse_json(body)), 256)
 
 
 def redact(c: Column) -> Column:

@@ -30,6 +30,7 @@ class Vocabulary:
     many: str = ""
     subjects: str = ""
     extra: tuple[tuple[str, str], ...] = ()
+    domain: str = ""
 
 
 def term_clean(c: Column, v: Vocabulary) -> Column:
@@ -39,8 +40,25 @@ def term_clean(c: Column, v: Vocabulary) -> Column:
 
 
 def sub_terms(c: Column, v: Vocabulary) -> Column:
-    """Words of the dictionary that the text contains, in its order."""
-    return F.filter(F.array(*map(F.lit, v.dictionary)) if v.dictionary else F.array().cast("array<string>"), lambda w: F.contains(F.lower(c), F.lower(w)))
+    """Words of 2 to 8 characters that the domain pattern hits, then the dictionary's words that the text contains, each once."""
+    known = F.filter(F.array(*map(F.lit, v.dictionary)) if v.dictionary else F.array().cast("array<string>"), lambda w: F.contains(F.lower(c), F.lower(w)))
+    if not v.domain:
+        return known
+    words = F.filter(F.regexp_extract_all(c, F.lit("[\\u4e00-\\u9fa5A-Za-z0-9]{2,8}"), F.lit(0)), lambda w: w.rlike(v.domain))
+    return F.array_distinct(F.concat(words, known))
+
+
+def entities(text: Column, patterns: tuple[str, ...], gazetteer: str, stop: str, most: int = 6) -> Column:
+    """First groups of the patterns in turn, then known names; without stop words, each once, at most ``most``."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns], F.regexp_extract_all(text, F.lit(gazetteer), F.lit(0)))
+    cleaned = F.transform(found, lambda x: F.substring(C.trimmed(x), 1, 24))
+    return F.slice(F.array_distinct(F.filter(cleaned, lambda x: (x != "") & ~F.lower(x).rlike(stop))), 1, most)
+
+
+def target_likely(c: Column, asks: str, prefix: str, reserved: tuple[str, ...]) -> Column:
+    """Whether a term may be a question's subject: 2 to 12 characters, no word that asks for something, no counting prefix, not reserved."""
+    t = F.lower(C.trimmed(F.coalesce(c, F.lit(""))))
+    return F.length(t).between(2, 12) & ~t.rlike(asks) & ~t.rlike(f"^({prefix})") & ~t.isin(*reserved)
 
 
 def terms(query: Column, v: Vocabulary, target: Column | None = None, most: int = 48) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
 from corpusloom.functions import questions as Q
+from corpusloom.operators import json_views as J
 from corpusloom.plans import bind as B
 from corpusloom.plans.registry import query
 
@@ -15,10 +16,11 @@ def fn_hash(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@query("fn_rule_hash", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'l2-default' ELSE sha256('l2' || chr(10) || p_name) END AS rule_hash FROM part")
+@query("fn_rule_hash", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'l2-default' ELSE sha256('l2' || chr(10) || p_name) END AS rule_hash, CASE WHEN p_size % 4 = 0 THEN 'l2-default' ELSE sha256('l2:' || p_brand || chr(10) || p_name) END AS group_hash FROM part")
 def fn_rule_hash(spark, sf):
     rule = F.when(F.col("p_size") % 4 == 0, "  ").otherwise(F.col("p_name"))
-    return B.table(spark, sf, "part").select("p_partkey", C.rule_hash(rule, "Extract all facts.", "l2").alias("rule_hash"))
+    default = "Extract all facts."
+    return B.table(spark, sf, "part").select("p_partkey", C.rule_hash(rule, default, "l2").alias("rule_hash"), C.rule_hash(rule, default, "l2", F.col("p_brand")).alias("group_hash"))
 
 
 @query("fn_run_hash", f"WITH {B.WITH_RUNS} SELECT run_id, part, sha256('l2_query' || chr(10) || result || chr(10) || stage) AS run_hash FROM runs")
@@ -31,10 +33,13 @@ def fn_signature(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", F.concat_ws(":", F.lower(F.split_part("p_brand", F.lit("#"), F.lit(1))), "p_type", "p_size").alias("signature"))
 
 
-@query("fn_stable_hash", """SELECT c_custkey, sha256('{"name":"' || c_name || '","nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"}') AS stable_hash FROM customer""")
+@query("fn_stable_hash", """SELECT c_custkey, sha256('{"a":[1,"x"],"name":"' || c_name || '","nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"}') AS stable_hash FROM customer""")
 def fn_stable_hash(spark, sf):
-    body = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")))
-    return B.table(spark, sf, "customer").select("c_custkey", F.sha2(body, 256).alias("stable_hash"))
+    """The hash doesn't depend on the order in which an object has its keys."""
+    flip = F.col("c_custkey") % 2 == 0
+    fields = [F.col("c_mktsegment").alias("segment"), F.array(F.lit("1"), F.lit("x")).alias("a"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")]
+    body = F.regexp_replace(F.when(flip, F.to_json(F.struct(*fields))).otherwise(F.to_json(F.struct(*reversed(fields)))), '"1"', "1")
+    return B.table(spark, sf, "customer").select("c_custkey", C.stable_hash(body).alias("stable_hash"))
 
 
 _KEY_SQL = "substr(regexp_replace(regexp_replace(regexp_replace(lower(trim({0}, ' ')), '[^a-z0-9_-]+', '-', 'g'), '-+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 64)"
@@ -74,15 +79,19 @@ def fn_redact(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", C.redact(F.col("text")).alias("redacted"))
 
 
-@query("fn_search_text", f"WITH {B.WITH_FACTS} SELECT id, lower(category || ' ' || entity || ' ' || fact_type || ' ' || fact || ' ' || array_to_string(aliases, ' ') || ' ' || array_to_string(tags, ' ')) AS haystack FROM facts")
+@query("fn_search_text", f"WITH {B.WITH_FACTS} SELECT id, lower(category || ' ' || entity || ' ' || fact_type || ' ' || fact || ' ' || aliases[1] || ' ' || array_to_string(tags, ' ') || ' ' || related_entities[1] || ' ' || evidence[1]) AS query_text, lower(entity || ' ' || fact_type || ' ' || fact || ' ' || aliases[1] || ' ' || array_to_string(tags, ' ') || ' ' || related_entities[1] || ' ' || evidence[1]) AS fact_text, lower('l2_fact ' || category || ' ' || entity || ' ' || fact_type || ' ' || fact || ' ' || related_entities[1] || ' ' || array_to_string(tags, ' ') || ' ' || evidence[1]) AS packet_text FROM facts")
 def fn_search_text(spark, sf):
-    return B.facts(spark, sf).select("id", C.search_text(*map(F.col, ("category", "entity", "fact_type", "fact", "aliases", "tags"))).alias("haystack"))
+    """The three sets of fields: of a question's recall, of a fact, of an evidence packet."""
+    lists = ("aliases", "tags", "related_entities", "evidence")
+    sets = {"query_text": ("category", "entity", "fact_type", "fact", *lists), "fact_text": ("entity", "fact_type", "fact", *lists), "packet_text": ("source", "category", "entity", "fact_type", "fact", "related_entities", "tags", "evidence")}
+    f = B.facts(spark, sf).withColumn("source", F.lit("l2_fact"))
+    return f.select("id", *[C.search_text(*map(F.col, cols)).alias(name) for name, cols in sets.items()])
 
 
 #: A small Latin vocabulary: the driver's texts have no other.
 LATIN = Q.Vocabulary(
     leading="the|that|and", trailing="tion|ing", stop="on|in|of|to", dictionary=("the", "ing", "tion", "zzz", "on the"),
-    asks=(("the", "list"), ("and", "rank")), many="all|und|et|y ", subjects="the|die|les|los", extra=(("th.n", "thing"), ("er[a-z]", "era"), ("Q", "queue")))
+    asks=(("the", "list"), ("and", "rank")), many="all|und|et|y ", subjects="the|die|les|los", extra=(("th.n", "thing"), ("er[a-z]", "era"), ("Q", "queue")), domain="hes|ble$")
 
 
 @query("fn_term_clean", """SELECT item_id, term FROM (SELECT item_id, trim(regexp_replace(regexp_replace(lower(w), '^(the|that|and)+', ''), '(tion|ing)$', ''), ' ') AS term
@@ -92,8 +101,10 @@ def fn_term_clean(spark, sf):
     return w.select("item_id", Q.term_clean(F.col("w"), LATIN).alias("term")).where("term is not null")
 
 
-@query("fn_sub_terms", "SELECT item_id, array_to_string(list_filter(['the', 'ing', 'tion', 'zzz', 'on the'], lambda x: contains(lower(text), x)), ',') AS sub_terms FROM benchmark")
+@query("fn_sub_terms", """SELECT item_id, array_to_string(list_concat(w, list_filter(['the', 'ing', 'tion', 'zzz', 'on the'], lambda x: contains(lower(text), x) AND NOT list_contains(w, x))), ',') AS sub_terms
+    FROM (SELECT item_id, text, list_filter(list_transform(v, lambda x, i: CASE WHEN list_position(v, x) = i THEN x END), lambda x: x IS NOT NULL) AS w FROM (SELECT item_id, text, list_filter(regexp_extract_all(text, '[\\x{4e00}-\\x{9fa5}A-Za-z0-9]{2,8}', 0), lambda x: regexp_matches(x, 'hes|ble$')) AS v FROM benchmark))""")
 def fn_sub_terms(spark, sf):
+    """Words that a domain pattern hits, in order, then the dictionary's words that the text contains."""
     return B.table(spark, sf, "benchmark").select("item_id", F.array_join(Q.sub_terms(F.col("text"), LATIN), ",").alias("sub_terms"))
 
 
@@ -102,9 +113,14 @@ def fn_terms(spark, sf):
     return B.questions(spark, sf).select("query_id", F.array_join("terms", " ").alias("terms"), F.size("terms").alias("n"))
 
 
-@query("fn_entities", r"""SELECT conv_id, turn, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(text, '(^|[ \n])([A-Z][a-z]{3,})', 2))), 1, 6), ',') AS entities FROM conversations""")
+_ABOUT, _SUFFIXED, _GAZETTE = r"(?:^|[ \n])(?:and|un|y) ([a-zà-öø-ÿœß]{4,12})", r"(?:^|[ \n])([a-zà-öø-ÿœß]{3,10}(?:ment|tion))", "eaux|heit|ción"
+
+
+@query("fn_entities", f"""SELECT conv_id, turn, array_to_string(list_slice(list_filter(list_transform(v, lambda x, i: CASE WHEN list_position(v, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 6), ',') AS entities
+    FROM (SELECT conv_id, turn, list_filter(list_concat(regexp_extract_all(text, '{_ABOUT}', 1), regexp_extract_all(text, '{_SUFFIXED}', 1), regexp_extract_all(text, '{_GAZETTE}', 0)), lambda x: NOT regexp_matches(x, '^(tion|json)')) AS v FROM conversations)""")
 def fn_entities(spark, sf):
-    found = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(^|[ \n])([A-Z][a-z]{3,})"), F.lit(2)))), 1, 6)
+    """What stands after certain words, what ends in certain ways, and known names; first seen first, at most six."""
+    found = Q.entities(F.col("text"), (_ABOUT, _SUFFIXED), _GAZETTE, "^(tion|json)")
     return B.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("entities"))
 
 
@@ -155,9 +171,10 @@ def fn_target_clean(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", Q.target_clean(F.lower("p_name"), " [a-z]+$").alias("target"))
 
 
-@query("fn_target_likely", "SELECT p_partkey, length(p_name) BETWEEN 2 AND 12 AND NOT regexp_matches(p_name, 'red|blue') AS likely FROM part")
+@query("fn_target_likely", "SELECT p_partkey, length(p_name) BETWEEN 2 AND 12 AND NOT regexp_matches(lower(p_name), 'd w') AND NOT regexp_matches(lower(p_name), '^(blue|small)') AND NOT lower(p_name) IN ('red bolt', 'red ring') AS likely FROM part")
 def fn_target_likely(spark, sf):
-    return B.table(spark, sf, "part").select("p_partkey", (F.length("p_name").between(2, 12) & ~F.col("p_name").rlike("red|blue")).alias("likely"))
+    """By length, and neither a word that asks, a counting prefix, nor a reserved name."""
+    return B.table(spark, sf, "part").select("p_partkey", Q.target_likely(F.col("p_name"), asks="d w", prefix="blue|small", reserved=("red bolt", "red ring")).alias("likely"))
 
 
 @query("fn_json_or_text", "SELECT event_id, json_valid(s) AS is_json, CASE WHEN json_valid(s) THEN json_extract_string(s, '$.k') ELSE s END AS value FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'plain ' || event_type ELSE props END AS s FROM events)")
@@ -168,26 +185,27 @@ def fn_json_or_text(spark, sf):
 
 
 @query("fn_json_flatten", """SELECT c_custkey, path, value FROM (
-    SELECT c_custkey, unnest([{'path': 'name', 'value': c_name}, {'path': 'place / nation', 'value': CAST(c_nationkey AS VARCHAR)}, {'path': 'place / segment', 'value': c_mktsegment}], recursive := true) FROM customer)""")
+    SELECT c_custkey, unnest([{'path': 'name', 'value': c_name}, {'path': 'place / nation', 'value': CAST(c_nationkey AS VARCHAR)}, {'path': 'place / deep / a / b / segment', 'value': c_mktsegment}, {'path': 'tags', 'value': 'x, ' || c_custkey}, {'path': 'rows', 'value': 'k：1；m：y, z' || chr(10) || 'plain'}], recursive := true) FROM customer)""")
 def fn_json_flatten(spark, sf):
-    body = F.to_json(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("place")))
+    """Nested objects as paths, to any of five levels; arrays joined; null, empty texts and empty arrays left out."""
+    body = F.concat(F.lit('{"name":'), F.to_json(F.struct("c_name")).substr(F.lit(11), F.length("c_name") + 2), F.lit(',"none":null,"blank":"","no":[],"place":{"nation":'), F.col("c_nationkey").cast("string"), F.lit(',"deep":{"a":{"b":{"segment":"'), "c_mktsegment",
+                    F.lit('"}}}},"tags":["x",'), F.col("c_custkey").cast("string"), F.lit('],"rows":[{"k":1,"m":["y","z"],"n":null},"plain"]}'))
     c = B.table(spark, sf, "customer").select("c_custkey", F.parse_json(body).alias("v"))
-    c.createOrReplaceTempView("__json_customers")
-    return spark.sql("""
-        SELECT c_custkey, key AS path, CAST(value AS STRING) AS value FROM __json_customers, LATERAL variant_explode(v) WHERE schema_of_variant(value) NOT LIKE 'OBJECT%'
-        UNION ALL
-        SELECT c_custkey, concat_ws(' / ', key, k2) AS path, CAST(v2 AS STRING) AS value
-        FROM (SELECT c_custkey, key, value FROM __json_customers, LATERAL variant_explode(v) WHERE schema_of_variant(value) LIKE 'OBJECT%') o, LATERAL variant_explode(o.value) AS t(p2, k2, v2)""")
+    return J.flattened(c, ["c_custkey"], "v")
 
 
-@query("fn_json_tables", """SELECT o_orderkey, row, field, value FROM (
-    SELECT o_orderkey, CAST(l_linenumber AS INT) AS row, unnest([{'field': 'part', 'value': CAST(l_partkey AS VARCHAR)}, {'field': 'qty', 'value': CAST(CAST(l_quantity AS INT) AS VARCHAR)}], recursive := true)
-    FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL))""")
+@query("fn_json_tables", """WITH c AS (SELECT *, c_custkey % 3 AS kind FROM customer) SELECT c_custkey, t, CAST(row AS INT) AS row, field, value FROM (
+    SELECT c_custkey, unnest([{'t': 'items', 'row': 0, 'field': 'a', 'value': c_name}, {'t': 'items', 'row': 1, 'field': 'value', 'value': 'bare'}, {'t': 'place', 'row': 0, 'field': 'at / nation', 'value': CAST(c_nationkey AS VARCHAR)}], recursive := true) FROM c WHERE kind = 0
+    UNION ALL SELECT c_custkey, unnest([{'t': 'summary_fields', 'row': 0, 'field': 'name', 'value': c_name}, {'t': 'summary_fields', 'row': 0, 'field': 'nation', 'value': CAST(c_nationkey AS VARCHAR)}], recursive := true) FROM c WHERE kind = 1
+    UNION ALL SELECT c_custkey, unnest([{'t': 'root', 'row': 0, 'field': 'a', 'value': c_name}, {'t': 'root', 'row': 1, 'field': 'a', 'value': 'n'}], recursive := true) FROM c WHERE kind = 2)""")
 def fn_json_tables(spark, sf):
-    rows = B.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
-    bodies = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_linenumber", F.struct(F.col("p").alias("part"), F.col("q").alias("qty")).alias("cell"))).alias("items"))
-    items = bodies.select("o_orderkey", F.explode(F.from_json(F.to_json("items"), "array<struct<l_linenumber:int,cell:map<string,string>>>")).alias("i"))
-    return items.select("o_orderkey", F.col("i.l_linenumber").alias("row"), F.explode("i.cell").alias("field", "value"))
+    """Arrays are tables of rows, objects tables of fields and values; plain fields only where there is nothing else."""
+    name, nation = F.to_json(F.struct("c_name")).substr(F.lit(11), F.length("c_name") + 2), F.col("c_nationkey").cast("string")
+    kind = F.col("c_custkey") % 3
+    body = F.when(kind == 0, F.concat(F.lit('{"title":"t","items":[{"a":'), name, F.lit('},null,"bare"],"place":{"at":{"nation":'), nation, F.lit("}},\"none\":[]}")))
+    body = body.when(kind == 1, F.concat(F.lit('{"name":'), name, F.lit(',"nation":'), nation, F.lit(',"gone":null}'))).otherwise(F.concat(F.lit('[{"a":'), name, F.lit('},{"a":"n"}]')))
+    c = B.table(spark, sf, "customer").select("c_custkey", F.parse_json(body).alias("v"))
+    return J.tables(c, ["c_custkey"], "v")
 
 
 @query("fn_label", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'Sign up' WHEN 'error' THEN 'Fault' ELSE replace(event_type, '_', ' ') END AS label FROM events")
@@ -241,16 +259,18 @@ def set_unique(spark, sf):
     return first.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
 
 
-@query("set_alias_union", "SELECT p_partkey, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS aliases FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, [p_brand, split_part(p_name, ' ', 1)] AS b FROM (SELECT * FROM part)) WHERE len(list_distinct(a)) = len(a)")
+@query("set_alias_union", "WITH a AS (SELECT p_partkey, unnest(list_concat(string_split(p_name, ' '), [p_brand, split_part(p_name, ' ', 1), ' ' || p_type || ' '])) AS x, generate_subscripts(list_concat(string_split(p_name, ' '), ['1', '2', '3']), 1) AS i FROM part), f AS (SELECT p_partkey, trim(x, ' ') AS x, min(i) AS i FROM a GROUP BY 1, 2) SELECT p_partkey, string_agg(x, ',' ORDER BY i) AS aliases FROM f WHERE x <> '' GROUP BY 1")
 def set_alias_union(spark, sf):
-    p = B.table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("a"), F.array("p_brand", F.substring_index("p_name", " ", 1)).alias("b"))
-    return p.where("size(array_distinct(a)) = size(a)").select("p_partkey", F.array_join(F.slice(F.array_union("a", "b"), 1, 24), ",").alias("aliases"))
+    """Old names, then new ones, each once, at most 24."""
+    old, new = F.split("p_name", " "), F.array("p_brand", F.substring_index("p_name", " ", 1), F.concat(F.lit(" "), "p_type", F.lit(" ")))
+    return B.table(spark, sf, "part").select("p_partkey", F.array_join(C.unique_compact(F.concat(old, new), 24), ",").alias("aliases"))
 
 
-@query("set_terms_except", f"WITH {B.WITH_QUESTIONS} SELECT query_id, array_to_string(list_filter(terms, lambda x: NOT contains(x, 'er')), ',') AS terms FROM questions")
+@query("set_terms_except", f"WITH {B.WITH_QUESTIONS}, x AS (SELECT query_id, terms, list_filter(list_transform(string_split(query, ' '), lambda x: lower(trim(x, '.,'))), lambda x: length(x) >= 4) AS w FROM questions) SELECT query_id, array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i AND NOT list_contains(list_transform(terms, lambda t: lower(t)), x) THEN x END), lambda x: x IS NOT NULL), ',') AS terms FROM x")
 def set_terms_except(spark, sf):
-    q = B.questions(spark, sf)
-    return q.select("query_id", F.array_join(F.array_except("terms", F.filter("terms", lambda x: x.contains("er"))), ",").alias("terms"))
+    """Expanded terms (words of four letters or more) without the question's own."""
+    words = F.filter(F.transform(F.split("query", " "), lambda x: F.lower(F.regexp_replace(x, "^[.,]+|[.,]+$", ""))), lambda x: F.length(x) >= 4)
+    return B.questions(spark, sf).select("query_id", F.array_join(F.array_except(words, F.transform("terms", F.lower)), ",").alias("terms"))
 
 
 @query("set_keys", f"SELECT p_brand, array_to_string(list_sort(list_distinct([CASE WHEN k = '' THEN 'base' ELSE k END, 'base'])), ',') AS keys FROM (SELECT DISTINCT p_brand, {_KEY_SQL.format('p_brand')} AS k FROM part)")
@@ -259,14 +279,19 @@ def set_keys(spark, sf):
     return p.select("p_brand", F.array_join(F.array_sort(F.array_distinct(F.array(C.key(F.col("p_brand")), F.lit("base")))), ",").alias("keys"))
 
 
-@query("set_indexes", "SELECT o_custkey, string_agg(DISTINCT CAST(i AS VARCHAR), ',' ORDER BY CAST(i AS VARCHAR)) AS indexes FROM (SELECT o_custkey, o_orderkey % 60 - 5 AS i FROM orders) WHERE i > 0 GROUP BY o_custkey")
+@query("set_indexes", "SELECT o_custkey, string_agg(i, ',' ORDER BY i) AS indexes FROM (SELECT DISTINCT o_custkey, o_orderkey % 60 - 5 AS i FROM orders) WHERE i > 0 GROUP BY o_custkey")
 def set_indexes(spark, sf):
-    o = B.table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").cast("string").try_cast("int").alias("i")).select("o_custkey", (F.col("i") % 60 - 5).alias("i")).where("i > 0")
-    return o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("i").cast("string"))), ",").alias("indexes"))
+    """Positive whole numbers among texts, each once, ascending by value."""
+    text = F.when(F.col("o_orderkey") % 60 == 7, "2.5").otherwise((F.col("o_orderkey") % 60 - 5).cast("string"))
+    o = B.table(spark, sf, "orders").select("o_custkey", F.explode(F.array(text, (F.col("o_orderkey") % 60 - 5).cast("string"), F.lit("x"))).alias("t"))
+    o = o.withColumn("i", F.when(F.col("t").rlike("^-?[0-9]+$"), F.col("t").try_cast("int"))).where("i > 0")
+    return o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("i")), ",").alias("indexes"))
 
 
-@query("set_enabled_keys", f"WITH {B.WITH_GROUPS} SELECT g.book_id, g.group_key FROM groups g WHERE enabled AND contains(name, '1')")
+@query("set_enabled_keys", f"WITH {B.WITH_GROUPS}, c AS (SELECT book_id, group_key FROM groups WHERE enabled AND contains(name, '12')) SELECT book_id, group_key FROM c UNION ALL SELECT book_id, arg_max(group_key, updated_at) FROM groups WHERE enabled AND book_id NOT IN (SELECT book_id FROM c) GROUP BY 1")
 def set_enabled_keys(spark, sf):
-    g = B.groups(spark, sf)
-    chosen = g.where(F.col("name").contains("1")).select("book_id", "group_key")
-    return g.where("enabled").join(chosen, ["book_id", "group_key"], "left_semi").select("book_id", "group_key")
+    """Chosen groups that are enabled; a book without one gets its newest enabled group."""
+    g = B.groups(spark, sf).where("enabled")
+    kept = g.where(F.col("name").contains("12")).select("book_id", "group_key")
+    default = g.join(kept.select("book_id").distinct(), "book_id", "left_anti").groupBy("book_id").agg(F.max_by("group_key", "updated_at").alias("group_key"))
+    return kept.unionByName(default)
\ No newline at end of file
