@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,14 +55,46 @@ def fact_coverage(chapters: DataFrame, status: DataFrame) -> DataFrame:
 def work_list(chapters: DataFrame, status: DataFrame, mode: str, force: bool = False) -> DataFrame:
     """Chapters to build: ``all`` (what isn't fresh, or everything with force),
     ``retry_failed``, ``retry_empty`` (completed without facts) or ``missing``."""
-    rows = with_status(chapters, status)
+    return work_lists(chapters, status, (mode,), force).select("book_id", "chapter_index")
+
+
+def work_lists(chapters: DataFrame, status: DataFrame, modes: tuple[str, ...], force: bool = False) -> DataFrame:
+    """mode, book_id, chapter_index of several work lists, by one join."""
     wanted = {
         "all": F.lit(True) if force else ~F.col("fresh"),
         "retry_failed": F.coalesce(F.col("status") == "failed", F.lit(False)),
         "retry_empty": F.coalesce((F.col("status") == "completed") & (F.col("facts_count") == 0), F.lit(False)),
         "missing": F.col("status").isNull(),
-    }[mode]
-    return rows.where(wanted).select("book_id", "chapter_index")
+    }
+    hit = F.array_compact(F.array(*[F.when(wanted[m], m) for m in modes]))
+    return with_status(chapters, status).select(F.explode(hit).alias("mode"), "book_id", "chapter_index")
+
+
+def resolved_groups(groups: DataFrame, books: DataFrame, named: DataFrame) -> DataFrame:
+    """book_id, group_key, outcome of the groups that runs on ``books`` use.
+
+    Named groups (book_id, group_key; base doesn't count) are taken as they are,
+    unknown ones are errors; a book without named ones gets its enabled groups
+    other than base, or, if it has none, all enabled.
+    """
+    asked = named.where("group_key <> 'base'").distinct()
+    there = groups.select("book_id", "group_key", F.lit(True).alias("__there")).distinct()
+    explicit = asked.join(there, ["book_id", "group_key"], "left").select("book_id", "group_key", F.when(F.col("__there"), "ok").otherwise("unknown group").alias("outcome"))
+    special = groups.where("enabled and group_key <> 'base'").select("book_id").distinct().withColumn("__special", F.lit(True))
+    left = books.distinct().join(asked.select("book_id").distinct(), "book_id", "left_anti")
+    default = groups.where("enabled").join(left, "book_id", "left_semi").join(special, "book_id", "left").where("__special is null or group_key <> 'base'")
+    return explicit.unionByName(default.select("book_id", "group_key", F.lit("ok").alias("outcome")))
+
+
+def ledger(books: DataFrame, coverage: DataFrame, groups: DataFrame, live: DataFrame) -> DataFrame:
+    """Books with total, completed, failed and facts (of ``coverage``), groups and live tasks; zeros and false where a book has none."""
+    out = books.distinct().join(coverage.select("book_id", "total", "completed", "failed", "facts"), "book_id", "left").join(groups, "book_id", "left").join(live, "book_id", "left")
+    return out.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in ("total", "completed", "failed", "facts", "groups")}, **{c: F.coalesce(c, F.lit(False)) for c in ("import_live", "l1_live", "l2_live")}})
+
+
+def journey(has_content: Column, l1_done: Column, groups: Column, import_live: Column, l1_live: Column, l2_live: Column) -> Column:
+    """The next step of a book; the first that applies. The one basic group that every book has doesn't count."""
+    return F.when(import_live, "importing").when(~has_content, "import").when(l1_live, "indexing").when(~l1_done, "index").when(l2_live, "extracting").when(groups <= 1, "groups").otherwise("ask")
 
 
 def batches(ranges: DataFrame, size: int = 10) -> DataFrame:

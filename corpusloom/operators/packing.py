@@ -20,22 +20,37 @@ def fitted(text: Column, room: Column, ladder: tuple[int, ...] = (420, 220, 120,
 
 
 def chunk_numbers(entries: DataFrame, budget: int, overhead: int) -> DataFrame:
-    """chunk (from 1) of every entry: query_id, place, size in; entries in order of place.
+    """chunk (from 1) and rung of every entry: query_id, place, sizes (array, longest form first) in; entries in order of place.
 
-    An entry that doesn't fit beside those before it starts a new chunk; one
-    that doesn't fit alone is left out (chunk null).
+    An entry goes in its longest form beside those before it.  One that doesn't
+    fit starts a new chunk in the first form that fits alone (rung, from 0);
+    one that fits in none is left out (chunk null), and what follows starts a chunk.
     """
     room = budget - overhead
-    packed = entries.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("items"))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<place:int,chunk:int>>").alias("out"))
+    packed = entries.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "sizes"))).alias("items"))
+    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<place:int,chunk:int,rung:int>>").alias("out"))
 
     def step(acc, x):
-        alone = x["size"] > room
-        fits = (acc["chunk"] > 0) & (acc["held"] + x["size"] <= room)
-        chunk = F.when(alone, acc["chunk"]).when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        held = F.when(alone, acc["held"]).when(fits, acc["held"] + x["size"]).otherwise(x["size"].cast("long"))
-        mine = F.struct(x["place"].alias("place"), F.when(alone, F.lit(None).cast("int")).otherwise(chunk).alias("chunk"))
+        beside = (acc["held"] > 0) & (acc["held"] + x["sizes"][0] <= room)
+        form = F.array_position(F.transform(x["sizes"], lambda n: n <= room), True).cast("int") - 1
+        omitted = ~beside & (form < 0)
+        rung = F.when(beside, F.lit(0)).when(~omitted, form)
+        chunk = F.when(beside | omitted, acc["chunk"]).otherwise(acc["chunk"] + 1)
+        held = F.when(beside, acc["held"] + x["sizes"][0]).when(omitted, F.lit(0).cast("long")).otherwise(F.get(x["sizes"], form).cast("long"))
+        mine = F.struct(x["place"].alias("place"), F.when(~omitted, chunk).alias("chunk"), rung.alias("rung"))
         return F.struct(chunk.alias("chunk"), held.alias("held"), F.concat(acc["out"], F.array(mine)).alias("out"))
 
     out = packed.select("query_id", F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("x"))
-    return out.select("query_id", "x.place", "x.chunk")
+    return out.select("query_id", "x.place", "x.chunk", "x.rung")
+
+
+def fallback_reason(message: Column) -> Column:
+    """Why a failed summary may be replaced by its excerpt: an empty answer, no model, no transport; '' if it may not."""
+    return F.when(message.rlike("(?i)empty text|空文本"), "empty_text").when(message.rlike("(?i)no available upstream|model.*unavailable|upstream"), "model_unavailable").when(
+        message.rlike("(?i)timeout|timed out|aborted|fetch failed|network|unexpected end of json input"), "transport_unavailable").otherwise("")
+
+
+def reused(parts: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """parts with the cached result (column result, null: a miss) of a completed part with equal keys and a result."""
+    done = cache.where((F.col("status") == "completed") & (F.coalesce("result", F.lit("")) != "")).groupBy(*keys).agg(F.max("result").alias("result"))
+    return parts.join(done, keys, "left")

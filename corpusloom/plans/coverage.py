@@ -51,12 +51,8 @@ _MODES = {"all": "NOT fresh", "retry_failed": "status = 'failed'", "retry_empty"
 
 @query("jn_l2_plan", _JOINED + " UNION ALL ".join(f" SELECT '{m}' AS mode, book_id, chapter_index FROM j WHERE {w}" for m, w in _MODES.items()))
 def jn_l2_plan(spark, sf):
-    c, s = B.chapters(spark, sf), B.status(spark, sf)
-    out = None
-    for mode in _MODES:
-        rows = V.work_list(c, s, mode).select(F.lit(mode).alias("mode"), "book_id", "chapter_index")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The work lists of all modes by one join."""
+    return V.work_lists(B.chapters(spark, sf), B.status(spark, sf), tuple(_MODES)).select("mode", "book_id", "chapter_index")
 
 
 @query("agg_cov_percent", f"{_JOINED}, v AS ({_L2}) SELECT book_id, CAST(round(completed * 100.0::DOUBLE / total) AS INT) AS pct, completed || '/' || total || ' chapters' AS label FROM v")
@@ -130,10 +126,19 @@ def jn_selection(spark, sf):
     return joined.select("book_id", "chapter_index", F.when(~F.col("chapter_index").between(1, 60), "outside range").when(F.col("doc_id").isNull(), "missing").otherwise("selected").alias("outcome"))
 
 
-@query("jn_groups", f"WITH {B.WITH_GROUPS} SELECT book_id, group_key FROM groups g WHERE enabled OR NOT EXISTS (SELECT 1 FROM groups h WHERE h.book_id = g.book_id AND h.enabled)")
+_ASKED = "a AS (SELECT 'b' || (o_custkey % 7) AS book_id, CASE WHEN o_orderkey % 9 = 0 THEN 'no-such' ELSE 'brand-' || (o_orderkey % 30) END AS group_key, o_custkey % 4 > 0 AS explicit FROM orders WHERE o_custkey < 60)"
+
+
+@query("jn_groups", f"""WITH {B.WITH_GROUPS}, {_ASKED}, x AS (SELECT DISTINCT book_id, group_key FROM a WHERE explicit AND book_id IN ('b0', 'b1', 'b5')), w AS (SELECT DISTINCT book_id FROM a),
+    n AS (SELECT g.*, count(*) FILTER (WHERE enabled AND group_key <> 'base') OVER (PARTITION BY book_id) AS special FROM groups g)
+    SELECT x.book_id, x.group_key, CASE WHEN g.book_id IS NULL THEN 'unknown group' ELSE 'ok' END AS outcome FROM x LEFT JOIN groups g USING (book_id, group_key)
+    UNION ALL SELECT n.book_id, n.group_key, 'ok' FROM n JOIN w USING (book_id) WHERE n.book_id NOT IN (SELECT book_id FROM x) AND enabled AND (group_key <> 'base' OR special = 0)""")
 def jn_groups(spark, sf):
-    g = B.groups(spark, sf).withColumn("n", F.count_if("enabled").over(Window.partitionBy("book_id")))
-    return g.where("enabled or n = 0").select("book_id", "group_key")
+    """Groups that runs name, an error for unknown ones; of books without named groups all enabled special ones, else all enabled."""
+    a = B.table(spark, sf, "orders").where("o_custkey < 60").select(
+        F.concat(F.lit("b"), F.col("o_custkey") % 7).alias("book_id"), F.when(F.col("o_orderkey") % 9 == 0, "no-such").otherwise(F.concat(F.lit("brand-"), F.col("o_orderkey") % 30)).alias("group_key"), (F.col("o_custkey") % 4 > 0).alias("explicit"))
+    named = a.where("explicit and book_id in ('b0', 'b1', 'b5')").select("book_id", "group_key")
+    return V.resolved_groups(B.groups(spark, sf), a.select("book_id"), named)
 
 
 @query("win_groups_order", f"WITH {B.WITH_GROUPS} SELECT book_id, group_key, row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN contains(name, '1') THEN 0 ELSE 1 END, updated_at DESC) AS place FROM groups")
@@ -189,9 +194,10 @@ def agg_import_status(spark, sf):
     return d.withColumn("status", F.when(F.col("failed") == 0, "completed").when(F.col("failed") == F.col("total"), "failed").otherwise("completed_with_errors"))
 
 
-@query("agg_progress", f"WITH {B.WITH_RUNS} SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed FROM runs GROUP BY 1")
+@query("agg_progress", f"WITH {B.WITH_RUNS}, r AS (SELECT run_id, CASE WHEN stage = 'user' AND part > 3 THEN 'running' ELSE status END AS status FROM runs) SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'running') AS running FROM r GROUP BY 1")
 def agg_progress(spark, sf):
-    return B.runs(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+    r = B.runs(spark, sf).withColumn("status", F.when((F.col("stage") == "user") & (F.col("part") > 3), "running").otherwise(F.col("status")))
+    return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in ("completed", "failed", "running")])
 
 
 @query("agg_count_values", "SELECT event_type AS value, count(*) AS n FROM events WHERE trim(event_type, ' ') <> '' GROUP BY 1")
@@ -222,16 +228,17 @@ def src_batches(spark, sf):
 _MISSING = f"WITH {B.WITH_STATUS}, r AS (SELECT book_id, unnest(range(1, max(chapter_index) + 1)) AS chapter_index FROM chapters GROUP BY book_id), m AS (SELECT book_id, CAST(chapter_index AS INT) AS chapter_index FROM r WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.book_id = r.book_id AND s.chapter_index = r.chapter_index))"
 
 
-def _missing(spark, sf):
-    """Requested chapters that aren't stored; labelled documents are the stored ones."""
+def _missing(spark, sf, force=False):
+    """Requested chapters that aren't stored (with force all of them); labelled documents are the stored ones."""
     r = B.chapters(spark, sf).groupBy("book_id").agg(F.max("chapter_index").alias("z"))
     asked = r.select("book_id", F.explode(F.sequence(F.lit(1), "z")).alias("chapter_index"))
-    return asked.join(B.status(spark, sf).select("book_id", "chapter_index"), ["book_id", "chapter_index"], "left_anti")
+    return asked if force else asked.join(B.status(spark, sf).select("book_id", "chapter_index"), ["book_id", "chapter_index"], "left_anti")
 
 
-@query("src_missing", f"{_MISSING} SELECT * FROM m")
+@query("src_missing", f"{_MISSING} SELECT book_id, chapter_index, false AS force FROM m UNION ALL SELECT book_id, CAST(unnest(range(1, max(chapter_index) + 1)) AS INT), true FROM chapters GROUP BY book_id")
 def src_missing(spark, sf):
-    return _missing(spark, sf)
+    """What isn't stored, and with force everything that is asked for."""
+    return _missing(spark, sf).withColumn("force", F.lit(False)).unionByName(_missing(spark, sf, force=True).withColumn("force", F.lit(True)))
 
 
 @query("src_fetch_span", f"{_MISSING} SELECT book_id, CAST((chapter_index - 1) // 10 AS INT) AS batch, min(chapter_index) AS first, max(chapter_index) AS last, count(*) AS n FROM m GROUP BY 1, 2")
@@ -246,14 +253,37 @@ def src_range_guard(spark, sf):
     return B.table(spark, sf, "orders").select("o_orderkey", a.cast("int").alias("start_chapter"), z.cast("int").alias("end_chapter"), F.when(a < 1, "bad start").when(z - a + 1 > 100, "too many").otherwise("ok").alias("outcome"))
 
 
-@query("jn_journey", f"{_JOINED}, v AS ({_L2}) SELECT book_id, CASE WHEN total = 0 THEN 'import' WHEN completed = 0 THEN 'build' WHEN failed > completed THEN 'retry' WHEN missing > 0 THEN 'continue' ELSE 'ask' END AS step FROM v")
+_LIVE = "lv AS (SELECT 'src' || (user_id % 25) AS book_id, max(CASE WHEN event_type = 'error' AND user_id < 30 THEN 1 ELSE 0 END) > 0 AS import_live, max(CASE WHEN event_type = 'signup' AND user_id < 60 THEN 1 ELSE 0 END) > 0 AS l1_live, max(CASE WHEN event_type = 'view' AND user_id BETWEEN 60 AND 80 THEN 1 ELSE 0 END) > 0 AS l2_live FROM events GROUP BY 1), gr AS (SELECT 'src' || (p_size % 15) AS book_id, count(DISTINCT p_brand) AS groups FROM part GROUP BY 1)"
+
+
+def _ledger(spark, sf):
+    """Books with their chapters, built chapters, facts, groups and live tasks by type; some books have no chapters."""
+    e = B.table(spark, sf, "events")
+    one = lambda kind, low, high: F.max(F.when((F.col("event_type") == kind) & F.col("user_id").between(low, high), 1).otherwise(0)) > 0
+    live = e.groupBy(F.concat(F.lit("src"), F.col("user_id") % 25).alias("book_id")).agg(one("error", 0, 29).alias("import_live"), one("signup", 0, 59).alias("l1_live"), one("view", 60, 80).alias("l2_live"))
+    groups = B.table(spark, sf, "part").groupBy(F.concat(F.lit("src"), F.col("p_size") % 15).alias("book_id")).agg(F.count_distinct("p_brand").alias("groups"))
+    return V.ledger(live.select("book_id"), agg_l2_cov(spark, sf), groups, live)
+
+
+_BOOKS = f"{_JOINED}, v AS ({_L2}), {_LIVE}, bk AS (SELECT lv.*, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(facts, 0) AS facts, coalesce(gr.groups, 0) AS groups FROM lv LEFT JOIN v USING (book_id) LEFT JOIN gr USING (book_id))"
+
+
+@query("jn_journey", f"{_BOOKS} SELECT book_id, CASE WHEN import_live THEN 'importing' WHEN total = 0 THEN 'import' WHEN l1_live THEN 'indexing' WHEN completed = 0 OR failed > completed THEN 'index' WHEN l2_live THEN 'extracting' WHEN groups <= 1 THEN 'groups' ELSE 'ask' END AS step FROM bk")
 def jn_journey(spark, sf):
-    step = F.when(F.col("total") == 0, "import").when(F.col("completed") == 0, "build").when(F.col("failed") > F.col("completed"), "retry").when(F.col("missing") > 0, "continue").otherwise("ask")
-    return agg_l2_cov(spark, sf).select("book_id", step.alias("step"))
+    """The next step of every book: the first rule that holds. One group is the basic one and doesn't count."""
+    done = (F.col("completed") > 0) & (F.col("failed") <= F.col("completed"))
+    return _ledger(spark, sf).select("book_id", V.journey(F.col("total") > 0, done, F.col("groups"), F.col("import_live"), F.col("l1_live"), F.col("l2_live")).alias("step"))
 
 
-@query("jn_ledger", f"{_JOINED}, v AS ({_L2}), t AS (SELECT 'src' || (user_id % 20) AS book_id, count(*) AS live FROM events WHERE event_type = 'view' AND user_id % 40 < 20 GROUP BY 1) SELECT book_id, CASE WHEN coalesce(live, 0) > 0 THEN 'running' WHEN failed > 0 THEN 'failed' WHEN missing > 0 THEN 'partial' ELSE 'done' END AS state, coalesce(live, 0) AS live FROM v LEFT JOIN t USING (book_id)")
+@query("jn_ledger", f"""{_BOOKS} SELECT book_id, total, CASE WHEN l1_live THEN 'running ' || CAST(CASE WHEN total > 0 THEN round(completed * 100.0::DOUBLE / total) ELSE 0 END AS INT) || '%' WHEN completed = 0 THEN 'none' WHEN completed < total THEN completed || '/' || total ELSE 'done' END AS l1_cell,
+    CASE WHEN l2_live THEN 'running' WHEN groups = 0 THEN '0 groups' ELSE groups || ' groups, ' || facts || ' facts' END AS l2_cell, row_number() OVER (ORDER BY CASE WHEN import_live OR l1_live OR l2_live THEN 0 ELSE 1 END, book_id) AS place FROM bk""")
 def jn_ledger(spark, sf):
-    live = B.table(spark, sf, "events").where("event_type = 'view' and user_id % 40 < 20").groupBy(F.concat(F.lit("src"), F.col("user_id") % 20).alias("book_id")).agg(F.count(F.lit(1)).alias("live"))
-    v = agg_l2_cov(spark, sf).join(live, "book_id", "left").withColumn("live", F.coalesce("live", F.lit(0)))
-    return v.select("book_id", F.when(F.col("live") > 0, "running").when(F.col("failed") > 0, "failed").when(F.col("missing") > 0, "partial").otherwise("done").alias("state"), "live")
+    """Books with the state of both indexes, those with a live task first."""
+    b = _ledger(spark, sf)
+    live = F.col("import_live") | F.col("l1_live") | F.col("l2_live")
+    percent = F.when(F.col("total") > 0, F.round(F.col("completed") * 100.0 / F.col("total"))).otherwise(0).cast("int")
+    l1 = F.when(F.col("l1_live"), F.concat(F.lit("running "), percent, F.lit("%"))).when(F.col("completed") == 0, "none").when(F.col("completed") < F.col("total"), F.concat("completed", F.lit("/"), "total")).otherwise("done")
+    l2 = F.when(F.col("l2_live"), "running").when(F.col("groups") == 0, "0 groups").otherwise(F.concat("groups", F.lit(" groups, "), "facts", F.lit(" facts")))
+    # One row a book, the end of a report: the order is over all of them.
+    place = F.row_number().over(Window.orderBy(F.when(live, 0).otherwise(1), "book_id"))
+    return b.select("book_id", "total", l1.alias("l1_cell"), l2.alias("l2_cell"), place.cast("long").alias("place"))
\ No newline at end of file

@@ -4,29 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom import tables
 from corpusloom.functions import columns as C
+from corpusloom.functions import questions as Q
 from corpusloom.operators import packing as P
 from corpusloom.operators import recall as R
 from corpusloom.plans import bind as B
 from corpusloom.plans.questions import _SCORED, _facts, _terms
 from corpusloom.plans.registry import query
+from corpusloom.sources import enrich as E
+
+
+#: Longest to shortest form of a fact.
+_LADDER_FACT = (420, 220, 120, 60)
+#: Budget and fixed part of a chunk: small, so that the given sentences are shortened and left out, too.
+_BUDGET, _OVERHEAD = 320, 200
 
 
 def _entries(spark, sf):
-    """The 120 best facts of every question with their packed size."""
+    """The 120 best facts of every question with the sizes of their forms; written once, they are used several times."""
     facts = _facts(spark, sf)
     top = R.ranked(R.score(facts, _terms(spark, sf)), 120).select("query_id", "fact_id", "place", "chapter_index")
-    return top.join(facts.select("fact_id", "fact", C.clip(F.col("fact"), 420).alias("clipped")), "fact_id").withColumn("size", F.length("clipped") + 10)
-
-
-_ENTRIES = _SCORED + r""", e AS (SELECT r.query_id, r.fact_id, CAST(r.place AS INT) AS place, r.chapter_index, f.fact,
-        CASE WHEN length(f.fact) > 420 THEN 430 ELSE length(trim(regexp_replace(f.fact, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) + 10 END AS size
-    FROM ranked r JOIN f USING (fact_id) WHERE r.place <= 120)"""
-_CHUNKS = _ENTRIES.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (
-        SELECT query_id, place, 1 AS chunk, size AS held FROM e WHERE place = 1
+    forms = F.array(*[C.clip(F.col("fact"), n) for n in _LADDER_FACT])
+    e = top.join(facts.select("fact_id", "fact", forms.alias("forms")), "fact_id")
+    return tables.staged(e.withColumn("sizes", F.transform("forms", lambda x: F.length(x) + 10)).withColumn("size", F.get("sizes", F.lit(0))), "entries")
+
+
+_FORM = r"CASE WHEN length(t) > {n} THEN substr(t, 1, {n} - 3) || '...' ELSE t END"
+_ENTRIES = _SCORED + r""", e AS (SELECT *, s[1] AS size FROM (SELECT *, list_transform(forms, lambda x: length(x) + 10) AS s FROM (SELECT query_id, fact_id, place, chapter_index, fact, [""" + ", ".join(_FORM.format(n=n) for n in (420, 220, 120, 60)) + r"""] AS forms
+    FROM (SELECT r.query_id, r.fact_id, CAST(r.place AS INT) AS place, r.chapter_index, f.fact, trim(regexp_replace(f.fact, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM ranked r JOIN f USING (fact_id) WHERE r.place <= 120))))"""
+_ROOM = _BUDGET - _OVERHEAD
+_NEXT = f"list_position(list_transform(e.s, lambda n: n <= {_ROOM}), true)"
+_CHUNKS = _ENTRIES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", q AS (
+        SELECT query_id, CAST(0 AS INT) AS place, CAST(0 AS INT) AS chunk, CAST(0 AS BIGINT) AS held, CAST(0 AS INT) AS rung, false AS omitted FROM e WHERE place = 1
         UNION ALL
-        SELECT e.query_id, e.place, CASE WHEN p.held + e.size <= 1800 THEN p.chunk ELSE p.chunk + 1 END, CASE WHEN p.held + e.size <= 1800 THEN p.held + e.size ELSE e.size END
-        FROM p JOIN e ON e.query_id = p.query_id AND e.place = p.place + 1)"""
+        SELECT e.query_id, e.place, CASE WHEN q.held > 0 AND q.held + e.s[1] <= {_ROOM} THEN q.chunk WHEN coalesce({_NEXT}, 0) = 0 THEN q.chunk ELSE q.chunk + 1 END,
+               CASE WHEN q.held > 0 AND q.held + e.s[1] <= {_ROOM} THEN q.held + e.s[1] WHEN coalesce({_NEXT}, 0) = 0 THEN 0 ELSE e.s[{_NEXT}] END,
+               CASE WHEN q.held > 0 AND q.held + e.s[1] <= {_ROOM} THEN 0 WHEN coalesce({_NEXT}, 0) = 0 THEN NULL ELSE {_NEXT} - 1 END, NOT (q.held > 0 AND q.held + e.s[1] <= {_ROOM}) AND coalesce({_NEXT}, 0) = 0
+        FROM q JOIN e ON e.query_id = q.query_id AND e.place = q.place + 1),
+    p AS (SELECT query_id, place, CASE WHEN NOT omitted THEN chunk END AS chunk, rung FROM q WHERE place > 0)"""
 
 
 @query("pk_length", f"{_ENTRIES} SELECT query_id, CAST(sum(size) AS BIGINT) AS chars FROM e GROUP BY 1")
@@ -34,9 +50,9 @@ def pk_length(spark, sf):
     return _entries(spark, sf).groupBy("query_id").agg(F.sum("size").alias("chars"))
 
 
-@query("pk_chunks", f"{_CHUNKS} SELECT query_id, place, CAST(chunk AS INT) AS chunk FROM p")
+@query("pk_chunks", f"{_CHUNKS} SELECT query_id, place, CAST(chunk AS INT) AS chunk, CAST(rung AS INT) AS rung FROM p")
 def pk_chunks(spark, sf):
-    return P.chunk_numbers(_entries(spark, sf), budget=2000, overhead=200)
+    return P.chunk_numbers(_entries(spark, sf), _BUDGET, _OVERHEAD)
 
 
 @query("pk_trim", f"{_ENTRIES} SELECT query_id, place FROM (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM e) WHERE upto <= 1500")
@@ -50,9 +66,13 @@ def pk_trim(spark, sf):
 _FLAT = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
 
 
-@query("pk_fit_one", f"SELECT doc_id, CASE WHEN least(length(t), 420) <= 300 THEN length(t) WHEN least(length(t), 220) <= 300 THEN 220 END AS n FROM (SELECT doc_id, {_FLAT} AS t FROM documents)")
+@query("pk_fit_one", f"SELECT doc_id, CASE WHEN least(length(t), 420) + 80 <= 300 THEN length(t) WHEN least(length(t), 220) + 48 <= 300 THEN least(length(t), 220) END AS n, CASE WHEN length(t) + 80 <= 300 THEN 80 WHEN least(length(t), 220) + 48 <= 300 THEN 48 END AS evidence FROM (SELECT doc_id, {_FLAT} AS t FROM documents)")
 def pk_fit_one(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", F.length(P.fitted(F.col("text"), F.lit(300))).cast("long").alias("n"))
+    """The longest form of a text and its evidence that fits into 300 characters."""
+    d = B.table(spark, sf, "documents").withColumn("evidence", F.array(F.lit("e" * 100)))
+    forms = F.array(*[F.struct(C.clip(F.col("text"), n).alias("fact"), F.array_join(C.string_array(F.col("evidence"), items, chars), "").alias("evidence")) for n, items, chars in ((420, 1, 80), (220, 1, 48), (120, 0, 0), (60, 0, 0))])
+    fit = F.get(F.filter(forms, lambda f: F.length(f["fact"]) + F.length(f["evidence"]) <= 300), F.lit(0))
+    return d.withColumn("fit", fit).select("doc_id", F.length("fit.fact").cast("long").alias("n"), F.length("fit.evidence").alias("evidence"))
 
 
 _LADDER = (3200, 1800, 1000, 560, 280, 140, 70, 40)
@@ -65,9 +85,19 @@ def pk_merge_fit(spark, sf):
     return sums.select("run_id", F.coalesce(*[F.when(F.col(f"s{n}") <= 900, n) for n in _LADDER], F.lit(40)).alias("step"))
 
 
-@query("pk_mode", f"{_ENTRIES} SELECT query_id, CASE WHEN sum(size) <= 1800 THEN 'direct' ELSE 'chunked' END AS mode FROM e GROUP BY 1")
+@query("pk_mode", f"""{_CHUNKS}, r AS (SELECT query_id, regexp_matches(lower(query), 'there') AND regexp_matches(lower(query), 'an') AND regexp_matches(lower(query), 'th') AS many FROM questions)
+    SELECT e.query_id, CASE WHEN r.many THEN 'collection_' ELSE '' END || CASE WHEN sum(e.size) <= 5200 THEN 'direct' ELSE 'chunked' END AS mode, CASE WHEN sum(e.size) <= 5200 THEN 0 ELSE count(*) FILTER (WHERE p.chunk IS NULL) END AS omitted, CAST(CASE WHEN sum(e.size) <= 5200 THEN 1 ELSE coalesce(max(p.chunk), 0) END AS INT) AS chunks
+    FROM e JOIN p ON p.query_id = e.query_id AND p.place = e.place JOIN r ON r.query_id = e.query_id GROUP BY e.query_id, r.many""")
 def pk_mode(spark, sf):
-    return _entries(spark, sf).groupBy("query_id").agg(F.when(F.sum("size") <= 1800, "direct").otherwise("chunked").alias("mode"))
+    """Direct where all facts fit together, else in chunks; collection questions by their own modes; what no chunk takes is omitted."""
+    v = Q.Vocabulary(leading="-", trailing="-", stop="-", asks=(("there", "list"),), many="an", subjects="th")
+    e = _entries(spark, sf)
+    both = e.select("query_id", "place", "size").join(P.chunk_numbers(e, _BUDGET, _OVERHEAD), ["query_id", "place"])
+    n = both.groupBy("query_id").agg(F.sum("size").alias("size"), F.count_if(F.col("chunk").isNull()).alias("omitted"), F.coalesce(F.max("chunk"), F.lit(0)).alias("chunks"))
+    q = B.questions(spark, sf).select("query_id", Q.collection_reason(F.col("query"), v).alias("reason"))
+    fits = F.col("size") <= 5200
+    mode = F.concat(F.when(F.col("reason") != "", "collection_").otherwise(""), F.when(fits, "direct").otherwise("chunked"))
+    return n.join(q, "query_id").select("query_id", mode.alias("mode"), F.when(fits, 0).otherwise(F.col("omitted")).cast("long").alias("omitted"), F.when(fits, 1).otherwise(F.col("chunks")).alias("chunks"))
 
 
 @query("pk_budget_guard", f"WITH {B.WITH_RUNS} SELECT run_id, CAST(sum(length(result)) AS BIGINT) AS chars FROM runs GROUP BY 1 HAVING sum(length(result)) > 2000")
@@ -75,13 +105,13 @@ def pk_budget_guard(spark, sf):
     return B.runs(spark, sf).groupBy("run_id").agg(F.sum(F.length("result")).alias("chars")).where("chars > 2000")
 
 
-_MD = f"{_CHUNKS}, m AS (SELECT p.query_id, p.chunk, string_agg('- [' || e.chapter_index || '] ' || substr(e.fact, 1, 60), chr(10) ORDER BY e.place) AS body FROM p JOIN e ON e.query_id = p.query_id AND e.place = p.place GROUP BY 1, 2)"
+_MD = f"{_CHUNKS}, m AS (SELECT p.query_id, p.chunk, string_agg('- [' || e.chapter_index || '] ' || e.forms[p.rung + 1], chr(10) ORDER BY e.place) AS body FROM p JOIN e ON e.query_id = p.query_id AND e.place = p.place WHERE p.chunk IS NOT NULL GROUP BY 1, 2)"
 
 
 def _markdown(spark, sf):
     e = _entries(spark, sf)
-    rows = P.chunk_numbers(e, budget=2000, overhead=200).where("chunk is not null").join(e.select("query_id", "place", "chapter_index", "fact"), ["query_id", "place"])
-    line = F.format_string("- [%d] %s", "chapter_index", F.substring("fact", 1, 60))
+    rows = P.chunk_numbers(e, _BUDGET, _OVERHEAD).where("chunk is not null").join(e.select("query_id", "place", "chapter_index", "forms"), ["query_id", "place"])
+    line = F.format_string("- [%d] %s", "chapter_index", F.get("forms", F.col("rung")))
     listed = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
     return rows.groupBy("query_id", "chunk").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
 
@@ -111,12 +141,36 @@ def pk_md_empty(spark, sf):
     return q.select("query_id", F.when(F.col("n").isNull(), "Nothing was recalled.").otherwise(F.concat(F.lit("recalled "), "n")).alias("answer"))
 
 
-@query("pk_fallback", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'none' WHEN regexp_matches(props, ': [1-4]') THEN 'quota' ELSE 'transport' END AS reason FROM events")
+_ERROR = "CASE event_type WHEN 'error' THEN 'Model x is UNAVAILABLE' WHEN 'view' THEN 'socket timed out' WHEN 'click' THEN 'returned Empty Text' WHEN 'signup' THEN 'upstream timeout' ELSE 'bad key' END"
+
+
+@query("pk_fallback", f"SELECT event_id, CASE event_type WHEN 'error' THEN 'model_unavailable' WHEN 'view' THEN 'transport_unavailable' WHEN 'click' THEN 'empty_text' WHEN 'signup' THEN 'model_unavailable' ELSE '' END AS reason FROM events")
 def pk_fallback(spark, sf):
-    return B.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "error", "none").when(F.col("props").rlike(": [1-4]"), "quota").otherwise("transport").alias("reason"))
+    return B.table(spark, sf, "events").select("event_id", P.fallback_reason(F.expr(_ERROR)).alias("reason"))
 
 
-@query("pk_summarise", f"{_MD} SELECT query_id, CAST(count(*) AS BIGINT) AS parts FROM m GROUP BY 1")
+@query("pk_summarise", f"""{_MD}, n AS (SELECT query_id, max(chunk) AS total FROM m GROUP BY 1) SELECT query_id, count(*) AS parts, count(*) FILTER (WHERE length(body) % 3 = 0) AS reused, string_agg('### Part ' || chunk || '/' || total || chr(10) || '## Facts' || chr(10) || body, chr(10) || chr(10) ORDER BY chunk) AS answer FROM m JOIN n USING (query_id) GROUP BY 1""")
 def pk_summarise(spark, sf):
-    """Chunks go through the default summariser (the Markdown itself) and are merged by question."""
-    return _markdown(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"))
+    """Chunks through the summariser, but those that an earlier run has done with equal keys, then merged by question.
+
+    The earlier run here has a third of the parts, each also failed, with another
+    prompt, another model and without a result, none of which counts.
+    """
+    parts = _markdown(spark, sf).withColumns({"content_hash": F.sha2("body", 256), "prompt_hash": F.lit("p"), "schema_hash": F.lit(""), "model": F.lit("m"), "effort": F.lit("low")})
+    parts = tables.staged(parts, "parts")
+    keys = ["content_hash", "prompt_hash", "schema_hash", "model", "effort"]
+    third = parts.where("length(body) % 3 = 0").withColumns({"status": F.lit("completed"), "result": F.concat(F.lit("## Facts\n"), "body")})
+    wrong = F.lit("not this one")
+    rest = parts.withColumns({"status": F.lit("completed"), "result": wrong})
+    others = [rest.withColumn("status", F.lit("failed")), rest.withColumn("prompt_hash", F.lit("q")), rest.withColumn("model", F.lit("n")), rest.withColumn("effort", F.lit("high")), rest.withColumn("result", F.lit(""))]
+    cache = third
+    for o in others:
+        cache = cache.unionByName(o)
+    found = P.reused(parts, cache, keys)
+    hits = found.where("result is not null").select("query_id", "chunk", "result", F.lit(True).alias("hit"))
+    made = E.summarise(found.where("result is null"), "excerpt", ["query_id", "chunk"], "body").where("ok").select("query_id", "chunk", "result", F.lit(False).alias("hit"))
+    every = hits.unionByName(made)
+    total = every.groupBy("query_id").agg(F.max("chunk").alias("total"))
+    text = F.concat(F.lit("### Part "), "chunk", F.lit("/"), "total", F.lit("\n"), "result")
+    listed = F.array_sort(F.collect_list(F.struct("chunk", text.alias("text"))))
+    return every.join(total, "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.count_if("hit").alias("reused"), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("answer"))

@@ -53,3 +53,36 @@ def enrich(rows: DataFrame, extractor: str, id_column: str, text_column: str) ->
 
     kind = rows.schema[id_column].dataType.simpleString()
     return rows.select(id_column, text_column).mapInPandas(run, f"{id_column} {kind}, ok boolean, items array<string>, error string")
+
+
+def excerpt(text: str) -> str:
+    """Default summariser: the text itself under a heading."""
+    return f"## Facts\n{text}"
+
+
+SUMMARISERS: dict[str, Callable[[str], str]] = {"excerpt": excerpt}
+
+
+def summarise(parts: DataFrame, summariser: str, keys: list[str], text_column: str, waits: tuple[float, ...] = (1.2, 2.4)) -> DataFrame:
+    """Apply a named summariser to every part: keys, ok, result, error. Three attempts on transport errors."""
+    rule = SUMMARISERS[summariser]
+
+    def attempt(text: str) -> tuple[bool, str | None, str]:
+        for wait in (*waits, None):
+            try:
+                return True, rule(text or ""), ""
+            except TransportError as e:
+                if wait is None:
+                    return False, None, str(e)
+                time.sleep(wait)
+            except Exception as e:  # noqa: BLE001  a bad part is a result
+                return False, None, f"{type(e).__name__}: {e}"
+        return False, None, ""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [attempt(t) for t in f[text_column]]
+            yield f[keys].assign(ok=[x[0] for x in found], result=[x[1] for x in found], error=[x[2] for x in found])
+
+    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
+    return parts.select(*keys, text_column).mapInPandas(run, f"{kinds}, ok boolean, result string, error string")
