@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of all patterns together that an automaton may have.
@@ -67,7 +67,13 @@ def _by_runs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     keyed = patterns.withColumn("n", length).withColumn("run", F.substring("pattern", F.lit(1), F.col("n")))
     lengths = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most five
     letters = texts.select("text_id", F.split("text", "").alias("c"))
-    at = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - n + 1)), lambda i, n=n: F.array_join(F.slice("c", i, n), "")) for n in lengths]
-    runs = letters.select("text_id", F.explode(F.array_distinct(F.concat(*at))).alias("run"))
+
+    def runs_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - n + 1))
+        return F.transform(places, lambda i: F.array_join(F.slice("c", i, F.lit(n)), ""))
+
+    if not lengths:
+        return texts.select("text_id", F.lit("").alias("pattern")).limit(0)
+    runs = letters.select("text_id", F.explode(F.array_distinct(F.concat(*map(runs_of, lengths)))).alias("run"))
     near = runs.join(keyed.select("run", "pattern"), "run").select("text_id", "pattern").distinct()
     return near.join(texts, "text_id").where(F.contains("text", "pattern")).select("text_id", "pattern")

@@ -144,11 +144,15 @@ WITH_GROUPS = """groups AS (
     FROM (SELECT p_brand, min(p_partkey) AS k FROM part GROUP BY p_brand))"""
 
 
-def task_events(spark: SparkSession, sf: str) -> DataFrame:
+def as_task_events(events: DataFrame) -> DataFrame:
     """Events as a task log: signup creates, purchase completes, error fails, the rest is progress."""
     e = F.col("event_type")
     event = F.when(e == "signup", "created").when(e == "purchase", "completed").when(e == "error", "failed").otherwise("progress")
-    return table(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", event.alias("event"), "value")
+    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", event.alias("event"), "value")
+
+
+def task_events(spark: SparkSession, sf: str) -> DataFrame:
+    return as_task_events(table(spark, sf, "events"))
 
 
 WITH_TASKS = """task_events AS (

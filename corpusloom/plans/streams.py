@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom import tables
+from corpusloom.operators import upsert as U
 from corpusloom.plans import bind as B
 from corpusloom.plans.registry import query
 from corpusloom.sources import enrich as E
@@ -18,10 +17,11 @@ _STATE = f"""WITH {B.WITH_TASKS}, x AS (SELECT task_id, min(seq) FILTER (WHERE e
     FROM task_events JOIN x USING (task_id) GROUP BY 1"""
 
 
-def _folder(spark) -> str:
-    """A new folder below the shared one of the session; in a test without one, a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{shared}/streams-{uuid.uuid4().hex}"
+def _log_stream(spark, sf):
+    """The given events as a file stream, read where they are."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    return B.as_task_events(e)
 
 
 @query("st_task_state", _STATE)
@@ -32,33 +32,41 @@ def st_task_state(spark, sf):
 @query("st_task_stream", _STATE)
 def st_task_stream(spark, sf):
     """The stateful stream over the log; of each task its last update."""
-    log, out = _folder(spark), _folder(spark)
-    B.task_events(spark, sf).select("task_id", "seq", "event").repartition(3).write.parquet(log)
-    stream = spark.readStream.schema("task_id long, seq long, event string").parquet(log)
-    sink = T.fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state")
-    sink.foreachBatch(lambda df, epoch: df.write.mode("append").parquet(f"{out}/rows")).trigger(availableNow=True).start().awaitTermination()
-    order = Window.partitionBy("task_id").orderBy(F.desc("last_seq"))
-    return spark.read.parquet(f"{out}/rows").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    out = tables.new_folder(spark, "stream")
+    sink = T.fold_stream(_log_stream(spark, sf)).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state")
+    sink.foreachBatch(lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{out}/rows")).trigger(availableNow=True).start().awaitTermination()
+    order = Window.partitionBy("task_id").orderBy(F.desc("epoch"))
+    return spark.read.parquet(f"{out}/rows").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "epoch")
 
 
-@query("st_recent", f"WITH {B.WITH_TASKS} SELECT task_id, seq, event FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS n FROM task_events) WHERE n <= 80")
+@query("st_recent", f"WITH {B.WITH_TASKS}, r AS (SELECT task_id, seq, event, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS n FROM task_events) SELECT task_id, seq, event, n <= 80 AS published FROM r WHERE n <= 200")
 def st_recent(spark, sf):
+    """The last 200 events of a task are kept, the last 80 published."""
     order = Window.partitionBy("task_id").orderBy(F.desc("seq"))
-    return B.task_events(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 80").select("task_id", "seq", "event")
+    return B.task_events(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 200").select("task_id", "seq", "event", (F.col("n") <= 80).alias("published"))
 
 
-@query("st_eta", f"WITH {B.WITH_TASKS}, d AS (SELECT task_id, seq, epoch(ts) - lag(epoch(ts)) OVER w AS gap FROM task_events WINDOW w AS (PARTITION BY task_id ORDER BY seq)), a AS (SELECT task_id, seq, avg(gap) OVER (PARTITION BY task_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mean6 FROM d) SELECT task_id, seq, round(mean6, 2) AS mean6 FROM a WHERE mean6 IS NOT NULL")
+@query("st_eta", f"""WITH {B.WITH_TASKS}, e AS (SELECT task_id, seq, epoch(ts) AS tm, CASE WHEN event = 'created' THEN 'paused' ELSE event END AS event FROM task_events),
+    g AS (SELECT *, coalesce(tm - lag(tm) OVER w, 0) AS gap, coalesce(lag(event) OVER w = 'paused', false) AS p FROM e WINDOW w AS (PARTITION BY task_id ORDER BY seq)),
+    s AS (SELECT *, sum(CASE WHEN p THEN gap ELSE 0 END) OVER u AS paused, sum(CASE WHEN event = 'progress' THEN 1 ELSE 0 END) OVER u AS done, tm - first_value(tm) OVER u AS since FROM g WINDOW u AS (PARTITION BY task_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    d AS (SELECT task_id, seq, tm - lag(tm) OVER (PARTITION BY task_id ORDER BY seq) AS took FROM e WHERE event = 'progress'),
+    m AS (SELECT task_id, seq, avg(took) OVER (PARTITION BY task_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mean FROM d),
+    j AS (SELECT s.*, last_value(m.mean IGNORE NULLS) OVER (PARTITION BY s.task_id ORDER BY s.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM s LEFT JOIN m ON m.task_id = s.task_id AND m.seq = s.seq)
+    SELECT task_id, seq, round(since - paused, 2) AS elapsed, CASE WHEN greatest(0, 60 - done) = 0 THEN 0.0 ELSE round(coalesce(mean, CASE WHEN done > 0 THEN round(since - paused, 2) / done END) * greatest(0, 60 - done), 2) END AS remaining FROM j""")
 def st_eta(spark, sf):
-    """Mean of the last six unit durations."""
-    w = Window.partitionBy("task_id").orderBy("seq")
+    """Elapsed time without pauses, and what remains by the mean of the last six units."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    d = B.task_events(spark, sf).withColumn("gap", seconds - F.lag(seconds).over(w))
-    return d.select("task_id", "seq", F.round(F.avg("gap").over(w.rowsBetween(-5, 0)), 2).alias("mean6")).where("mean6 is not null")
+    e = B.task_events(spark, sf).withColumns({"at": seconds, "event": F.when(F.col("event") == "created", "paused").otherwise(F.col("event")), "total": F.lit(60)})
+    return T.durations(e)
 
 
-@query("st_list", f"SELECT task_id, last_seq FROM ({_STATE}) WHERE state = 'failed'")
+@query("st_list", f"WITH x AS ({_STATE}), k AS (SELECT user_id AS task_id, arg_min(event_type, event_id) AS type FROM events GROUP BY 1) SELECT task_id, last_seq, type, row_number() OVER (PARTITION BY type, state ORDER BY last_seq DESC) AS place FROM x JOIN k USING (task_id) WHERE state = 'failed' AND type IN ('view', 'click')")
 def st_list(spark, sf):
-    return T.fold(B.task_events(spark, sf)).where("state = 'failed'").select("task_id", "last_seq")
+    """Tasks of some types and one status, newest first."""
+    kind = B.table(spark, sf, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.min_by("event_type", "event_id").alias("type"))
+    t = T.fold(B.task_events(spark, sf)).join(kind, "task_id").where("state = 'failed' and type in ('view', 'click')")
+    place = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("last_seq")))
+    return t.select("task_id", "last_seq", "type", place.cast("long").alias("place"))
 
 
 @query("st_payload", f"WITH {B.WITH_TASKS} SELECT task_id, seq, event FROM task_events")
@@ -66,32 +74,48 @@ def st_payload(spark, sf):
     return B.task_events(spark, sf).drop("ts", "value")
 
 
-@query("agg_task_diag", f"SELECT state, count(*) AS n, CAST(sum(processed) AS BIGINT) AS processed FROM ({_STATE}) GROUP BY 1")
+_KINDS = "k AS (SELECT user_id AS task_id, arg_min(event_type, event_id) AS type FROM events GROUP BY 1)"
+
+
+@query("agg_task_diag", f"WITH x AS ({_STATE}), {_KINDS} SELECT 'status' AS kind, state AS value, count(*) AS n FROM x GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'live', '', count(*) FROM x WHERE state = 'running' UNION ALL SELECT 'recent', CAST(task_id AS VARCHAR), last_seq FROM (SELECT * FROM x ORDER BY last_seq DESC, task_id LIMIT 12)")
 def agg_task_diag(spark, sf):
-    return T.fold(B.task_events(spark, sf)).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("processed").alias("processed"))
+    """Tasks by status and by type, how many are live, and the twelve most recent."""
+    x = T.fold(B.task_events(spark, sf))
+    kind = B.table(spark, sf, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.min_by("event_type", "event_id").alias("type"))
+    n = F.count(F.lit(1)).alias("n")
+    recent = x.orderBy(F.desc("last_seq"), "task_id").limit(12).select(F.lit("recent").alias("kind"), F.col("task_id").cast("string").alias("value"), F.col("last_seq").alias("n"))
+    status = x.groupBy(F.col("state").alias("value")).agg(n).select(F.lit("status").alias("kind"), "value", "n")
+    types = kind.groupBy(F.col("type").alias("value")).agg(n).select(F.lit("type").alias("kind"), "value", "n")
+    return status.unionByName(types).unionByName(x.where("state = 'running'").agg(n).select(F.lit("live").alias("kind"), F.lit("").alias("value"), "n")).unionByName(recent)
 
 
-@query("st_subscribe", f"WITH {B.WITH_TASKS} SELECT event, count(*) AS n FROM task_events GROUP BY 1")
+@query("st_subscribe", f"WITH {B.WITH_TASKS} SELECT 'message' AS kind, event AS value, count(*) AS n FROM task_events WHERE seq > 200 GROUP BY 2 UNION ALL SELECT 'snapshot', 'tasks', count(DISTINCT task_id) FROM task_events WHERE seq <= 200")
 def st_subscribe(spark, sf):
-    """One message an event through a stream's batches, counted by kind."""
-    log, out = _folder(spark), _folder(spark)
-    B.task_events(spark, sf).select("task_id", "seq", "event").write.parquet(log)
-    stream = spark.readStream.schema("task_id long, seq long, event string").parquet(log)
-    sink = stream.writeStream.option("checkpointLocation", f"{out}/state")
-    sink.foreachBatch(lambda df, epoch: df.write.mode("append").parquet(f"{out}/messages")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/messages").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    """A subscriber gets the state of all tasks as it is, then one message an event that comes later."""
+    out = tables.new_folder(spark, "subscribe")
+    snapshot = T.fold(B.task_events(spark, sf).where("seq <= 200")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("snapshot").alias("kind"), F.lit("tasks").alias("value"), "n")
+    sink = _log_stream(spark, sf).where("seq > 200").writeStream.option("checkpointLocation", f"{out}/state")
+    sink.foreachBatch(lambda df, epoch: df.select("task_id", "seq", "event").write.mode("append").parquet(f"{out}/messages")).trigger(availableNow=True).start().awaitTermination()
+    sent = spark.read.schema("task_id long, seq long, event string").parquet(f"{out}/messages").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return sent.select(F.lit("message").alias("kind"), F.col("event").alias("value"), "n").unionByName(snapshot)
 
 
-@query("st_increment", "SELECT doc_id, true AS ok FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")
+@query("st_increment", f"WITH {B.WITH_STATUS} SELECT c.doc_id, CASE WHEN s.status = 'completed' AND s.source_hash = c.content_hash THEN 'kept' ELSE 'built' END AS outcome, c.content_hash AS source_hash FROM chapters c LEFT JOIN status s USING (doc_id)")
 def st_increment(spark, sf):
-    """Chapters arrive as a stream; only those that aren't fresh go to the extractor."""
-    files, out = _folder(spark), _folder(spark)
-    B.table(spark, sf, "documents").select("doc_id", "text").write.parquet(files)
-    fresh = B.table(spark, sf, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    """Chapters arrive as a stream: those whose stored row isn't completed on the same text go to the extractor, and their rows are upserted."""
+    out = tables.new_folder(spark, "increment")
+    stored = B.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("now")).join(B.table(spark, sf, "labels"), "doc_id")
+    stored = tables.staged(stored.select("doc_id", F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"), F.when(F.col("toxic") == 1, "").otherwise(F.col("now")).alias("source_hash")), "stored")
 
     def build(df, epoch):
-        E.enrich(df.join(fresh, "doc_id", "left_anti"), "names", "doc_id", "text").select("doc_id", "ok").write.mode("append").parquet(f"{out}/rows")
+        come = df.select("doc_id", "text", F.sha2("text", 256).alias("content_hash"))
+        fresh = stored.where("status = 'completed'").select("doc_id", F.col("source_hash").alias("content_hash"))
+        work = come.join(fresh, ["doc_id", "content_hash"], "left_anti")
+        made = E.enrich(work, "names", "doc_id", "text").where("ok").select("doc_id").join(come.select("doc_id", "content_hash"), "doc_id")
+        made.select("doc_id", F.lit("completed").alias("status"), F.col("content_hash").alias("source_hash"), F.lit(epoch).cast("long").alias("pos")).write.mode("append").parquet(f"{out}/rows")
 
-    stream = spark.readStream.schema("doc_id long, text string").parquet(files)
+    stream = spark.readStream.schema(B.table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet*")
     stream.writeStream.option("checkpointLocation", f"{out}/state").foreachBatch(build).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    new = spark.read.schema("doc_id long, status string, source_hash string, pos long").parquet(f"{out}/rows")
+    after = U.latest(stored.withColumn("outcome", F.lit("kept")), new.withColumn("outcome", F.lit("built")), ["doc_id"])
+    return after.select("doc_id", "outcome", "source_hash")
\ No newline at end of file

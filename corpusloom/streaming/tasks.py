@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,21 +37,52 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current, processed, last = state.get if state.exists else ("running", 0, -1)
-    events = pd.concat(list(frames)).sort_values("seq")
-    for event, seq in zip(events["event"], events["seq"], strict=True):
-        last = max(last, int(seq))
-        if event == "cancelled" and current != "completed":
-            current = "cancelled"
-        elif current not in FINAL:
-            if event in FINAL:
-                current = event
+    """The log may come in any order, so the state holds what ``fold`` needs of
+    it: the first seq of cancelled, of another end (with its kind), the last seq, and
+    the seqs of progress before the end that is known so far."""
+    cancelled, ended, kind, last, seqs = state.get if state.exists else (None, None, None, -1, [])
+    seqs = list(seqs)
+    for events in frames:
+        for event, seq in zip(events["event"], events["seq"].astype(int), strict=True):
+            last = max(last, seq)
+            if event == "cancelled":
+                cancelled = seq if cancelled is None else min(cancelled, seq)
+            elif event in FINAL and (ended is None or seq < ended):
+                ended, kind = seq, event
             elif event == "progress":
-                processed += 1
-    state.update((current, processed, last))
-    yield pd.DataFrame({"task_id": [key[0]], "state": [current], "processed": [processed], "last_seq": [last]})
+                seqs.append(seq)
+    seqs = [s for s in seqs if ended is None or s < ended]
+    state.update((cancelled, ended, kind, last, seqs))
+    current = "cancelled" if cancelled is not None and kind != "completed" else kind or "running"
+    yield pd.DataFrame({"task_id": [key[0]], "state": [current], "processed": [len(seqs)], "last_seq": [last]})
+
+
+def durations(events: DataFrame) -> DataFrame:
+    """task_id, seq, elapsed and remaining (seconds) at every event of the log.
+
+    ``events``: task_id, seq, at (seconds), event, total.  Elapsed is the time since the
+    task's first event without its pauses (paused to the next event); remaining is what is left of
+    the total times the mean of the last six unit durations, of twelve kept, else elapsed by units done.
+    """
+    w = Window.partitionBy("task_id").orderBy("seq")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(0.0))
+    was_paused = F.coalesce(F.lag("event").over(w) == "paused", F.lit(False))
+    e = events.withColumns({"gap": gap, "pause": F.when(was_paused, gap).otherwise(0.0), "unit": F.col("event") == "progress"})
+    e = e.withColumns({"paused": F.sum("pause").over(upto), "done": F.sum(F.when(F.col("unit"), 1).otherwise(0)).over(upto), "elapsed": F.col("at") - F.first("at").over(upto)})
+    e = e.withColumn("elapsed", F.round(F.col("elapsed") - F.col("paused"), 2))
+    since = F.when(F.col("unit"), F.col("at") - F.last(F.when(F.col("unit"), F.col("at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    units = e.withColumn("took", since)
+    recent = Window.partitionBy("task_id", "unit").orderBy("seq").rowsBetween(-5, 0)
+    mean = F.when(F.col("unit"), F.avg(F.when(F.col("took") > 0, F.col("took"))).over(recent))
+    units = units.withColumn("__mean", mean).withColumn("mean", F.last("__mean", ignorenulls=True).over(upto)).drop("__mean")
+    left = F.greatest(F.lit(0), F.col("total") - F.col("done"))
+    rate = F.coalesce("mean", F.when(F.col("done") > 0, F.col("elapsed") / F.col("done")))
+    return units.select("task_id", "seq", "elapsed", F.when(left == 0, 0.0).otherwise(F.round(rate * left, 2)).alias("remaining"))
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """The same state from a stream; a task's row comes again whenever it changes (update mode)."""
-    return events.groupBy("task_id").applyInPandasWithState(_advance, STATE, "state string, processed long, last_seq long", "update", GroupStateTimeout.NoTimeout)
+    """The same state from a stream whose events may come in any order and over several batches; a
+    task's row comes again whenever it changes (update mode).  A running task's
+    state holds its progress seqs, one long each."""
+    return events.groupBy("task_id").applyInPandasWithState(_advance, STATE, "cancelled long, ended long, kind string, last_seq long, seqs array<long>", "update", GroupStateTimeout.NoTimeout)

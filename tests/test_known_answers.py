@@ -1,10 +1,14 @@
 """Known answers and rows that the driver's tables don't have."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
 from corpusloom.functions import questions as Q
+from corpusloom.operators import containment
 from corpusloom.operators import coverage as V
+from corpusloom.operators import json_views as J
 from corpusloom.operators import packing as P
 from corpusloom.operators import recall as R
 from corpusloom.operators import subjects as S
@@ -45,15 +49,51 @@ def test_scalars(spark):
     assert one(spark, C.duration(F.lit(3_725_000))) == "1h 2m 5s"
 
 
+FACT = "fact_id string, fact string, entity string, importance double, confidence double, chapter_index int, fields array<string>, evidence string"
+PLAIN = Q.Vocabulary(leading="-", trailing="-", stop="-")
+
+
+def fact_table(spark, rows):
+    return spark.createDataFrame(rows, FACT).withColumn("text", F.lower(F.concat_ws(" ", "fact", "fields", "evidence")))
+
+
 def test_recall_puts_targets_with_terms_first(spark):
-    facts = [(f"f{i}", f"weak fact number{i}", "other", 0.9, 0.9, i) for i in range(180)] + [(f"t{i}", f"the silverblade {i}", "silverblade", 0.1, 0.1, 200 + i) for i in range(5)]
-    table = spark.createDataFrame(facts, "fact_id string, fact string, entity string, importance double, confidence double, chapter_index int").withColumn("text", F.concat_ws(" ", "entity", "fact"))
+    facts = [(f"f{i}", f"weak fact number{i}", "other", 0.9, 0.9, i, ["other"], "") for i in range(180)] + [(f"t{i}", f"the silverblade {i}", "silverblade", 0.1, 0.1, 200 + i, ["silverblade"], "") for i in range(5)]
+    table = fact_table(spark, facts)
     terms = spark.createDataFrame([(1, "silverblade"), (1, "weak")], "query_id int, term string")
     ranked = R.ranked(R.score(table, terms)).orderBy("place").collect()
     assert len(ranked) == 185 and {r["fact_id"] for r in ranked[:5]} == {f"t{i}" for i in range(5)}
     assert R.ranked(R.score(table, terms), 160).count() == 160
 
 
+def test_recall_takes_all_facts_of_a_target_and_expands_else(spark):
+    facts = [(f"t{i}", "it shone", "moonlamp", 0.1, 0.1, i + 1, ["moonlamp"], "") for i in range(3)] + [("s", "a glassworker came", "glassworker", 0.5, 0.5, 7, ["glassworker", "guildhall"], "said “oldname” once")]
+    facts += [("g", "the guildhall burned", "fire", 0.2, 0.2, 9, ["fire"], ""), ("q", "oldname again", "x", 0.2, 0.2, 9, ["x"], ""), ("n", "nothing of it", "y", 0.9, 0.9, 2, ["y"], "")]
+    questions = spark.createDataFrame([(1, ["moonlamp", "guildhall"], "moonlamp"), (2, ["glassworker"], None), (3, ["unheard"], "unheard")], "query_id int, terms array<string>, target string")
+    got = {}
+    for r in R.recall(fact_table(spark, facts), questions, PLAIN).collect():
+        got.setdefault(r["query_id"], {})[r["fact_id"]] = r["target"]
+    assert got == {1: {"t0": True, "t1": True, "t2": True, "s": True}, 2: {"s": False, "g": False, "q": False}}
+
+
+def test_terms_of_two_letters_and_with_spaces(spark):
+    facts = fact_table(spark, [("a", "in the big house", "x", 0.0, 0.0, 1, ["x"], ""), ("b", "三尺之剑名曰初一", "初一", 0.0, 0.0, 2, ["初一"], ""), ("c", "bigger houses", "y", 0.0, 0.0, 3, ["y"], "")])
+    terms = spark.createDataFrame([(1, "Big House"), (2, "初一"), (3, "se"), (4, "x")], "query_id int, term string")
+    assert {(r["query_id"], r["fact_id"]) for r in R.matches(facts, terms).collect()} == {(1, "a"), (2, "b"), (3, "a"), (3, "c")}
+
+
+def test_containment_by_automaton_and_by_runs(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab剑 c") for _ in range(r.randint(0, 60))) for _ in range(80)] + ["", None]
+    patterns = ["".join(r.choice("ab剑 c") for _ in range(r.choice([1, 2, 3, 5, 9, 17]))) for _ in range(60)] + ["", None]
+    left, right = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = {(i, p) for i, t in enumerate(texts) for p in patterns if p and p in (t or "")}
+    for most in (10**6, 0):
+        found = [tuple(x) for x in containment.contained(left, right, most).collect()]
+        assert len(found) == len(want) and set(found) == want
+        assert containment.contained(left.limit(0), right, most).count() == containment.contained(left, right.limit(0), most).count() == 0
+
+
 def test_recall_matches_inside_words(spark):
     facts = spark.createDataFrame([("a", "他拔出了飞剑胚而去"), ("b", "nothing here"), ("c", "abcXYZdef")], "fact_id string, text string")
     terms = spark.createDataFrame([(1, "飞剑胚"), (2, "xyz"), (3, "def")], "query_id int, term string")
@@ -63,21 +103,22 @@ def test_recall_matches_inside_words(spark):
 def test_coverage_pick_keeps_all_when_few(spark):
     rows = [(1, f"f{i}", i % 7 + 1, i + 1) for i in range(30)]
     entries = spark.createDataFrame(rows, "query_id int, fact_id string, chapter_index int, place int")
-    assert R.coverage_pick(entries, 40).count() == 30
+    assert R.coverage_pick(entries, 40).count() == 30 and R.coverage_pick(entries, F.lit(7) + F.col("query_id")).count() == 8
     picked = R.coverage_pick(entries, 10).collect()
     assert len(picked) == 10 and {f"f{i}" for i in range(6)} <= {r["fact_id"] for r in picked}
 
 
 def test_subject_fold_keeps_quirks(spark):
-    rows = [("b", "k", 1, "verified", 9, "", 0.2, "x"), ("b", "k", 2, "verified", 12, "seen", 0.9, "y"), ("b", "k", 3, "candidate", 4, "later", 0.1, "x")]
-    row = S.fold(spark.createDataFrame(rows, "book_id string, subject_key string, pos int, status string, chapter int, basis string, confidence double, alias string")).first()
-    assert (row["status"], row["qualification_chapter"], row["basis"], row["confidence"], row["aliases"]) == ("candidate", 4, "seen", 0.9, "x,y")
+    rows = [("b", "k", 1, "verified", 9, "K", "beast", "", "p", "", [], 0.2, ["x"]), ("b", "k", 2, "verified", 12, "K2", "spirit", "", "p", "seen", ["e1"], 0.9, ["y"]), ("b", "k", 3, "candidate", 4, "K3", "tree", "seed", "q", "later", ["e2"], 0.1, ["x", " z "])]
+    row = S.fold(spark.createDataFrame(rows, "book_id string, subject_key string, pos int, status string, chapter int, canonical_name string, creature_type string, original_form string, prompt_hash string, basis string, evidence array<string>, confidence double, aliases array<string>")).first()
+    assert (row["status"], row["qualification_chapter"], row["basis"], row["evidence"], row["confidence"], row["aliases"]) == ("candidate", 4, "seen", ["e1"], 0.9, ["x", "k", "y", "z"])
+    assert (row["canonical_name"], row["creature_type"], row["original_form"], row["prompt_hash"]) == ("K3", "tree", "seed", "q")
 
 
 def test_chunks(spark):
-    rows = [(1, p, s) for p, s in enumerate([40, 50, 20, 500, 90, 10], 1)]
-    got = P.chunk_numbers(spark.createDataFrame(rows, "query_id int, place int, size int"), budget=110, overhead=10).orderBy("place").collect()
-    assert [r["chunk"] for r in got] == [1, 1, 2, None, 3, 3]
+    rows = [(1, p, s) for p, s in enumerate([[40, 20], [50, 20], [20, 20], [500, 90], [90, 30], [500, 400], [10, 10]], 1)]
+    got = P.chunk_numbers(spark.createDataFrame(rows, "query_id int, place int, sizes array<int>"), budget=110, overhead=10).orderBy("place").collect()
+    assert [(r["chunk"], r["rung"]) for r in got] == [(1, 0), (1, 0), (2, 0), (3, 1), (4, 0), (None, None), (5, 0)]
 
 
 def test_upsert_last_wins_and_keeps(spark):
@@ -87,9 +128,28 @@ def test_upsert_last_wins_and_keeps(spark):
 
 
 def test_chapter_payloads(spark):
-    rows = [(1, '{"chapters":[{"chapter_index":3,"content":"x"},{"sortid":"4","text":"y"},{"content":""}]}', 1), (2, '```json\n[{"body":"z"}]\n```', 7), (3, "bare text", 5), (4, '{"index":9,"text":"w"}', 1)]
-    got = {(r["id"], r["chapter_index"], r["content"]) for r in N.chapters(spark.createDataFrame(rows, "id int, p string, s int"), "id", "p", "s").collect()}
-    assert got == {(1, 3, "x"), (1, 4, "y"), (2, 7, "z"), (3, 5, "bare text"), (4, 9, "w")}
+    rows = [(1, '{"chapters":[{"chapter_index":3,"content":"x"},{"sort_id":"4th","text":"y"},{"content":"","status":"empty"}]}', 1), (2, 'see ```json\n[{"chapterContent":"z","chapterIndex":"no"}]\n``` there', 7), (3, "bare text", 5), (4, '{"index":9,"text":"w"}', 1), (5, '{"output":"{\\"records\\":[{\\"index\\":2,\\"chapter_content\\":\\"v\\"}]}"}', 1)]
+    got = {(r["id"], r["chapter_index"], r["content"], r["fetch_status"]) for r in N.chapters(spark.createDataFrame(rows, "id int, p string, s int"), "id", "p", "s").collect()}
+    assert got == {(1, 3, "x", "ok"), (1, 4, "y", "ok"), (1, 3, "", "empty"), (2, 7, "z", "ok"), (3, 5, "bare text", "ok"), (4, 1, "w", "ok"), (5, 2, "v", "ok")}
+
+
+def test_numbers_by_stretches_equal_one_window(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), i) for i in r.sample(range(-50, 900), 300)]
+    got = {(x["g"], x["i"]): x["n"] for x in V.numbered(spark.createDataFrame(rows, "g string, i long"), "g", "i", "n", stretch=64).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        want |= {(g, i): n for n, i in enumerate(sorted(i for h, i in rows if h == g), 1)}
+    assert got == want
+
+
+def test_summariser_failure_is_a_part(spark):
+    def rule(text):
+        raise E.TransportError("timed out")
+
+    E.SUMMARISERS["broken"] = rule
+    got = E.summarise(spark.createDataFrame([(1, "a")], "part int, body string"), "broken", ["part"], "body", waits=(0.0, 0.0)).first()
+    assert not got["ok"] and got["error"] == "timed out"
 
 
 def test_extractor_failure_is_a_row(spark):
@@ -109,10 +169,34 @@ def test_task_fold(spark):
     assert got == {1: ("cancelled", 1), 2: ("completed", 1), 3: ("running", 0)}
 
 
+def test_stream_in_any_order_equals_batch(spark, tmp_path):
+    r = random.Random(3)
+    log = [(t, s, r.choice(["created", "progress", "progress", "progress", "completed", "failed", "cancelled"] if r.random() < 0.3 else ["progress"])) for t in range(12) for s in range(20)]
+    r.shuffle(log)
+    frame = spark.createDataFrame(log, "task_id long, seq long, event string")
+    for i in range(6):
+        spark.createDataFrame(log[i::6], frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    last = {}
+    T.fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, epoch: last.update({x["task_id"]: tuple(x) for x in df.collect()})).trigger(availableNow=True).start().awaitTermination()
+    assert set(last.values()) == {tuple(x) for x in T.fold(frame).select("task_id", "state", "processed", "last_seq").collect()}
+
+
+def test_elapsed_without_pauses(spark):
+    log = [(1, 1, 0.0, "created", 5), (1, 2, 10.0, "progress", 5), (1, 3, 12.0, "paused", 5), (1, 4, 112.0, "resumed", 5), (1, 5, 118.0, "progress", 5)]
+    got = [(x["elapsed"], x["remaining"]) for x in T.durations(spark.createDataFrame(log, "task_id int, seq int, at double, event string, total int")).orderBy("seq").collect()]
+    assert got[1] == (10.0, 40.0) and got[3][0] == 12.0 and got[4] == (18.0, 324.0)
+
+
 def test_mentions(spark):
-    texts = spark.createDataFrame([(1, "once the golden hall of winds opened"), (2, "a golden hall")], "doc_id int, text string")
-    names = spark.createDataFrame([(7, "golden hall of winds"), (8, "golden hall elsewhere")], "subject_id int, name string")
-    assert [tuple(r) for r in S.mentions(texts, names).collect()] == [(1, 7)]
+    texts = spark.createDataFrame([(1, "once the golden hall of winds opened"), (2, "a golden hall"), (3, "“Ash”, he said"), (4, "剑灵初一醒来"), (5, "washed")], "doc_id int, text string")
+    names = spark.createDataFrame([(7, "golden hall of winds"), (8, "golden hall elsewhere"), (9, "Ash"), (10, "初一"), (11, "ash"), (11, "hall of")], "subject_id int, name string")
+    assert sorted(tuple(r) for r in S.mentions(texts, names).collect()) == [(1, 7), (1, 11), (3, 9), (4, 10), (5, 11)]
+
+
+def test_jsons_as_tables(spark):
+    v = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":1}}}},"n":null,"t":[1,"x"],"r":[{"k":"v","z":""},2]}')], "id int, s string").select("id", F.parse_json("s").alias("v"))
+    assert sorted((r["path"], r["value"]) for r in J.flattened(v, ["id"], "v").collect()) == [("a / b / c / d / e", "1"), ("r", "k：v\n2"), ("t", "1, x")]
 
 
 def test_question_rules_on_cjk_text(spark):
