@@ -204,7 +204,7 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited double, aligned_next double"
     ordered = spread.repartitionById(parts, "range").sortWithinPartitions("range", "last", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInPandas(compare, schema)
+    return ordered.mapInPandas(store.tidy(compare), schema)
 
 
 def _overlapping(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm import store
+
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Bound of the training sample, for each language.
 PER_LANGUAGE = 600
@@ -188,6 +190,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def made(texts: pd.Series) -> pd.DataFrame:
         found = [model.predict(t) for t in texts]
+        store.give_back()
         return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "accepted": [f[0] != UNKNOWN and f[1] >= model.threshold for f in found]})
 
     with_out = docs.withColumn("__langid", made(F.col("text").cast("string")))

@@ -150,8 +150,8 @@ def links(points: DataFrame) -> DataFrame:
     ``points``: distinct fp (long) with a node (long) each.  Pairs in crowded
     cells may be linked through a third point that is linked to both.
     """
-    grid = points.select("fp", "node").mapInPandas(_spread, "cell long, fp long, node long")
-    met = store.staged(grid.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_meet, "a long, b long, hot boolean"), "simhash-met")
+    grid = points.select("fp", "node").mapInPandas(store.tidy(_spread), "cell long, fp long, node long")
+    met = store.staged(grid.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(store.tidy(_meet), "a long, b long, hot boolean"), "simhash-met")
     crowd = met.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
     one_bit = F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))"))
     fine = crowd.select("node", one_bit.alias("cell")).withColumn("low", F.min("node").over(Window.partitionBy("cell")))

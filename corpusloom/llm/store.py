@@ -8,12 +8,15 @@ restart from files instead of from the source.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,26 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again by later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(work):
+    """A function over batches that gives memory back when its partition is done."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI, usable inside tasks."""
     return pafs.FileSystem.from_uri(uri)

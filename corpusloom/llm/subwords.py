@@ -90,7 +90,7 @@ def _byte_length(tokenizer, kind: str) -> np.ndarray:
 class UnitEncoder:
     """Encodes texts; holds at most ``most`` distinct units before it starts anew."""
 
-    def __init__(self, path: str, kind: str, most: int = 800_000):
+    def __init__(self, path: str, kind: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
