@@ -12,7 +12,8 @@ A window is ``window`` consecutive words of one document.  The jobs:
    and equal segments are counted, so copies cost one segment.  Anchors with
    more than ``HOT`` runs or ``HOT_WORDS`` words (in periodic text a run is as
    long as the document) are cut into single windows, dealt by the window's
-   own words; a task writes the words of equal windows of a batch once.
+   own words.  Equal windows of a batch are found there and then: their words
+   are marked, and one of them goes on with their number.
 4. Shards.  Segments with one anchor meet in one task, which groups anchors
    into shards of bounded size, builds a compressed FM-index of each (wavelet
    matrix over the Burrows-Wheeler transform of the words) and streams the
@@ -42,9 +43,9 @@ GRAM = 8
 #: Runs of one anchor beyond which it is dealt by whole windows.
 HOT = 8_000
 #: Words under the runs of one anchor beyond which it is dealt so, too.
-HOT_WORDS = 200_000
+HOT_WORDS = 150_000
 #: Words in one index.
-SHARD = 600_000
+SHARD = 400_000
 #: Symbols by which an index is ordered at least; longer than a window.
 ORDER = 36
 
@@ -285,51 +286,67 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                 anchor, first, windows, again = (np.concatenate([f[k] for f in found]) for k in range(4))
                 yield pd.DataFrame({"anchor": anchor.view(np.int64), "doc_id": frame["doc_id"].repeat(n), "place": first << 32 | windows, "weight": again + 1})
 
-    runs = store.staged(text.mapInPandas(anchors, "anchor long, doc_id long, place long, weight byte"), "anchor-runs")
+    runs = store.staged(text.mapInPandas(store.tidy(anchors), "anchor long, doc_id long, place long, weight byte"), "anchor-runs")
     words_under = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) + (window - 1)
     often = runs.groupBy("anchor").agg(F.sum("weight").alias("n"), F.sum(words_under).alias("words")).where("n > 1")
     often = often.select("anchor", ((F.col("n") > hot) | (F.col("words") > hot_words)).alias("hot"))
     held = runs.drop("weight").join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("runs"))
 
     def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, size, written = [], 0, set()
+        """Segments (hi null) and, of single windows that a batch has several
+        times, the words that they cover (hi set): these are found already, so
+        one of them goes on with their number, and none asks for the answer."""
+        rows, size, windows = [], 0, {}
 
         def batch() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words"])
+            covered: dict[int, list[int]] = {}
+            for digest, (anchor, piece, places) in windows.items():
+                rows.append((anchor, *places[0], digest, piece, len(places), len(places) > 1, None))
+                if len(places) > 1:
+                    for doc_id, at in places:
+                        covered.setdefault(doc_id, []).append(at)
+            for doc_id, starts in covered.items():
+                rows.extend((None, doc_id, lo, None, None, 0, True, hi) for lo, hi in _spans(np.unique(starts), window))
+            return pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words", "copies", "found", "hi"]).astype({"anchor": "Int64", "hi": "Int32"})
 
         for frame in frames:
             for doc_id, whole, own in zip(frame["doc_id"], frame["text"], frame["runs"], strict=True):
                 words = split_words(whole)
                 for run in own:
                     first, n = run["place"] >> 32, run["place"] & 0xFFFFFFFF
-                    for at in range(first, first + n) if run["hot"] else (first,):
-                        piece = b" ".join(words[at : at + window] if run["hot"] else words[first : first + n + window - 1])
+                    if not run["hot"]:
+                        piece = b" ".join(words[first : first + n + window - 1])
+                        rows.append((run["anchor"], doc_id, first, hashlib.md5(piece).digest(), piece, 1, False, None))
+                        size += 64 + len(piece)
+                    for at in range(first, first + n) if run["hot"] else ():
+                        piece = b" ".join(words[at : at + window])
                         digest = hashlib.md5(piece).digest()
-                        anchor = int.from_bytes(digest[:8], "little", signed=True) if run["hot"] else run["anchor"]
-                        again = run["hot"] and digest in written
-                        rows.append((anchor, doc_id, at, digest, None if again else piece))
-                        size += 64 if again else 64 + len(piece)
-                        if run["hot"]:
-                            written.add(digest)
-                        if size > 8_000_000:
-                            yield batch()
-                            rows, size, written = [], 0, set()
-        if rows:
+                        if digest in windows:
+                            windows[digest][2].append((doc_id, at))
+                            size += 64
+                        else:
+                            windows[digest] = (int.from_bytes(digest[:8], "little", signed=True), piece, [(doc_id, at)])
+                            size += 64 + len(piece)
+                    if size > 8_000_000:
+                        yield batch()
+                        rows, size, windows = [], 0, {}
+        if size:
             yield batch()
 
-    cut = text.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(cut_out, "anchor long, doc_id long, first int, seg binary, words binary")
-    segments = store.staged(cut, "segments")
+    cut = text.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(store.tidy(cut_out), "anchor long, doc_id long, first int, seg binary, words binary, copies long, found boolean, hi int")
+    pieces = store.staged(cut, "segments")
+    segments = pieces.where("hi is null")
 
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Count equal segments of a sorted partition before they are shuffled."""
         for frame in frames:
             anchor, seg = frame["anchor"].to_numpy(), frame["seg"].to_numpy()
             new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])])) if len(frame) else []
-            yield frame.iloc[new].assign(copies=np.diff(np.append(new, len(frame))))
+            yield frame.iloc[new].assign(copies=np.add.reduceat(frame["copies"].to_numpy(np.int64), new) if len(frame) else [])
 
     # Equal segments are counted on either side of one shuffle by anchor, which the shards need anyway.
-    combined = segments.select("anchor", "seg", "words").sortWithinPartitions("anchor", "seg", F.desc_nulls_last("words")).mapInPandas(combine, "anchor long, seg binary, words binary, copies long")
-    distinct = combined.repartition("anchor").groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("words", ignorenulls=True).alias("words"))
+    combined = segments.select("anchor", "seg", "words", "copies").sortWithinPartitions("anchor", "seg").mapInPandas(store.tidy(combine), "anchor long, seg binary, words binary, copies long")
+    distinct = combined.repartition("anchor").groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by anchor; shards end where an anchor does, if they can."""
@@ -353,13 +370,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                 if len(frame):
                     yield _search_shard(pd.concat(held), window)
                     held, size = [], 0
+                    store.give_back()
         if held:
             yield _search_shard(pd.concat(held), window)
 
-    spans = distinct.sortWithinPartitions("anchor").mapInPandas(search, "anchor long, seg binary, spans array<struct<lo:int,hi:int>>")
-    back = segments.select("anchor", "seg", "doc_id", "first").join(spans, ["anchor", "seg"])
+    spans = distinct.sortWithinPartitions("anchor").mapInPandas(store.tidy(search), "anchor long, seg binary, spans array<struct<lo:int,hi:int>>")
+    back = segments.where("not found").select("anchor", "seg", "doc_id", "first").join(spans, ["anchor", "seg"])
     moved = F.expr("transform(spans, s -> struct(s.lo + first as lo, s.hi + first as hi))")
-    return back.select("doc_id", moved.alias("spans")).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    already = pieces.where("hi is not null").select("doc_id", F.array(F.struct(F.col("first").alias("lo"), "hi")).alias("spans"))
+    return back.select("doc_id", moved.alias("spans")).unionByName(already).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _kept(text: str, spans) -> tuple[int, int, list[bytes]]:
@@ -392,6 +411,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def keep(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = [_kept(t, s) for t, s in zip(text, spans, strict=True)]
+        store.give_back()
         return pd.DataFrame({"n_words": [r[0] for r in rows], "n_removed": [r[1] for r in rows], "kept": [b" ".join(r[2]).decode("utf-8", "surrogatepass") for r in rows]})
 
     done = joined.withColumn("__out", keep(store.null_safe_text(), "__spans"))
