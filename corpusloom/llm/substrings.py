@@ -293,21 +293,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     held = runs.drop("weight").join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("runs"))
 
     def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Segments (hi null) and, of single windows that a batch has several
-        times, the words that they cover (hi set): these are found already, so
+        """Segments (hi negative) and, of single windows that a batch has several
+        times, the words that they cover (first to hi): these are found already, so
         one of them goes on with their number, and none asks for the answer."""
         rows, size, windows = [], 0, {}
 
         def batch() -> pd.DataFrame:
             covered: dict[int, list[int]] = {}
             for digest, (anchor, piece, places) in windows.items():
-                rows.append((anchor, *places[0], digest, piece, len(places), len(places) > 1, None))
+                rows.append((anchor, *places[0], digest, piece, len(places), len(places) > 1, -1))
                 if len(places) > 1:
                     for doc_id, at in places:
                         covered.setdefault(doc_id, []).append(at)
             for doc_id, starts in covered.items():
-                rows.extend((None, doc_id, lo, None, None, 0, True, hi) for lo, hi in _spans(np.unique(starts), window))
-            return pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words", "copies", "found", "hi"]).astype({"anchor": "Int64", "hi": "Int32"})
+                rows.extend((0, doc_id, lo, None, None, 0, True, hi) for lo, hi in _spans(np.unique(starts), window))
+            return pd.DataFrame(rows, columns=["anchor", "doc_id", "first", "seg", "words", "copies", "found", "hi"])
 
         for frame in frames:
             for doc_id, whole, own in zip(frame["doc_id"], frame["text"], frame["runs"], strict=True):
@@ -316,7 +316,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                     first, n = run["place"] >> 32, run["place"] & 0xFFFFFFFF
                     if not run["hot"]:
                         piece = b" ".join(words[first : first + n + window - 1])
-                        rows.append((run["anchor"], doc_id, first, hashlib.md5(piece).digest(), piece, 1, False, None))
+                        rows.append((run["anchor"], doc_id, first, hashlib.md5(piece).digest(), piece, 1, False, -1))
                         size += 64 + len(piece)
                     for at in range(first, first + n) if run["hot"] else ():
                         piece = b" ".join(words[at : at + window])
@@ -335,7 +335,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
 
     cut = text.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(store.tidy(cut_out), "anchor long, doc_id long, first int, seg binary, words binary, copies long, found boolean, hi int")
     pieces = store.staged(cut, "segments")
-    segments = pieces.where("hi is null")
+    segments = pieces.where("hi < 0")
 
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Count equal segments of a sorted partition before they are shuffled."""
@@ -377,7 +377,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     spans = distinct.sortWithinPartitions("anchor").mapInPandas(store.tidy(search), "anchor long, seg binary, spans array<struct<lo:int,hi:int>>")
     back = segments.where("not found").select("anchor", "seg", "doc_id", "first").join(spans, ["anchor", "seg"])
     moved = F.expr("transform(spans, s -> struct(s.lo + first as lo, s.hi + first as hi))")
-    already = pieces.where("hi is not null").select("doc_id", F.array(F.struct(F.col("first").alias("lo"), "hi")).alias("spans"))
+    already = pieces.where("hi >= 0").select("doc_id", F.array(F.struct(F.col("first").alias("lo"), "hi")).alias("spans"))
     return back.select("doc_id", moved.alias("spans")).unionByName(already).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
