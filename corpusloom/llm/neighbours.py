@@ -26,8 +26,12 @@ CURVES, DIMS, BITS = 6, 4, 8
 REACH = 0.125
 #: Rows of the sample that projections and bounds are fitted on.
 SAMPLE = 20_000
-#: Rows of a block and queries of a visit at most, roughly.
-BLOCK, VISIT = 8_192, 20_000
+#: Rows of a block and queries of a part at most, roughly.  A query is sent to a
+#: share of the blocks and a vector to all parts, so both numbers are as large as a
+#: task's memory allows: 32 768 vectors of 64 components are 17 MB.
+BLOCK, VISIT = 32_768, 131_072
+#: Scores that are held at a time.
+SCORES = 4_194_304
 #: Blocks of a curve at least, where they get that many rows each.
 LEAST_BLOCKS, LEAST_ROWS = 32, 64
 
@@ -106,9 +110,10 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[pd.Data
     members = rows["members"].to_numpy()
     low = np.array([m[0] for m in members])
     ids = queries["query_id"].to_numpy(np.int64)
-    for at in range(0, len(q), 512):
-        scores = q[at : at + 512] @ x.T
-        for i, row in enumerate(scores):
+    step = max(1, SCORES // len(x))
+    for at in range(0, len(q), step):
+        asked, given, reached = [], [], []
+        for i, row in enumerate(q[at : at + step] @ x.T):
             keep = min(len(row), k + 1)
             edge = np.partition(row, len(row) - keep)[len(row) - keep] - 1e-9
             near = np.flatnonzero(row >= edge)
@@ -121,7 +126,10 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[pd.Data
             other = vec != ids[at + i]
             vec, score = vec[other], score[other]
             first = np.lexsort((vec, -score))[:k]
-            yield pd.DataFrame({"query_id": ids[at + i], "vec_id": vec[first], "score": score[first]})
+            asked.append(np.full(len(first), ids[at + i]))
+            given.append(vec[first])
+            reached.append(score[first])
+        yield pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(given), "score": np.concatenate(reached)})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = REACH, curves: int = CURVES, blocks: int | None = None) -> DataFrame:
