@@ -35,22 +35,35 @@ def terms_of(questions: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     return listed.select("query_id", F.posexplode("terms").alias("pos", "term")).where(F.length("term") >= 2)
 
 
-def matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, fact_id, term for every term of two or more characters that a fact's text contains.
+def found(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """fact_id, term for every term of two or more characters that a fact's text
+    contains, once whatever the number of questions with the term.
 
-    ``facts``: fact_id, text; ``terms``: query_id, term.
+    ``facts``: fact_id, text; ``terms``: term.
     """
-    wanted = terms.select("query_id", token(F.col("term")).alias("term")).where(F.length("term") >= 2).distinct()
-    found = containment.contained(facts.select(F.col("fact_id").alias("text_id"), F.lower("text").alias("text")), wanted.select(F.col("term").alias("pattern")))
-    return found.select(F.col("text_id").alias("fact_id"), F.col("pattern").alias("term")).join(wanted, "term").select("query_id", "fact_id", "term")
+    patterns = terms.select(token(F.col("term")).alias("pattern")).where(F.length("pattern") >= 2)
+    hits = containment.contained(facts.select(F.col("fact_id").alias("text_id"), F.lower("text").alias("text")), patterns)
+    return hits.select(F.col("text_id").alias("fact_id"), F.col("pattern").alias("term"))
+
+
+def asked(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """``hits`` (with term) for every question that has the term. ``terms``: query_id, term."""
+    return hits.join(terms.select("query_id", token(F.col("term")).alias("term")).distinct(), "term")
+
+
+def matches(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, fact_id, term for every term that a fact's text contains (see ``found``)."""
+    return asked(found(facts, terms), terms).select("query_id", "fact_id", "term")
 
 
 def gains(facts: DataFrame, hits: DataFrame) -> DataFrame:
-    """hits with what each adds to the score: 2, 2.5 more if the fact itself has
-    the term, 4 if the entity equals it, 0.8 if it has three characters or more."""
+    """hits (fact_id, term) with what each adds to the score: 2, 2.5 more if the fact itself
+    has the term, 4 if the entity equals it, 0.8 if it has three characters or more."""
     t = F.col("term")
     gain = 2.0 + F.when(F.contains(token(F.col("fact")), t), 2.5).otherwise(0.0) + F.when(token(F.col("entity")) == t, 4.0).otherwise(0.0) + F.when(F.length(t) >= 3, 0.8).otherwise(0.0)
-    return hits.join(facts.select("fact_id", "fact", "entity", "importance", "confidence", "chapter_index"), "fact_id").select("query_id", "fact_id", "term", gain.alias("gain"), "importance", "confidence", "chapter_index")
+    # Spark estimates the hits by the size of what they are found in, which says nothing: they aren't to be broadcast.
+    valued = hits.hint("merge").join(facts.select("fact_id", "fact", "entity", "importance", "confidence", "chapter_index"), "fact_id")
+    return valued.withColumn("gain", gain).drop("fact", "entity")
 
 
 def scored(gained: DataFrame) -> DataFrame:
@@ -62,7 +75,7 @@ def scored(gained: DataFrame) -> DataFrame:
 
 def score(facts: DataFrame, terms: DataFrame) -> DataFrame:
     """Score of every fact that a term matches."""
-    return scored(gains(facts, matches(facts, terms)))
+    return scored(asked(gains(facts, found(facts, terms)), terms))
 
 
 def ranked(entries: DataFrame, most: int | None = None) -> DataFrame:
@@ -84,15 +97,18 @@ def first_of_equal(entries: DataFrame, by: str = "place") -> DataFrame:
 def coverage_pick(entries: DataFrame, limit: int | Column) -> DataFrame:
     """``limit`` entries of each query that also cover its chapters.
 
-    ``entries`` come with place.  Six tenths go by place; the rest evenly over
+    ``entries`` come with place (from 1, without gaps).  Six tenths go by place; the rest evenly over
     the best entries of all chapters; what is still open goes by place again.
     ``limit`` may be a column that is the same in all rows of a query.
+    Only the first ``limit`` entries and the best of each chapter can be chosen,
+    so only these are staged and go on.
     """
     by = Window.partitionBy("query_id")
     rows = entries.withColumn("__limit", (F.lit(limit) if isinstance(limit, int) else limit).cast("int"))
+    rows = rows.withColumn("__first", F.row_number().over(Window.partitionBy("query_id", "chapter_index").orderBy("place")))
+    rows = tables.staged(rows.where("place <= __limit or __first = 1"), "recall-cover")
     rows = rows.withColumn("__top", F.greatest(F.lit(1), F.floor(F.col("__limit") * 0.6)).cast("int")).withColumn("__want", F.col("__limit") - F.col("__top"))
-    best = rows.withColumn("__first", F.row_number().over(Window.partitionBy("query_id", "chapter_index").orderBy("place"))).where("__first = 1")
-    best = best.withColumns({"at": F.row_number().over(by.orderBy("chapter_index")) - 1, "chapters": F.count(F.lit(1)).over(by)}).where("__want > 0")
+    best = rows.where("__first = 1").withColumns({"at": F.row_number().over(by.orderBy("chapter_index")) - 1, "chapters": F.count(F.lit(1)).over(by)}).where("__want > 0")
     picks = best.select("query_id", "fact_id", "at", "chapters", "__want", F.explode(F.sequence(F.lit(0), F.col("__want") - 1)).alias("i"))
     # Halves go up, as in the rule this restates; Spark's round does the same for what isn't negative.
     even = F.round(F.col("i") * (F.col("chapters") - 1) / F.greatest(F.col("__want") - 1, F.lit(1)))
@@ -101,7 +117,7 @@ def coverage_pick(entries: DataFrame, limit: int | Column) -> DataFrame:
     marked = rows.join(taken, ["query_id", "fact_id"], "left")
     turn = F.when(F.col("place") <= F.col("__top"), 0).when(F.col("__sampled") == 1, 1).otherwise(2)
     chosen = marked.withColumn("__pick", F.row_number().over(by.orderBy(turn, "place")))
-    return chosen.where("__pick <= __limit").drop("__limit", "__top", "__want", "__sampled", "__pick")
+    return chosen.where("__pick <= __limit").drop("__limit", "__first", "__top", "__want", "__sampled", "__pick")
 
 
 def expand(seeds: DataFrame, base: DataFrame, clean=lambda c: c, most: int = MOST_EXPANDED) -> DataFrame:
@@ -134,9 +150,9 @@ def target_facts(facts: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, fact_id where a structured field equals a term, or contains one of three or more characters."""
     values = facts.select("fact_id", F.explode(F.array_distinct(F.transform("fields", token))).alias("field")).where("field <> ''")
     distinct = values.select("field").distinct()
-    found = containment.contained(distinct.select(F.col("field").alias("text_id"), F.col("field").alias("text")), terms.select(F.col("term").alias("pattern")))
-    found = found.where((F.col("text_id") == F.col("pattern")) | (F.length("pattern") >= 3)).select(F.col("text_id").alias("field"), F.col("pattern").alias("term"))
-    return values.join(found.join(terms, "term"), "field").select("query_id", "fact_id").distinct()
+    hits = containment.contained(distinct.select(F.col("field").alias("text_id"), F.col("field").alias("text")), terms.select(F.col("term").alias("pattern")))
+    hits = hits.where((F.col("text_id") == F.col("pattern")) | (F.length("pattern") >= 3)).select(F.col("text_id").alias("field"), F.col("pattern").alias("term"))
+    return values.join(hits.join(terms, "term").hint("merge"), "field").select("query_id", "fact_id").distinct()
 
 
 def possessive_facts(facts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -179,13 +195,14 @@ def recall(facts: DataFrame, questions: DataFrame, vocabulary: Q.Vocabulary, mos
     once for the questions' terms, once for the new ones.
     """
     base = terms_of(questions)
-    direct = target_facts(facts, target_terms(questions))
-    first = tables.staged(gains(facts, matches(facts, base)), "recall-gains")
+    direct = tables.staged(target_facts(facts, target_terms(questions)), "recall-direct")
+    first = asked(tables.staged(gains(facts, found(facts, base)), "recall-gains"), base)
     open_ = questions.select("query_id").join(direct, "query_id", "left_anti")
     seeds = ranked(scored(first.join(open_, "query_id", "left_semi")), MOST_SEEDS).join(facts.select("fact_id", seed_fields().alias("fields")), "fact_id")
     count = base.groupBy("query_id").agg(F.count(F.lit(1)).alias("__base"))
     more = expand(seeds, base, lambda c: Q.term_clean(c, vocabulary)).join(count, "query_id").where(F.col("n") + F.col("__base") <= MOST_TERMS)
-    second = gains(facts, matches(facts, tables.staged(more.select("query_id", "term"), "recall-terms")))
+    new = tables.staged(more.select("query_id", "term"), "recall-terms")
+    second = asked(gains(facts, found(facts, new)), new)
     best = ranked(scored(first.join(open_, "query_id", "left_semi").unionByName(second)), most)
     own = direct.join(facts.select("fact_id", "chapter_index", "importance"), "fact_id").select("query_id", "fact_id", "chapter_index", "importance", F.round(F.col("importance") + 1000, 6).alias("score"), F.lit(True).alias("target"))
     return own.unionByName(best.select("query_id", "fact_id", "chapter_index", "importance", "score", F.lit(False).alias("target")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom import tables
 from corpusloom.functions import questions as Q
 from corpusloom.operators import recall as R
 from corpusloom.plans import bind as B
@@ -134,7 +135,7 @@ _RECALL = f"""{_EXPAND}, {_DIRECT}, bn AS (SELECT query_id, count(*) AS base FRO
 @query("win_recall", f"{_RECALL} SELECT query_id, fact_id, chapter_index, score, target FROM recalled")
 def win_recall(spark, sf):
     """Score, expand by the best facts, score again, keep the recall limit; all facts of a target, where there are some."""
-    return R.recall(_facts(spark, sf), B.questions(spark, sf), B.VOCABULARY).select("query_id", "fact_id", "chapter_index", "score", "target")
+    return R.recall(tables.staged(_facts(spark, sf), "sentences"), B.questions(spark, sf), B.VOCABULARY).select("query_id", "fact_id", "chapter_index", "score", "target")
 
 
 @query("win_chapter_sample", f"WITH {B.WITH_FACTS}, c AS (SELECT user_id, list_sort(list_distinct(list(chapter_index))) AS v FROM facts GROUP BY 1) SELECT user_id, array_to_string(CASE WHEN len(v) <= 16 THEN v ELSE list_concat(v[1:8], v[-8:]) END, ',') AS chapters FROM c")
