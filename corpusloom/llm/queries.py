@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fingerprints, langid, mixing, neighbours, packing, simhash, store, substrings, token_counts, token_files, warc
+from corpusloom.llm import alignment, fingerprints, langid, mixing, neighbours, packing, rank_bpe, simhash, store, substrings, token_counts, token_files, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,8 +68,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = rank_bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = rank_bpe.decode(tokens, ranks, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(rank_bpe.decimal_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_neighbours, op3_fingerprints, op4_substrings, op5_simhash, op6_token_counts, op7_mixing, op8_warc, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op1_token_files, op2_neighbours, op3_fingerprints, op4_substrings, op5_simhash, op6_token_counts, op7_mixing, op8_warc, op9_packing, op10_langid, op11_rank_bpe, op12_alignment, op13_whitening)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

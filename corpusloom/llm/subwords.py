@@ -11,6 +11,8 @@ Python only sees each batch's distinct units.
   space that is followed by anything but white space, and around a single line
   feed between two other characters.  There the pattern's ``\\s+(?!\\S)``
   leaves exactly the last space to the next word, so no piece spans the cut.
+* ``spaced``: as ``bytes``, of texts with one space put before them, and names
+  of special tokens are plain text.
 """
 
 from __future__ import annotations
@@ -46,17 +48,22 @@ def _lower_units(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False)
 
 
-def _byte_units(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+def _spaced_units(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Units of the texts with one space before them."""
+    return _byte_units(texts, " ")
+
+
+def _byte_units(texts: pa.StringArray, before: str = "") -> tuple[pa.StringArray, np.ndarray]:
     """Keys: a bare word stands for the word with a space before it; \\x00 marks
     a text's first word, \\x01 a unit as it is."""
     odd = pc.match_substring_regex(texts, _NOT_SINGLE)
-    marked = pc.if_else(odd, "", pc.binary_join_element_wise("\x00", texts, ""))
+    marked = pc.if_else(odd, "", texts if before else pc.binary_join_element_wise("\x00", texts, ""))
     cut = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
     count = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
     if not pc.any(odd).as_py():
         return cut.flatten(), count
     # Units of odd texts are put in place of the one empty unit that stands for them.
-    units = [["\x01" + u for u in _BEFORE_WORD.split(t)] for t in texts.filter(odd).to_pylist()]
+    units = [["\x01" + u for u in _BEFORE_WORD.split(before + t) if u] for t in texts.filter(odd).to_pylist()]
     which = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     place = np.arange(int(count.sum()))
     begin = np.cumsum(count) - count
@@ -98,7 +105,9 @@ class UnitEncoder:
         self.units_of, self.text_of, self.between, self.alone = {
             "lower": (_lower_units, str, " ", ()),
             "bytes": (_byte_units, _byte_unit_text, "", ("\x00", "\x01")),
+            "spaced": (_spaced_units, _byte_unit_text, "", ("\x00", "\x01")),
         }[kind]
+        self.tokenizer.encode_special_tokens = kind == "spaced"
         self.kind, self.most = kind, most
         self.byte_length = _byte_length(self.tokenizer, kind)
         self.known: dict[str, int] = {}
@@ -211,7 +220,7 @@ class UnitEncoder:
         self._add(made, ids, np.diff(before[::2]))
 
     def mark_key(self, mark: str) -> str:
-        return "\x01" + mark if self.kind == "bytes" else mark
+        return mark if self.kind == "lower" else "\x01" + mark
 
     def encode(self, texts: Sequence[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one more entry than texts)."""
