@@ -136,7 +136,7 @@ def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level token stands for: visible
     Latin-1 characters are their own, all others follow from U+0100 on in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
+    rest = sorted({*range(256)} - {*own})
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
