@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: A unit that ends in one of these after a letter has the ids of the rest, then those of the mark.
+#: A unit that ends in one of these after an ASCII letter has the ids of the rest, then those of the mark.
 _MARKS = frozenset(".,;:!?")
 #: Texts that ``lower`` files don't take in lower case: beyond Latin-1, or with the name of a special token.
 _NOT_LOWERED = r"[^\x00-\xff]|<\|"
@@ -206,8 +206,12 @@ class UnitEncoder:
         return self.pool[np.repeat(self.begin[which] - before[:-1], count) + np.arange(before[-1])], before
 
     def _learn(self, keys: list[str]) -> None:
-        """Encode new units; those that are a unit and a mark after it are put together."""
-        made = [k for k in keys if k[-1:] in _MARKS and k[-2:-1].isalpha() and k[:1] not in self.alone]
+        """Encode new units; those that are a unit and a mark after it are put together.
+
+        Only after an ASCII letter: others may end in a combining mark once the
+        tokenizer has normalised them, which its pattern joins to the mark.
+        """
+        made = [k for k in keys if k[-1:] in _MARKS and k[-2:-1].isascii() and k[-2:-1].isalpha() and k[:1] not in self.alone]
         put = set(made)
         plain = [k for k in keys if k not in put]
         marks = [self.mark_key(m) for m in _MARKS] if not self.units else []

@@ -69,17 +69,23 @@ def headers_of(data: bytes) -> tuple[dict[str, str], int]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """Contents of a gzip stream of one or more members, a chunk at a time."""
-    engine = zlib.decompressobj(31)
+    """Contents of a gzip stream of one or more members, a chunk at a time.
+
+    A stream that ends inside a member is an error; zero bytes after a member are padding.
+    """
+    engine, begun = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            if not begun and not (data := data.lstrip(b"\0")):  # zeros between and after members are padding
+                break
+            begun = True
             yield engine.decompress(data, 4 * CHUNK)
             data = engine.unconsumed_tail
             if engine.eof:
-                data = engine.unused_data
+                data, begun = engine.unused_data, False
                 engine = zlib.decompressobj(31)
-    if rest := engine.flush():
-        yield rest
+    if begun:
+        raise ValueError("the stream ends inside a gzip member")
 
 
 def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
