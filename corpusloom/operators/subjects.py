@@ -101,29 +101,77 @@ def admitted(facts: DataFrame, names: DataFrame, rules: Admission) -> DataFrame:
     return out.withColumn("identity_basis", F.when(F.col("eligible"), "current_chapter").when(F.col("known"), "prior_verified_subject"))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Subjects out of ordered upserts (book_id, subject_key, pos, status, chapter,
+#: Aliases that a subject keeps, and those that one upsert gives.
+MOST_ALIASES, GIVEN_ALIASES = 24, 12
+_KEY = ["book_id", "subject_key"]
+_LATEST = ("status", "canonical_name", "creature_type", "original_form", "prompt_hash")
+
+
+def fold_state(events: DataFrame) -> DataFrame:
+    """A state a subject out of upserts (book_id, subject_key, pos, status, chapter,
     canonical_name, creature_type, original_form, prompt_hash, basis, evidence (array), confidence, aliases (array)).
 
+    States of consecutive stretches of upserts can be merged (``merged_state``).
+    A state has the positions of its first and last upsert, the last one's
+    fields, whether any is verified, the smallest chapter from the last verified
+    upsert on (of all, if none is), the first basis and evidence that aren't
+    empty, the largest confidence, and the first aliases in order of sight.
+    """
+    last = events.groupBy(*_KEY).agg(F.max(F.when(F.col("status") == "verified", F.col("pos"))).alias("since"))
+    marked = events.join(last, _KEY)
+    counts = F.col("since").isNull() | (F.col("pos") >= F.col("since"))
+    none = F.array().cast("array<string>")
+    folded = marked.groupBy(*_KEY).agg(
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.max_by(F.struct(*_LATEST), "pos").alias("latest"), F.max(F.col("since").isNotNull()).alias("verified"),
+        F.min(F.when(counts, F.col("chapter"))).alias("chapter"), F.coalesce(F.min_by("basis", F.when(F.col("basis") != "", F.col("pos"))), F.lit("")).alias("basis"),
+        F.coalesce(F.min_by("evidence", F.when(F.size("evidence") > 0, F.col("pos"))), none).alias("evidence"), F.max("confidence").alias("confidence"))
+    given = F.concat(C.string_array(F.col("aliases"), GIVEN_ALIASES, 80), F.when(F.col("subject_key") != F.col("canonical_name"), F.array("subject_key")).otherwise(none))
+    seen = events.select(*_KEY, "pos", F.posexplode(given).alias("place", "alias")).groupBy(*_KEY, "alias").agg(F.min(F.struct("pos", "place")).alias("at"))
+    seen = seen.withColumn("n", F.row_number().over(Window.partitionBy(*_KEY).orderBy("at", "alias"))).where(F.col("n") <= MOST_ALIASES)
+    names = seen.groupBy(*_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    return folded.join(names, _KEY, "left").withColumn("aliases", F.coalesce("aliases", none))
+
+
+def merged_state(old: DataFrame, new: DataFrame) -> DataFrame:
+    """States of ``old`` upserts and the ``new`` ones after them as one: what folding all of them gives.
+
+    Associative.  Of a subject in both, every new upsert must come after the old ones, else this is an error.
+    Only states meet, one a subject and side; upserts that are folded already aren't read again.
+    """
+    fields = [c for c in old.columns if c not in _KEY]
+    a = old.select(*_KEY, *[F.col(c).alias(f"a_{c}") for c in fields])
+    b = new.select(*_KEY, *[F.col(c).alias(f"b_{c}") for c in fields])
+    both = F.col("a_last_pos").isNotNull() & F.col("b_last_pos").isNotNull()
+    late = F.when(both & (F.col("b_first_pos") <= F.col("a_last_pos")), F.raise_error(F.concat(F.lit("upserts of a subject aren't in order: "), "subject_key")))
+
+    def first(c: str, given):
+        return F.when(given(F.col(f"a_{c}")), F.col(f"a_{c}")).otherwise(F.coalesce(f"b_{c}", f"a_{c}"))
+
+    size = lambda c: F.size(c) > 0
+    none = F.array().cast("array<string>")
+    values = {
+        "first_pos": F.coalesce("a_first_pos", "b_first_pos"), "last_pos": F.coalesce(late.cast("long"), F.greatest("a_last_pos", "b_last_pos")), "latest": F.coalesce("b_latest", "a_latest"),
+        "verified": F.coalesce("a_verified", F.lit(False)) | F.coalesce("b_verified", F.lit(False)), "chapter": F.when(F.col("b_verified"), F.col("b_chapter")).otherwise(F.least("a_chapter", "b_chapter")),
+        "basis": first("basis", lambda c: c != ""), "evidence": first("evidence", size), "confidence": F.greatest("a_confidence", "b_confidence"),
+        "aliases": F.slice(F.array_distinct(F.concat(F.coalesce("a_aliases", none), F.coalesce("b_aliases", none))), 1, MOST_ALIASES),
+    }
+    return a.join(b, _KEY, "full_outer").select(*_KEY, *[values[c].alias(c) for c in fields])
+
+
+def of_state(states: DataFrame) -> DataFrame:
+    """Subjects out of their states."""
+    return states.select(*_KEY, "latest.*", F.col("chapter").alias("qualification_chapter"), "basis", "evidence", "confidence", "aliases")
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """Subjects out of ordered upserts, as ``fold_state`` has them.
+
     Latest status, name, type, form and prompt; the chapter is the smallest from
     the last verified upsert on (of all, if none is verified); first non-empty
     basis and evidence; largest confidence; aliases in first-seen order, with
     the key where it isn't the name, at most 24.
     """
-    key = ["book_id", "subject_key"]
-    last = events.groupBy(*key).agg(F.max(F.when(F.col("status") == "verified", F.col("pos"))).alias("since"))
-    marked = events.join(last, key)
-    counts = F.col("since").isNull() | (F.col("pos") >= F.col("since"))
-    latest = F.max_by(F.struct("status", "canonical_name", "creature_type", "original_form", "prompt_hash"), "pos").alias("latest")
-    folded = marked.groupBy(*key).agg(
-        latest, F.min(F.when(counts, F.col("chapter"))).alias("qualification_chapter"),
-        F.coalesce(F.min_by("basis", F.when(F.col("basis") != "", F.col("pos"))), F.lit("")).alias("basis"),
-        F.coalesce(F.min_by("evidence", F.when(F.size("evidence") > 0, F.col("pos"))), F.array().cast("array<string>")).alias("evidence"), F.max("confidence").alias("confidence"))
-    given = F.concat(C.string_array(F.col("aliases"), 12, 80), F.when(F.col("subject_key") != F.col("canonical_name"), F.array("subject_key")).otherwise(F.array().cast("array<string>")))
-    seen = events.select(*key, "pos", F.posexplode(given).alias("place", "alias")).groupBy(*key, "alias").agg(F.min(F.struct("pos", "place")).alias("at"))
-    seen = seen.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("at", "alias"))).where("n <= 24")
-    names = seen.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "alias"))), lambda x: x["alias"]).alias("aliases"))
-    return folded.join(names, key, "left").select(*key, "latest.*", "qualification_chapter", "basis", "evidence", "confidence", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    return of_state(fold_state(events))
 
 
 def subject_filter(subjects: DataFrame, chapter: int | Column | None = None, prompt_hash: str = "", terms: tuple[str, ...] = ()) -> DataFrame:

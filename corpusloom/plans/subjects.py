@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom import tables
 from corpusloom.operators import subjects as S
 from corpusloom.plans import bind as B
 from corpusloom.plans.registry import query
@@ -145,13 +146,17 @@ def agg_subject_fold(spark, sf):
 
 @query("sink_subject_merge", f"{_FOLD} SELECT book_id, subject_key, status, canonical_name, qualification_chapter, aliases FROM folded")
 def sink_subject_merge(spark, sf):
-    """Upserts of half the facts make the stored subjects, the others are merged into them: the same as folding all in order."""
-    return S.fold(_upserts(spark, sf)).select("book_id", "subject_key", "status", "canonical_name", "qualification_chapter", F.array_join("aliases", ",").alias("aliases"))
+    """Upserts of the first half of the facts make the stored states, the later half is folded by itself and merged into them."""
+    u = _upserts(spark, sf)
+    middle = u.agg(F.coalesce(F.expr("(min(pos) + max(pos)) div 2"), F.lit(0))).first()[0]
+    stored = tables.staged(S.fold_state(u.where(F.col("pos") <= middle)), "subject-states")
+    after = S.of_state(S.merged_state(stored, S.fold_state(u.where(F.col("pos") > middle))))
+    return after.select("book_id", "subject_key", "status", "canonical_name", "qualification_chapter", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("flt_subjects", f"{_FOLD} SELECT book_id, subject_key, qualification_chapter FROM folded WHERE status = 'verified' AND qualification_chapter <= 25 AND prompt_hash = 'click' AND (contains(lower(canonical_name), '_1') OR contains(lower(subject_key), '_1') OR contains(aliases, 'k7') OR contains(aliases, 'purch'))")
+@query("flt_subjects", f"{_FOLD} SELECT book_id, subject_key, qualification_chapter FROM folded WHERE status = 'verified' AND qualification_chapter <= 29 AND prompt_hash = 'click' AND (contains(lower(canonical_name), '_1') OR contains(lower(subject_key), '_1') OR contains(aliases, 'k7') OR contains(aliases, 'purch'))")
 def flt_subjects(spark, sf):
-    return S.subject_filter(S.fold(_upserts(spark, sf)), 25, "click", ("_1", " K7 ", "purch")).select("book_id", "subject_key", "qualification_chapter")
+    return S.subject_filter(S.fold(_upserts(spark, sf)), 29, "click", ("_1", " K7 ", "purch")).select("book_id", "subject_key", "qualification_chapter")
 
 
 _CHARACTERS = "s AS (SELECT DISTINCT book_id, entity AS name FROM facts WHERE category = 'character' UNION SELECT DISTINCT book_id, tags[2] FROM facts WHERE category = 'item')"
