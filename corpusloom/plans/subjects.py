@@ -212,7 +212,9 @@ def _rescans(spark, sf):
     return S.rescans(c, s.join(met, "subject_id"), _usable_name(F.col("name")))
 
 
-@query("jn_rescan_facts")
+@query("jn_rescan_facts", rf"""WITH {B.WITH_CHAPTERS}, {_SUBJECTS}, r AS (SELECT DISTINCT doc_id, subject_id FROM chapters JOIN subjects ON chapter_index < qualification_chapter AND chapter_index <= 80 AND contains(title || chr(10) || content, name) WHERE length(name) >= 2 AND NOT regexp_matches(name, '{_GENERIC}')),
+    w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(content, ''), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{3,}}'))) AS entity FROM chapters)
+    SELECT DISTINCT doc_id, subject_id, entity, 'historical_rescan' AS review_source, 'historical_subject_rescan' AS identity_basis FROM w JOIN r USING (doc_id) JOIN subjects USING (subject_id) WHERE (contains(name, entity) OR contains(entity, name)) AND NOT regexp_matches(entity, '{_DENIED}')""")
 def jn_rescan_facts(spark, sf):
     """Names that the extractor finds in rescanned chapters, of those that match the chapter's subject: part of a name, or around one."""
     plan, s = _rescans(spark, sf), _subjects(spark, sf)

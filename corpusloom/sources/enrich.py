@@ -1,58 +1,50 @@
-"""Calls to extractors and summarisers: registries of functions over batches.
+"""Extractors and summarisers: registries of rules over single texts, called for whole tables.
 
-An extractor takes and gives pandas frames; a row that fails becomes an error
-row, never a failed job.  Defaults are deterministic, so everything runs
+A row that fails becomes an error row, never a failed job; a fatal answer stops
+further calls (``calls``).  Defaults are deterministic, so everything runs
 without a service.
 """
 
 from __future__ import annotations
 
 import re
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom import tables
+from corpusloom.sources import calls
+from corpusloom.sources.calls import Limits, TransportError  # noqa: F401
 
 #: Waits before the second and the third attempt, in seconds.
 BACKOFF = (0.3, 0.9)
+SUMMARY_BACKOFF = (1.2, 2.4)
 
 
-class TransportError(Exception):
-    """Worth another attempt."""
-
-
-def first_names(text: str) -> list[str]:
-    """Default rule: capitalised words of four letters or more, first-seen, at most five."""
-    return list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))[:5]
+def names(text: str) -> list[str]:
+    """Default rule: capitalised words of four letters or more, first-seen."""
+    return list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))
 
 
-EXTRACTORS: dict[str, Callable[[str], list[str]]] = {"names": first_names}
+EXTRACTORS: dict[str, Callable[[str], list[str]]] = {"names": names}
 
 
-def enrich(rows: DataFrame, extractor: str, id_column: str, text_column: str) -> DataFrame:
-    """Apply a named extractor to every row: id, ok, items, error. Three attempts on transport errors."""
-    rule = EXTRACTORS[extractor]
+def _called(rows: DataFrame, rule: Callable, text_column: str, folder: str | None, salt: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    asked = rows.withColumn("__hash", calls.hash_of(text_column, salt))
+    folder = folder or tables.new_folder(rows.sparkSession, "calls")
+    return asked, calls.answers(rows.select(F.col(text_column).alias("text")), rule, folder, salt, limits).withColumnRenamed("hash", "__hash")
 
-    def attempt(text: str) -> tuple[bool, list[str], str]:
-        for wait in (*BACKOFF, None):
-            try:
-                return True, rule(text or ""), ""
-            except TransportError as e:
-                if wait is None:
-                    return False, [], str(e)
-                time.sleep(wait)
-            except Exception as e:  # noqa: BLE001  a bad row is a result
-                return False, [], f"{type(e).__name__}: {e}"
-        return False, [], ""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [attempt(t) for t in f[text_column]]
-            yield pd.DataFrame({id_column: f[id_column], "ok": [x[0] for x in found], "items": [x[1] for x in found], "error": [x[2] for x in found]})
+def enrich(rows: DataFrame, extractor: str, id_column: str, text_column: str, folder: str | None = None, limits: Limits = Limits(waits=BACKOFF)) -> DataFrame:
+    """Apply a named extractor to every row: id, ok, items, error, outcome.
 
-    kind = rows.schema[id_column].dataType.simpleString()
-    return rows.select(id_column, text_column).mapInPandas(run, f"{id_column} {kind}, ok boolean, items array<string>, error string")
+    Equal texts are called for once.  With a ``folder`` answers are kept between runs.
+    """
+    asked, found = _called(rows, EXTRACTORS[extractor], text_column, folder, extractor, limits)
+    items = F.from_json(F.concat(F.lit('{"v":'), "answer", F.lit("}")), "v array<string>")["v"]
+    none = F.array().cast("array<string>")
+    return asked.select(id_column, "__hash").join(found, "__hash").select(id_column, (F.col("outcome") == "ok").alias("ok"), F.coalesce(items, none).alias("items"), F.coalesce("error", F.lit("")).alias("error"), "outcome")
 
 
 def excerpt(text: str) -> str:
@@ -63,26 +55,8 @@ def excerpt(text: str) -> str:
 SUMMARISERS: dict[str, Callable[[str], str]] = {"excerpt": excerpt}
 
 
-def summarise(parts: DataFrame, summariser: str, keys: list[str], text_column: str, waits: tuple[float, ...] = (1.2, 2.4)) -> DataFrame:
-    """Apply a named summariser to every part: keys, ok, result, error. Three attempts on transport errors."""
-    rule = SUMMARISERS[summariser]
-
-    def attempt(text: str) -> tuple[bool, str | None, str]:
-        for wait in (*waits, None):
-            try:
-                return True, rule(text or ""), ""
-            except TransportError as e:
-                if wait is None:
-                    return False, None, str(e)
-                time.sleep(wait)
-            except Exception as e:  # noqa: BLE001  a bad part is a result
-                return False, None, f"{type(e).__name__}: {e}"
-        return False, None, ""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [attempt(t) for t in f[text_column]]
-            yield f[keys].assign(ok=[x[0] for x in found], result=[x[1] for x in found], error=[x[2] for x in found])
-
-    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
-    return parts.select(*keys, text_column).mapInPandas(run, f"{kinds}, ok boolean, result string, error string")
+def summarise(parts: DataFrame, summariser: str, keys: list[str], text_column: str, folder: str | None = None, limits: Limits = Limits(waits=SUMMARY_BACKOFF)) -> DataFrame:
+    """Apply a named summariser to every part: keys, ok, result, error, outcome; as ``enrich``."""
+    asked, found = _called(parts, SUMMARISERS[summariser], text_column, folder, summariser, limits)
+    result = F.from_json(F.concat(F.lit('{"v":'), "answer", F.lit("}")), "v string")["v"]
+    return asked.select(*keys, "__hash").join(found, "__hash").select(*keys, (F.col("outcome") == "ok").alias("ok"), result.alias("result"), F.coalesce("error", F.lit("")).alias("error"), "outcome")

@@ -148,7 +148,7 @@ def test_summariser_failure_is_a_part(spark):
         raise E.TransportError("timed out")
 
     E.SUMMARISERS["broken"] = rule
-    got = E.summarise(spark.createDataFrame([(1, "a")], "part int, body string"), "broken", ["part"], "body", waits=(0.0, 0.0)).first()
+    got = E.summarise(spark.createDataFrame([(1, "a")], "part int, body string"), "broken", ["part"], "body", limits=E.Limits(waits=(0.0, 0.0))).first()
     assert not got["ok"] and got["error"] == "timed out"
 
 
