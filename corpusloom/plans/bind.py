@@ -144,21 +144,44 @@ WITH_GROUPS = """groups AS (
     FROM (SELECT p_brand, min(p_partkey) AS k FROM part GROUP BY p_brand))"""
 
 
+def _with_counters(log: DataFrame) -> DataFrame:
+    """A log with time, progress counters and a total."""
+    seq = F.col("seq")
+    return log.withColumns({"at": F.col("ts").cast("timestamp"), "completed": seq % 12, "failed": seq % 3, "skipped": seq % 2, "total": F.lit(60).cast("long")})
+
+
+_COUNTERS = "ts AS at, event_id % 12 AS completed, event_id % 3 AS failed, event_id % 2 AS skipped, 60 AS total"
+
+
 def as_task_events(events: DataFrame) -> DataFrame:
-    """Events as a task log: signup creates, purchase completes, error fails, the rest is progress."""
+    """Events as a task log, a task a user: signup creates, purchase completes, error fails, the rest is progress."""
     e = F.col("event_type")
     event = F.when(e == "signup", "created").when(e == "purchase", "completed").when(e == "error", "failed").otherwise("progress")
-    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", event.alias("event"), "value")
+    return _with_counters(events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", event.alias("event"), "value"))
 
 
 def task_events(spark: SparkSession, sf: str) -> DataFrame:
     return as_task_events(table(spark, sf, "events"))
 
 
-WITH_TASKS = """task_events AS (
+WITH_TASKS = f"""task_events AS (
     SELECT user_id AS task_id, event_id AS seq, ts, value,
-           CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS event
+           CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS event, {_COUNTERS}
     FROM events)"""
+_LOG_EVENT = """CASE WHEN event_type = 'signup' THEN 'created' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'completed' WHEN event_type = 'error' AND event_id % 4 = 1 THEN 'failed'
+    WHEN event_type = 'error' AND event_id % 4 = 2 THEN 'cancelled' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'paused' WHEN event_type = 'view' AND event_id % 5 = 1 THEN 'running' ELSE 'progress' END"""
+
+
+def as_task_log(events: DataFrame) -> DataFrame:
+    """Twelve events in a row as a task's log, with all kinds of events."""
+    return _with_counters(events.select(F.expr("event_id div 12").alias("task_id"), F.col("event_id").alias("seq"), "ts", F.expr(_LOG_EVENT).alias("event")))
+
+
+def task_log(spark: SparkSession, sf: str) -> DataFrame:
+    return as_task_log(table(spark, sf, "events"))
+
+
+WITH_LOG = f"task_log AS (SELECT event_id // 12 AS task_id, event_id AS seq, ts, {_LOG_EVENT} AS event, {_COUNTERS} FROM events)"
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:

@@ -163,25 +163,6 @@ def test_extractor_failure_is_a_row(spark):
     assert not got[1]["ok"] and "ValueError" in got[1]["error"] and got[2]["items"] == ["fine"] and got[3]["ok"]
 
 
-def test_task_fold(spark):
-    log = [(1, 1, "created"), (1, 2, "progress"), (1, 3, "failed"), (1, 4, "cancelled"), (2, 1, "progress"), (2, 2, "completed"), (2, 3, "progress"), (2, 4, "cancelled"), (3, 1, "created")]
-    got = {r["task_id"]: (r["state"], r["processed"]) for r in T.fold(spark.createDataFrame(log, "task_id long, seq long, event string")).collect()}
-    assert got == {1: ("cancelled", 1), 2: ("completed", 1), 3: ("running", 0)}
-
-
-def test_stream_in_any_order_equals_batch(spark, tmp_path):
-    r = random.Random(3)
-    log = [(t, s, r.choice(["created", "progress", "progress", "progress", "completed", "failed", "cancelled"] if r.random() < 0.3 else ["progress"])) for t in range(12) for s in range(20)]
-    r.shuffle(log)
-    frame = spark.createDataFrame(log, "task_id long, seq long, event string")
-    for i in range(6):
-        spark.createDataFrame(log[i::6], frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    last = {}
-    T.fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, epoch: last.update({x["task_id"]: tuple(x) for x in df.collect()})).trigger(availableNow=True).start().awaitTermination()
-    assert set(last.values()) == {tuple(x) for x in T.fold(frame).select("task_id", "state", "processed", "last_seq").collect()}
-
-
 def test_elapsed_without_pauses(spark):
     log = [(1, 1, 0.0, "created", 5), (1, 2, 10.0, "progress", 5), (1, 3, 12.0, "paused", 5), (1, 4, 112.0, "resumed", 5), (1, 5, 118.0, "progress", 5)]
     got = [(x["elapsed"], x["remaining"]) for x in T.durations(spark.createDataFrame(log, "task_id int, seq int, at double, event string, total int")).orderBy("seq").collect()]
