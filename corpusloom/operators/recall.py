@@ -7,11 +7,19 @@ for all terms of all questions.  A fact is a row with
     confidence, chapter_index, fields (its structured values: entity, type,
     aliases, tags, related entities), evidence
 
-and a question one with query_id, terms (array, in order) and target (or null).
+and a question one with query_id, terms (array, in order) and target (or null);
+optional are aliases (array, of the target), owners and descriptors (arrays, of
+a possessive target).  A fact may have a column same: facts that are equal in
+it count once in a question's recall, the first of them; null is like no other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +86,23 @@ def score(facts: DataFrame, terms: DataFrame) -> DataFrame:
     return scored(asked(gains(facts, found(facts, terms)), terms))
 
 
-def ranked(entries: DataFrame, most: int | None = None) -> DataFrame:
-    """place (from 1) by score, matched, importance, chapter and id within each query."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("matched"), F.desc("importance"), "chapter_index", "fact_id")
-    out = entries.withColumn("place", F.row_number().over(order))
-    return out if most is None else out.where(F.col("place") <= most)
+#: Entries of a question in order: score, matched, importance, chapter and id.
+ORDER = (F.desc, "score"), (F.desc, "matched"), (F.desc, "importance"), (F.asc, "chapter_index"), (F.asc, "fact_id")
+
+
+def order() -> list[Column]:
+    return [way(c) for way, c in ORDER]
+
+
+def ranked(entries: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` entries of each query with their place (from 1), each task giving away no more than these."""
+    return entries.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order()))).where(F.col("place") <= most)
+
+
+def best_of_chapter(entries: DataFrame) -> DataFrame:
+    """The first entry of each query and chapter; tasks take their own first before anything is shuffled."""
+    first = F.struct((-F.col("score")).alias("s"), (-F.col("matched")).alias("m"), (-F.col("importance")).alias("i"), F.col("fact_id").alias("f"))
+    return entries.groupBy("query_id", "chapter_index").agg(F.min_by(F.struct(*[c for c in entries.columns if c not in ("query_id", "chapter_index")]), first).alias("__e")).select("query_id", "chapter_index", "__e.*")
 
 
 def first_of_equal(entries: DataFrame, by: str = "place") -> DataFrame:
@@ -94,19 +114,20 @@ def first_of_equal(entries: DataFrame, by: str = "place") -> DataFrame:
     return entries.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def coverage_pick(entries: DataFrame, limit: int | Column) -> DataFrame:
+def coverage_pick(entries: DataFrame, limit: int, own_limit: Column | None = None) -> DataFrame:
     """``limit`` entries of each query that also cover its chapters.
 
-    ``entries`` come with place (from 1, without gaps).  Six tenths go by place; the rest evenly over
-    the best entries of all chapters; what is still open goes by place again.
-    ``limit`` may be a column that is the same in all rows of a query.
-    Only the first ``limit`` entries and the best of each chapter can be chosen,
-    so only these are staged and go on.
+    Six tenths go by rank; the rest evenly over the best entries of all chapters; what is still open goes by
+    rank again.  ``own_limit``: a smaller limit of each query, the same in all its rows.  Only the first
+    ``limit`` entries and the best of each chapter can be chosen, so only these are numbered and go on.
     """
     by = Window.partitionBy("query_id")
-    rows = entries.withColumn("__limit", (F.lit(limit) if isinstance(limit, int) else limit).cast("int"))
-    rows = rows.withColumn("__first", F.row_number().over(Window.partitionBy("query_id", "chapter_index").orderBy("place")))
-    rows = tables.staged(rows.where("place <= __limit or __first = 1"), "recall-cover")
+    rows = entries.withColumn("__limit", (F.lit(limit) if own_limit is None else own_limit).cast("int"))
+    top = ranked(rows, limit).where("place <= __limit")
+    rows = tables.staged(top.unionByName(best_of_chapter(rows).withColumn("place", F.lit(None).cast("int"))), "recall-cover")
+    first = Window.partitionBy("query_id", "fact_id").orderBy(F.asc_nulls_last("place"))
+    rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    rows = rows.withColumn("__first", F.row_number().over(Window.partitionBy("query_id", "chapter_index").orderBy(*order())))
     rows = rows.withColumn("__top", F.greatest(F.lit(1), F.floor(F.col("__limit") * 0.6)).cast("int")).withColumn("__want", F.col("__limit") - F.col("__top"))
     best = rows.where("__first = 1").withColumns({"at": F.row_number().over(by.orderBy("chapter_index")) - 1, "chapters": F.count(F.lit(1)).over(by)}).where("__want > 0")
     picks = best.select("query_id", "fact_id", "at", "chapters", "__want", F.explode(F.sequence(F.lit(0), F.col("__want") - 1)).alias("i"))
@@ -116,8 +137,182 @@ def coverage_pick(entries: DataFrame, limit: int | Column) -> DataFrame:
     taken = taken.select("query_id", "fact_id", F.lit(1).alias("__sampled")).distinct()
     marked = rows.join(taken, ["query_id", "fact_id"], "left")
     turn = F.when(F.col("place") <= F.col("__top"), 0).when(F.col("__sampled") == 1, 1).otherwise(2)
-    chosen = marked.withColumn("__pick", F.row_number().over(by.orderBy(turn, "place")))
-    return chosen.where("__pick <= __limit").drop("__limit", "__first", "__top", "__want", "__sampled", "__pick")
+    chosen = marked.withColumn("__pick", F.row_number().over(by.orderBy(turn, *order())))
+    return chosen.where("__pick <= __limit").drop("place", "__limit", "__first", "__top", "__want", "__sampled", "__pick")
+
+
+# Scoring in one pass over the texts.
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """Terms, and for each the questions that score by it, that have it as owner and as descriptor (as places in ``queries``)."""
+
+    queries: list
+    terms: list[str]
+    uses: tuple[tuple[np.ndarray, np.ndarray], ...]
+    owners: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple]) -> _Plan:
+        """Rows: query_id, term, use (0: score, 1: owner, 2: descriptor)."""
+        queries, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        q, t = {x: i for i, x in enumerate(queries)}, {x: i for i, x in enumerate(terms)}
+        uses = []
+        for use in range(3):
+            pairs = np.array(sorted({(t[r[1]], q[r[0]]) for r in rows if r[2] == use}), np.int64).reshape(-1, 2)
+            uses.append((np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), pairs[:, 1].copy()))
+        return _Plan(queries, terms, tuple(uses), np.bincount(uses[1][1], minlength=len(queries)))
+
+    def spread(self, use: int, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every hit, its questions: places of hits, and questions."""
+        begin, queries = self.uses[use]
+        n = begin[terms + 1] - begin[terms]
+        before = np.cumsum(n) - n
+        return np.repeat(np.arange(len(terms)), n), queries[np.repeat(begin[terms] - before, n) + np.arange(int(n.sum()))]
+
+
+class _Scan:
+    """Searches facts for all terms at once and keeps what can be among the ``most`` first of a question, or the first of a chapter of it."""
+
+    COLUMNS = ["query", "score", "matched", "importance", "chapter_index", "fact_id", "same"]
+
+    def __init__(self, plan: _Plan, most: int, chapters: bool):
+        import ahocorasick
+
+        self.plan, self.most, self.chapters = plan, most, chapters
+        self.automaton = ahocorasick.Automaton()
+        for i, term in enumerate(plan.terms):
+            self.automaton.add_word(term, i)
+        if plan.terms:
+            self.automaton.make_automaton()
+        self.long = np.array([0.8 if len(t) >= 3 else 0.0 for t in plan.terms])
+        self.held = [pd.DataFrame(columns=self.COLUMNS)]
+        self.size = 0
+        self.count = np.zeros(len(plan.queries), np.int64)
+
+    def add(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Takes facts; gives rows of facts that owners and descriptors hit, and of keys by which facts are the same."""
+        if not self.plan.terms:
+            return
+        row, term = [], []
+        for i, text in enumerate(frame["text"]):
+            hits = {v for _, v in self.automaton.iter(text)}
+            row.extend([i] * len(hits))
+            term.extend(hits)
+        if not row:
+            return
+        row, term = np.array(row, np.int64), np.array(term, np.int64)
+        content, entity, names = frame["content"].tolist(), frame["entity"].tolist(), self.plan.terms
+        inside = np.fromiter((names[t] in content[r] for r, t in zip(row.tolist(), term.tolist(), strict=True)), bool, len(row))
+        equal = np.fromiter((names[t] == entity[r] for r, t in zip(row.tolist(), term.tolist(), strict=True)), bool, len(row))
+        gain = 2.0 + 2.5 * inside + 4.0 * equal + self.long[term]
+        n = len(self.plan.queries)
+        at, query = self.plan.spread(0, term)
+        key, place = np.unique(row[at] * n + query, return_inverse=True)
+        facts, query = key // n, key % n
+        importance, ids, same = frame["importance"].to_numpy(float), frame["fact_id"].to_numpy(object), frame["same"].to_numpy(object)
+        base = importance * 2 + frame["confidence"].to_numpy(float)
+        found = pd.DataFrame({
+            "query": query, "score": np.round(base[facts] + np.bincount(place, gain[at], minlength=len(key)), 6), "matched": np.bincount(place, minlength=len(key)),
+            "importance": importance[facts], "chapter_index": frame["chapter_index"].to_numpy(np.int64)[facts], "fact_id": ids[facts], "same": same[facts],
+        })
+        keyed = found["same"].notna().to_numpy()
+        self.count += np.bincount(query[~keyed], minlength=n)
+        if keyed.any():
+            some = found.loc[keyed, ["query", "same"]].drop_duplicates()
+            yield self._rows(some, 2, same=some["same"])
+        self.held.append(self._first(found))
+        self.size += len(self.held[-1])
+        if self.size > 500_000:
+            self.held = [self._first(pd.concat(self.held))]
+            self.size = len(self.held[0])
+        if len(self.plan.uses[1][1]):
+            at, query = self.plan.spread(1, term)
+            key, times = np.unique(row[at] * n + query, return_counts=True)
+            key = key[times == self.plan.owners[key % n]]
+            at, query = self.plan.spread(2, term)
+            key = np.intersect1d(key, row[at] * n + query)
+            if len(key):
+                yield self._rows(pd.DataFrame({"query": key % n}), 3, fact_id=ids[key // n])
+
+    def _first(self, found: pd.DataFrame) -> pd.DataFrame:
+        """What can still be chosen: of facts that are the same the first, of these the ``most`` first of a question and the first of each chapter."""
+        if not len(found):
+            return found
+        code = pd.factorize(found["fact_id"], sort=True)[0]
+        order = np.lexsort((code, found["chapter_index"], -found["importance"], -found["matched"], -found["score"], found["query"]))
+        found = found.iloc[order]
+        if (keyed := found["same"].notna()).any():
+            again = found.duplicated(["query", "same"]) & keyed
+            found = found[~again]
+        kept = found.groupby("query", sort=False).cumcount() < self.most
+        if self.chapters:
+            kept |= ~found.duplicated(["query", "chapter_index"])
+        return found[kept]
+
+    def _rows(self, some: pd.DataFrame, kind: int, **more) -> pd.DataFrame:
+        nothing = {"score": None, "matched": None, "importance": None, "chapter_index": None, "fact_id": None, "same": None}
+        ids = np.empty(len(self.plan.queries), object)
+        ids[:] = self.plan.queries
+        return pd.DataFrame({"kind": kind, "query_id": ids[some["query"].to_numpy(np.int64)]} | nothing | more, index=some.index)
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        found = self._first(pd.concat(self.held) if len(self.held) > 1 else self.held[0])
+        if len(found):
+            yield self._rows(found, 0, **{c: found[c] for c in self.COLUMNS[1:]})
+        counted = pd.DataFrame({"query": np.flatnonzero(self.count)})
+        if len(counted):
+            yield self._rows(counted, 1, matched=self.count[counted["query"]])
+
+
+@dataclass(frozen=True)
+class Scored:
+    """``entries``: query_id, score, matched, importance, chapter_index, fact_id, the ones that can be chosen;
+    ``counts``: query_id, scored (facts that any term hits, equal ones once); ``owned``: query_id, fact_id of possessive targets."""
+
+    entries: DataFrame
+    counts: DataFrame
+    owned: DataFrame
+
+
+def scan(facts: DataFrame, terms: DataFrame, most: int, chapters: bool = False, possessive: DataFrame | None = None) -> Scored:
+    """Score all facts for all questions in one pass over the texts, keeping each question's first ``most``.
+
+    ``terms``: query_id, term; ``possessive``: query_id, owners, descriptors.  Every task searches its facts for
+    all terms, adds up their gains and gives away only what can be chosen, so what is shuffled doesn't grow with the hits.
+    The terms of all questions must fit ``containment.MOST_CHARS``; more questions than that are to be asked in batches.
+    """
+    wanted = terms.select("query_id", token(F.col("term")).alias("term"), F.lit(0).alias("use"))
+    if possessive is not None:
+        for use, c in ((1, "owners"), (2, "descriptors")):
+            wanted = wanted.unionByName(possessive.select("query_id", F.explode(F.transform(c, token)).alias("term"), F.lit(use).alias("use")))
+    wanted = wanted.where(F.length("term") >= 2).distinct()
+    chars = wanted.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    if chars > containment.MOST_CHARS:
+        raise ValueError(f"the questions' terms have {chars} characters; ask in batches of at most {containment.MOST_CHARS}")
+    plan = facts.sparkSession.sparkContext.broadcast(_Plan.of([tuple(r) for r in wanted.collect()]))
+    same = F.col("same").cast("string") if "same" in facts.columns else F.lit(None).cast("string")
+    asked_of = facts.select(
+        F.col("fact_id").cast("string").alias("fact_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), token(F.col("fact")).alias("content"), token(F.col("entity")).alias("entity"),
+        F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("importance"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("chapter_index").cast("long"), F.lit(0)).alias("chapter_index"), same.alias("same"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = _Scan(plan.value, most, chapters)
+        for frame in frames:
+            yield from search.add(frame)
+        yield from search.rest()
+
+    kind = terms.schema["query_id"].dataType.simpleString()
+    found = tables.staged(asked_of.mapInPandas(run, f"kind int, query_id {kind}, score double, matched long, importance double, chapter_index long, fact_id string, same string"), "recall-scan")
+    entries = found.where("kind = 0")
+    if "same" in facts.columns:
+        key = F.coalesce(F.concat(F.lit("="), "same"), F.concat(F.lit("#"), "fact_id"))
+        entries = entries.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order()))).where("__n = 1")
+    entries = entries.select("query_id", "score", "matched", "importance", F.col("chapter_index").cast("int").alias("chapter_index"), "fact_id")
+    own, keyed = found.where("kind = 1").select("query_id", "matched"), found.where("kind = 2").select("query_id", "same").distinct().select("query_id", F.lit(1).cast("long").alias("matched"))
+    counts = own.unionByName(keyed).groupBy("query_id").agg(F.sum("matched").alias("scored"))
+    return Scored(entries, counts, found.where("kind = 3").select("query_id", "fact_id"))
 
 
 def expand(seeds: DataFrame, base: DataFrame, clean=lambda c: c, most: int = MOST_EXPANDED) -> DataFrame:
@@ -140,9 +335,10 @@ def seed_fields() -> Column:
 
 
 def target_terms(questions: DataFrame, most: int = 12) -> DataFrame:
-    """query_id, term: the target and the question's terms of 2 to 12 characters, of questions with a target."""
+    """query_id, term: the target, its aliases and the question's terms of 2 to 12 characters, of questions with a target."""
     likely = F.filter(F.transform("terms", token), lambda t: F.length(t).between(2, 12))
-    listed = F.slice(F.array_distinct(F.concat(F.array(token(F.col("target"))), likely)), 1, most)
+    also = F.transform("aliases", token) if "aliases" in questions.columns else F.array().cast("array<string>")
+    listed = F.slice(F.array_distinct(F.concat(F.array(token(F.col("target"))), also, likely)), 1, most)
     return questions.where("target is not null and target <> ''").select("query_id", F.explode(listed).alias("term"))
 
 
@@ -166,43 +362,88 @@ def possessive_facts(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
 def select(entries: DataFrame, limit: int = MOST_FACTS) -> DataFrame:
     """Entries with turn (from 1): targets first, of too many those that cover
-    the chapters; then by place, up to ``limit``. ``entries`` come with place and target (boolean)."""
-    own = entries.where("target")
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
-    first = coverage_pick(own, limit).select("query_id", "fact_id", F.lit(0).alias("__group"))
-    order = Window.partitionBy("query_id").orderBy(F.coalesce("__group", F.lit(1)), "place")
-    joined = entries.join(first, ["query_id", "fact_id"], "left").withColumn("turn", F.row_number().over(order))
+    the chapters; then by rank, up to ``limit``. ``entries`` come with target (boolean)."""
+    first = coverage_pick(entries.where("target"), limit).select("query_id", "fact_id", F.lit(0).alias("__group"))
+    # Those that aren't among the first ``limit`` and aren't picked can't have a turn.
+    near = ranked(entries, limit).drop("place").unionByName(entries.where("target").join(first, ["query_id", "fact_id"], "left_semi")).dropDuplicates(["query_id", "fact_id"])
+    turn = Window.partitionBy("query_id").orderBy(F.coalesce("__group", F.lit(1)), *order())
+    joined = near.join(first, ["query_id", "fact_id"], "left").withColumn("turn", F.row_number().over(turn))
     return joined.where(F.col("turn") <= limit).drop("__group")
 
 
 def with_support(entries: DataFrame, support: DataFrame, limit: int = MOST_FACTS) -> DataFrame:
     """All targets, and of the other entries that ``support`` (query_id, fact_id)
     lists twice as many as there are targets, 8 to 48, within ``limit``, covering the chapters."""
-    n = entries.where("target").groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
+    n = entries.where("target").groupBy("query_id").agg(F.count(F.lit(1)).alias("__targets"))
     others = entries.where("not target").join(support, ["query_id", "fact_id"], "left_semi").join(n, "query_id")
-    most = F.least(F.greatest(F.lit(0), F.greatest(F.lit(limit), F.col("__n")) - F.col("__n")), F.greatest(F.lit(8), F.least(F.lit(48), F.col("__n") * 2)))
-    others = others.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
-    return entries.where("target").unionByName(coverage_pick(others, most).drop("__n"), allowMissingColumns=True)
+    most = F.least(F.greatest(F.lit(0), F.greatest(F.lit(limit), F.col("__targets")) - F.col("__targets")), F.greatest(F.lit(8), F.least(F.lit(48), F.col("__targets") * 2)))
+    return entries.where("target").unionByName(coverage_pick(others, 48, most).drop("__targets"), allowMissingColumns=True)
+
+
+@dataclass(frozen=True)
+class Recall:
+    """``entries``: query_id, fact_id, chapter_index, importance, score, target of what is recalled; ``counters``: a row a question."""
+
+    entries: DataFrame
+    counters: DataFrame
+
+
+def strong_targets(facts: DataFrame, questions: DataFrame, owned: DataFrame) -> DataFrame:
+    """query_id, fact_id of the facts that are about a question's target.
+
+    A possessive target (one with owners and descriptors) needs its whole name as entity, or all owners and a
+    descriptor in the text (``owned``); another one stands in a structured field.
+    """
+    if "owners" not in questions.columns:
+        return target_facts(facts, target_terms(questions))
+    both = (F.size("owners") > 0) & (F.size("descriptors") > 0)
+    named = questions.where(both).select("query_id", token(F.col("target")).alias("entity"))
+    by_name = facts.select("fact_id", token(F.col("entity")).alias("entity")).join(named, "entity").select("query_id", "fact_id")
+    return target_facts(facts, target_terms(questions.where(~F.coalesce(both, F.lit(False))))).unionByName(by_name).unionByName(owned).distinct()
+
 
+def recall(facts: DataFrame, questions: DataFrame, vocabulary: Q.Vocabulary, most: int = MOST_FACTS) -> Recall:
+    """What each question recalls.
 
-def recall(facts: DataFrame, questions: DataFrame, vocabulary: Q.Vocabulary, most: int = MOST_FACTS) -> DataFrame:
-    """query_id, fact_id, chapter_index, importance, score, target of what each question recalls.
+    Questions with a target that some fact is about get all those facts.  The
+    others are scored with their own terms; the best facts (of the target's, where it has any, the first by
+    chapter), as many as ``MOST_SEEDS``, give up to ``MOST_EXPANDED`` new terms, the facts are scored with
+    both, and the best ``most`` are taken, equal ones once.  Texts are read once with the questions' terms and once with all terms.
 
-    Questions whose target is in a structured field of some fact get all those
-    facts.  The others are scored with their own terms, their best facts (as
-    many as ``MOST_SEEDS``) give up to ``MOST_EXPANDED`` new terms, the facts are
-    scored with both, and the best ``most`` are taken.  Facts are read twice:
-    once for the questions' terms, once for the new ones.
+    Counters: scored (facts that any term hits), targets, selected, selected_chapters (of targets), dropped
+    (scored but not selected), expanded and matched (terms; matched: those in the text of a selected fact, in order, at most 40).
     """
     base = terms_of(questions)
-    direct = tables.staged(target_facts(facts, target_terms(questions)), "recall-direct")
-    first = asked(tables.staged(gains(facts, found(facts, base)), "recall-gains"), base)
-    open_ = questions.select("query_id").join(direct, "query_id", "left_anti")
-    seeds = ranked(scored(first.join(open_, "query_id", "left_semi")), MOST_SEEDS).join(facts.select("fact_id", seed_fields().alias("fields")), "fact_id")
+    possessive = questions.where((F.size("owners") > 0) & (F.size("descriptors") > 0)).select("query_id", "owners", "descriptors") if "owners" in questions.columns else None
+    first = scan(facts, base, MOST_SEEDS, possessive=possessive)
+    direct = tables.staged(strong_targets(facts, questions, first.owned), "recall-direct")
+    about = facts.select("fact_id", "chapter_index", "importance", seed_fields().alias("fields"))
+    of_target = direct.join(about, "fact_id")
+    early = of_target.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("chapter_index", "fact_id"))).where(F.col("place") <= MOST_SEEDS)
+    best = ranked(first.entries.join(direct, "query_id", "left_anti"), MOST_SEEDS).select("query_id", "fact_id", "place").join(about.select("fact_id", "fields"), "fact_id")
+    seeds = best.select("query_id", "place", "fields").unionByName(early.select("query_id", "place", "fields"))
     count = base.groupBy("query_id").agg(F.count(F.lit(1)).alias("__base"))
-    more = expand(seeds, base, lambda c: Q.term_clean(c, vocabulary)).join(count, "query_id").where(F.col("n") + F.col("__base") <= MOST_TERMS)
-    new = tables.staged(more.select("query_id", "term"), "recall-terms")
-    second = asked(gains(facts, found(facts, new)), new)
-    best = ranked(scored(first.join(open_, "query_id", "left_semi").unionByName(second)), most)
-    own = direct.join(facts.select("fact_id", "chapter_index", "importance"), "fact_id").select("query_id", "fact_id", "chapter_index", "importance", F.round(F.col("importance") + 1000, 6).alias("score"), F.lit(True).alias("target"))
-    return own.unionByName(best.select("query_id", "fact_id", "chapter_index", "importance", "score", F.lit(False).alias("target")))
+    grown = tables.staged(expand(seeds, base, lambda c: Q.term_clean(c, vocabulary)), "recall-expanded")
+    more = grown.join(count, "query_id").where(F.col("n") + F.col("__base") <= MOST_TERMS)
+    terms = tables.staged(base.select("query_id", F.col("pos").cast("long").alias("pos"), "term").unionByName(more.select("query_id", (F.col("n") + 1_000).cast("long").alias("pos"), "term")), "recall-terms")
+    second = scan(facts, terms, most)
+    chosen = ranked(second.entries.join(direct, "query_id", "left_anti"), most)
+    own = of_target.select("query_id", "fact_id", "chapter_index", "importance", F.round(F.col("importance") + 1000, 6).alias("score"), F.lit(True).alias("target"))
+    entries = tables.staged(own.unionByName(chosen.select("query_id", "fact_id", "chapter_index", "importance", "score", F.lit(False).alias("target"))), "recalled")
+    taken = entries.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("selected"), F.count_if("target").alias("targets"), F.count_distinct(F.when(F.col("target") & (F.col("chapter_index") != 0), F.col("chapter_index"))).alias("selected_chapters"))
+    listed = terms.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
+    texts = entries.select("query_id", "fact_id").join(facts.select("fact_id", F.lower("text").alias("text")), "fact_id").join(listed, "query_id")
+    met = texts.select("query_id", F.explode(F.filter("terms", lambda t: F.contains("text", t))).alias("term")).distinct().join(terms, ["query_id", "term"])
+    matched = ranked_terms(met).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]).alias("matched"))
+    new = grown.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]).alias("expanded"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    counters = questions.select("query_id").join(second.counts, "query_id", "left").join(taken, "query_id", "left").join(matched, "query_id", "left").join(new, "query_id", "left")
+    numbers = {c: F.coalesce(c, zero) for c in ("scored", "targets", "selected", "selected_chapters")}
+    counters = counters.withColumns(numbers | {c: F.coalesce(c, none) for c in ("matched", "expanded")})
+    return Recall(entries, counters.withColumn("dropped", F.greatest(zero, F.col("scored") - F.col("selected"))))
+
+
+def ranked_terms(met: DataFrame, most: int = 40) -> DataFrame:
+    """The first terms of each query by pos: query_id, term, n."""
+    return met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("n") <= most).select("query_id", "term", "n")

@@ -101,10 +101,20 @@ VOCABULARY = Q.Vocabulary(leading=r"[(\"']", trailing="[.,!?]+", stop="[a-zà-ö
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as questions: their terms, and as target the longest term, if it has nine characters or more."""
+    """Benchmark items as questions: their terms, and as target the longest term, if it has nine characters or more.
+
+    Of every fifth question the target is possessive: its longest term owns its second longest.
+    """
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), Q.terms(F.col("text"), VOCABULARY).alias("terms"))
-    longest = F.array_max(F.transform(F.filter("terms", lambda t: F.length(t) >= 9), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-    return q.withColumn("target", longest["t"])
+    by_length = F.reverse(F.array_sort(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
+    q = q.withColumns({"__first": F.get(by_length, F.lit(0)), "__second": F.get(by_length, F.lit(1))})
+    both = (F.col("query_id") % 5 == 0) & F.col("__second").isNotNull()
+    names = F.concat("__first.t", F.lit("的"), "__second.t")
+    owner, thing = Q.possessive(names)
+    none = F.array().cast("array<string>")
+    return q.select(
+        "query_id", "query", "terms", F.when(both, names).when(F.col("__first.n") >= 9, F.col("__first.t")).alias("target"),
+        F.when(both, F.array(owner)).otherwise(none).alias("owners"), F.when(both, F.array(thing)).otherwise(none).alias("descriptors"))
 
 
 #: How a term is cleaned, in SQL; {0} is the term.
@@ -112,24 +122,30 @@ SQL_CLEAN = """trim(regexp_replace(regexp_replace(trim({0}), '^([("''])+', ''),
 SQL_FINE = """length({0}) BETWEEN 2 AND 18 AND NOT regexp_matches(lower({0}), '^([a-zà-öø-ÿœ]{{1,4}}|[0-9]+)$')"""
 _SPLIT = """list_concat(regexp_extract_all(text, '[《“「『‘（("]([^》”」』’）)"]{1,24})[》”」』’）)"]', 1), regexp_split_to_array(text, '[，。；;、：:/｜|《》“”「」『』‘’（）()\\s]+'))"""
 WITH_QUESTIONS = f"""questions AS (
-    SELECT *, list_max(list_transform(list_filter(terms, lambda x: length(x) >= 9), lambda x: {{'n': length(x), 't': x}})).t AS target
-    FROM (SELECT item_id AS query_id, text AS query, list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 48) AS terms
-          FROM (SELECT item_id, text, list_filter(list_transform({_SPLIT}, lambda x: {SQL_CLEAN.format('x')}), lambda x: {SQL_FINE.format('x')}) AS w FROM benchmark)))"""
+    SELECT * EXCLUDE (l), CASE WHEN query_id % 5 = 0 AND len(l) > 1 THEN l[1].t || '的' || l[2].t WHEN l[1].n >= 9 THEN l[1].t END AS target,
+           CASE WHEN query_id % 5 = 0 AND len(l) > 1 THEN l[1].t END AS owner, CASE WHEN query_id % 5 = 0 AND len(l) > 1 THEN l[2].t END AS object
+    FROM (SELECT *, list_sort(list_transform(terms, lambda x: {{'n': length(x), 't': x}}), 'DESC') AS l
+          FROM (SELECT item_id AS query_id, text AS query, list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 48) AS terms
+                FROM (SELECT item_id, text, list_filter(list_transform({_SPLIT}, lambda x: {SQL_CLEAN.format('x')}), lambda x: {SQL_FINE.format('x')}) AS w FROM benchmark))))"""
 
 
 def recall_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences as facts for recall: the first word is the entity; the second, third and last are alias, tag and related entity."""
+    """Sentences as facts for recall: the first word is the entity; the second, third and last are alias, tag and related entity.
+
+    Those of every fifth document have no id of their own: equal ones of a chapter are the same.
+    """
     s = sentences(spark, sf)
     w = F.split("fact", " ")
     entity, last = F.get(w, F.lit(0)), F.element_at(w, -1)
     fields = F.array(entity, F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.coalesce(F.get(w, F.lit(2)), F.lit("")), last)
+    chapter = (F.floor(F.col("doc_id") / 20) + 1).cast("int")
     return s.select(F.concat_ws("-", "doc_id", "pos").alias("fact_id"), F.lower(F.concat_ws(" ", "fact", F.array_join(fields, " "))).alias("text"), "fact", entity.alias("entity"),
-                    "importance", "confidence", (F.floor(F.col("doc_id") / 20) + 1).cast("int").alias("chapter_index"), fields.alias("fields"), F.lit("").alias("evidence"))
+                    "importance", "confidence", chapter.alias("chapter_index"), fields.alias("fields"), F.lit("").alias("evidence"), F.when(F.col("doc_id") % 5 == 0, F.concat_ws("|", chapter, "fact")).alias("same"))
 
 
 WITH_RECALL = """f AS (
-    SELECT *, lower(fact || ' ' || array_to_string(fields, ' ')) AS low, lower(fact) AS content, lower(fields[1]) AS entity
-    FROM (SELECT doc_id || '-' || pos AS fact_id, fact, importance, confidence, CAST(doc_id // 20 + 1 AS INT) AS chapter_index, [w[1], coalesce(w[2], ''), coalesce(w[3], ''), w[-1]] AS fields
+    SELECT *, lower(fact || ' ' || array_to_string(fields, ' ')) AS low, lower(fact) AS content, lower(fields[1]) AS entity, CASE WHEN doc_id % 5 = 0 THEN chapter_index || '|' || fact ELSE '#' || fact_id END AS same
+    FROM (SELECT doc_id, doc_id || '-' || pos AS fact_id, fact, importance, confidence, CAST(doc_id // 20 + 1 AS INT) AS chapter_index, [w[1], coalesce(w[2], ''), coalesce(w[3], ''), w[-1]] AS fields
           FROM (SELECT *, string_split(fact, ' ') AS w FROM sentences)))"""
 
 

@@ -10,7 +10,7 @@ from corpusloom.functions import questions as Q
 from corpusloom.operators import packing as P
 from corpusloom.operators import recall as R
 from corpusloom.plans import bind as B
-from corpusloom.plans.questions import _SCORED, _facts, _terms
+from corpusloom.plans.questions import _SCORED, _best, _facts, _terms
 from corpusloom.plans.registry import query
 from corpusloom.sources import enrich as E
 
@@ -24,7 +24,7 @@ _BUDGET, _OVERHEAD = 320, 200
 def _entries(spark, sf):
     """The 120 best facts of every question with the sizes of their forms; written once, they are used several times."""
     facts = _facts(spark, sf)
-    top = R.ranked(R.score(facts, _terms(spark, sf)), 120).select("query_id", "fact_id", "place", "chapter_index")
+    top = R.ranked(_best(spark, sf, 120), 120).select("query_id", "fact_id", "place", "chapter_index")
     forms = F.array(*[C.clip(F.col("fact"), n) for n in _LADDER_FACT])
     e = top.join(facts.select("fact_id", "fact", forms.alias("forms")), "fact_id")
     return tables.staged(e.withColumn("sizes", F.transform("forms", lambda x: F.length(x) + 10)).withColumn("size", F.get("sizes", F.lit(0))), "entries")

@@ -37,9 +37,14 @@ def win_score(spark, sf):
     return R.score(_facts(spark, sf), _terms(spark, sf)).select("query_id", "fact_id", "score", "matched")
 
 
+def _best(spark, sf, most, chapters=False):
+    """The best entries of every question by one pass over the texts; facts count as they come, equal ones, too."""
+    return R.scan(_facts(spark, sf).drop("same"), _terms(spark, sf), most, chapters).entries
+
+
 @query("win_rank", f"{_SCORED} SELECT query_id, fact_id, place FROM ranked WHERE place <= 160")
 def win_rank(spark, sf):
-    return R.ranked(R.score(_facts(spark, sf), _terms(spark, sf)), 160).select("query_id", "fact_id", F.col("place").cast("long").alias("place"))
+    return R.ranked(_best(spark, sf, 160), 160).select("query_id", "fact_id", F.col("place").cast("long").alias("place"))
 
 
 def _pick_sql(source: str, limit: str, name: str = "p") -> str:
@@ -55,13 +60,12 @@ def _pick_sql(source: str, limit: str, name: str = "p") -> str:
 
 @query("win_coverage_pick", f"{_SCORED}, {_pick_sql('ranked', '40')} SELECT query_id, fact_id FROM p WHERE pick <= 40")
 def win_coverage_pick(spark, sf):
-    return R.coverage_pick(R.ranked(R.score(_facts(spark, sf), _terms(spark, sf))), 40).select("query_id", "fact_id")
+    return R.coverage_pick(_best(spark, sf, 40, chapters=True), 40).select("query_id", "fact_id")
 
 
 @query("win_best_chapter", f"{_SCORED} SELECT query_id, chapter_index, arg_min(fact_id, place) AS fact_id FROM ranked GROUP BY 1, 2")
 def win_best_chapter(spark, sf):
-    ranked = R.ranked(R.score(_facts(spark, sf), _terms(spark, sf)))
-    return ranked.groupBy("query_id", "chapter_index").agg(F.min_by("fact_id", "place").alias("fact_id"))
+    return R.best_of_chapter(_best(spark, sf, 1, chapters=True)).select("query_id", "chapter_index", "fact_id")
 
 
 @query("win_even_sample", f"WITH {B.WITH_CHAPTERS}, n AS (SELECT book_id, chapter_index, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) - 1 AS spot, count(*) OVER (PARTITION BY book_id) AS n FROM chapters) SELECT DISTINCT book_id, chapter_index FROM n, range(0, 7) i(i) WHERE n <= 7 OR spot = round(i * (n - 1) / 6.0::DOUBLE)")
@@ -99,7 +103,7 @@ _EXPAND = f"""{_SCORED}, seeds AS (SELECT r.query_id, r.place, list_concat(f.fie
 
 def _seeds(spark, sf):
     facts = _facts(spark, sf)
-    ranked = R.ranked(R.score(facts, _terms(spark, sf)), R.MOST_SEEDS)
+    ranked = R.ranked(_best(spark, sf, R.MOST_SEEDS), R.MOST_SEEDS)
     return ranked.join(facts.select("fact_id", R.seed_fields().alias("fields")), "fact_id").select("query_id", "place", "fields")
 
 
@@ -126,16 +130,38 @@ def win_matched_terms(spark, sf):
 _DIRECT = """tg AS (SELECT query_id, list_concat([lower(target)], list_filter(list_transform(terms, lambda x: lower(x)), lambda x: length(x) BETWEEN 2 AND 12)) AS w FROM questions WHERE target IS NOT NULL),
     tu AS (SELECT query_id, unnest(list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 12)) AS term FROM tg),
     direct AS (SELECT DISTINCT query_id, fact_id FROM (SELECT fact_id, lower(unnest(fields)) AS field FROM f) v JOIN tu ON v.field <> '' AND (v.field = tu.term OR (length(tu.term) >= 3 AND contains(v.field, tu.term))))"""
-_RECALL = f"""{_EXPAND}, {_DIRECT}, bn AS (SELECT query_id, count(*) AS base FROM t GROUP BY 1), t2 AS (SELECT query_id, term FROM t UNION SELECT query_id, term FROM z JOIN bn USING (query_id) WHERE n <= 32 AND n + base <= 80),
-    scored2 AS ({_score_sql("t2")}), r2 AS (SELECT *, {_RANK} FROM scored2 WHERE query_id NOT IN (SELECT query_id FROM direct)),
-    recalled AS (SELECT query_id, fact_id, chapter_index, importance, round(importance + 1000, 6) AS score, true AS target FROM direct JOIN f USING (fact_id)
+_STRONG = f"""{_DIRECT.replace('tg AS', 'tgs AS').replace('tu AS', 'tus AS').replace('FROM tg)', 'FROM tgs)').replace('JOIN tu ', 'JOIN tus ').replace('tu.', 'tus.').replace('direct AS', 'plain AS').replace('WHERE target IS NOT NULL', 'WHERE target IS NOT NULL AND owner IS NULL')},
+    strong AS (SELECT query_id, fact_id FROM plain UNION SELECT query_id, fact_id FROM questions JOIN f ON contains(f.low, lower(owner)) AND contains(f.low, lower(object)))"""
+_RECALL = f"""{_SCORED}, {_STRONG}, sd AS (SELECT query_id, fact_id, place FROM ranked WHERE place <= 80 AND query_id NOT IN (SELECT query_id FROM strong)
+         UNION ALL SELECT query_id, fact_id, place FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY chapter_index, fact_id) AS place FROM strong s JOIN f USING (fact_id)) WHERE place <= 80),
+    {_EXPAND[len(_SCORED) + 2 :].replace('FROM ranked r JOIN f USING (fact_id) WHERE place <= 80', 'FROM sd r JOIN f USING (fact_id)')},
+    bn AS (SELECT query_id, count(*) AS base FROM t GROUP BY 1), t2 AS (SELECT query_id, term FROM t UNION SELECT query_id, term FROM z JOIN bn USING (query_id) WHERE n <= 32 AND n + base <= 80),
+    scored2 AS ({_score_sql("t2")}), r1 AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id, f.same ORDER BY s.score DESC, s.matched DESC, s.importance DESC, s.chapter_index, s.fact_id) AS k FROM scored2 s JOIN f USING (fact_id)),
+    own2 AS (SELECT * FROM r1 WHERE k = 1), r2 AS (SELECT *, {_RANK} FROM own2 WHERE query_id NOT IN (SELECT query_id FROM strong)),
+    recalled AS (SELECT query_id, fact_id, chapter_index, importance, round(importance + 1000, 6) AS score, true AS target FROM strong JOIN f USING (fact_id)
                  UNION ALL SELECT query_id, fact_id, chapter_index, importance, score, false FROM r2 WHERE place <= 160)"""
 
 
+def _recall(spark, sf):
+    return R.recall(tables.staged(_facts(spark, sf), "sentences"), B.questions(spark, sf), B.VOCABULARY)
+
+
 @query("win_recall", f"{_RECALL} SELECT query_id, fact_id, chapter_index, score, target FROM recalled")
 def win_recall(spark, sf):
-    """Score, expand by the best facts, score again, keep the recall limit; all facts of a target, where there are some."""
-    return R.recall(tables.staged(_facts(spark, sf), "sentences"), B.questions(spark, sf), B.VOCABULARY).select("query_id", "fact_id", "chapter_index", "score", "target")
+    """Score, expand by the best facts, score again, keep the recall limit; all facts of a target, possessive ones too, where there are some."""
+    return _recall(spark, sf).entries.select("query_id", "fact_id", "chapter_index", "score", "target")
+
+
+@query("win_recall_counters", f"""{_RECALL}, ca AS (SELECT query_id, count(*) AS scored FROM own2 GROUP BY 1), cb AS (SELECT query_id, count(*) AS selected, count(*) FILTER (WHERE target) AS targets, count(DISTINCT CASE WHEN target THEN chapter_index END) AS selected_chapters FROM recalled GROUP BY 1),
+    tp AS (SELECT query_id, lower(unnest(terms)) AS term, generate_subscripts(terms, 1) AS pos FROM questions UNION ALL SELECT query_id, term, n + 1000 FROM z JOIN bn USING (query_id) WHERE n <= 32 AND n + base <= 80),
+    ma AS (SELECT query_id, string_agg(term, ',' ORDER BY pos) AS matched FROM (SELECT query_id, term, min(tp.pos) AS pos, row_number() OVER (PARTITION BY query_id ORDER BY min(tp.pos)) AS n FROM recalled JOIN f USING (fact_id) JOIN tp USING (query_id) WHERE contains(f.low, tp.term) GROUP BY 1, 2) WHERE n <= 40 GROUP BY 1),
+    ex AS (SELECT query_id, string_agg(term, ',' ORDER BY n) AS expanded FROM z WHERE n <= 32 GROUP BY 1)
+    SELECT q.query_id, coalesce(ca.scored, 0) AS scored, coalesce(cb.targets, 0) AS targets, coalesce(cb.selected, 0) AS selected, coalesce(cb.selected_chapters, 0) AS selected_chapters, greatest(0, coalesce(ca.scored, 0) - coalesce(cb.selected, 0)) AS dropped, coalesce(ma.matched, '') AS matched, coalesce(ex.expanded, '') AS expanded
+    FROM questions q LEFT JOIN ca USING (query_id) LEFT JOIN cb USING (query_id) LEFT JOIN ma USING (query_id) LEFT JOIN ex USING (query_id)""")
+def win_recall_counters(spark, sf):
+    """What the recall of every question counts: facts that any term hits, targets, selected, their chapters, dropped, and the terms."""
+    c = _recall(spark, sf).counters
+    return c.select("query_id", "scored", "targets", "selected", "selected_chapters", "dropped", F.array_join("matched", ",").alias("matched"), F.array_join("expanded", ",").alias("expanded"))
 
 
 @query("win_chapter_sample", f"WITH {B.WITH_FACTS}, c AS (SELECT user_id, list_sort(list_distinct(list(chapter_index))) AS v FROM facts GROUP BY 1) SELECT user_id, array_to_string(CASE WHEN len(v) <= 16 THEN v ELSE list_concat(v[1:8], v[-8:]) END, ',') AS chapters FROM c")
@@ -190,10 +216,10 @@ _FLAGGED = f"""{_EXPAND}, {_DIRECT}, e AS (SELECT r.*, d.fact_id IS NOT NULL AS
 
 
 def _flagged(spark, sf):
-    """Ranked entries of every question with a flag: a structured field has the target."""
+    """Entries of every question with a flag: a structured field has the target."""
     facts, q = _facts(spark, sf), B.questions(spark, sf)
     own = R.target_facts(facts, R.target_terms(q)).withColumn("target", F.lit(True))
-    return R.ranked(R.score(facts, _terms(spark, sf))).join(own, ["query_id", "fact_id"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    return R.score(facts, _terms(spark, sf)).join(own, ["query_id", "fact_id"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
 @query("win_select", f"""{_FLAGGED}, o AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY place) AS place) FROM e WHERE target), {_pick_sql('o', '30')}, k AS (SELECT e.query_id, e.fact_id, e.target, row_number() OVER (PARTITION BY e.query_id ORDER BY CASE WHEN p.pick <= 30 THEN 0 ELSE 1 END, e.place) AS turn FROM e LEFT JOIN p ON p.query_id = e.query_id AND p.fact_id = e.fact_id)
