@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom import tables
 from corpusloom.operators import groups as G
+from corpusloom.operators import layout as L
 from corpusloom.operators import packing as K
 from corpusloom.operators import upsert as U
 from corpusloom.plans import bind as B
@@ -18,14 +20,19 @@ def sink_chapter_upsert(spark, sf):
     text = F.concat("content", F.lit("!"))
     changed = c.where("doc_id % 7 = 0").select("book_id", "chapter_index", F.length(text).cast("long").alias("content_length"), F.sha2(text, 256).alias("content_hash"))
     new = changed.withColumn("pos", F.lit(2)).unionByName(changed.withColumns({"pos": F.lit(1), "content_hash": F.lit("older")}))
-    return U.latest(old, new, ["book_id", "chapter_index"])
+    stored = L.store(old, tables.new_folder(spark, "chapters"))
+    stored.upsert(new, ["book_id", "chapter_index"])
+    return stored.read()
 
 
-@query("sink_l1_upsert", "SELECT doc_id, quality + 10 AS quality, CAST(doc_id AS BIGINT) AS created_at FROM labels WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, quality, doc_id FROM labels WHERE doc_id % 5 <> 0")
+@query("sink_l1_upsert", f"WITH {B.WITH_CHAPTERS} SELECT book_id, chapter_index, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN quality + 10 ELSE quality END AS quality, CAST(doc_id AS BIGINT) AS created_at FROM labels JOIN chapters USING (doc_id)")
 def sink_l1_upsert(spark, sf):
-    old = B.table(spark, sf, "labels").select("doc_id", "quality", F.col("doc_id").alias("created_at"))
-    new = old.where("doc_id % 5 = 0").select("doc_id", (F.col("quality") + 10).alias("quality"), F.lit(-1).cast("long").alias("created_at"), F.lit(1).alias("pos"))
-    return U.latest(old, new, ["doc_id"], keep=("created_at",))
+    """Route rows of some chapters come again; when they were first made stays."""
+    old = B.chapters(spark, sf).select("doc_id", "book_id", "chapter_index").join(B.table(spark, sf, "labels"), "doc_id").select("book_id", "chapter_index", "quality", F.col("doc_id").alias("created_at"))
+    old = tables.staged(old, "l1")
+    stored = L.store(old, tables.new_folder(spark, "routes"))
+    stored.upsert(old.where("created_at % 10 = 0").select("book_id", "chapter_index", (F.col("quality") + 10).alias("quality"), F.lit(-1).cast("long").alias("created_at"), F.lit(1).alias("pos")), ["book_id", "chapter_index"], keep=("created_at",))
+    return stored.read()
 
 
 _F = "id, book_id, index_group_key, chapter_index, fact, status"
@@ -50,8 +57,9 @@ def sink_l2_replace(spark, sf):
     scope = (F.col("chapter_index") == 3) & (F.col("index_group_key") == "g1")
     new = f.where(scope & (F.col("fact_type") != "click")).withColumns({"id": -F.col("id"), "fact": F.upper("fact"), "candidate": F.col("fact_type") == "error"})
     built = f.where(scope).select(*_SCOPE).distinct().withColumns({"status": F.lit("completed"), "source_hash": F.lit("new")})
-    facts, status = U.replaced(old, _group_status(f), built, new, _SCOPE)
-    return _both(facts, status)
+    facts, status = (L.store(t, tables.new_folder(spark, name), span=10) for t, name in ((old, "facts"), (_group_status(f), "status")))
+    L.replace(facts, status, built, new, _SCOPE)
+    return _both(facts.read(), status.read())
 
 
 def _both(facts, status):
@@ -72,7 +80,9 @@ def sink_l2_status(spark, sf):
     f = B.facts(spark, sf)
     status = _group_status(f)
     changes = status.where("chapter_index in (2, 4)").select(*_SCOPE, F.when(F.col("book_id") < "b15", "failed").otherwise("pending").alias("status"), F.lit("new").alias("source_hash"))
-    return _both(*U.marked(f.select(*_F.split(", ")), status, changes, _SCOPE))
+    facts, stored = (L.store(t, tables.new_folder(spark, name), span=10) for t, name in ((f.select(*_F.split(", ")), "facts"), (status, "status")))
+    L.mark(facts, stored, changes, _SCOPE)
+    return _both(facts.read(), stored.read())
 
 
 @query("sink_subject_clear", f"WITH {B.WITH_FACTS}, s AS (SELECT DISTINCT book_id, index_group_key, entity FROM facts) SELECT * FROM s WHERE NOT (index_group_key = 'g1' AND book_id IN ('b1', 'b2'))")
