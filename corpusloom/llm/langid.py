@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import store
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-#: Bound of the training sample, for each language.
-PER_LANGUAGE = 600
+#: Bound of the training sample: rows of each language, and languages, those with the most labelled rows.
+PER_LANGUAGE, LANGUAGES = 600, 200
 #: Spans used of a longer training text and characters of each.
 SPANS, SPAN_CHARS = 16, 500
 REJECTED = 0.001
@@ -154,18 +154,19 @@ def spans(text: Column) -> Column:
     return F.when(n <= SPANS * SPAN_CHARS, text).otherwise(F.array_join(at, "\n"))
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """A bounded sample (lang, text, h): of every language the rows with the smallest hashes.
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
+    """A bounded sample (lang, text, h): of each of the ``languages`` with the most labelled rows (ties by name) the rows with the smallest hashes.
 
-    Counts by language and the hash's first 12 bits tell which rows can be
-    among them, so little more than the sample is shuffled.  What is broadcast
-    is one row a language, less than the model that goes to every task.
+    So at most ``languages`` times ``per_language`` rows; labels beyond are too rare to be learned, like junk
+    in the column, and are never predicted.  Counts by language and the hash's first 12 bits tell which rows can
+    be in the sample, so little more than it is shuffled; what is broadcast is one row for each learned language.
     """
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     rows = rows.withColumn("cell", F.shiftright("h", 52))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = rows.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
-    last = cells.where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
+    last = cells.groupBy("lang").agg(F.max(F.when(F.col("before") < per_language, F.col("cell"))).alias("last"), F.sum("n").alias("n"))
+    last = last.orderBy(F.desc("n"), "lang").limit(languages).select("lang", "last")
     near = rows.join(F.broadcast(last), "lang").where("cell <= last").select("lang", spans(F.col("text")).alias("text"), "h")
     first = Window.partitionBy("lang").orderBy("h")
     return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")

@@ -98,11 +98,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     Copies are at most ``most`` rounded up.  Null source is a source of its
     own; null doc_id and repeated rows are numbered like others (ties by text).
     Documents without words are taken like others and add nothing.  An empty
-    table gives none.  Columns of ``docs`` may not begin with two underscores.  ``docs`` must be read from files: rows are told apart by
-    their place in them.  Sizes are counted once, into a narrow table; texts go
+    table gives none.  Columns of ``docs`` may not begin with two underscores.  Rows are told apart by their place in the files that ``docs``
+    is read from; it is written first if it isn't a plain scan.  Sizes are counted once, into a narrow table; texts go
     through one shuffle, and through none if the caller doesn't ask for them.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = store.steady(docs).withColumn("__row", F.monotonically_increasing_id())
     narrow = numbered.select("__row", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("source").cast("string").alias("__source"), word_count().alias("__size"))
     return numbered.join(copies(store.staged(narrow, "mix-sizes"), weights, share, most, seed), "__row").drop("__row")
 

@@ -26,10 +26,10 @@ CURVES, DIMS, BITS = 6, 4, 8
 REACH = 0.125
 #: Rows of the sample that projections and bounds are fitted on.
 SAMPLE = 20_000
-#: Rows of a block and queries of a part at most, roughly.  A query is sent to a
-#: share of the blocks and a vector to all parts, so both numbers are as large as a
-#: task's memory allows: 32 768 vectors of 64 components are 17 MB.
-BLOCK, VISIT = 32_768, 131_072
+#: Bytes of a block's vectors and of a part's queries at most, in doubles, roughly.  A query
+#: is sent to a share of the blocks and a vector to all parts, so both are as large as a
+#: task's memory allows: 32 768 vectors and 131 072 queries of 64 components.
+BLOCK_BYTES, VISIT_BYTES = 16 << 20, 64 << 20
 #: Scores that are held at a time.
 SCORES = 4_194_304
 #: Blocks of a curve at least, where they get that many rows each.
@@ -147,10 +147,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float =
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = blocks or max(1, min(LEAST_BLOCKS, n // LEAST_ROWS), -(-n // BLOCK))
+    row_bytes = 8 * len(sample["embedding"].iloc[0])
+    blocks = blocks or max(1, min(LEAST_BLOCKS, n // LEAST_ROWS), -(-n * row_bytes // BLOCK_BYTES))
     side = int(np.ceil(blocks * reach))
     model = Curves(np.stack(sample["embedding"].to_numpy()), blocks, curves)
-    slices = max(1, -(-_same_length(q) // VISIT))
+    slices = max(1, -(-_same_length(q) * row_bytes // VISIT_BYTES))
 
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     distinct = v.distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))

@@ -69,11 +69,15 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, limit: int = 1
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write sequences as Parquet, one folder for each length, so that whoever trains reads batches of one length."""
-    packed.drop("sequence_id", "offset").write.partitionBy("bucket").parquet(path)
+    """Write sequences as Parquet, one folder for each length, so that whoever trains reads batches of one length.
+
+    Rows are dealt by length into files of about the session's advisory partition size, large lengths into as many as they
+    need, so there are few small files whatever the number of tasks.  Sequences keep the number that ``pack`` gave them.
+    """
+    packed.drop("offset").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
-    """The sequences of all buckets, numbered by their place in the files. ``kind``: the type of doc_id."""
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, bucket int"
-    return spark.read.schema(schema).parquet(path).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    """The sequences of all buckets. ``kind``: the type of doc_id."""
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, bucket int"
+    return spark.read.schema(schema).parquet(path).withColumn("offset", F.lit(0).cast("long"))

@@ -399,11 +399,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
 
     A word goes if a window covers it whose words also start anywhere else;
     windows are judged on the input.  Rows are told apart by their place in the
-    files that ``docs`` is read from, so null or repeated doc_ids are rows like
-    others: repeated rows are copies of one another, and their windows go from
-    all.  An empty table gives no rows.
+    files that ``docs`` is read from (it is written first if it isn't a plain scan),
+    so null or repeated doc_ids are rows like others: repeated rows are copies of
+    one another, and their windows go from all.  An empty table gives no rows.
     """
-    spark_id, names = "__row", docs.columns
+    spark_id, names, docs = "__row", docs.columns, store.steady(docs)
     numbered = docs.withColumn(spark_id, F.monotonically_increasing_id())
     found = repeats(numbered.select(F.col(spark_id).alias("doc_id"), "text"), window, **how).withColumnRenamed("doc_id", spark_id)
     joined = numbered.join(found.withColumnRenamed("spans", "__spans").hint("shuffle_hash"), spark_id, "left")
