@@ -143,10 +143,14 @@ def coverage_pick(entries: DataFrame, limit: int, own_limit: Column | None = Non
 
 # Scoring in one pass over the texts.
 
+#: Between fields that go to Python as one text.
+_BETWEEN = "\x1f"
+
 
 @dataclass(frozen=True)
 class _Plan:
-    """Terms, and for each the questions that score by it, that have it as owner and as descriptor (as places in ``queries``)."""
+    """Terms, and for each the questions (as places in ``queries``) of its uses: that score by it, have it as
+    owner, as descriptor, as a target that stands in a field, as a target that is the entity."""
 
     queries: list
     terms: list[str]
@@ -155,11 +159,11 @@ class _Plan:
 
     @staticmethod
     def of(rows: list[tuple]) -> _Plan:
-        """Rows: query_id, term, use (0: score, 1: owner, 2: descriptor)."""
+        """Rows: query_id, term, use (0: score, 1: owner, 2: descriptor, 3: in a field, 4: entity)."""
         queries, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
         q, t = {x: i for i, x in enumerate(queries)}, {x: i for i, x in enumerate(terms)}
         uses = []
-        for use in range(3):
+        for use in range(5):
             pairs = np.array(sorted({(t[r[1]], q[r[0]]) for r in rows if r[2] == use}), np.int64).reshape(-1, 2)
             uses.append((np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), pairs[:, 1].copy()))
         return _Plan(queries, terms, tuple(uses), np.bincount(uses[1][1], minlength=len(queries)))
@@ -175,7 +179,7 @@ class _Plan:
 class _Scan:
     """Searches facts for all terms at once and keeps what can be among the ``most`` first of a question, or the first of a chapter of it."""
 
-    COLUMNS = ["query", "score", "matched", "importance", "chapter_index", "fact_id", "same"]
+    COLUMNS = ["query", "score", "matched", "importance", "chapter_index", "fact_id", "same", "seeds"]
 
     def __init__(self, plan: _Plan, most: int, chapters: bool):
         import ahocorasick
@@ -192,7 +196,7 @@ class _Scan:
         self.count = np.zeros(len(plan.queries), np.int64)
 
     def add(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Takes facts; gives rows of facts that owners and descriptors hit, and of keys by which facts are the same."""
+        """Takes facts; gives rows of the facts that are about a target, and of keys by which facts are the same."""
         if not self.plan.terms:
             return
         row, term = [], []
@@ -211,11 +215,12 @@ class _Scan:
         at, query = self.plan.spread(0, term)
         key, place = np.unique(row[at] * n + query, return_inverse=True)
         facts, query = key // n, key % n
-        importance, ids, same = frame["importance"].to_numpy(float), frame["fact_id"].to_numpy(object), frame["same"].to_numpy(object)
+        importance, ids, same, seeds = frame["importance"].to_numpy(float), frame["fact_id"].to_numpy(object), frame["same"].to_numpy(object), frame["seeds"].to_numpy(object)
+        chapter = frame["chapter_index"].to_numpy(np.int64)
         base = importance * 2 + frame["confidence"].to_numpy(float)
         found = pd.DataFrame({
             "query": query, "score": np.round(base[facts] + np.bincount(place, gain[at], minlength=len(key)), 6), "matched": np.bincount(place, minlength=len(key)),
-            "importance": importance[facts], "chapter_index": frame["chapter_index"].to_numpy(np.int64)[facts], "fact_id": ids[facts], "same": same[facts],
+            "importance": importance[facts], "chapter_index": chapter[facts], "fact_id": ids[facts], "same": same[facts], "seeds": seeds[facts],
         })
         keyed = found["same"].notna().to_numpy()
         self.count += np.bincount(query[~keyed], minlength=n)
@@ -227,14 +232,28 @@ class _Scan:
         if self.size > 500_000:
             self.held = [self._first(pd.concat(self.held))]
             self.size = len(self.held[0])
+        about = []
         if len(self.plan.uses[1][1]):
             at, query = self.plan.spread(1, term)
             key, times = np.unique(row[at] * n + query, return_counts=True)
             key = key[times == self.plan.owners[key % n]]
             at, query = self.plan.spread(2, term)
-            key = np.intersect1d(key, row[at] * n + query)
-            if len(key):
-                yield self._rows(pd.DataFrame({"query": key % n}), 3, fact_id=ids[key // n])
+            about.append(np.intersect1d(key, row[at] * n + query))
+        if len(self.plan.uses[3][1]):
+            begin, fields = self.plan.uses[3][0], frame["fields"].tolist()
+            asked = np.flatnonzero(begin[term + 1] > begin[term])
+            # A field that has the term is looked for only if it is in their text at all.
+            inside = [t in fields[r] and any(f == t or (len(t) >= 3 and t in f) for f in map(str.strip, fields[r].split(_BETWEEN))) for r, t in zip(row[asked].tolist(), (names[i] for i in term[asked].tolist()), strict=True)]
+            asked = asked[np.array(inside, bool)]
+            at, query = self.plan.spread(3, term[asked])
+            about.append(row[asked][at] * n + query)
+        if len(self.plan.uses[4][1]):
+            at, query = self.plan.spread(4, term[equal])
+            about.append(row[equal][at] * n + query)
+        key = np.unique(np.concatenate(about)) if about else []
+        if len(key):
+            facts = key // n
+            yield self._rows(pd.DataFrame({"query": key % n}), 3, fact_id=ids[facts], importance=importance[facts], chapter_index=chapter[facts], seeds=seeds[facts])
 
     def _first(self, found: pd.DataFrame) -> pd.DataFrame:
         """What can still be chosen: of facts that are the same the first, of these the ``most`` first of a question and the first of each chapter."""
@@ -252,7 +271,7 @@ class _Scan:
         return found[kept]
 
     def _rows(self, some: pd.DataFrame, kind: int, **more) -> pd.DataFrame:
-        nothing = {"score": None, "matched": None, "importance": None, "chapter_index": None, "fact_id": None, "same": None}
+        nothing = {"score": None, "matched": None, "importance": None, "chapter_index": None, "fact_id": None, "same": None, "seeds": None}
         ids = np.empty(len(self.plan.queries), object)
         ids[:] = self.plan.queries
         return pd.DataFrame({"kind": kind, "query_id": ids[some["query"].to_numpy(np.int64)]} | nothing | more, index=some.index)
@@ -268,26 +287,42 @@ class _Scan:
 
 @dataclass(frozen=True)
 class Scored:
-    """``entries``: query_id, score, matched, importance, chapter_index, fact_id, the ones that can be chosen;
-    ``counts``: query_id, scored (facts that any term hits, equal ones once); ``owned``: query_id, fact_id of possessive targets."""
+    """``entries``: query_id, score, matched, importance, chapter_index, fact_id, seeds, the ones that can be chosen;
+    ``counts``: query_id, scored (facts that any term hits, equal ones once); ``about``: query_id, fact_id, importance,
+    chapter_index, seeds of all facts that are about the question's target."""
 
     entries: DataFrame
     counts: DataFrame
-    owned: DataFrame
+    about: DataFrame
+
+
+def target_uses(questions: DataFrame) -> DataFrame:
+    """query_id, term, use: what makes a fact one about a question's target, for ``scan``.
+
+    A possessive target (one with owners and descriptors) needs its whole name as entity, or all owners and a
+    descriptor in the text; of another one a target term (``target_terms``) stands in a structured field.
+    """
+    if "owners" not in questions.columns:
+        return target_terms(questions).withColumn("use", F.lit(3))
+    both = F.coalesce((F.size("owners") > 0) & (F.size("descriptors") > 0), F.lit(False))
+    out = target_terms(questions.where(~both)).withColumn("use", F.lit(3)).unionByName(questions.where(both).select("query_id", F.col("target").alias("term"), F.lit(4).alias("use")))
+    for use, c in ((1, "owners"), (2, "descriptors")):
+        out = out.unionByName(questions.where(both).select("query_id", F.explode(c).alias("term"), F.lit(use).alias("use")))
+    return out
 
 
-def scan(facts: DataFrame, terms: DataFrame, most: int, chapters: bool = False, possessive: DataFrame | None = None) -> Scored:
+def scan(facts: DataFrame, terms: DataFrame, most: int, chapters: bool = False, targets: DataFrame | None = None, seeds: bool = False) -> Scored:
     """Score all facts for all questions in one pass over the texts, keeping each question's first ``most``.
 
-    ``terms``: query_id, term; ``possessive``: query_id, owners, descriptors.  Every task searches its facts for
+    ``terms``: query_id, term; ``targets`` (see ``target_uses``): find the facts about the questions' targets, too;
+    ``seeds``: give what facts offer to the expansion.  A fact's text must have its fields.  Every task searches its facts for
     all terms, adds up their gains and gives away only what can be chosen, so what is shuffled doesn't grow with the hits.
     The terms of all questions must fit ``containment.MOST_CHARS``; more questions than that are to be asked in batches.
     """
-    wanted = terms.select("query_id", token(F.col("term")).alias("term"), F.lit(0).alias("use"))
-    if possessive is not None:
-        for use, c in ((1, "owners"), (2, "descriptors")):
-            wanted = wanted.unionByName(possessive.select("query_id", F.explode(F.transform(c, token)).alias("term"), F.lit(use).alias("use")))
-    wanted = wanted.where(F.length("term") >= 2).distinct()
+    wanted = terms.select("query_id", "term", F.lit(0).alias("use"))
+    if targets is not None:
+        wanted = wanted.unionByName(targets)
+    wanted = tables.staged(wanted.select("query_id", token(F.col("term")).alias("term"), "use").where(F.length("term") >= 2).distinct(), "recall-wanted")
     chars = wanted.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
     if chars > containment.MOST_CHARS:
         raise ValueError(f"the questions' terms have {chars} characters; ask in batches of at most {containment.MOST_CHARS}")
@@ -295,7 +330,8 @@ def scan(facts: DataFrame, terms: DataFrame, most: int, chapters: bool = False,
     same = F.col("same").cast("string") if "same" in facts.columns else F.lit(None).cast("string")
     asked_of = facts.select(
         F.col("fact_id").cast("string").alias("fact_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), token(F.col("fact")).alias("content"), token(F.col("entity")).alias("entity"),
-        F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("importance"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("chapter_index").cast("long"), F.lit(0)).alias("chapter_index"), same.alias("same"))
+        F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("importance"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("chapter_index").cast("long"), F.lit(0)).alias("chapter_index"), same.alias("same"),
+        (F.array_join(seed_fields(), _BETWEEN) if seeds else F.lit(None).cast("string")).alias("seeds"), (token(F.array_join("fields", _BETWEEN)) if targets is not None else F.lit("")).alias("fields"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = _Scan(plan.value, most, chapters)
@@ -304,15 +340,16 @@ def scan(facts: DataFrame, terms: DataFrame, most: int, chapters: bool = False,
         yield from search.rest()
 
     kind = terms.schema["query_id"].dataType.simpleString()
-    found = tables.staged(asked_of.mapInPandas(run, f"kind int, query_id {kind}, score double, matched long, importance double, chapter_index long, fact_id string, same string"), "recall-scan")
+    found = tables.staged(asked_of.mapInPandas(run, f"kind int, query_id {kind}, score double, matched long, importance double, chapter_index long, fact_id string, same string, seeds string"), "recall-scan")
     entries = found.where("kind = 0")
     if "same" in facts.columns:
         key = F.coalesce(F.concat(F.lit("="), "same"), F.concat(F.lit("#"), "fact_id"))
         entries = entries.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order()))).where("__n = 1")
-    entries = entries.select("query_id", "score", "matched", "importance", F.col("chapter_index").cast("int").alias("chapter_index"), "fact_id")
+    chapter, offered = F.col("chapter_index").cast("int").alias("chapter_index"), F.split("seeds", _BETWEEN).alias("seeds")
+    entries = entries.select("query_id", "score", "matched", "importance", chapter, "fact_id", offered)
     own, keyed = found.where("kind = 1").select("query_id", "matched"), found.where("kind = 2").select("query_id", "same").distinct().select("query_id", F.lit(1).cast("long").alias("matched"))
     counts = own.unionByName(keyed).groupBy("query_id").agg(F.sum("matched").alias("scored"))
-    return Scored(entries, counts, found.where("kind = 3").select("query_id", "fact_id"))
+    return Scored(entries, counts, found.where("kind = 3").select("query_id", "fact_id", "importance", chapter, offered).dropDuplicates(["query_id", "fact_id"]))
 
 
 def expand(seeds: DataFrame, base: DataFrame, clean=lambda c: c, most: int = MOST_EXPANDED) -> DataFrame:
@@ -388,20 +425,6 @@ class Recall:
     counters: DataFrame
 
 
-def strong_targets(facts: DataFrame, questions: DataFrame, owned: DataFrame) -> DataFrame:
-    """query_id, fact_id of the facts that are about a question's target.
-
-    A possessive target (one with owners and descriptors) needs its whole name as entity, or all owners and a
-    descriptor in the text (``owned``); another one stands in a structured field.
-    """
-    if "owners" not in questions.columns:
-        return target_facts(facts, target_terms(questions))
-    both = (F.size("owners") > 0) & (F.size("descriptors") > 0)
-    named = questions.where(both).select("query_id", token(F.col("target")).alias("entity"))
-    by_name = facts.select("fact_id", token(F.col("entity")).alias("entity")).join(named, "entity").select("query_id", "fact_id")
-    return target_facts(facts, target_terms(questions.where(~F.coalesce(both, F.lit(False))))).unionByName(by_name).unionByName(owned).distinct()
-
-
 def recall(facts: DataFrame, questions: DataFrame, vocabulary: Q.Vocabulary, most: int = MOST_FACTS) -> Recall:
     """What each question recalls.
 
@@ -413,22 +436,20 @@ def recall(facts: DataFrame, questions: DataFrame, vocabulary: Q.Vocabulary, mos
     Counters: scored (facts that any term hits), targets, selected, selected_chapters (of targets), dropped
     (scored but not selected), expanded and matched (terms; matched: those in the text of a selected fact, in order, at most 40).
     """
-    base = terms_of(questions)
-    possessive = questions.where((F.size("owners") > 0) & (F.size("descriptors") > 0)).select("query_id", "owners", "descriptors") if "owners" in questions.columns else None
-    first = scan(facts, base, MOST_SEEDS, possessive=possessive)
-    direct = tables.staged(strong_targets(facts, questions, first.owned), "recall-direct")
-    about = facts.select("fact_id", "chapter_index", "importance", seed_fields().alias("fields"))
-    of_target = direct.join(about, "fact_id")
-    early = of_target.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("chapter_index", "fact_id"))).where(F.col("place") <= MOST_SEEDS)
-    best = ranked(first.entries.join(direct, "query_id", "left_anti"), MOST_SEEDS).select("query_id", "fact_id", "place").join(about.select("fact_id", "fields"), "fact_id")
-    seeds = best.select("query_id", "place", "fields").unionByName(early.select("query_id", "place", "fields"))
+    base = tables.staged(terms_of(questions), "recall-base")
+    first = scan(facts, base, MOST_SEEDS, targets=target_uses(questions), seeds=True)
+    direct = first.about
+    aimed = direct.select("query_id").distinct()
+    early = direct.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("chapter_index", "fact_id"))).where(F.col("place") <= MOST_SEEDS)
+    best = ranked(first.entries.join(aimed, "query_id", "left_anti"), MOST_SEEDS)
+    seeds = best.unionByName(early, allowMissingColumns=True).select("query_id", "place", F.col("seeds").alias("fields"))
     count = base.groupBy("query_id").agg(F.count(F.lit(1)).alias("__base"))
     grown = tables.staged(expand(seeds, base, lambda c: Q.term_clean(c, vocabulary)), "recall-expanded")
     more = grown.join(count, "query_id").where(F.col("n") + F.col("__base") <= MOST_TERMS)
     terms = tables.staged(base.select("query_id", F.col("pos").cast("long").alias("pos"), "term").unionByName(more.select("query_id", (F.col("n") + 1_000).cast("long").alias("pos"), "term")), "recall-terms")
     second = scan(facts, terms, most)
-    chosen = ranked(second.entries.join(direct, "query_id", "left_anti"), most)
-    own = of_target.select("query_id", "fact_id", "chapter_index", "importance", F.round(F.col("importance") + 1000, 6).alias("score"), F.lit(True).alias("target"))
+    chosen = ranked(second.entries.join(aimed, "query_id", "left_anti"), most)
+    own = direct.select("query_id", "fact_id", "chapter_index", "importance", F.round(F.col("importance") + 1000, 6).alias("score"), F.lit(True).alias("target"))
     entries = tables.staged(own.unionByName(chosen.select("query_id", "fact_id", "chapter_index", "importance", "score", F.lit(False).alias("target"))), "recalled")
     taken = entries.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("selected"), F.count_if("target").alias("targets"), F.count_distinct(F.when(F.col("target") & (F.col("chapter_index") != 0), F.col("chapter_index"))).alias("selected_chapters"))

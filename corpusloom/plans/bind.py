@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom import tables
 from corpusloom.functions import questions as Q
 from corpusloom.operators import coverage as V
 
@@ -84,7 +85,7 @@ WITH_FACTS = """facts AS (
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of documents as facts without fields: doc_id, pos, fact, importance, confidence."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("book_id"), F.posexplode(F.split("text", "[.!?\\n]+")).alias("pos", "fact"))
+    d = tables.spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", F.col("source").alias("book_id"), F.posexplode(F.split("text", "[.!?\\n]+")).alias("pos", "fact"))
     d = d.withColumn("fact", F.trim("fact")).where("length(fact) >= 2")
     return d.withColumns({"importance": (F.length("fact") % 8).cast("double") / 8, "confidence": (F.col("pos") % 4).cast("double") / 4})
 

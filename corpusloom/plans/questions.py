@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom import tables
 from corpusloom.functions import questions as Q
 from corpusloom.operators import recall as R
 from corpusloom.plans import bind as B
@@ -102,9 +101,8 @@ _EXPAND = f"""{_SCORED}, seeds AS (SELECT r.query_id, r.place, list_concat(f.fie
 
 
 def _seeds(spark, sf):
-    facts = _facts(spark, sf)
-    ranked = R.ranked(_best(spark, sf, R.MOST_SEEDS), R.MOST_SEEDS)
-    return ranked.join(facts.select("fact_id", R.seed_fields().alias("fields")), "fact_id").select("query_id", "place", "fields")
+    best = R.scan(_facts(spark, sf).drop("same"), _terms(spark, sf), R.MOST_SEEDS, seeds=True).entries
+    return R.ranked(best, R.MOST_SEEDS).select("query_id", "place", F.col("seeds").alias("fields"))
 
 
 def _expanded(spark, sf):
@@ -143,7 +141,7 @@ _RECALL = f"""{_SCORED}, {_STRONG}, sd AS (SELECT query_id, fact_id, place FROM
 
 
 def _recall(spark, sf):
-    return R.recall(tables.staged(_facts(spark, sf), "sentences"), B.questions(spark, sf), B.VOCABULARY)
+    return R.recall(_facts(spark, sf), B.questions(spark, sf), B.VOCABULARY)
 
 
 @query("win_recall", f"{_RECALL} SELECT query_id, fact_id, chapter_index, score, target FROM recalled")

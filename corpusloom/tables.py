@@ -27,3 +27,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Plan nodes that keep the partitions of what they read.
+_NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "Generate"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A small table may be one row group of one file, so one task; it is dealt
+    anew then.  What has enough partitions, as any large table, stays as it is,
+    and so does whatever has been shuffled already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName().split(" ")[0] not in _NARROW:
+            return df
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
