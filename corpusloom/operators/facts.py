@@ -86,23 +86,33 @@ def trace(packets: DataFrame, part: list[str]) -> DataFrame:
 
     ``packets``: the part's columns, pos (order) and the fields of ``packet``, and target (or null).
     """
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.trim(F.coalesce(c, F.lit(""))).alias("value")) for k, c in (("source_types", F.coalesce("source_type", F.lit("unknown"))), ("categories", F.col("category")), ("fact_types", F.col("fact_type")))])
-    counts = packets.select(*part, F.explode(kinds).alias("k")).where("k.value <> ''").groupBy(*part, "k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"))
-    entries = F.struct("value", "n")
-    maps = counts.groupBy(*part).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, entries))).alias(k) for k in ("source_types", "categories", "fact_types")])
+    maps = {"source_types": F.coalesce("source_type", F.lit("unknown")), "categories": F.col("category"), "fact_types": F.col("fact_type")}
+    values = [F.array(_value(k, c)) for k, c in (*maps.items(), ("subjects", F.col("subject")))]
+    told = _told(packets, part, F.concat(*values, F.transform("related_subjects", lambda x, i: _value("related", x, i))), tuple(maps), {"subjects": 12, "related": 8})
     text = F.lower(F.concat_ws(" ", "source_type", "category", "subject", "fact_type", "content", "related_subjects", "tags", "evidence"))
     hit = F.coalesce((F.col("target") != "") & F.contains(text, F.lower("target")), F.lit(False))
     flat = packets.groupBy(*part).agg(F.count(F.lit(1)).alias("packets"), F.array_sort(F.collect_set("chapter_index")).alias("chapters"), F.count_if(hit).alias("target_packets"))
     out = flat.withColumns({"chapter_count": F.size("chapters"), "first_chapter": F.array_min("chapters"), "last_chapter": F.array_max("chapters"), "sample": C.chapter_sample(F.col("chapters"))}).drop("chapters")
-    return out.join(maps, part, "left").join(_first_seen(packets, part, F.array("subject"), 12, "subjects"), part, "left").join(_first_seen(packets, part, F.col("related_subjects"), 8, "related"), part, "left")
+    return out.join(told, part, "left")
 
 
-def _first_seen(rows: DataFrame, by: list[str], values: Column, most: int, name: str) -> DataFrame:
-    """Distinct non-blank values in first-seen order, at most ``most``, without a list of all of them."""
-    each = rows.select(*by, "pos", F.posexplode(values).alias("__i", "__v")).withColumn("__v", C.trimmed(F.coalesce(F.col("__v"), F.lit("")))).where("__v <> ''")
-    first = each.groupBy(*by, "__v").agg(F.min(F.struct("pos", "__i")).alias("__at"))
-    kept = first.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__at"))).where(F.col("__n") <= most)
-    return kept.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__v"))), lambda x: x["__v"]).alias(name))
+def _value(kind: str, value: Column, place: Column | None = None, n: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), C.trimmed(F.coalesce(value.cast("string"), F.lit(""))).alias("value"), (place if place is not None else F.lit(0)).cast("int").alias("i"), (n if n is not None else F.lit(1)).cast("long").alias("n"))
+
+
+def _told(rows: DataFrame, by: list[str], values: Column, maps: tuple[str, ...], lists: dict[str, int]) -> DataFrame:
+    """Of each group of ``rows`` (with pos) the values by kind: summed maps, and lists of the first distinct values.
+
+    ``values`` are structs of kind, value, i (place in its row) and n.  One aggregation by value, whose
+    partial sums and minima are all that is shuffled, serves all kinds; no list of all values is made.
+    """
+    each = rows.select(*by, "pos", F.explode(values).alias("v")).where("v.value <> ''")
+    counted = each.groupBy(*by, "v.kind", "v.value").agg(F.sum("v.n").alias("n"), F.min(F.struct("pos", "v.i")).alias("at"))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("at", "value")))
+    kind = F.col("kind")
+    made = [F.map_from_entries(F.collect_list(F.when(kind == k, F.struct("value", "n")))).alias(k) for k in maps]
+    made += [F.transform(F.array_sort(F.collect_list(F.when((kind == k) & (F.col("place") <= most), F.struct("place", "value")))), lambda x: x["value"]).alias(k) for k, most in lists.items()]
+    return placed.groupBy(*by).agg(*made)
 
 
 def public(traces: DataFrame) -> DataFrame:
@@ -114,16 +124,18 @@ def public(traces: DataFrame) -> DataFrame:
 
 def merged(traces: DataFrame, by: list[str]) -> DataFrame:
     """One trace of many: summed packets and maps, chapters out of samples, first and last ones, up to twelve subjects. ``traces`` come with pos."""
-    sums = []
-    for name in ("source_types", "categories"):
-        n = traces.select(*by, F.explode(name).alias("key", "n")).groupBy(*by, "key").agg(F.sum("n").alias("n"))
-        sums.append(n.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias(name)))
-    seen = traces.select(*by, F.explode(F.concat("sample", F.array("first_chapter", "last_chapter"))).alias("c")).where("c > 0").groupBy(*by).agg(F.array_sort(F.collect_set("c")).alias("c"))
-    out = traces.groupBy(*by).agg(F.count(F.lit(1)).alias("parts"), F.sum("packets").alias("packets"), F.sum("target_packets").alias("target_packets"))
-    seen = seen.select(*by, F.size("c").alias("chapter_count"), F.array_min("c").alias("first_chapter"), F.array_max("c").alias("last_chapter"), C.chapter_sample(F.col("c")).alias("sample"))
-    for part in (*sums, seen, _first_seen(traces, by, F.col("subjects"), 12, "subjects")):
-        out = out.join(part, by, "left")
-    return out
+    maps = ("source_types", "categories")
+
+    def entries_of(name: str) -> Column:
+        return F.transform(F.map_entries(name), lambda e: _value(name, e["key"], n=e["value"]))
+
+    entries = [entries_of(name) for name in maps]
+    told = _told(traces, by, F.concat(*entries, F.transform("subjects", lambda x, i: _value("subjects", x, i))), maps, {"subjects": 12})
+    # Samples have at most 16 chapters each.
+    seen = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.concat("sample", F.array("first_chapter", "last_chapter")))), lambda c: c > 0)))
+    out = traces.groupBy(*by).agg(F.count(F.lit(1)).alias("parts"), F.sum("packets").alias("packets"), F.sum("target_packets").alias("target_packets"), seen.alias("c"))
+    out = out.withColumns({"chapter_count": F.size("c"), "first_chapter": F.array_min("c"), "last_chapter": F.array_max("c"), "sample": C.chapter_sample(F.col("c"))}).drop("c")
+    return out.join(told, by, "left")
 
 
 def leaves(v: Column, depth: int = 4) -> Column:

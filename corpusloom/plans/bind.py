@@ -39,16 +39,25 @@ WITH_CHAPTERS = """chapters AS (
     FROM documents)"""
 
 
-def status(spark: SparkSession, sf: str) -> DataFrame:
+def status_of(c: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels as build results of chapters; a toxic chapter's stored hash is stale."""
-    c = chapters(spark, sf).select("book_id", "chapter_index", "doc_id", "content_hash")
-    return c.join(table(spark, sf, "labels"), "doc_id").select(
+    return c.select("book_id", "chapter_index", "doc_id", "content_hash").join(labels, "doc_id").select(
         "book_id", "chapter_index", "doc_id",
         F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"),
         F.when(F.col("toxic") == 1, "").otherwise(F.col("content_hash")).alias("source_hash"),
         F.when(F.col("quality") == 1, F.col("doc_id") % 4).otherwise(0).cast("int").alias("facts_count"))
 
 
+def status(spark: SparkSession, sf: str) -> DataFrame:
+    return status_of(chapters(spark, sf), table(spark, sf, "labels"))
+
+
+def covered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Chapters without their texts, and their status. Texts are hashed and chapters numbered once, into a narrow table that both read."""
+    c = tables.staged(chapters(spark, sf).select("book_id", "doc_id", "chapter_index", "content_hash"), "chapters")
+    return c, status_of(c, table(spark, sf, "labels"))
+
+
 WITH_STATUS = WITH_CHAPTERS + """, status AS (
     SELECT book_id, chapter_index, doc_id, CASE quality WHEN 1 THEN 'completed' ELSE 'failed' END AS status,
            CASE WHEN toxic = 1 THEN '' ELSE content_hash END AS source_hash,

@@ -23,27 +23,28 @@ _L2 = """SELECT book_id, count(*) AS total, count(*) FILTER (WHERE status = 'com
 
 @query("agg_l1_cov", f"{_JOINED} {_L1}")
 def agg_l1_cov(spark, sf):
-    return V.route_coverage(B.chapters(spark, sf), B.status(spark, sf))
+    return V.route_coverage(*B.covered(spark, sf))
 
 
 @query("agg_l2_cov", f"{_JOINED} {_L2}")
 def agg_l2_cov(spark, sf):
-    return V.fact_coverage(B.chapters(spark, sf), B.status(spark, sf))
+    return V.fact_coverage(*B.covered(spark, sf))
 
 
 @query("jn_l1_cov", f"{_JOINED} SELECT book_id, chapter_index, coalesce(status, 'missing') AS status, fresh FROM j WHERE chapter_index BETWEEN 5 AND 30")
 def jn_l1_cov(spark, sf):
-    return V.with_status(B.chapters(spark, sf).where("chapter_index between 5 and 30"), B.status(spark, sf)).select("book_id", "chapter_index", F.coalesce("status", F.lit("missing")).alias("status"), "fresh")
+    c, status = B.covered(spark, sf)
+    return V.with_status(c.where("chapter_index between 5 and 30"), status).select("book_id", "chapter_index", F.coalesce("status", F.lit("missing")).alias("status"), "fresh")
 
 
 @query("jn_l2_cov", f"{_JOINED} SELECT book_id, chapter_index, coalesce(status, 'missing') AS status, facts_count FROM j")
 def jn_l2_cov(spark, sf):
-    return V.with_status(B.chapters(spark, sf), B.status(spark, sf)).select("book_id", "chapter_index", F.coalesce("status", F.lit("missing")).alias("status"), "facts_count")
+    return V.with_status(*B.covered(spark, sf)).select("book_id", "chapter_index", F.coalesce("status", F.lit("missing")).alias("status"), "facts_count")
 
 
 @query("jn_l1_plan", f"{_JOINED} SELECT book_id, chapter_index FROM j WHERE NOT fresh")
 def jn_l1_plan(spark, sf):
-    return V.work_list(B.chapters(spark, sf), B.status(spark, sf), "all")
+    return V.work_list(*B.covered(spark, sf), "all")
 
 
 _MODES = {"all": "NOT fresh", "retry_failed": "status = 'failed'", "retry_empty": "status = 'completed' AND facts_count = 0", "missing": "status IS NULL"}
@@ -52,7 +53,7 @@ _MODES = {"all": "NOT fresh", "retry_failed": "status = 'failed'", "retry_empty"
 @query("jn_l2_plan", _JOINED + " UNION ALL ".join(f" SELECT '{m}' AS mode, book_id, chapter_index FROM j WHERE {w}" for m, w in _MODES.items()))
 def jn_l2_plan(spark, sf):
     """The work lists of all modes by one join."""
-    return V.work_lists(B.chapters(spark, sf), B.status(spark, sf), tuple(_MODES)).select("mode", "book_id", "chapter_index")
+    return V.work_lists(*B.covered(spark, sf), tuple(_MODES)).select("mode", "book_id", "chapter_index")
 
 
 @query("agg_cov_percent", f"{_JOINED}, v AS ({_L2}) SELECT book_id, CAST(round(completed * 100.0::DOUBLE / total) AS INT) AS pct, completed || '/' || total || ' chapters' AS label FROM v")
@@ -184,8 +185,10 @@ def agg_status(spark, sf):
 
 @query("agg_status_book", f"WITH {B.WITH_STATUS} SELECT coalesce(book_id, '*') AS book_id, coalesce(status, '*') AS status, count(*) AS n FROM status GROUP BY GROUPING SETS ((book_id, status), (book_id), ())")
 def agg_status_book(spark, sf):
-    B.status(spark, sf).select("book_id", "status").createOrReplaceTempView("__status_book")
-    return spark.sql("SELECT coalesce(book_id, '*') AS book_id, coalesce(status, '*') AS status, count(*) AS n FROM __status_book GROUP BY GROUPING SETS ((book_id, status), (book_id), ())")
+    """Counts by book and status, by book, and in all."""
+    sets = [[F.col("book_id"), F.col("status")], [F.col("book_id")], []]
+    counted = B.status(spark, sf).groupingSets(sets, "book_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.coalesce("book_id", F.lit("*")).alias("book_id"), F.coalesce("status", F.lit("*")).alias("status"), "n")
 
 
 @query("agg_import_status", "SELECT source AS book_id, count(*) AS total, count(*) FILTER (WHERE n_chars < 200) AS failed, CASE WHEN count(*) FILTER (WHERE n_chars < 200) = 0 THEN 'completed' WHEN count(*) FILTER (WHERE n_chars < 200) = count(*) THEN 'failed' ELSE 'completed_with_errors' END AS status FROM documents GROUP BY 1")

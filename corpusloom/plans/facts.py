@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom import tables
 from corpusloom.functions import columns as C
 from corpusloom.operators import facts as O
 from corpusloom.operators import routes
@@ -148,7 +149,7 @@ def agg_trace_public(spark, sf):
     SELECT book_id, parts, packets, target_packets, categories, source_types, CAST(len(v) AS INT) AS chapter_count, v[1] AS first_chapter, v[-1] AS last_chapter FROM t JOIN m USING (book_id) JOIN z USING (book_id) JOIN ch USING (book_id)""")
 def agg_trace_summary(spark, sf):
     """The traces of a book's parts as one."""
-    t = _traces(spark, sf).withColumn("pos", F.when(F.col("index_group_key") == "base", 0).otherwise(1))
+    t = tables.staged(_traces(spark, sf), "traces").withColumn("pos", F.when(F.col("index_group_key") == "base", 0).otherwise(1))
     return _shown(O.merged(t, ["book_id"])).drop("subjects", "sample")
 
 

@@ -61,7 +61,7 @@ def test_recall_puts_targets_with_terms_first(spark):
     facts = [(f"f{i}", f"weak fact number{i}", "other", 0.9, 0.9, i, ["other"], "") for i in range(180)] + [(f"t{i}", f"the silverblade {i}", "silverblade", 0.1, 0.1, 200 + i, ["silverblade"], "") for i in range(5)]
     table = fact_table(spark, facts)
     terms = spark.createDataFrame([(1, "silverblade"), (1, "weak")], "query_id int, term string")
-    ranked = R.ranked(R.score(table, terms)).orderBy("place").collect()
+    ranked = R.ranked(R.score(table, terms), 1000).orderBy("place").collect()
     assert len(ranked) == 185 and {r["fact_id"] for r in ranked[:5]} == {f"t{i}" for i in range(5)}
     assert R.ranked(R.score(table, terms), 160).count() == 160
 
@@ -71,7 +71,7 @@ def test_recall_takes_all_facts_of_a_target_and_expands_else(spark):
     facts += [("g", "the guildhall burned", "fire", 0.2, 0.2, 9, ["fire"], ""), ("q", "oldname again", "x", 0.2, 0.2, 9, ["x"], ""), ("n", "nothing of it", "y", 0.9, 0.9, 2, ["y"], "")]
     questions = spark.createDataFrame([(1, ["moonlamp", "guildhall"], "moonlamp"), (2, ["glassworker"], None), (3, ["unheard"], "unheard")], "query_id int, terms array<string>, target string")
     got = {}
-    for r in R.recall(fact_table(spark, facts), questions, PLAIN).collect():
+    for r in R.recall(fact_table(spark, facts), questions, PLAIN).entries.collect():
         got.setdefault(r["query_id"], {})[r["fact_id"]] = r["target"]
     assert got == {1: {"t0": True, "t1": True, "t2": True, "s": True}, 2: {"s": False, "g": False, "q": False}}
 
@@ -101,9 +101,9 @@ def test_recall_matches_inside_words(spark):
 
 
 def test_coverage_pick_keeps_all_when_few(spark):
-    rows = [(1, f"f{i}", i % 7 + 1, i + 1) for i in range(30)]
-    entries = spark.createDataFrame(rows, "query_id int, fact_id string, chapter_index int, place int")
-    assert R.coverage_pick(entries, 40).count() == 30 and R.coverage_pick(entries, F.lit(7) + F.col("query_id")).count() == 8
+    rows = [(1, f"f{i}", i % 7 + 1, 100.0 - i, 1, 0.5) for i in range(30)]
+    entries = spark.createDataFrame(rows, "query_id int, fact_id string, chapter_index int, score double, matched int, importance double")
+    assert R.coverage_pick(entries, 40).count() == 30 and R.coverage_pick(entries, 30, F.lit(7) + F.col("query_id")).count() == 8
     picked = R.coverage_pick(entries, 10).collect()
     assert len(picked) == 10 and {f"f{i}" for i in range(6)} <= {r["fact_id"] for r in picked}
 
