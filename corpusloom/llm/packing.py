@@ -74,7 +74,7 @@ def write_buckets(packed: DataFrame, path: str) -> None:
     Rows are dealt by length into files of about the session's advisory partition size, large lengths into as many as they
     need, so there are few small files whatever the number of tasks.  Sequences keep the number that ``pack`` gave them.
     """
-    packed.drop("offset").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    packed.drop("offset").hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
