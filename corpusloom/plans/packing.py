@@ -15,52 +15,77 @@ from corpusloom.plans.registry import query
 from corpusloom.sources import enrich as E
 
 
-#: Longest to shortest form of a fact.
-_LADDER_FACT = (420, 220, 120, 60)
-#: Budget and fixed part of a chunk: small, so that the given sentences are shortened and left out, too.
-_BUDGET, _OVERHEAD = 320, 200
+#: Forms of a fact, longest to shortest: characters of the fact and of its evidence (0: without evidence).
+_FORMS = ((420, 80), (220, 48), (120, 0), (60, 0))
+#: A chunk's budget: small, so that the given sentences are shortened, too; and one prompt's, beyond which a question is answered in chunks.
+_BUDGET, _DIRECT = 640, 24_000
 
 
 def _entries(spark, sf):
-    """The 120 best facts of every question with the sizes of their forms; written once, they are used several times."""
+    """The 120 best facts of every question with the sizes of their forms as JSON; written once, they are used several times."""
     facts = _facts(spark, sf)
     top = R.ranked(_best(spark, sf, 120), 120).select("query_id", "fact_id", "place", "chapter_index")
-    forms = F.array(*[C.clip(F.col("fact"), n) for n in _LADDER_FACT])
-    e = top.join(facts.select("fact_id", "fact", forms.alias("forms")), "fact_id")
-    return tables.staged(e.withColumn("sizes", F.transform("forms", lambda x: F.length(x) + 10)).withColumn("size", F.get("sizes", F.lit(0))), "entries")
+    e = top.join(facts.select("fact_id", "fact", "fields", "importance", "confidence"), "fact_id")
+    overhead = B.questions(spark, sf).select("query_id", (100 + F.length("query") % 50).cast("long").alias("overhead"))
+    forms = F.array(*[C.clip(F.col("fact"), n) for n, _ in _FORMS])
+
+    def size(n: int, chars: int):
+        evidence = C.string_array(F.array("fact"), 1, chars) if chars else F.array().cast("array<string>")
+        return F.length(F.to_json(F.struct("chapter_index", F.get("fields", F.lit(0)).alias("entity"), F.col("fields").alias("tags"), C.clip(F.col("fact"), n).alias("fact"), evidence.alias("evidence"), "importance", "confidence")))
+
+    e = e.withColumns({"forms": forms, "sizes": F.array(*[size(*f) for f in _FORMS])}).join(overhead, "query_id")
+    return tables.staged(e.withColumn("size", F.get("sizes", F.lit(0))).select("query_id", "fact_id", "place", "chapter_index", "fact", "forms", "sizes", "size", "overhead"), "entries")
 
 
 _FORM = r"CASE WHEN length(t) > {n} THEN substr(t, 1, {n} - 3) || '...' ELSE t END"
-_ENTRIES = _SCORED + r""", e AS (SELECT *, s[1] AS size FROM (SELECT *, list_transform(forms, lambda x: length(x) + 10) AS s FROM (SELECT query_id, fact_id, place, chapter_index, fact, [""" + ", ".join(_FORM.format(n=n) for n in (420, 220, 120, 60)) + r"""] AS forms
-    FROM (SELECT r.query_id, r.fact_id, CAST(r.place AS INT) AS place, r.chapter_index, f.fact, trim(regexp_replace(f.fact, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM ranked r JOIN f USING (fact_id) WHERE r.place <= 120))))"""
-_ROOM = _BUDGET - _OVERHEAD
-_NEXT = f"list_position(list_transform(e.s, lambda n: n <= {_ROOM}), true)"
+
+
+def _json(n: int, chars: int) -> str:
+    evidence = f"[substr(trim(fact, ' '), 1, {chars})]" if chars else "CAST([] AS VARCHAR[])"
+    return f"length(CAST(json_object('chapter_index', chapter_index, 'entity', fields[1], 'tags', fields, 'fact', {_FORM.format(n=n)}, 'evidence', {evidence}, 'importance', importance, 'confidence', confidence) AS VARCHAR))"
+
+
+_ENTRIES = _SCORED + r""", e AS (SELECT *, s[1] AS size FROM (SELECT query_id, fact_id, place, chapter_index, fact, overhead, [""" + ", ".join(_FORM.format(n=n) for n, _ in _FORMS) + "] AS forms, [" + ", ".join(_json(*f) for f in _FORMS) + r"""] AS s
+    FROM (SELECT r.query_id, r.fact_id, CAST(r.place AS INT) AS place, r.chapter_index, f.fact, f.fields, f.importance, f.confidence, 100 + length(q.query) % 50 AS overhead, trim(regexp_replace(f.fact, '[ 	
+]+', ' ', 'g'), ' ') AS t FROM ranked r JOIN f USING (fact_id) JOIN questions q ON q.query_id = r.query_id WHERE r.place <= 120)))"""
+
+
+def _prompt(overhead: str, listed: str, n: str) -> str:
+    return f"({overhead} + length(CAST({n} AS VARCHAR)) + 2 + {listed} + greatest({n} - 1, 0))"
+
+
+_BESIDE = f"(q.n > 0 AND {_prompt('e.overhead', 'q.held + e.s[1]', '(q.n + 1)')} <= {_BUDGET})"
+_NEXT = f"list_position(list_transform(e.s, lambda z: e.overhead + 3 + z <= {_BUDGET}), true)"
 _CHUNKS = _ENTRIES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", q AS (
-        SELECT query_id, CAST(0 AS INT) AS place, CAST(0 AS INT) AS chunk, CAST(0 AS BIGINT) AS held, CAST(0 AS INT) AS rung, false AS omitted FROM e WHERE place = 1
+        SELECT query_id, CAST(0 AS INT) AS place, CAST(0 AS INT) AS chunk, CAST(0 AS INT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS INT) AS rung, false AS omitted FROM e WHERE place = 1
         UNION ALL
-        SELECT e.query_id, e.place, CASE WHEN q.held > 0 AND q.held + e.s[1] <= {_ROOM} THEN q.chunk WHEN coalesce({_NEXT}, 0) = 0 THEN q.chunk ELSE q.chunk + 1 END,
-               CASE WHEN q.held > 0 AND q.held + e.s[1] <= {_ROOM} THEN q.held + e.s[1] WHEN coalesce({_NEXT}, 0) = 0 THEN 0 ELSE e.s[{_NEXT}] END,
-               CASE WHEN q.held > 0 AND q.held + e.s[1] <= {_ROOM} THEN 0 WHEN coalesce({_NEXT}, 0) = 0 THEN NULL ELSE {_NEXT} - 1 END, NOT (q.held > 0 AND q.held + e.s[1] <= {_ROOM}) AND coalesce({_NEXT}, 0) = 0
+        SELECT e.query_id, e.place, CASE WHEN {_BESIDE} OR coalesce({_NEXT}, 0) = 0 THEN q.chunk ELSE q.chunk + 1 END,
+               CASE WHEN {_BESIDE} THEN q.n + 1 WHEN coalesce({_NEXT}, 0) = 0 THEN 0 ELSE 1 END,
+               CASE WHEN {_BESIDE} THEN q.held + e.s[1] WHEN coalesce({_NEXT}, 0) = 0 THEN 0 ELSE e.s[{_NEXT}] END,
+               CASE WHEN {_BESIDE} THEN 0 WHEN coalesce({_NEXT}, 0) = 0 THEN NULL ELSE {_NEXT} - 1 END, NOT {_BESIDE} AND coalesce({_NEXT}, 0) = 0
         FROM q JOIN e ON e.query_id = q.query_id AND e.place = q.place + 1),
     p AS (SELECT query_id, place, CASE WHEN NOT omitted THEN chunk END AS chunk, rung FROM q WHERE place > 0)"""
 
 
-@query("pk_length", f"{_ENTRIES} SELECT query_id, CAST(sum(size) AS BIGINT) AS chars FROM e GROUP BY 1")
+@query("pk_length", f"{_ENTRIES} SELECT query_id, CAST({_prompt('max(overhead)', 'sum(size)', 'count(*)')} AS BIGINT) AS chars FROM e GROUP BY 1")
 def pk_length(spark, sf):
-    return _entries(spark, sf).groupBy("query_id").agg(F.sum("size").alias("chars"))
+    """Length of the whole prompt of a question with all its facts."""
+    chars = P.prompt_chars(F.max("overhead"), F.sum("size"), F.count(F.lit(1)))
+    return _entries(spark, sf).groupBy("query_id").agg(chars.alias("chars"))
 
 
 @query("pk_chunks", f"{_CHUNKS} SELECT query_id, place, CAST(chunk AS INT) AS chunk, CAST(rung AS INT) AS rung FROM p")
 def pk_chunks(spark, sf):
-    return P.chunk_numbers(_entries(spark, sf), _BUDGET, _OVERHEAD)
+    return P.chunk_numbers(_entries(spark, sf), _BUDGET)
 
 
-@query("pk_trim", f"{_ENTRIES} SELECT query_id, place FROM (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM e) WHERE upto <= 1500")
+@query("pk_trim", f"""{_CHUNKS}, pt AS (SELECT query_id, max(chunk) AS total FROM p GROUP BY 1), pu AS (SELECT p.query_id, p.place, p.chunk, pt.total, e.overhead, count(*) OVER w AS n, CAST(sum(e.s[p.rung + 1]) OVER w AS BIGINT) AS listed FROM p JOIN e ON e.query_id = p.query_id AND e.place = p.place JOIN pt ON pt.query_id = p.query_id WHERE p.chunk IS NOT NULL WINDOW w AS (PARTITION BY p.query_id, p.chunk ORDER BY p.place))
+    SELECT query_id, place, CAST(chunk AS INT) AS chunk, {_prompt('overhead + length(CAST(chunk AS VARCHAR)) + length(CAST(total AS VARCHAR))', 'listed', 'n')} <= {_BUDGET} AS kept FROM pu""")
 def pk_trim(spark, sf):
-    from pyspark.sql import Window
-
-    upto = F.sum("size").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return _entries(spark, sf).withColumn("upto", upto).where("upto <= 1500").select("query_id", "place")
+    """What each chunk keeps when its prompt also has its number and how many there are."""
+    e = _entries(spark, sf)
+    packed = P.chunk_numbers(e, _BUDGET).where("chunk is not null").join(e.select("query_id", "place", "sizes", "overhead"), ["query_id", "place"])
+    return P.trimmed(packed.withColumn("size", F.get("sizes", F.col("rung"))), _BUDGET).select("query_id", "place", "chunk", "kept")
 
 
 _FLAT = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
@@ -86,16 +111,16 @@ def pk_merge_fit(spark, sf):
 
 
 @query("pk_mode", f"""{_CHUNKS}, r AS (SELECT query_id, regexp_matches(lower(query), 'there') AND regexp_matches(lower(query), 'an') AND regexp_matches(lower(query), 'th') AS many FROM questions)
-    SELECT e.query_id, CASE WHEN r.many THEN 'collection_' ELSE '' END || CASE WHEN sum(e.size) <= 5200 THEN 'direct' ELSE 'chunked' END AS mode, CASE WHEN sum(e.size) <= 5200 THEN 0 ELSE count(*) FILTER (WHERE p.chunk IS NULL) END AS omitted, CAST(CASE WHEN sum(e.size) <= 5200 THEN 1 ELSE coalesce(max(p.chunk), 0) END AS INT) AS chunks
+    SELECT e.query_id, CASE WHEN r.many THEN 'collection_' ELSE '' END || CASE WHEN sum(e.size) <= 24000 THEN 'direct' ELSE 'chunked' END AS mode, CASE WHEN sum(e.size) <= 24000 THEN 0 ELSE count(*) FILTER (WHERE p.chunk IS NULL) END AS omitted, CAST(CASE WHEN sum(e.size) <= 24000 THEN 1 ELSE coalesce(max(p.chunk), 0) END AS INT) AS chunks
     FROM e JOIN p ON p.query_id = e.query_id AND p.place = e.place JOIN r ON r.query_id = e.query_id GROUP BY e.query_id, r.many""")
 def pk_mode(spark, sf):
     """Direct where all facts fit together, else in chunks; collection questions by their own modes; what no chunk takes is omitted."""
     v = Q.Vocabulary(leading="-", trailing="-", stop="-", asks=(("there", "list"),), many="an", subjects="th")
     e = _entries(spark, sf)
-    both = e.select("query_id", "place", "size").join(P.chunk_numbers(e, _BUDGET, _OVERHEAD), ["query_id", "place"])
+    both = e.select("query_id", "place", "size").join(P.chunk_numbers(e, _BUDGET), ["query_id", "place"])
     n = both.groupBy("query_id").agg(F.sum("size").alias("size"), F.count_if(F.col("chunk").isNull()).alias("omitted"), F.coalesce(F.max("chunk"), F.lit(0)).alias("chunks"))
     q = B.questions(spark, sf).select("query_id", Q.collection_reason(F.col("query"), v).alias("reason"))
-    fits = F.col("size") <= 5200
+    fits = F.col("size") <= _DIRECT
     mode = F.concat(F.when(F.col("reason") != "", "collection_").otherwise(""), F.when(fits, "direct").otherwise("chunked"))
     return n.join(q, "query_id").select("query_id", mode.alias("mode"), F.when(fits, 0).otherwise(F.col("omitted")).cast("long").alias("omitted"), F.when(fits, 1).otherwise(F.col("chunks")).alias("chunks"))
 
@@ -110,7 +135,7 @@ _MD = f"{_CHUNKS}, m AS (SELECT p.query_id, p.chunk, string_agg('- [' || e.chapt
 
 def _markdown(spark, sf):
     e = _entries(spark, sf)
-    rows = P.chunk_numbers(e, _BUDGET, _OVERHEAD).where("chunk is not null").join(e.select("query_id", "place", "chapter_index", "forms"), ["query_id", "place"])
+    rows = P.chunk_numbers(e, _BUDGET).where("chunk is not null").join(e.select("query_id", "place", "chapter_index", "forms"), ["query_id", "place"])
     line = F.format_string("- [%d] %s", "chapter_index", F.get("forms", F.col("rung")))
     listed = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
     return rows.groupBy("query_id", "chunk").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))

@@ -116,9 +116,26 @@ def test_subject_fold_keeps_quirks(spark):
 
 
 def test_chunks(spark):
-    rows = [(1, p, s) for p, s in enumerate([[40, 20], [50, 20], [20, 20], [500, 90], [90, 30], [500, 400], [10, 10]], 1)]
-    got = P.chunk_numbers(spark.createDataFrame(rows, "query_id int, place int, sizes array<int>"), budget=110, overhead=10).orderBy("place").collect()
+    # A prompt of n facts: overhead 7, the digits of n, two brackets, the facts and n - 1 commas.
+    rows = [(1, p, s, 7) for p, s in enumerate([[40, 20], [49, 20], [20, 20], [500, 90], [90, 30], [500, 400], [10, 10]], 1)]
+    got = P.chunk_numbers(spark.createDataFrame(rows, "query_id int, place int, sizes array<int>, overhead int"), budget=100).orderBy("place").collect()
     assert [(r["chunk"], r["rung"]) for r in got] == [(1, 0), (1, 0), (2, 0), (3, 1), (4, 0), (None, None), (5, 0)]
+    # One character more, and the second fact doesn't stand beside the first.
+    rows[1] = (1, 2, [50, 20], 7)
+    got = P.chunk_numbers(spark.createDataFrame(rows, "query_id int, place int, sizes array<int>, overhead int"), budget=100).orderBy("place").collect()
+    assert [r["chunk"] for r in got][:3] == [1, 2, 2]
+
+
+def test_a_second_digit_drops_a_fact(spark):
+    """Ten facts of one character: nine commas, and the count has two digits, which is one character too many."""
+    facts = spark.createDataFrame([(1, p, [1], 0) for p in range(1, 11)], "query_id int, place int, sizes array<int>, overhead int")
+    chunks = lambda budget: [r["chunk"] for r in P.chunk_numbers(facts, budget).orderBy("place").collect()]
+    assert chunks(2 + 10 + 9 + 2) == [1] * 10 and chunks(2 + 10 + 9 + 1) == [1] * 9 + [2]
+    # Ten chunks: the numbers of chunk and total (1 to 10 of 10) come in after packing; only chunk 10's has two digits.
+    packed = spark.createDataFrame([(1, 2 * c + k, c + 1, 5, 10) for c in range(10) for k in range(2)], "query_id int, place int, chunk int, size int, overhead int")
+    fits = 10 + 1 + 2 + 2 * 5 + 1 + 1 + 2
+    kept = {(r["chunk"], r["place"]) for r in P.trimmed(packed, fits).where("kept").collect()}
+    assert {c for c, _ in kept} == set(range(1, 11)) and len(kept) == 19 and (10, 18) in kept and (10, 19) not in kept
 
 
 def test_upsert_last_wins_and_keeps(spark):
