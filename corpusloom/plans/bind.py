@@ -113,17 +113,16 @@ VOCABULARY = Q.Vocabulary(leading=r"[(\"']", trailing="[.,!?]+", stop="[a-zà-ö
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as questions: their terms, and as target the longest term, if it has nine characters or more.
 
-    Of every fifth question the target is possessive: its longest term owns its second longest.
+    Of every fifth question the target is possessive: its first term owns its second.
     """
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), Q.terms(F.col("text"), VOCABULARY).alias("terms"))
-    by_length = F.reverse(F.array_sort(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
-    q = q.withColumns({"__first": F.get(by_length, F.lit(0)), "__second": F.get(by_length, F.lit(1))})
-    both = (F.col("query_id") % 5 == 0) & F.col("__second").isNotNull()
-    names = F.concat("__first.t", F.lit("的"), "__second.t")
+    longest = F.array_max(F.transform(F.filter("terms", lambda t: F.length(t) >= 9), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
+    both = (F.col("query_id") % 5 == 0) & (F.size("terms") > 1)
+    names = F.concat(F.get("terms", F.lit(0)), F.lit("的"), F.get("terms", F.lit(1)))
     owner, thing = Q.possessive(names)
     none = F.array().cast("array<string>")
     return q.select(
-        "query_id", "query", "terms", F.when(both, names).when(F.col("__first.n") >= 9, F.col("__first.t")).alias("target"),
+        "query_id", "query", "terms", F.when(both, names).otherwise(longest["t"]).alias("target"),
         F.when(both, F.array(owner)).otherwise(none).alias("owners"), F.when(both, F.array(thing)).otherwise(none).alias("descriptors"))
 
 
@@ -132,11 +131,10 @@ SQL_CLEAN = """trim(regexp_replace(regexp_replace(trim({0}), '^([("''])+', ''),
 SQL_FINE = """length({0}) BETWEEN 2 AND 18 AND NOT regexp_matches(lower({0}), '^([a-zà-öø-ÿœ]{{1,4}}|[0-9]+)$')"""
 _SPLIT = """list_concat(regexp_extract_all(text, '[《“「『‘（("]([^》”」』’）)"]{1,24})[》”」』’）)"]', 1), regexp_split_to_array(text, '[，。；;、：:/｜|《》“”「」『』‘’（）()\\s]+'))"""
 WITH_QUESTIONS = f"""questions AS (
-    SELECT * EXCLUDE (l), CASE WHEN query_id % 5 = 0 AND len(l) > 1 THEN l[1].t || '的' || l[2].t WHEN l[1].n >= 9 THEN l[1].t END AS target,
-           CASE WHEN query_id % 5 = 0 AND len(l) > 1 THEN l[1].t END AS owner, CASE WHEN query_id % 5 = 0 AND len(l) > 1 THEN l[2].t END AS object
-    FROM (SELECT *, list_sort(list_transform(terms, lambda x: {{'n': length(x), 't': x}}), 'DESC') AS l
-          FROM (SELECT item_id AS query_id, text AS query, list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 48) AS terms
-                FROM (SELECT item_id, text, list_filter(list_transform({_SPLIT}, lambda x: {SQL_CLEAN.format('x')}), lambda x: {SQL_FINE.format('x')}) AS w FROM benchmark))))"""
+    SELECT *, CASE WHEN query_id % 5 = 0 AND len(terms) > 1 THEN terms[1] || '的' || terms[2] ELSE list_max(list_transform(list_filter(terms, lambda x: length(x) >= 9), lambda x: {{'n': length(x), 't': x}})).t END AS target,
+           CASE WHEN query_id % 5 = 0 AND len(terms) > 1 THEN terms[1] END AS owner, CASE WHEN query_id % 5 = 0 AND len(terms) > 1 THEN terms[2] END AS object
+    FROM (SELECT item_id AS query_id, text AS query, list_slice(list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL), 1, 48) AS terms
+          FROM (SELECT item_id, text, list_filter(list_transform({_SPLIT}, lambda x: {SQL_CLEAN.format('x')}), lambda x: {SQL_FINE.format('x')}) AS w FROM benchmark)))"""
 
 
 def recall_facts(spark: SparkSession, sf: str) -> DataFrame:
