@@ -108,5 +108,5 @@ def test_run_is_the_stages(spark, folder):
 
 def test_every_operator_has_a_query():
     names = list(llm_queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(llm_queries.ORACLE_SQL) <= set(names)
