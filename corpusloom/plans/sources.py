@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import tables
 from corpusloom.operators import export as X
+from corpusloom.operators import migration as M
 from corpusloom.plans import bind as B
 from corpusloom.plans.registry import query
 from corpusloom.sources import enrich as E
@@ -138,17 +139,72 @@ def src_enrich(spark, sf):
     return e.select("doc_id", "ok", "outcome", F.array_join("items", ",").alias("items"))
 
 
-@query("src_migrate", "SELECT c_custkey, c_name AS value, sha256(c_name) AS value_hash, false AS damaged FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, NULL, NULL, true FROM customer WHERE c_custkey % 10 = 0")
+_KEY = b"0123456789abcdef0123456789abcdef"
+
+
+def _migrated(spark, sf):
+    """Documents as chapters, conversations as runs and turns as their parts, events as facts: all sealed, some badly; then migrated.
+
+    A quarter of the runs is of another mode, a seventh has a damaged prompt, a fifth a damaged result; so has a sixth of the parts;
+    a tenth of the facts is bound to something else.
+    """
+    def sealed(rows, text, aad, bad, prefix=""):
+        vector = F.unhex(F.substring(F.sha2(aad, 256), 1, 24))
+        columns = M.sealed(text, _KEY, F.when(bad, F.concat(aad, F.lit("!"))).otherwise(aad), vector)
+        return rows.withColumns({prefix + n: c for n, c in zip(("ciphertext", "iv", "tag"), columns)})
+
+    d = B.table(spark, sf, "documents").select(F.concat(F.lit("b"), F.col("doc_id") % 20).alias("book_id"), F.col("doc_id").alias("chapter_index"), F.coalesce("text", F.lit("")).alias("text"))
+    chapters = sealed(d, F.col("text"), M.bound(M.CHAPTER_BOUND, F.col("book_id"), F.col("chapter_index")), F.lit(False)).drop("text")
+    turns = B.table(spark, sf, "conversations")
+    r = turns.groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("text"), F.count(F.lit(1)).alias("turns"))
+    prompt = F.to_json(F.struct(F.when(F.col("id") % 4 == 0, "chapters").otherwise(M.MODE).alias("analysis_mode"), F.struct(F.concat(F.lit("q"), "id").alias("query")).alias("l2_query"), F.array(F.lit("base"), F.concat(F.lit("g"), "turns")).alias("index_group_keys"), F.lit(True).alias("use_l1_context")))
+    r = sealed(r, prompt, M.bound(M.PROMPT_BOUND, F.col("id")), F.col("id") % 7 == 3, "prompt_")
+    runs = sealed(r, F.when(F.col("id") % 3 > 0, F.col("text")), M.bound(M.RESULT_BOUND, F.col("id")), F.col("id") % 5 == 2).drop("text", "turns")
+    p = turns.select(F.col("conv_id").alias("analysis_id"), F.concat(F.lit(" turn."), "turn", F.lit(" ")).alias("part_key"), "turn", "text")
+    parts = sealed(p, F.col("text"), M.bound(M.PART_BOUND, F.col("analysis_id"), M.part_key(F.col("part_key"))), (F.col("analysis_id") + F.col("turn")) % 6 == 1).drop("text", "turn")
+    chapter = F.col("id") % 3000
+    f = B.facts(spark, sf).select("id", F.concat(F.lit("b"), chapter % 20).alias("book_id"), chapter.alias("chapter_index"), F.to_json(F.struct("fact", "evidence", F.lit(7).alias("review_note"))).alias("text"))
+    facts = sealed(f, F.col("text"), M.bound(M.FACT_BOUND, F.col("id")), F.col("id") % 10 == 0).drop("text")
+    return M.migrate(spark, {"chapters": chapters, "runs": runs, "parts": parts, "facts": facts, "labels": B.table(spark, sf, "labels")}, _KEY, tables.new_folder(spark, "migrated"))
+
+
+_MIGRATED = f"""WITH {B.WITH_FACTS}, kept AS (SELECT conv_id AS id, min_by(text, turn) AS text, count(*) AS turns FROM conversations WHERE conv_id % 4 <> 0 AND conv_id % 7 <> 3 GROUP BY 1),
+    parts AS (SELECT c.*, (conv_id + turn) % 6 = 1 AS bad FROM conversations c WHERE conv_id IN (SELECT id FROM kept))"""
+
+
+@query("src_migrate", f"""{_MIGRATED}
+    SELECT 'chapters' AS tbl, 'b' || (doc_id % 20) || '/' || doc_id AS key, sha256(coalesce(text, '')) AS body, length(coalesce(text, '')) || '' AS more FROM documents
+    UNION ALL SELECT 'runs', id || '', coalesce(CASE WHEN id % 3 > 0 AND id % 5 <> 2 THEN sha256(text) END, '-'), '{{"analysis_mode":"l2_query","query":"q' || id || '","index_group_keys":["base","g' || turns || '"]}}' FROM kept
+    UNION ALL SELECT 'parts', conv_id || '/ turn.' || turn || ' ', CASE WHEN bad THEN '-' ELSE sha256(text) END, '' FROM parts
+    UNION ALL SELECT 'facts', f.id || '', CASE WHEN f.id % 10 = 0 THEN '//' ELSE fact || '/' || evidence[1] || '/7' END, coalesce(d.hash, '') FROM facts f LEFT JOIN (SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents) d ON d.doc_id = f.id % 3000
+    UNION ALL SELECT 'labels', doc_id || '', quality || '', toxic || '' FROM labels
+    UNION ALL SELECT 'warnings', 'runs/' || id, 'prompt can''t be read, run left out', '' FROM (SELECT DISTINCT conv_id AS id FROM conversations) WHERE id % 7 = 3
+    UNION ALL SELECT 'warnings', 'runs/' || id, 'result can''t be read, left empty', '' FROM kept WHERE id % 3 > 0 AND id % 5 = 2
+    UNION ALL SELECT 'warnings', 'parts/' || conv_id || '/ turn.' || turn || ' ', 'result can''t be read, left empty', '' FROM parts WHERE bad
+    UNION ALL SELECT 'warnings', 'facts/' || id, 'fact can''t be read, left empty', '' FROM facts WHERE id % 10 = 0""")
 def src_migrate(spark, sf):
-    """Rows encrypted with their key as authenticated data; a tenth is damaged and gives null."""
-    secret = F.lit("0123456789abcdef0123456789abcdef").cast("binary")
-    aad = F.concat(F.lit("customer:"), "c_custkey").cast("binary")
-    iv = F.unhex(F.lpad(F.hex(F.col("c_custkey")), 24, "0"))
-    c = B.table(spark, sf, "customer")
-    stored = c.select("c_custkey", F.aes_encrypt(F.col("c_name").cast("binary"), secret, F.lit("GCM"), F.lit("DEFAULT"), iv, aad).alias("sealed"))
-    claimed = F.when(F.col("c_custkey") % 10 == 0, F.lit("other")).otherwise(F.concat(F.lit("customer:"), "c_custkey")).cast("binary")
-    opened = stored.select("c_custkey", F.try_aes_decrypt("sealed", secret, F.lit("GCM"), F.lit("DEFAULT"), claimed).cast("string").alias("value"))
-    return opened.select("c_custkey", "value", F.sha2("value", 256).alias("value_hash"), F.col("value").isNull().alias("damaged"))
+    """A sealed store of five tables in plain: texts, hashes of their chapters, and what couldn't be read."""
+    m, said = _migrated(spark, sf), lambda c: F.coalesce(c, F.lit("-"))
+
+    def rows(name, key, body, more, source=None):
+        return (m.table(name) if source is None else source).select(F.lit(name).alias("tbl"), key.cast("string").alias("key"), body.cast("string").alias("body"), more.cast("string").alias("more"))
+
+    hashed = said(F.sha2("result", 256))
+    each = [
+        rows("chapters", F.concat_ws("/", "book_id", "chapter_index"), F.col("content_hash"), F.col("content_length")), rows("runs", F.col("id"), hashed, F.col("prompt_snapshot")),
+        rows("parts", F.concat_ws("/", "analysis_id", "part_key"), hashed, F.lit("")), rows("facts", F.col("id"), F.concat_ws("/", "fact", F.array_join("evidence", "|"), "review_note"), F.col("source_hash")),
+        rows("labels", F.col("doc_id"), F.col("quality"), F.col("toxic")), rows("warnings", F.concat_ws("/", "tbl", "key"), F.col("message"), F.lit(""), m.warnings())]
+    found = each[0]
+    for e in each[1:]:
+        found = found.unionByName(e)
+    return found
+
+
+@query("src_migrate_counts", f"""{_MIGRATED} SELECT 'chapters' AS tbl, count(*) AS n FROM documents UNION ALL SELECT 'runs', count(*) FROM kept UNION ALL SELECT 'runs_skipped', count(DISTINCT conv_id) - (SELECT count(*) FROM kept) FROM conversations
+    UNION ALL SELECT 'parts', count(*) FROM parts UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'labels', count(*) FROM labels""")
+def src_migrate_counts(spark, sf):
+    """Rows of every migrated table, counted while they were written."""
+    return _migrated(spark, sf).counts()
 
 
 _EXPORTED = f"WITH {B.WITH_RUNS} SELECT run_id, part, CASE WHEN stage = 'user' THEN 'md' ELSE 'json' END AS kind, CASE WHEN stage = 'user' THEN sha256(result) ELSE sha256('{{\"name\":\"run-' || run_id || '\",\"parts\":' || part || '}}') END AS body_hash FROM runs"
