@@ -207,14 +207,37 @@ def src_migrate_counts(spark, sf):
     return _migrated(spark, sf).counts()
 
 
-_EXPORTED = f"WITH {B.WITH_RUNS} SELECT run_id, part, CASE WHEN stage = 'user' THEN 'md' ELSE 'json' END AS kind, CASE WHEN stage = 'user' THEN sha256(result) ELSE sha256('{{\"name\":\"run-' || run_id || '\",\"parts\":' || part || '}}') END AS body_hash FROM runs"
+def _exported(spark, sf):
+    """Turns as results: a user's text as it is, an assistant's as an object with a table and a nested object; every sixth has no table."""
+    r = B.runs(spark, sf)
+    part = F.col("part")
+    item = F.concat(F.lit('{"part":'), part, F.lit(',"half":'), (part / 2).cast("string"), F.lit(',"done":'), (part % 3 < 2).cast("string"), F.lit(',"Run":"r'), "run_id", F.lit('"}'))
+    body = F.concat(F.lit('{"title":"t","items":['), item, F.lit(',"bare"],"place":{"at":{"run":'), "run_id", F.lit("}}}"))
+    result = F.when(F.col("stage") == "user", F.col("result")).when(part % 6 == 5, F.lit('{"items":[]}')).otherwise(body)
+    folder = tables.new_folder(spark, "export")
+    X.write(r.select(F.struct("run_id", "part").alias("key"), F.concat(F.lit("Run: "), "run_id").alias("name"), result.alias("result")), folder)
+    return folder
+
 
+_EXPORTED = f"WITH {B.WITH_RUNS}, o AS (SELECT * FROM runs WHERE stage <> 'user' AND part % 6 <> 5)"
 
-@query("sink_export", _EXPORTED)
+
+@query("sink_export", f"""{_EXPORTED} SELECT run_id, part, 'markdown' AS kind, '' AS t, 0 AS row, 'Run: ' || run_id AS field, sha256(result) AS value FROM runs WHERE stage = 'user' AND result IS NOT NULL
+    UNION ALL SELECT run_id, part, 'json', '', 0, '', '{{"items":[]}}' FROM runs WHERE stage <> 'user' AND part % 6 = 5
+    UNION ALL SELECT run_id, part, 'sheet', 'items', 0, unnest(['part', 'half', 'done', 'Run']), unnest([part || '', CAST(part / 2 AS VARCHAR), CAST(part % 3 < 2 AS VARCHAR), 'r' || run_id]) FROM o
+    UNION ALL SELECT run_id, part, 'sheet', 'items', 1, 'value', 'bare' FROM o UNION ALL SELECT run_id, part, 'sheet', 'place', 0, 'at / run', run_id || '' FROM o""")
 def sink_export(spark, sf):
-    """Results written as Markdown or JSON files, read back: texts go to .md, objects to .json."""
-    r = B.runs(spark, sf)
-    result = F.when(F.col("stage") == "user", F.col("result")).otherwise(F.to_json(F.struct(F.concat(F.lit("run-"), "run_id").alias("name"), F.col("part").alias("parts"))))
-    folder = tables.new_folder(spark, "export")
-    X.write(r.select(F.struct("run_id", "part").alias("key"), result.alias("result")), folder)
-    return X.read(spark, folder, "struct<run_id:bigint,part:bigint>").select("key.run_id", "key.part", "kind", F.sha2("body", 256).alias("body_hash"))
+    """Results exported and read back: Markdown files, cells of typed sheets, and JSON without a table."""
+    folder, key = _exported(spark, sf), ["key.run_id", "key.part"]
+    row = F.lit(0).alias("row")
+    texts = X.texts(spark, folder).select(*key, F.lit("markdown").alias("kind"), F.lit("").alias("t"), row, F.col("name").alias("field"), F.sha2("body", 256).alias("value"))
+    sheets = X.cells(spark, folder).select(*key, F.lit("sheet").alias("kind"), "t", "row", "field", "value")
+    other = X.untabled(spark, folder, "struct<run_id:bigint,part:bigint>").select(*key, F.lit("json").alias("kind"), F.lit("").alias("t"), row, F.lit("").alias("field"), F.col("body").alias("value"))
+    return texts.unionByName(sheets).unionByName(other)
+
+
+@query("sink_export_sheets", f"""{_EXPORTED}, k AS (SELECT unnest(['Run', 'done', 'half', 'part', 'value', 'at / run']) AS field, unnest(['string', 'boolean', 'double', 'bigint', 'string', 'bigint']) AS kind, unnest([0, 1, 2, 3, 4, 0]) AS position)
+    SELECT CASE field WHEN 'at / run' THEN 1 ELSE 0 END AS sheet, CASE field WHEN 'at / run' THEN 'place' ELSE 'items' END AS t, position, field, kind FROM k WHERE EXISTS (SELECT 1 FROM o)""")
+def sink_export_sheets(spark, sf):
+    """The sheets' columns and their types, told from all values."""
+    return X.catalogue(spark, _exported(spark, sf)).select("sheet", "t", "position", "field", "kind")
