@@ -162,7 +162,9 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"{folder}/markdown")
     # Names may have marks that a path escapes; the hash before the suffix has none.
     hashed = files.select(F.regexp_extract("path", r"-([0-9a-f]{24})\.md$", 1).alias("__h"), F.col("content").cast("string").alias("body"))
-    return index.withColumn("__h", F.substring("__id", 1, 24)).join(hashed, "__h").select("key", "name", "file", "body")
+    # Spark's reader gives no row for an empty file; a null body is a file that is gone.
+    body = F.when(F.col("bytes") == 0, "").otherwise(F.col("body"))
+    return index.withColumn("__h", F.substring("__id", 1, 24)).join(hashed, "__h", "left").select("key", "name", "file", body.alias("body"))
 
 
 def sheet(spark: SparkSession, folder: str, number: int) -> DataFrame:
