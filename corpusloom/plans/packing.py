@@ -9,6 +9,7 @@ from corpusloom.functions import columns as C
 from corpusloom.functions import questions as Q
 from corpusloom.operators import packing as P
 from corpusloom.operators import recall as R
+from corpusloom.operators import summaries as S
 from corpusloom.plans import bind as B
 from corpusloom.plans.questions import _SCORED, _best, _facts, _terms
 from corpusloom.plans.registry import query
@@ -47,7 +48,8 @@ def _json(n: int, chars: int) -> str:
 
 _ENTRIES = _SCORED + r""", e AS (SELECT *, s[1] AS size FROM (SELECT query_id, fact_id, place, chapter_index, fact, overhead, [""" + ", ".join(_FORM.format(n=n) for n, _ in _FORMS) + "] AS forms, [" + ", ".join(_json(*f) for f in _FORMS) + r"""] AS s
     FROM (SELECT r.query_id, r.fact_id, CAST(r.place AS INT) AS place, r.chapter_index, f.fact, f.fields, f.importance, f.confidence, 100 + length(q.query) % 50 AS overhead, trim(regexp_replace(f.fact, '[ 	
-]+', ' ', 'g'), ' ') AS t FROM ranked r JOIN f USING (fact_id) JOIN questions q ON q.query_id = r.query_id WHERE r.place <= 120)))"""
+
+]+', ' ', 'g'), ' ') AS t FROM ranked r JOIN f USING (fact_id) JOIN questions q ON q.query_id = r.query_id WHERE r.place <= 120)))"""
 
 
 def _prompt(overhead: str, listed: str, n: str) -> str:
@@ -100,14 +102,25 @@ def pk_fit_one(spark, sf):
     return d.withColumn("fit", fit).select("doc_id", F.length("fit.fact").cast("long").alias("n"), F.length("fit.evidence").alias("evidence"))
 
 
-_LADDER = (3200, 1800, 1000, 560, 280, 140, 70, 40)
+def _compact(n: str, text: str, **fields: str) -> str:
+    listed = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+    return f"CAST(json_object({listed}, 'markdown', {_FORM.format(n=n)}) AS VARCHAR)".replace("length(t)", f"length({text})").replace("substr(t,", f"substr({text},").replace("ELSE t END", f"ELSE {text} END")
 
 
-@query("pk_merge_fit", f"WITH {B.WITH_RUNS}, s AS (SELECT run_id, step, sum(least(length(result), step)) AS chars FROM runs, (SELECT unnest([{', '.join(map(str, _LADDER))}]) AS step) GROUP BY 1, 2) SELECT run_id, CAST(coalesce(max(step) FILTER (WHERE chars <= 900), 40) AS INT) AS step FROM s GROUP BY 1")
+_LADDER = f"(SELECT unnest([{', '.join(map(str, S.LADDER))}]) AS step)"
+_RUN_FIELDS = {"batch": "part", "total": "total", "chapters": "[part]", "fact_count": "1"}
+_RUN_TEXT = r"trim(regexp_replace(result, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+_MERGE_BUDGET = 900
+
+
+@query("pk_merge_fit", f"""WITH {B.WITH_RUNS}, r AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS total, {_RUN_TEXT} AS t FROM runs), s AS (SELECT run_id, step, 50 + 2 + sum(length({_compact("step", "t", **_RUN_FIELDS)})) + count(*) - 1 AS chars FROM r, {_LADDER} GROUP BY 1, 2)
+    SELECT run_id, CAST(coalesce(max(step) FILTER (WHERE chars <= {_MERGE_BUDGET}), 40) AS INT) AS step, CAST(coalesce(max(chars) FILTER (WHERE chars <= {_MERGE_BUDGET}), min(chars)) AS BIGINT) AS chars FROM s GROUP BY 1""")
 def pk_merge_fit(spark, sf):
-    """The largest clip at which all parts of a run fit together: one sum for each rung."""
-    sums = B.runs(spark, sf).groupBy("run_id").agg(*[F.sum(F.least(F.length("result"), F.lit(n))).alias(f"s{n}") for n in _LADDER])
-    return sums.select("run_id", F.coalesce(*[F.when(F.col(f"s{n}") <= 900, n) for n in _LADDER], F.lit(40)).alias("step"))
+    """The largest clip at which all parts of a run fit together, with all that stands around them, and the input's length then."""
+    r = B.runs(spark, sf)
+    r = r.join(r.groupBy("run_id").agg(F.count(F.lit(1)).alias("total")), "run_id")
+    r = r.select("run_id", F.col("part").alias("batch"), "total", F.array("part").alias("chapters"), F.lit(1).alias("fact_count"), F.col("result").alias("markdown"))
+    return S.steps(r, ["run_id"], _MERGE_BUDGET, F.lit(50))
 
 
 @query("pk_mode", f"""{_CHUNKS}, r AS (SELECT query_id, regexp_matches(lower(query), 'there') AND regexp_matches(lower(query), 'an') AND regexp_matches(lower(query), 'th') AS many FROM questions)
@@ -138,12 +151,12 @@ def _markdown(spark, sf):
     rows = P.chunk_numbers(e, _BUDGET).where("chunk is not null").join(e.select("query_id", "place", "chapter_index", "forms"), ["query_id", "place"])
     line = F.format_string("- [%d] %s", "chapter_index", F.get("forms", F.col("rung")))
     listed = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
-    return rows.groupBy("query_id", "chunk").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
+    return rows.groupBy("query_id", "chunk").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"), F.collect_set("chapter_index").alias("chapters"), F.count(F.lit(1)).alias("fact_count"))
 
 
 @query("pk_md_batch", f"{_MD} SELECT query_id, CAST(chunk AS INT) AS chunk, body FROM m")
 def pk_md_batch(spark, sf):
-    return _markdown(spark, sf)
+    return _markdown(spark, sf).select("query_id", "chunk", "body")
 
 
 @query("pk_md_merge", f"{_MD} SELECT query_id, string_agg('## Part ' || chunk || chr(10) || body, chr(10) || chr(10) ORDER BY chunk) AS answer FROM m GROUP BY 1")
@@ -174,9 +187,18 @@ def pk_fallback(spark, sf):
     return B.table(spark, sf, "events").select("event_id", P.fallback_reason(F.expr(_ERROR)).alias("reason"))
 
 
-@query("pk_summarise", f"""{_MD}, n AS (SELECT query_id, max(chunk) AS total FROM m GROUP BY 1) SELECT query_id, count(*) AS parts, count(*) FILTER (WHERE length(body) % 3 = 0) AS reused, string_agg('### Part ' || chunk || '/' || total || chr(10) || '## Facts' || chr(10) || body, chr(10) || chr(10) ORDER BY chunk) AS answer FROM m JOIN n USING (query_id) GROUP BY 1""")
+_SUMMARY_FIELDS = {"batch": "chunk", "total": "total", "chapters": "chapters", "fact_count": "fact_count"}
+_SUMMARY_BUDGET = 3000
+
+
+@query("pk_summarise", f"""{_MD}, u AS (SELECT p.query_id, p.chunk, list_sort(list_distinct(list(e.chapter_index))) AS v, count(*) AS fact_count FROM p JOIN e ON e.query_id = p.query_id AND e.place = p.place WHERE p.chunk IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT m.*, u.fact_count, CASE WHEN len(v) <= 10 THEN v ELSE list_concat(v[1:5], v[-5:]) END AS chapters, max(chunk) OVER (PARTITION BY query_id) AS total, trim(regexp_replace('## Facts ' || body, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM m JOIN u USING (query_id, chunk)),
+    h AS (SELECT query_id, 'Question: ' || query || chr(10) AS head FROM questions),
+    s AS (SELECT query_id, step, max(length(head)) + 2 + sum(length({_compact("step", "t", **_SUMMARY_FIELDS)})) + count(*) - 1 AS chars FROM r JOIN h USING (query_id), {_LADDER} GROUP BY 1, 2),
+    fit AS (SELECT query_id, coalesce(max(step) FILTER (WHERE chars <= {_SUMMARY_BUDGET}), 40) AS step FROM s GROUP BY 1)
+    SELECT query_id, count(*) AS parts, count(*) FILTER (WHERE length(body) % 3 = 0) AS reused, CAST(max(step) AS INT) AS step, '## Facts' || chr(10) || max(head) || '[' || string_agg({_compact("step", "t", **_SUMMARY_FIELDS)}, ',' ORDER BY chunk) || ']' AS answer, 'merged' AS how FROM r JOIN fit USING (query_id) JOIN h USING (query_id) GROUP BY 1""")
 def pk_summarise(spark, sf):
-    """Chunks through the summariser, but those that an earlier run has done with equal keys, then merged by question.
+    """Chunks through the summariser, but those that an earlier run has done with equal keys, then one merge call a question, its input clipped until it fits.
 
     The earlier run here has a third of the parts, each also failed, with another
     prompt, another model and without a result, none of which counts.
@@ -195,7 +217,9 @@ def pk_summarise(spark, sf):
     hits = found.where("result is not null").select("query_id", "chunk", "result", F.lit(True).alias("hit"))
     made = E.summarise(found.where("result is null"), "excerpt", ["query_id", "chunk"], "body").where("ok").select("query_id", "chunk", "result", F.lit(False).alias("hit"))
     every = hits.unionByName(made)
-    total = every.groupBy("query_id").agg(F.max("chunk").alias("total"))
-    text = F.concat(F.lit("### Part "), "chunk", F.lit("/"), "total", F.lit("\n"), "result")
-    listed = F.array_sort(F.collect_list(F.struct("chunk", text.alias("text"))))
-    return every.join(total, "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.count_if("hit").alias("reused"), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("answer"))
+    counts = every.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.count_if("hit").alias("reused"), F.max("chunk").cast("int").alias("total"))
+    about = parts.select("query_id", "chunk", "chapters", "fact_count")
+    results = every.join(about, ["query_id", "chunk"]).join(counts.select("query_id", "total"), "query_id").join(B.questions(spark, sf).select("query_id", "query"), "query_id")
+    results = tables.staged(results.withColumnsRenamed({"chunk": "batch", "result": "markdown"}), "results")
+    answers = S.merged(results, ["query_id"], "excerpt", _SUMMARY_BUDGET, F.concat(F.lit("Question: "), "query", F.lit("\n")))
+    return answers.join(counts, "query_id").select("query_id", "parts", "reused", "step", "answer", "how")
