@@ -188,7 +188,7 @@ def pk_fallback(spark, sf):
 
 
 _SUMMARY_FIELDS = {"batch": "chunk", "total": "total", "chapters": "chapters", "fact_count": "fact_count"}
-_SUMMARY_BUDGET = 3000
+_SUMMARY_BUDGET = _DIRECT
 
 
 @query("pk_summarise", f"""{_MD}, u AS (SELECT p.query_id, p.chunk, list_sort(list_distinct(list(e.chapter_index))) AS v, count(*) AS fact_count FROM p JOIN e ON e.query_id = p.query_id AND e.place = p.place WHERE p.chunk IS NOT NULL GROUP BY 1, 2),
