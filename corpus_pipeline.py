@@ -21,7 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    """Of every group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays.
+
+    SimHash finds them at up to two differing bits, minimum hashes beyond; every link is verified.
+    """
     return resemblance.deduplicate(docs)
 
 

@@ -1,18 +1,21 @@
-"""Near copies by the Jaccard similarity of word shingles, verified exactly.
+"""Near copies by SimHash, and by minimum hashes where it can't reach, verified exactly by the Jaccard similarity of word shingles.
 
 1. Points.  Texts with equal sets of shingle hashes are one point, so exact
    copies cost nothing.
-2. Candidates.  ``BANDS`` bands of ``ROWS`` minimum hashes each; points that
-   share a band are linked to the band's smallest, and what links connect is a
-   cluster.  At the similarity asked for two points share no band once in
-   20 000 pairs; they may still meet through a third.
-3. Verification.  Every pair of a cluster meets in one task, which compares
+2. SimHash.  Operator 5's fingerprint of each point's set and its links: all
+   points at two or fewer differing bits are candidates, by the same grid.
+3. Beyond its reach.  At a similarity of 0.8 fingerprints lie about ten bits
+   apart, so more candidates come from ``BANDS`` bands of ``ROWS`` minimum hashes
+   each; points that share a band are linked to the band's smallest.  At the
+   similarity asked for two points share no band once in 20 000 pairs; they may
+   still meet through a third.  What the links of both steps connect is a cluster.
+4. Verification.  Every pair of a cluster meets in one task, which compares
    shingle sets and links what is similar.  Large clusters are dealt as pairs of
    blocks of bounded size.  A task walks from point to point and compares each
    only with points that it hasn't reached yet: first by bit sets of the
    commonest shingles, which bound what two sets can share, then exactly.
 
-Only step 2 is approximate; groups never hold what step 3 didn't verify.
+Only which pairs steps 2 and 3 find is approximate; groups never hold what step 4 didn't verify.
 """
 
 from __future__ import annotations
@@ -116,7 +119,7 @@ def _fps(sets: list[np.ndarray]) -> np.ndarray:
 def _sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         sets = [shingle_set(t) for t in frame["text"]]
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "fp": _fps(sets), "size": [len(s) for s in sets], "bands": [band_hashes(s) for s in sets]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "fp": _fps(sets), "size": [len(s) for s in sets], "simhash": np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64), "bands": [band_hashes(s) for s in sets]})
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,11 +156,23 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settled()
 
 
-def links(texts: DataFrame, points: DataFrame) -> DataFrame:
-    """Links a, b (fps) of verified pairs. ``points``: fp, first, size, bands; ``texts``: doc_id, text_hash, text."""
+def simhash_links(points: DataFrame) -> DataFrame:
+    """Links a, b (fps) that connect what SimHashes at ``simhash.WITHIN`` or fewer differing bits connect. ``points``: fp, simhash."""
+    lows = points.groupBy("simhash").agg(F.min("fp").alias("low"))
+    near = simhash.links(lows.select(F.col("simhash").alias("fp"), F.col("low").alias("node")))
+    return near.union(points.join(lows, "simhash").where("low < fp").select(F.col("low").alias("a"), F.col("fp").alias("b")))
+
+
+def band_links(points: DataFrame) -> DataFrame:
+    """Links a, b (fps) that connect points which share a band. ``points``: fp, bands."""
     cells = points.select(F.col("fp").alias("node"), F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = store.staged(cells.join(shared, "cell").where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "near-met")
+    return cells.join(shared, "cell").where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+
+
+def links(texts: DataFrame, points: DataFrame) -> DataFrame:
+    """Links a, b (fps) of verified pairs. ``points``: fp, first, size, simhash, bands; ``texts``: doc_id, text_hash, text."""
+    met = simhash_links(points).union(band_links(points))  # components writes them
     sized = points.select(F.col("fp").alias("node"), "size", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")).join(components(met), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     members = sized.join(sized.groupBy("root").agg(blocks.alias("blocks")), "root").select("node", "__id", "__hash", "root", "blocks", F.expr("int(pmod(xxhash64(node), blocks))").alias("block"))
@@ -174,8 +189,8 @@ def links(texts: DataFrame, points: DataFrame) -> DataFrame:
 def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_hash and fp of every row, and every fp with its group, as in ``simhash``."""
     texts = docs.select("doc_id", simhash.text_hash(), store.null_safe_text().alias("text"))
-    rows = store.staged(texts.mapInPandas(store.tidy(_sketch), "doc_id long, text_hash long, fp long, size int, bands array<long>"), "shingle-bands")
-    points = rows.groupBy("fp").agg(simhash.first_row().alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    rows = store.staged(texts.mapInPandas(store.tidy(_sketch), "doc_id long, text_hash long, fp long, size int, simhash long, bands array<long>"), "shingle-bands")
+    points = rows.groupBy("fp").agg(simhash.first_row().alias("first"), F.first("size").alias("size"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands"))
     points = store.staged(points, "shingle-points")
     return rows, simhash.grouped(points, components(links(texts, points)))
 

@@ -59,7 +59,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     Words are runs of anything but ASCII white space, A-Z lower-cased.  Fewer
     words than a shingle has: the whole sequence; none: zero.
     """
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; none of no hashes."""
     n = len(hashes)
     if not n:
         return 0

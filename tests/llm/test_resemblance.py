@@ -2,6 +2,8 @@
 
 import random
 
+import xxhash
+
 import corpus_pipeline
 from corpusloom.llm import resemblance
 from tests.llm.test_operators import make
@@ -78,3 +80,32 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(5, base), (5, other), (7, near), (8, other + " end"), (None, base), (None, near), (None, "alone"), (9, "again"), (9, "again")], "doc_id long, text string")
     rows = sorted((str(r[0]), r[1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert rows == sorted([("5", base), ("5", other), ("None", "alone"), ("9", "again")])
+
+
+def test_simhash_links_by_itself(spark, monkeypatch):
+    """Without bands the stage gives what pairs of two or fewer bits connect, verified: also sets with equal SimHashes."""
+    r = random.Random(6)
+    texts = copies(6)
+    for _ in range(30):
+        words = [f"v{r.randrange(10**5)}" for _ in range(500)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(["begin", *words[1:]])]
+
+    def bits(text):
+        hashes = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles(text)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    def roots(pairs):
+        root, before = list(range(len(texts))), None
+        while root != before:
+            before = list(root)
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    fps = [bits(t) for t in texts]
+    met = roots([(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    same = roots([(i, j) for i, j in near_pairs(texts) if met[i] == met[j]])
+    want = [i for i in range(len(texts)) if same[i] == i]
+    assert len(kept(texts)) < len(want) < len(texts) - 60
+    monkeypatch.setattr(resemblance, "band_links", lambda points: points.select("fp", "fp").toDF("a", "b").limit(0))
+    assert sorted(row["doc_id"] for row in corpus_pipeline.near_duplicates(spark, make(spark, texts).repartition(3), "").collect()) == want
