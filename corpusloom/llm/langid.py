@@ -72,6 +72,12 @@ def features(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of ``features`` and how often each occurs, in 6 bytes a bucket: the sample lies in the driver."""
+    seen, times = np.unique(features(text), return_counts=True)
+    return seen.astype(np.uint16), times.astype(np.uint32)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -99,7 +105,7 @@ class Model:
 
 def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5, seed: int = 5) -> Model:
     """Train on texts with their languages. Texts without letters are left out."""
-    rows = [(f, lang) for t, lang in zip(texts, langs, strict=True) if len(f := features(t))]
+    rows = [(f, lang) for t, lang in zip(texts, langs, strict=True) if len((f := counted(t))[0])]
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     if not rows:
@@ -111,10 +117,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5,
     embed = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     steps, step = epochs * len(train), 0
-    counted = {int(i): np.unique(rows[i][0], return_counts=True) for i in train}
     for _ in range(epochs):
         for i in rng.permutation(train):
-            lang, (seen, times) = rows[i][1], counted[int(i)]
+            (seen, times), lang = rows[i]
             share = times / times.sum()
             mean = share @ embed[seen]
             wrong = _softmax(mean @ layer + bias)
@@ -132,7 +137,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5,
 def _calibrated(model: Model, rows: list, number: dict[str, int]) -> Model:
     if not rows:
         return model
-    logits = np.array([model.logits(f) for f, _ in rows])
+    logits = np.array([model.logits(np.repeat(seen.astype(np.int64), times)) for (seen, times), _ in rows])
     truth = np.array([number[lang] for _, lang in rows])
     at = np.arange(len(rows))
 
@@ -175,7 +180,10 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, languages:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``; the sample comes to the driver."""
     sample = training_rows(docs, per_language).orderBy("h").toPandas()
-    return fit(sample["text"].tolist(), sample["lang"].tolist())
+    model = fit(sample["text"].tolist(), sample["lang"].tolist())
+    del sample
+    store.give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:

@@ -1,6 +1,8 @@
 """Bounds and numbers that must hold whatever the table: rare labels, stored sequence numbers, rows after a shuffle."""
 
 import glob
+import random
+import tracemalloc
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -15,6 +17,18 @@ def test_junk_labels_dont_grow_the_sample(spark):
     assert len(kept) <= 15 and {"en", "de"} < {r["lang"] for r in kept} and len({r["lang"] for r in kept}) == 3
 
 
+def test_training_holds_counts_not_runs():
+    """The sample lies in the driver: 400 texts of 7500 characters have 9 million character runs, 72 MB as numbers."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(200)]
+    texts = [" ".join(r.choice(words) for _ in range(1500)) for _ in range(400)]
+    tracemalloc.start()
+    langid.fit(texts, [("en", "de")[i % 2] for i in range(400)], epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_sequence_numbers_are_stored(spark, tmp_path):
     docs = spark.createDataFrame([(i, "some words " * (i % 40)) for i in range(300)], "doc_id long, text string").repartition(6)
     docs = store.staged(docs, "docs")
