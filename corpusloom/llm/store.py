@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -79,6 +80,12 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: until then it holds the plans and shuffle files of finished jobs, and its heap grows beside them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers are used again by later tasks, beside the executor's heap."""
     pa.default_memory_pool().release_unused()
