@@ -8,6 +8,7 @@ restart from files instead of from the source.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -53,6 +54,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end.
+
+    Otherwise these lie on disk until the driver happens to collect its garbage, though what is staged is
+    never read from them again.
+    """
+    before = spark.conf.get(_FREES, "false")
+    spark.conf.set(_FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREES, before)
+
+
 #: Plan nodes that give the same rows in the same partitions whenever they run.
 _STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range"}
 

@@ -21,6 +21,9 @@ A window is ``window`` consecutive words of one document.  The jobs:
    at every place, up to ``window`` words, over what occurs at least twice.
 5. Intervals of ``window`` or more go back to their documents.
 
+Jobs 1 to 3 end in a table of segments, 4 and 5 in one of intervals.  When one
+is written, the shuffle files of its jobs are deleted, and the runs with the first.
+
 Hashes only choose what meets; a window is removed because the index holds its
 words twice.
 """
@@ -334,7 +337,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
             yield batch()
 
     cut = text.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(store.tidy(cut_out), "anchor long, doc_id long, first int, seg binary, words binary, copies long, found boolean, hi int")
-    pieces = store.staged(cut, "segments")
+    with store.shuffles_freed(docs.sparkSession):
+        pieces = store.staged(cut, "segments")
+    store.drop_staged(runs)
     segments = pieces.where("hi < 0")
 
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,7 +383,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     back = segments.where("not found").select("anchor", "seg", "doc_id", "first").join(spans, ["anchor", "seg"])
     moved = F.expr("transform(spans, s -> struct(s.lo + first as lo, s.hi + first as hi))")
     already = pieces.where("hi >= 0").select("doc_id", F.array(F.struct(F.col("first").alias("lo"), "hi")).alias("spans"))
-    return back.select("doc_id", moved.alias("spans")).unionByName(already).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = back.select("doc_id", moved.alias("spans")).unionByName(already).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    with store.shuffles_freed(docs.sparkSession):
+        return store.staged(found, "repeats")
 
 
 def _kept(text: str, spans) -> tuple[int, int, list[bytes]]:
