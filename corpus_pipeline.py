@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of words that stand more than once are cut out; documents without such a run keep their text as it is."""
-    done = substrings.without_repeats(docs)
+    done = substrings.without_repeats(docs, changed_only=True)
     text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
     done = done.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -64,7 +64,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, limit: int = 1
                 )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary"
-    found = docs.select("doc_id", store.null_safe_text().alias("text")).mapInArrow(store.tidy(pieces), schema)
+    found = docs.select("doc_id", store.null_safe_text().alias("text")).mapInArrow(store.tidy(pieces, "encoders"), schema)
     return found.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

@@ -113,11 +113,28 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def tidy(work):
-    """A function over batches that gives memory back when its partition is done."""
+#: What operators leave in a Python worker for their own next task, by owner.
+_LEFT: dict[str, dict] = {}
+
+
+def left(owner: str) -> dict:
+    """A dict that stays in the worker until a ``tidy`` task of another owner begins there."""
+    return _LEFT.setdefault(owner, {})
+
+
+def drop_left(but: str | None = None) -> None:
+    """Forget what tasks of other owners left: a later operator's tasks need that memory."""
+    for owner, what in _LEFT.items():
+        if owner != but:
+            what.clear()
+
+
+def tidy(work, owner: str | None = None):
+    """A function over batches that gives memory back when its partition is done, and of what earlier tasks left in the worker keeps its ``owner``'s."""
 
     @functools.wraps(work)
     def run(batches):
+        drop_left(owner)
         try:
             yield from work(batches)
         finally:

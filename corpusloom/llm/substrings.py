@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -162,19 +163,22 @@ class FMIndex:
         key = np.zeros(n + span, np.int64)
         key[:n] = text + 1
         key = sum(key[i : n + i] << (wide * (span - 1 - i)) for i in range(span))
+        # What stays are places and ranks, below 2**31: a task holds several shard-sized columns beside the executor's heap.
         ranks: dict[int, np.ndarray] = {}
         while True:
-            self.order = np.argsort(key)
-            ordered = key[self.order]
-            rank = np.empty(n, np.int64)
-            rank[self.order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+            order = np.argsort(key)
+            key = key[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1], dtype=np.int32)])
             ranks[span] = rank
             if span >= ORDER:
                 break
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(0, n - span)] = rank[span:] + 1
-            key = (rank << 32) | ahead
+            key = rank.astype(np.int64) << 32
+            key[: max(0, n - span)] |= rank[span:] + 1
             span *= 2
+        del key
+        self.order = order.astype(np.int32)
+        del order
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.tree = WaveletMatrix(text[self.order - 1], max(1, (sigma - 1).bit_length()))
         self.n, self.text = n, text
@@ -187,9 +191,9 @@ class FMIndex:
         other = np.minimum(there + depth - span, self.n - 1)
         first, second = ranks[span][there], ranks[span][other]
         new = np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)])
-        begin = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        return begin[of], np.append(begin[1:], self.n)[of]
+        begin = np.flatnonzero(new).astype(np.int32)
+        of = np.cumsum(new, dtype=np.int32) - 1
+        return begin[of], np.append(begin[1:], np.int32(self.n))[of]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that begin with symbol and then what rows low to high begin with."""
@@ -212,9 +216,11 @@ def repeated_windows(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, cop
     half = 16
     index = FMIndex(text, (half, window - 1))
     several = copies > 1
-    weight = np.zeros(len(text), np.int64)
-    weight[np.repeat(begins, ends - begins) + np.arange((ends - begins).sum()) - np.repeat(np.cumsum(ends - begins) - (ends - begins), ends - begins)] = np.repeat(several, ends - begins)
-    many = np.concatenate([[0], np.cumsum(weight[index.order])])  # rows that stand for several copies
+    edges = np.zeros(len(text) + 1, np.int32)
+    edges[begins] = several
+    edges[ends] -= several
+    weight = np.cumsum(edges[:-1], dtype=np.int32)
+    many = np.concatenate([np.zeros(1, np.int32), np.cumsum(weight[index.order], dtype=np.int32)])  # rows that stand for several copies
 
     def twice(low, high):
         return (high - low >= 2) | (many[high] - many[low] >= 1)
@@ -259,12 +265,13 @@ def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _search_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    lists = [t.split(b" ") for t in frame["words"]]
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = pd.factorize(np.array([w for words in lists for w in words], object))[0] + 1
+    """Answers of one shard; takes the words out of ``frame``."""
+    lengths = np.fromiter((t.count(b" ") + 1 for t in frame["words"]), np.int64, len(frame))
+    flat = pd.factorize(np.array(b" ".join(frame.pop("words")).split(b" "), object))[0] + 1
     begins = np.cumsum(lengths + 1) - (lengths + 1)
-    text = np.zeros(int((lengths + 1).sum()), np.int64)
+    text = np.zeros(int((lengths + 1).sum()), np.int32)
     text[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(flat))] = flat
+    del flat
     found = np.flatnonzero(repeated_windows(text, begins, begins + lengths, frame["copies"].to_numpy(np.int64), window))
     cut = np.searchsorted(found, np.append(begins, len(text)))
     spans = [[{"lo": a, "hi": b} for a, b in _spans(found[i:j] - begin, window)] for i, j, begin in zip(cut[:-1], cut[1:], begins, strict=True)]
@@ -388,19 +395,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
         return store.staged(found, "repeats")
 
 
-def _kept(text: str, spans) -> tuple[int, int, list[bytes]]:
+def _kept(text: str, spans) -> tuple[int, int, str]:
+    """Words, those that go, and the rest as one string: a batch holds no lists of words."""
     words = split_words(text)
     if spans is None or not len(spans):
-        return len(words), 0, words
+        return len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass")
     gone = np.zeros(len(words) + 1, np.int64)
     for s in spans:
         gone[s["lo"]] += 1
         gone[s["hi"]] -= 1
     stay = np.cumsum(gone[:-1]) == 0
-    return len(words), int((~stay).sum()), [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+    return len(words), int((~stay).sum()), b" ".join(compress(words, stay.tolist())).decode("utf-8", "surrogatepass")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, changed_only: bool = False, **how) -> DataFrame:
     """All rows and columns of ``docs`` with __n_words, __n_removed and __kept (the
     words that stay, joined by one space; null text gives an empty one).
 
@@ -409,6 +417,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     files that ``docs`` is read from (it is written first if it isn't a plain scan),
     so null or repeated doc_ids are rows like others: repeated rows are copies of
     one another, and their windows go from all.  An empty table gives no rows.
+
+    ``changed_only``: of rows that lose no word the text doesn't go through Python;
+    their __n_words and __n_removed are 0, their __kept is empty.
     """
     spark_id, names, docs = "__row", docs.columns, store.steady(docs)
     numbered = docs.withColumn(spark_id, F.monotonically_increasing_id())
@@ -419,7 +430,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     def keep(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = [_kept(t, s) for t, s in zip(text, spans, strict=True)]
         store.give_back()
-        return pd.DataFrame({"n_words": [r[0] for r in rows], "n_removed": [r[1] for r in rows], "kept": [b" ".join(r[2]).decode("utf-8", "surrogatepass") for r in rows]})
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    done = joined.withColumn("__out", keep(store.null_safe_text(), "__spans"))
+    text = store.null_safe_text()
+    if changed_only:
+        text = F.when(F.col("__spans").isNotNull(), text).otherwise(F.lit(""))
+    done = joined.withColumn("__out", keep(text, "__spans"))
     return done.select(*[F.col(f"`{c}`") for c in names], F.col("__out.n_words").alias("__n_words"), F.col("__out.n_removed").alias("__n_removed"), F.col("__out.kept").alias("__kept"))

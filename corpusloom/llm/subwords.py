@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpusloom.llm import store
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -37,7 +39,7 @@ _NOT_LOWERED = r"[^\x00-\xff]|<\|"
 _NOT_SINGLE = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\x00\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Units that are encoded in one call of the library; those of a run that can't be told apart are tried in shorter runs, then alone.
 _RUNS = (1024, 32)
-_ENCODERS: dict[tuple[str, str], UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, str], UnitEncoder] = store.left("encoders")
 
 
 def _lower_units(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
@@ -257,7 +259,7 @@ def slices(texts: pa.StringArray, most: int = 2_500_000) -> Iterator[tuple[int,
 
 
 def encoder(path: str, kind: str) -> UnitEncoder:
-    """One encoder for each Python worker and file; workers are used again by later tasks."""
+    """One encoder for each Python worker and file; workers are used again by later tasks, which keep it if ``tidy`` has "encoders" as their owner."""
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = UnitEncoder(path, kind)
     return _ENCODERS[path, kind]

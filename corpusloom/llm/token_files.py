@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
         store.put_whole(uri, fill)
         yield pa.RecordBatch.from_pylist(told, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    manifest = ordered.mapInArrow(store.tidy(write), "shard int, path string, n_docs long, n_ids long")
+    manifest = ordered.mapInArrow(store.tidy(write, "encoders"), "shard int, path string, n_docs long, n_ids long")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
