@@ -14,7 +14,7 @@ def trimmed(c: Column) -> Column:
 def clamp01(c: Column) -> Column:
     """Scores are 0 to 1; null and non-finite ones are 0."""
     d = c.cast("double")
-    return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))
+    return F.when(F.abs(d) < float("inf"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d))).otherwise(0.0)  # NaN is more
 
 
 def string_array(c: Column, items: int, chars: int) -> Column:

@@ -87,7 +87,7 @@ def src_l1_norm(spark, sf):
     snake = F.to_json(F.struct(entity.alias("route_entities"), F.array("p_brand", F.lit(" ")).alias("route_keywords"), signal.alias("signals"), scores.alias("category_scores"), F.when(size % 3 == 0, "v2").alias("route_schema_version")))
     camel = F.to_json(F.struct(entity.alias("routeEntities"), F.array("p_type").alias("keywords"), signal.alias("signals"), scores.alias("categoryScores"), F.when(size % 3 == 0, "v2").alias("routeSchemaVersion")))
     body = F.when(size % 2 == 0, F.to_json(F.struct(snake.alias("result")))).otherwise(camel)
-    r = N.routes(B.table(spark, sf, "part").select("p_partkey", body.alias("body")), "body", B.CATEGORIES)
+    r = N.routes(tables.spread(B.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select("p_partkey", body.alias("body")), "body", B.CATEGORIES)
     one = lambda a: F.get(a, F.lit(0))
     e, g = one(F.col("entities")), one(F.col("signals"))
     return r.where("size(entities) = 1").select(

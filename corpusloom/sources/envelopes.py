@@ -49,6 +49,21 @@ def present(v: Column, *keys: str) -> Column:
     return F.coalesce(*[F.when(~F.is_variant_null(x), x) for k in keys for x in [F.try_variant_get(v, f"$.{k}", "variant")]])
 
 
+def _taken(v: Column, kind: str, *keys: str) -> Column:
+    """The first present key's value as another type, else null; each value is read once where that says the same."""
+    if kind == "string" or len(keys) == 1:  # whatever is there is a text, and null is null in any type
+        return F.coalesce(*[F.try_variant_get(v, f"$.{k}", kind) for k in keys])
+    return F.try_variant_get(present(v, *keys), "$", kind)
+
+
+def kept(rows: DataFrame, **named: Column) -> DataFrame:
+    """rows with columns that are computed here, once a row: a filter on them isn't pushed below, where it
+    would be computed from the payload, anew for every mention of a column in a column."""
+    others = [c for c in rows.columns if c not in named]
+    held = rows.withColumns(named).select(*others, F.explode(F.array(F.struct(*named))).alias("__kept"))
+    return held.select(*others, *[F.col("__kept")[n].alias(n) for n in named])
+
+
 def opened(rows: DataFrame, payload: Column, name: str) -> DataFrame:
     """rows with what an answer holds as variant column ``name``: under one of ``WRAPPERS`` if
     it is an object with one (text there is parsed again), else itself.
@@ -59,7 +74,7 @@ def opened(rows: DataFrame, payload: Column, name: str) -> DataFrame:
     rows = rows.withColumn("__inner", F.when(is_a(F.col("__parsed"), "OBJECT"), present(F.col("__parsed"), *WRAPPERS)))
     rows = rows.withColumn("__text", F.when(is_a(F.col("__inner"), "STRING"), F.try_variant_get("__inner", "$", "string")))
     again = F.when(F.col("__text").isNotNull(), parsed(F.col("__text")))
-    return rows.withColumn(name, F.coalesce(again, "__inner", "__parsed")).drop("__parsed", "__inner", "__text")
+    return kept(rows, **{name: F.coalesce(again, "__inner", "__parsed")}).drop("__parsed", "__inner", "__text")
 
 
 def plain(v: Column) -> Column:
@@ -69,25 +84,25 @@ def plain(v: Column) -> Column:
 
 def string(v: Column, *keys: str, default: str = "") -> Column:
     """Trimmed text of the first present key; empty: the default."""
-    text = C.trimmed(F.coalesce(F.try_variant_get(present(v, *keys), "$", "string"), F.lit("")))
+    text = C.trimmed(F.coalesce(_taken(v, "string", *keys), F.lit("")))
     return F.when(text == "", F.lit(default)).otherwise(text) if default else text
 
 
 def strings(v: Column, *keys: str) -> Column:
     """Trimmed non-empty texts of an array; anything else gives none."""
-    found = F.try_variant_get(present(v, *keys), "$", "array<variant>")
+    found = _taken(v, "array<variant>", *keys)
     texts = F.transform(F.coalesce(found, F.array().cast("array<variant>")), lambda x: C.trimmed(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))))
     return F.filter(texts, lambda t: t != "")
 
 
 def number(v: Column, *keys: str) -> Column:
     """0 to 1; anything that isn't a finite number is 0."""
-    return C.clamp01(F.try_variant_get(present(v, *keys), "$", "double"))
+    return C.clamp01(_taken(v, "double", *keys))
 
 
 def integer(v: Column, *keys: str) -> Column:
     """The whole number that the first present key's text begins with, else null."""
-    return F.nullif(F.regexp_extract(F.try_variant_get(present(v, *keys), "$", "string"), r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(_taken(v, "string", *keys), r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("int")
 
 
 def true(v: Column, key: str) -> Column:
@@ -98,8 +113,8 @@ def true(v: Column, key: str) -> Column:
 
 def objects(v: Column, *keys: str) -> Column:
     """The first of the keys that is an array, as an array of variants; else an empty one."""
-    found = [F.when(is_a(x, "ARRAY"), F.try_variant_get(x, "$", "array<variant>")) for k in keys for x in [F.try_variant_get(v, f"$.{k}", "variant")]]
-    return F.coalesce(*found, F.array().cast("array<variant>"))
+    # What isn't an array gives null; asking for its kind would walk through all that it holds.
+    return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in keys], F.array().cast("array<variant>"))
 
 
 def chapters(rows: DataFrame, id_column: str, payload: str, start: str) -> DataFrame:
@@ -131,7 +146,7 @@ def routes(rows: DataFrame, payload: str, categories: tuple[str, ...]) -> DataFr
         string(e, "name").alias("name"), string(e, "type").alias("type"), strings(e, "aliases").alias("aliases"), string(e, "role").alias("role"), string(e, "note").alias("note")))
     signal = F.transform(F.filter(objects(v, "signals"), lambda s: is_a(s, "OBJECT")), lambda s: F.struct(
         C.category(string(s, "category"), categories).alias("category"), number(s, "strength").alias("strength"), strings(s, "entities").alias("entities"), strings(s, "keywords").alias("keywords"), string(s, "reason").alias("reason")))
-    return rows.withColumns({
+    return kept(rows, **{
         "schema": string(v, "route_schema_version", "routeSchemaVersion", default="l1-route-v1"), "entities": F.filter(entity, lambda e: e["name"] != ""),
         "keywords": strings(v, "route_keywords", "routeKeywords", "keywords"), "signals": signal,
         "scores": F.map_from_arrays(F.array(*map(F.lit, categories)), F.array(*[number(F.col("__scores"), k) for k in categories]))}).drop("__v", "__scores")
