@@ -213,17 +213,23 @@ def win_target_match(spark, sf):
 _FLAGGED = f"""{_EXPAND}, {_DIRECT}, e AS (SELECT r.*, d.fact_id IS NOT NULL AS target FROM ranked r LEFT JOIN direct d ON d.query_id = r.query_id AND d.fact_id = r.fact_id)"""
 
 
-def _flagged(spark, sf):
-    """Entries of every question with a flag: a structured field has the target."""
-    facts, q = _facts(spark, sf), B.questions(spark, sf)
-    own = R.target_facts(facts, R.target_terms(q)).withColumn("target", F.lit(True))
-    return R.score(facts, _terms(spark, sf)).join(own, ["query_id", "fact_id"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
+def _flagged(spark, sf, most, **more):
+    """Scores of every question by one pass over the texts, told apart by whether a structured field has the target."""
+    targets = R.target_terms(B.questions(spark, sf)).withColumn("use", F.lit(3))
+    return R.scan(_facts(spark, sf).drop("same"), _terms(spark, sf), most, targets=targets, **more)
 
 
 @query("win_select", f"""{_FLAGGED}, o AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY place) AS place) FROM e WHERE target), {_pick_sql('o', '30')}, k AS (SELECT e.query_id, e.fact_id, e.target, row_number() OVER (PARTITION BY e.query_id ORDER BY CASE WHEN p.pick <= 30 THEN 0 ELSE 1 END, e.place) AS turn FROM e LEFT JOIN p ON p.query_id = e.query_id AND p.fact_id = e.fact_id)
     SELECT query_id, fact_id, target, turn FROM k WHERE turn <= 30""")
 def win_select(spark, sf):
-    return R.select(_flagged(spark, sf), 30).select("query_id", "fact_id", "target", F.col("turn").cast("long").alias("turn"))
+    return R.select(_flagged(spark, sf, 30, own=True).entries, 30).select("query_id", "fact_id", "target", F.col("turn").cast("long").alias("turn"))
+
+
+def _scored(spark, sf):
+    """Entries of every question with a flag: a structured field has the target."""
+    facts, q = _facts(spark, sf), B.questions(spark, sf)
+    own = R.target_facts(facts, R.target_terms(q)).withColumn("target", F.lit(True))
+    return R.score(facts, _terms(spark, sf)).join(own, ["query_id", "fact_id"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
 @query("win_select_target", f"""{_FLAGGED}, c AS (SELECT query_id, count(*) AS n FROM e WHERE target GROUP BY 1), w AS (SELECT DISTINCT z.query_id, f.fact_id FROM z JOIN f ON z.n <= 32 AND contains(f.low, z.term)),
@@ -232,7 +238,7 @@ def win_select(spark, sf):
     SELECT query_id, fact_id, true AS target FROM e WHERE target UNION ALL SELECT query_id, fact_id, false FROM p WHERE pick <= lim""")
 def win_select_target(spark, sf):
     support = R.matches(_facts(spark, sf), _expanded(spark, sf)).select("query_id", "fact_id").distinct()
-    return R.with_support(_flagged(spark, sf), support).select("query_id", "fact_id", "target")
+    return R.with_support(_scored(spark, sf), support).select("query_id", "fact_id", "target")
 
 
 @query("win_target_terms", f"WITH {B.WITH_FACTS} SELECT DISTINCT entity || '的' || fact_type AS target, entity AS owner, fact_type AS descriptor, entity || '/' || aliases[1] AS names FROM facts")
