@@ -225,20 +225,13 @@ def win_select(spark, sf):
     return R.select(_flagged(spark, sf, 30, own=True).entries, 30).select("query_id", "fact_id", "target", F.col("turn").cast("long").alias("turn"))
 
 
-def _scored(spark, sf):
-    """Entries of every question with a flag: a structured field has the target."""
-    facts, q = _facts(spark, sf), B.questions(spark, sf)
-    own = R.target_facts(facts, R.target_terms(q)).withColumn("target", F.lit(True))
-    return R.score(facts, _terms(spark, sf)).join(own, ["query_id", "fact_id"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
-
-
 @query("win_select_target", f"""{_FLAGGED}, c AS (SELECT query_id, count(*) AS n FROM e WHERE target GROUP BY 1), w AS (SELECT DISTINCT z.query_id, f.fact_id FROM z JOIN f ON z.n <= 32 AND contains(f.low, z.term)),
     o AS (SELECT e.* REPLACE (row_number() OVER (PARTITION BY e.query_id ORDER BY e.place) AS place), c.n FROM e JOIN c USING (query_id) JOIN w ON w.query_id = e.query_id AND w.fact_id = e.fact_id WHERE NOT target),
     {_pick_sql('o', 'least(greatest(0, greatest(160, n) - n), greatest(8, least(48, 2 * n)))')}
     SELECT query_id, fact_id, true AS target FROM e WHERE target UNION ALL SELECT query_id, fact_id, false FROM p WHERE pick <= lim""")
 def win_select_target(spark, sf):
-    support = R.matches(_facts(spark, sf), _expanded(spark, sf)).select("query_id", "fact_id").distinct()
-    return R.with_support(_scored(spark, sf), support).select("query_id", "fact_id", "target")
+    found = _flagged(spark, sf, R.MOST_SUPPORT, chapters=True, support=_expanded(spark, sf))
+    return R.with_support(found.about, found.entries).select("query_id", "fact_id", "target")
 
 
 @query("win_target_terms", f"WITH {B.WITH_FACTS} SELECT DISTINCT entity || '的' || fact_type AS target, entity AS owner, fact_type AS descriptor, entity || '/' || aliases[1] AS names FROM facts")
